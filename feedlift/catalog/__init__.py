@@ -1,0 +1,11 @@
+"""Registered queries over the test tables, with the SQL that must give the same rows."""
+
+from feedlift.catalog.registry import QUERIES, SQL
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from feedlift.catalog import column, files, pages, review, warehouse  # noqa: F401
+
+
+__all__ = ["QUERIES", "SQL", "load"]

@@ -95,14 +95,14 @@ def parse_titles(rows: DataFrame) -> DataFrame:
     response = F.col("title_response")
     answered = rows.withColumn("_answer", title_answer(response))
     lists = {
-        "original_keys": tokens("_answer.original_keys", r"\|"),
-        "keys": tokens("_answer.keys", r"\|"),
-        "values": tokens("_answer.values", r"\|"),
+        "original_keys": tokens(F.col("_answer.original_keys"), r"\|"),
+        "keys": tokens(F.col("_answer.keys"), r"\|"),
+        "values": tokens(F.col("_answer.values"), r"\|"),
         "replaced_keys": F.coalesce(
-            lower_each(tokens("_answer.replaced", ",")), F.array().cast("array<string>")
+            lower_each(tokens(F.col("_answer.replaced"), ",")), F.array().cast("array<string>")
         ),
-        "category_generated": trim_ws("_answer.category"),
-        "model_title": trim_ws("_answer.title"),
+        "category_generated": trim_ws(F.col("_answer.category")),
+        "model_title": trim_ws(F.col("_answer.title")),
     }
     incomplete = F.concat(F.lit("incomplete title answer: "), blank_if_null(response))
     failure = F.coalesce(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlift.config import FeedConfig
 from feedlift.functions.prompts import column_prompt, column_request
-from feedlift.functions.responses import first_candidate_text, request_id
+from feedlift.functions.responses import NOT_AVAILABLE, first_candidate_text, request_id
 from feedlift.functions.text import as_column
 from feedlift.operators.generation import Completer, generate_text
 from feedlift.session import materialise
@@ -35,8 +35,11 @@ def join_column(
     feed: DataFrame, values: DataFrame, column: str, id_col: str = "id", *, mode: str = "fill"
 ) -> DataFrame:
     """Feed with the generated column. ``fill`` keeps the values a feed has already,
-    ``replace`` overwrites them."""
-    generated = values.select(F.col("id").alias("_id"), F.col(column).alias("_value"))
+    ``replace`` overwrites them. Predictions without an id belong to no product; they
+    would meet in one key and go first."""
+    generated = values.where(F.col("id") != NOT_AVAILABLE).select(
+        F.col("id").alias("_id"), F.col(column).alias("_value")
+    )
     joined = feed.join(generated, as_column(id_col).cast("string") == F.col("_id"), "left")
     value = F.col("_value")
     if mode == "fill" and column in feed.columns:
