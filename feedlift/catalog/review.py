@@ -18,6 +18,7 @@ from feedlift.operators import selection
 from feedlift.operators.export import attribute_keys, export_approved, structured_export
 from feedlift.operators.generation import ExpressionCompleter, generate_text
 from feedlift.plans.review_feed import review_feed
+from feedlift.session import materialise
 
 CONFIG = FeedConfig(
     title=TitleSettings(prompt="Write a title.\n\n", allowed_words="Size, , deluxe"),
@@ -141,10 +142,13 @@ TITLE_FIELDS = f"""title_fields AS (
 
 
 def answered_titles(spark: SparkSession, folder: str) -> DataFrame:
-    rows = steps.add_title_prompt(steps.feed_rows(feed(spark, folder), CONFIG), CONFIG)
-    return generate_text(
+    """Answers, frozen as after any model: later filters must not repeat the model."""
+    spread = feed(spark, folder).repartition(spark.sparkContext.defaultParallelism)
+    rows = steps.add_title_prompt(steps.feed_rows(spread, CONFIG), CONFIG)
+    answered = generate_text(
         rows, ExpressionCompleter(title_model), "title_prompt", "title_response", "title_error"
     )
+    return materialise(answered.drop("title_prompt"), "titles")
 
 
 @query(
@@ -422,6 +426,7 @@ def reviewed(
         ExpressionCompleter(title_model),
         ExpressionCompleter(description_model),
         keep=["feed_pos"],
+        partitions=spark.sparkContext.defaultParallelism,
     )
 
 

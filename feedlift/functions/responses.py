@@ -39,8 +39,8 @@ _LINE_ENDS = "\n\r\u2028\u2029"
 
 def _lines_before(text: Column, label: str) -> Column:
     """Whole lines that precede the line of the last ``label``."""
-    head = F.regexp_extract(text, rf"(?is)\A(.*){label}", 1)
-    return F.regexp_extract(head, rf"(?s)\A(?:.*[{_LINE_ENDS}])?", 0)
+    line = rf"[^{_LINE_ENDS}]*{label}"
+    return F.regexp_extract(text, rf"(?is)\A(.*[{_LINE_ENDS}])?{line}", 1)
 
 
 def _before_newline(text: Column, label: str) -> Column:

@@ -21,6 +21,7 @@ def review_feed(
     *,
     page_texts: DataFrame | None = None,
     keep: Sequence[str] = (),
+    partitions: int | None = None,
     freeze: bool = True,
 ) -> DataFrame:
     """Review rows of all products in ``feed``.
@@ -28,6 +29,8 @@ def review_feed(
     Two generation stages, the second of which needs the new title of the first; each is
     frozen behind it. ``freeze=False`` leaves the plan lazy, which is safe only for
     completers that always answer the same. Page texts join once for both prompts.
+    ``partitions`` spreads the rows evenly over so many tasks, where the layout of the feed
+    would leave the model stage to few of them.
     """
 
     def after_model(df: DataFrame, label: str) -> DataFrame:
@@ -37,7 +40,7 @@ def review_feed(
     if page_texts is not None and (cfg.title.use_page_text or cfg.description.use_page_text):
         feed = join_page_texts(feed, page_texts, cfg.id_col)
         page = "webpage_content"
-    rows = steps.feed_rows(feed, cfg, page, keep)
+    rows = steps.feed_rows(feed.repartition(partitions) if partitions else feed, cfg, page, keep)
     if cfg.generate_titles:
         asked = generate_text(
             steps.add_title_prompt(rows, cfg),

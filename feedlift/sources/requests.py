@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +26,15 @@ def write_requests(lines: DataFrame, path: str) -> None:
 
 
 def latest_predictions(spark: SparkSession, folder: str) -> str:
-    """Path of the predictions file in the run folder that sorts last. Only names are
-    listed; no file is opened."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "predictions.jsonl")
-        .load(f"{folder.rstrip('/')}/*")
-    )
-    path = files.agg(F.max("path")).first()[0]
-    if path is None:
-        raise FileNotFoundError(f"no predictions.jsonl below {folder}")
-    return path
+    """Path of ``predictions.jsonl``, a file or a folder of part files, in the run folder
+    that sorts last. Only names are listed; no file is opened."""
+    pattern = f"{folder.rstrip('/')}/*/predictions.jsonl"
+    try:
+        files = spark.read.format("binaryFile").load(pattern)
+    except AnalysisException as problem:
+        raise FileNotFoundError(f"no {pattern}") from problem
+    run = F.regexp_extract("path", r"\A(.*/predictions\.jsonl)", 1)
+    return files.agg(F.max(run)).first()[0]
 
 
 def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
