@@ -11,6 +11,7 @@ from feedlift.config import FeedConfig
 from feedlift.functions.scoring import GENERATED_MARK, feed_text
 from feedlift.functions.text import as_column
 from feedlift.operators.selection import approved, with_both_texts
+from feedlift.operators.skew import left_join
 
 # More attribute columns than this are not planned as columns; use layout="map".
 MAX_ATTRIBUTE_COLUMNS = 2000
@@ -43,7 +44,7 @@ def full_feed(
         return feed_text(F.coalesce(F.col(new), as_column(old)), F.col(new).isNotNull())
 
     kept = [c for c in raw.columns if c not in (title_col, description_col)]
-    return raw.join(texts, as_column(id_col).cast("string") == F.col("_id"), "left").select(
+    return left_join(raw, texts, as_column(id_col).cast("string"), "_id").select(
         *[as_column(c) for c in kept],
         best("_title", title_col).alias("structured_title"),
         best("_text", description_col).alias("structured_description"),

@@ -42,7 +42,8 @@ class ExpressionCompleter:
 @dataclass(frozen=True)
 class ReplayCompleter:
     """Answers stored before: a table with ``response``, an optional ``error`` and the key
-    columns ``on``. A prompt without a stored answer gets none."""
+    columns ``on``. A prompt without a stored answer gets none; of several it gets the
+    smallest, so that each prompt stays one row."""
 
     responses: DataFrame
     on: Sequence[str]
@@ -50,10 +51,11 @@ class ReplayCompleter:
     def complete(self, df: DataFrame, prompt: str, response: str, error: str) -> DataFrame:
         stored = self.responses
         failed = F.col("error") if "error" in stored.columns else F.lit(None).cast("string")
-        stored = stored.select(
-            *self.on, F.col("response").alias(response), failed.cast("string").alias(error)
+        answer = F.struct(F.col("response").alias(response), failed.cast("string").alias(error))
+        one = stored.groupBy(*self.on).agg(F.min(answer).alias("_answer"))
+        return df.join(one, list(self.on), "left").select(
+            *[as_column(c) for c in df.columns], f"_answer.{response}", f"_answer.{error}"
         )
-        return df.join(stored, list(self.on), "left")
 
 
 def call_with_retries(call: Callable[[], Any], attempts: int, delay: float = 0.0) -> Any:

@@ -1,7 +1,8 @@
 """Joins that bring page texts, image descriptions and examples to the feed.
 
 No join is hinted: Spark broadcasts a side only when its size is below the session's
-threshold, and adaptive execution splits a hot key of a sort-merge join.
+threshold, and adaptive execution splits a hot key of a sort-merge join where it can; see
+``skew`` for where it cannot.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from feedlift.functions.rows import row_context, row_properties
 from feedlift.functions.text import as_column, base_name, bind
+from feedlift.operators.selection import by_ids
+from feedlift.operators.skew import left_join
 
 
 def join_page_texts(feed: DataFrame, pages: DataFrame, id_col: str = "id") -> DataFrame:
@@ -20,9 +23,7 @@ def join_page_texts(feed: DataFrame, pages: DataFrame, id_col: str = "id") -> Da
     texts = pages.select(
         F.col("id").cast("string").alias("_page_id"), F.col("content").alias("webpage_content")
     )
-    return feed.join(texts, as_column(id_col).cast("string") == F.col("_page_id"), "left").drop(
-        "_page_id"
-    )
+    return left_join(feed, texts, as_column(id_col).cast("string"), "_page_id")
 
 
 def join_images_by_name(
@@ -34,7 +35,7 @@ def join_images_by_name(
     named = images.select(
         base_name("uri").alias("_name"), F.col("description").alias("image_description")
     )
-    return feed.join(named, link_name == F.col("_name"), "left").drop("_name")
+    return left_join(feed, named, link_name, "_name")
 
 
 def _literal_pieces(name: Column) -> Column:
@@ -184,8 +185,6 @@ def context_of_ids(
 ) -> DataFrame:
     """JSON context of the first feed row of each id. The first row is an aggregate, so a
     repeated id is reduced before the shuffle."""
-    from feedlift.operators.selection import by_ids
-
     columns = [c for c in feed.columns if c and c != position]
     rows = by_ids(feed, ids, id_col).select(
         as_column(id_col).cast("string").alias("id"),

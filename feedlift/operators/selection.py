@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from feedlift.config import Status
 from feedlift.functions.text import as_column, id_part, shuffle_key
-from feedlift.operators.numbering import number_rows
+from feedlift.operators.numbering import SMALL_ROWS, number_rows
 
 # Longer id lists are joined instead of being written into the plan.
 _MAX_LISTED_IDS = 1000
-# Up to this size a random batch is a top-k; larger ones are cut by distributed row numbers.
-_MAX_TOP_K = 10_000
 
 DONE = (Status.SUCCESS, Status.NON_COMPLIANT)
 
@@ -27,7 +25,10 @@ def by_ids(df: DataFrame, ids: Sequence[str] | DataFrame, id_col: str = "id") ->
         return df.where(as_column(id_col).isin(list(ids)))
     else:
         wanted = df.sparkSession.createDataFrame([(i,) for i in ids], "_wanted string")
-    return df.join(wanted, as_column(id_col) == F.col("_wanted"), "left_semi")
+    # Distinct first: a repeated id is reduced before the shuffle.
+    return df.join(
+        wanted.distinct(), as_column(id_col).cast("string") == F.col("_wanted"), "left_semi"
+    )
 
 
 def quantiles(df: DataFrame, metric: str, precision: int = 100) -> DataFrame:
@@ -83,11 +84,12 @@ def pending(state: DataFrame, target: str, max_tries: int = 3) -> DataFrame:
 def random_batch(
     df: DataFrame, size: int | None, seed: int | str = 0, id_col: str = "id"
 ) -> DataFrame:
-    """``size`` rows in the repeatable random order of ``seed``; all rows without a size."""
+    """``size`` rows in the repeatable random order of ``seed``; all rows without a size. A
+    small batch is a top-k, a larger one is cut by distributed row numbers."""
     if size is None:
         return df
     keyed = df.withColumn("_key", shuffle_key(id_col, seed))
-    if size <= _MAX_TOP_K:
+    if size <= SMALL_ROWS:
         return keyed.orderBy("_key", as_column(id_col)).limit(size).drop("_key")
     return number_rows(keyed, ["_key", id_col], "_rank").where(F.col("_rank") < size).drop(
         "_key", "_rank"

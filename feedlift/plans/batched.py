@@ -5,19 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedlift.functions.prompts import BatchWording, batch_prompt
 from feedlift.functions.rows import row_properties
 from feedlift.functions.text import as_column
-from feedlift.operators.answers import first_answers
+from feedlift.operators.answers import answer_rows, first_answers
 from feedlift.operators.generation import Completer, generate_text
 from feedlift.operators.joins import collect_examples, examples_column
-from feedlift.operators.numbering import number_rows, pack_chunks
+from feedlift.operators.numbering import SMALL_ROWS, number_rows, number_small, pack_chunks
 from feedlift.operators.selection import by_ids, in_part, pending, random_batch
 from feedlift.operators.state import merge_answers
-from feedlift.session import materialise
+from feedlift.session import materialise, scratch
 from feedlift.sources.tables import VersionedTable
 
 
@@ -60,11 +60,11 @@ def select_batch(
     return random_batch(joined, options.items_per_iteration, f"{options.seed}.{round_no}")
 
 
-def build_prompts(
-    batch: DataFrame, examples: Sequence, options: BatchOptions, *, frozen: bool = False
-) -> DataFrame:
+def build_prompts(batch: DataFrame, examples: Sequence, options: BatchOptions) -> DataFrame:
     """``chunk_id, ids, prompt``."""
-    numbered = number_rows(batch, ["id"], frozen=frozen)
+    size = options.items_per_iteration
+    number = number_small if size is not None and size <= SMALL_ROWS else number_rows
+    numbered = number(batch, ["id"])
     prompt = batch_prompt(
         options.target,
         options.language,
@@ -85,12 +85,24 @@ def generate_round(
     options: BatchOptions,
     round_no: int = 0,
 ) -> DataFrame:
-    """``id, text`` of one round. The answers are written before they are parsed: the model
-    must not be asked again when a later stage is repeated."""
+    """``chunk_id, ids, response`` of one round, written before anything is parsed: the
+    model must not be asked again when a later stage is repeated."""
     batch = select_batch(state, inputs, options, round_no)
     prompts = build_prompts(batch, examples, options)
     generated = generate_text(prompts, completer).select("chunk_id", "ids", "response")
-    return first_answers(materialise(generated, "generated"))
+    return materialise(generated, "generated")
+
+
+def commit_round(
+    table: VersionedTable, state: DataFrame, generated: DataFrame, target: str
+) -> tuple[DataFrame, int]:
+    """Merge the answers of a round: the new state and the number of answered products,
+    counted while the state is written. A round without answers writes nothing."""
+    if answer_rows(generated).isEmpty():
+        return state, 0
+    seen = Observation()
+    answers = first_answers(generated).observe(seen, F.count(F.lit(1)).alias("answered"))
+    return table.commit(merge_answers(state, answers, target)), seen.get["answered"]
 
 
 def batched_update(
@@ -112,12 +124,12 @@ def batched_update(
     while options.max_iterations is None or len(answered) < options.max_iterations:
         if wanted_rows(state, options).isEmpty():
             break
-        answers = materialise(
-            generate_round(state, inputs, shown, completer, options, len(answered)), "answers"
-        )
-        count = answers.count()
-        if count:
-            state = table.commit(merge_answers(state, answers, options.target))
+        # The state is committed inside; what a round wrote on the way is emptied after it.
+        with scratch(state.sparkSession):
+            generated = generate_round(
+                state, inputs, shown, completer, options, len(answered)
+            )
+            state, count = commit_round(table, state, generated, options.target)
         answered.append(count)
         if options.ids is not None:
             break

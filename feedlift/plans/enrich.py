@@ -10,6 +10,7 @@ from feedlift.functions.prompts import column_prompt, column_request
 from feedlift.functions.responses import NOT_AVAILABLE, first_candidate_text, request_id
 from feedlift.functions.text import as_column
 from feedlift.operators.generation import Completer, generate_text
+from feedlift.operators.skew import left_join
 from feedlift.session import materialise
 from feedlift.sources.requests import REQUEST_TYPE, RESPONSE_TYPE
 
@@ -40,7 +41,7 @@ def join_column(
     generated = values.where(F.col("id") != NOT_AVAILABLE).select(
         F.col("id").alias("_id"), F.col(column).alias("_value")
     )
-    joined = feed.join(generated, as_column(id_col).cast("string") == F.col("_id"), "left")
+    joined = left_join(feed, generated, as_column(id_col).cast("string"), "_id")
     value = F.col("_value")
     if mode == "fill" and column in feed.columns:
         old = as_column(column)

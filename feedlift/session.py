@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +44,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/feedlift/{label}-{uuid.uuid4().hex}"
 
 
+_open_scratch: ContextVar[list[str] | None] = ContextVar("open_scratch", default=None)
+
+
 def materialise(df: DataFrame, label: str = "frame") -> DataFrame:
     """Write ``df`` once and return a scan of what was written."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    written = _open_scratch.get()
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Frames materialised inside are emptied at the end; nothing may read them later."""
+    written: list[str] = []
+    token = _open_scratch.set(written)
+    try:
+        yield
+    finally:
+        _open_scratch.reset(token)
+        for path in written:
+            spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
