@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlift.catalog.feed import RAW, key_of, raw_feed
+from feedlift.catalog.feed import RAW, key_of, products
 from feedlift.catalog.registry import query, with_tables
 from feedlift.config import FeedConfig, ModelParams
 from feedlift.functions import prompts
@@ -47,7 +47,7 @@ def _request_sql(column: str, language: str, meaning: str | None) -> str:
     ),
 )
 def build_requests_query(spark: SparkSession, folder: str) -> DataFrame:
-    requests = build_requests(raw_feed(spark, folder), CONFIG, "colour", "English", _MEANING)
+    requests = build_requests(products(spark, folder), CONFIG, "colour", "English", _MEANING)
     return request_lines(requests, F.col("request"))
 
 
@@ -71,7 +71,7 @@ _VALUE = "CASE WHEN k % 9 < 2 THEN 'N/A' ELSE split_part(title, ' ', 1) END"
 
 @query("parse_predictions", with_tables(RAW, f"SELECT id, {_VALUE} AS colour FROM raw"))
 def parse_predictions_query(spark: SparkSession, folder: str) -> DataFrame:
-    requests = build_requests(raw_feed(spark, folder), CONFIG, "colour", "English")
+    requests = build_requests(products(spark, folder), CONFIG, "colour", "English")
     lines = requests.select(F.to_json("request").alias("request"))
     answered = lines.select(
         F.from_json("request", REQUEST_TYPE).alias("request"),
@@ -82,7 +82,7 @@ def parse_predictions_query(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("enrich_column", with_tables(RAW, f"SELECT id, title, category, {_VALUE} AS colour FROM raw"))
 def enrich_column_query(spark: SparkSession, folder: str) -> DataFrame:
-    feed = raw_feed(spark, folder).select("id", "title", "description", "category")
+    feed = products(spark, folder).select("id", "title", "description", "category")
     return enrich_column(
         feed, CONFIG, "colour", "English", ExpressionCompleter(column_model)
     ).drop("description")
@@ -94,7 +94,7 @@ def enrich_column_query(spark: SparkSession, folder: str) -> DataFrame:
 )
 def enrich_column_fill(spark: SparkSession, folder: str) -> DataFrame:
     """An existing column keeps its values; only its gaps are filled."""
-    feed = raw_feed(spark, folder).select("id", "title", "description", "size")
+    feed = products(spark, folder).select("id", "title", "description", "size")
     enriched = enrich_column(feed, CONFIG, "size", "English", ExpressionCompleter(column_model))
     return enriched.select("id", "size")
 
@@ -139,7 +139,7 @@ def response_text(spark: SparkSession, folder: str) -> DataFrame:
             F.to_json(F.array(piece(F.col("title")), piece(F.concat(F.lit(" by "), "brand"))))
         )
     )
-    rows = raw_feed(spark, folder).select("id", raw.alias("raw"))
+    rows = products(spark, folder).select("id", raw.alias("raw"))
     return rows.select("id", stream_response("raw").alias("r")).select("id", "r.text", "r.error")
 
 
@@ -162,7 +162,7 @@ def prediction_text(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.when(kind == 0, F.lit('{"error":"quota"}')).otherwise(
         F.to_json(F.struct(F.array(prediction).alias("predictions")))
     )
-    rows = raw_feed(spark, folder).select("id", raw.alias("raw"))
+    rows = products(spark, folder).select("id", raw.alias("raw"))
     return rows.select("id", prediction_response("raw").alias("r")).select(
         "id", "r.text", "r.error"
     )
@@ -215,4 +215,4 @@ def multimodal_requests(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("image/jpeg"),
         content,
     )
-    return raw_feed(spark, folder).select("id", request.alias("request"))
+    return products(spark, folder).select("id", request.alias("request"))

@@ -13,21 +13,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def raw_feed(spark: SparkSession, folder: str) -> DataFrame:
-    """One product per part; brand and size have gaps, clicks come from the order lines."""
+def products(spark: SparkSession, folder: str) -> DataFrame:
+    """One product per part; brand and size have gaps."""
     key = F.col("p_partkey")
-    clicks = (
-        table(spark, folder, "lineitem")
-        .groupBy("l_partkey")
-        .agg(F.count("*").alias("clicks"))
-    )
     name, kind, brand = F.col("p_name"), F.col("p_type"), F.col("p_brand")
     size = F.col("p_size").cast("string")
     text = F.concat(
         name, F.lit(" of type "), kind, F.lit(". Made by "), brand, F.lit(". Size "), size, F.lit(".")
     )
-    parts = table(spark, folder, "part").select(
-        key,
+    return table(spark, folder, "part").select(
         key.cast("string").alias("id"),
         name.alias("title"),
         text.alias("description"),
@@ -38,7 +32,17 @@ def raw_feed(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("https://img/"), key.cast("string"), F.lit(".png")).alias("image_link"),
         F.concat(F.lit("https://shop/"), key.cast("string")).alias("web_url"),
     )
-    return parts.join(clicks, key == F.col("l_partkey"), "left").drop("p_partkey", "l_partkey")
+
+
+def raw_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """The products with their clicks, counted from the order lines."""
+    clicks = (
+        table(spark, folder, "lineitem")
+        .groupBy("l_partkey")
+        .agg(F.count("*").alias("clicks"))
+    )
+    sold = clicks.select(F.col("l_partkey").cast("string").alias("id"), "clicks")
+    return products(spark, folder).join(sold, "id", "left")
 
 
 RAW = """raw AS (
@@ -60,7 +64,7 @@ FILTERED_COLUMNS = ["id", "title", "description", "condition", "brand", "categor
 
 def filtered(spark: SparkSession, folder: str) -> DataFrame:
     """The fields that go into prompts."""
-    return raw_feed(spark, folder).select(*FILTERED_COLUMNS)
+    return products(spark, folder).select(*FILTERED_COLUMNS)
 
 
 FILTERED_SQL = ", ".join(FILTERED_COLUMNS)

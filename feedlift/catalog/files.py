@@ -12,7 +12,7 @@ from feedlift.catalog.feed import (
     RAW,
     STATE,
     filtered,
-    raw_feed,
+    products,
     state,
     table,
 )
@@ -20,6 +20,7 @@ from feedlift.catalog.registry import query, with_tables
 from feedlift.functions import prompts
 from feedlift.functions.responses import request_id
 from feedlift.operators.export import supplemental_feed
+from feedlift.operators.generation import ExpressionCompleter, describe_images
 from feedlift.operators.pages import page_div_texts
 from feedlift.plans.enrich import build_requests, parse_predictions
 from feedlift.session import new_path
@@ -40,7 +41,7 @@ def csv_feed(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "feed-csv")
     title = F.concat("title", F.lit(', "'), "category", F.lit('"\nsecond line'))
     feeds.write_csv(
-        raw_feed(spark, folder).select(
+        products(spark, folder).select(
             "id", title.alias("title"), F.nullif("brand", F.lit("")).alias("brand")
         ),
         path,
@@ -122,7 +123,7 @@ def cleared_table(spark: SparkSession, folder: str) -> DataFrame:
 def latest_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions of two runs in one folder; the later one counts."""
     base = new_path(spark, "runs")
-    sent = build_requests(raw_feed(spark, folder), CONFIG, "colour", "English")
+    sent = build_requests(products(spark, folder), CONFIG, "colour", "English")
     request = F.to_json("request")
     for run, status in (("run-2024-01-01", "stale"), ("run-2024-02-01", "done")):
         lines = sent.select(
@@ -140,6 +141,29 @@ def latest_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return parse_predictions(found, "colour").join(status_of, "id")
 
 
+@query(
+    "image_descriptions",
+    with_tables(
+        RAW,
+        "SELECT 'gs://b/images/' || id || '.png' AS uri, 'seen on gs://b/images/' || id || '.png' "
+        "AS description FROM raw",
+    ),
+)
+def image_descriptions(spark: SparkSession, folder: str) -> DataFrame:
+    """A stand-in for a model names the file it was sent, with blanks around."""
+    images = filtered(spark, folder).select(
+        F.concat(F.lit("gs://b/images/"), "id", F.lit(".png")).alias("uri")
+    )
+    model = ExpressionCompleter(
+        lambda request: F.concat(
+            F.lit("\n seen on "),
+            F.get_json_object(request, "$.contents.parts[1].fileData.fileUri"),
+            F.lit(" \n"),
+        )
+    )
+    return describe_images(images, model)
+
+
 @query(
     "image_description_requests",
     with_tables(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlift.catalog.feed import RAW, raw_feed, table
+from feedlift.catalog.feed import RAW, products, table
 from feedlift.catalog.registry import query, with_tables
 from feedlift.config import FeedConfig, TitleSettings
 from feedlift.functions.html import break_lines, rule_text
@@ -108,7 +108,7 @@ _PRODUCT_PAGES = f"ruled AS {_rule_sql(_BROKEN)}"
 def product_page_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The page section of each product's prompt."""
     texts = page_texts(table(spark, folder, "pages"), "page_id", one_line_pages=True)
-    joined = join_page_texts(raw_feed(spark, folder).select("id"), texts)
+    joined = join_page_texts(products(spark, folder).select("id"), texts)
     return joined.select("id", page_text_section("webpage_content").alias("section"))
 
 
@@ -129,7 +129,7 @@ _ROW_JSON = "CAST(to_json({" + ", ".join(f"'{c}': {c}" for c in _ROW_COLUMNS) +
 def title_row_prompts(spark: SparkSession, folder: str) -> DataFrame:
     cfg = FeedConfig(title=TitleSettings(prompt="Write a title.\n", use_page_text=True))
     texts = page_texts(table(spark, folder, "pages"), "page_id", one_line_pages=True)
-    feed = join_page_texts(raw_feed(spark, folder).select(*_ROW_COLUMNS), texts)
+    feed = join_page_texts(products(spark, folder).select(*_ROW_COLUMNS), texts)
     rows = steps.add_title_prompt(steps.feed_rows(feed, cfg, "webpage_content"), cfg)
     return rows.select(F.col("item_id").alias("id"), F.col("title_prompt").alias("prompt"))
 
@@ -148,7 +148,7 @@ def description_row_prompts(spark: SparkSession, folder: str) -> DataFrame:
     from feedlift.config import DescriptionSettings
 
     cfg = FeedConfig(description=DescriptionSettings(prompt="Describe.\n"))
-    rows = steps.feed_rows(raw_feed(spark, folder).select(*_ROW_COLUMNS), cfg).select(
+    rows = steps.feed_rows(products(spark, folder).select(*_ROW_COLUMNS), cfg).select(
         "*",
         F.upper("title_original").alias("title_generated"),
         F.lit(None).cast("string").alias("failure"),

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlift.catalog.feed import RAW, key_of, raw_feed, table
+from feedlift.catalog.feed import RAW, key_of, products, table
 from feedlift.catalog.registry import query, with_tables
 from feedlift.config import DescriptionSettings, FeedConfig, TitleSettings
 from feedlift.functions.responses import description_answer, title_answer
@@ -38,7 +38,7 @@ FEED_COLUMNS = [
 
 
 def feed(spark: SparkSession, folder: str) -> DataFrame:
-    return raw_feed(spark, folder).select(*FEED_COLUMNS)
+    return products(spark, folder).select(*FEED_COLUMNS)
 
 
 def _context(prompt: Column) -> Column:

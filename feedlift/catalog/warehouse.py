@@ -18,6 +18,7 @@ from feedlift.catalog.feed import (
     answered_chunks,
     filtered,
     key_of,
+    products,
     raw_feed,
     state,
     table,
@@ -170,7 +171,7 @@ def nonempty_rows(spark: SparkSession, folder: str) -> DataFrame:
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
     from feedlift.sources.feeds import page_links as links
 
-    return links(raw_feed(spark, folder))
+    return links(products(spark, folder))
 
 
 @query(
@@ -229,7 +230,7 @@ _WORD_LISTS = (
     ),
 )
 def word_sets(spark: SparkSession, folder: str) -> DataFrame:
-    rows = raw_feed(spark, folder).select(
+    rows = products(spark, folder).select(
         "id", word_set("title").alias("a"), word_set("description").alias("b")
     )
     a, b = F.col("a"), F.col("b")
@@ -363,6 +364,19 @@ def examples_joined(spark: SparkSession, folder: str) -> DataFrame:
     return joins.examples_from_texts(texts, filtered(spark, folder))
 
 
+@query(
+    "examples_by_ids",
+    with_tables(
+        RAW,
+        f"SELECT id, {PROPERTIES_NO_ID_SQL} AS properties, title, description FROM raw "
+        f"WHERE id IN ({_SHIPPED})",
+    ),
+)
+def examples_by_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Feed rows that serve as examples with the texts they have."""
+    return joins.examples_from_feed(filter_by_ids(spark, folder))
+
+
 @query(
     "examples_renamed",
     with_tables(
@@ -373,7 +387,7 @@ def examples_joined(spark: SparkSession, folder: str) -> DataFrame:
 )
 def examples_renamed(spark: SparkSession, folder: str) -> DataFrame:
     return joins.examples_from_feed(
-        raw_feed(spark, folder), properties={"name": "title", "maker": "brand"}
+        products(spark, folder), properties={"name": "title", "maker": "brand"}
     )
 
 
@@ -601,7 +615,7 @@ _IMAGES = (
 )
 def merge_sources(spark: SparkSession, folder: str) -> DataFrame:
     return joins.merge_sources(
-        raw_feed(spark, folder),
+        products(spark, folder),
         ["title", "description", "brand", "category"],
         page_contents(spark, folder),
         images(spark, folder),
@@ -618,7 +632,7 @@ def merge_sources(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def image_join_basename(spark: SparkSession, folder: str) -> DataFrame:
-    feed = raw_feed(spark, folder).select("id", "image_link")
+    feed = products(spark, folder).select("id", "image_link")
     return joins.join_images_by_name(feed, images(spark, folder))
 
 
@@ -633,7 +647,7 @@ def image_join_basename(spark: SparkSession, folder: str) -> DataFrame:
 )
 def image_join_contains(spark: SparkSession, folder: str) -> DataFrame:
     """File names that are contained in the link of other products hit those as well."""
-    feed = raw_feed(spark, folder).select("id", "image_link")
+    feed = products(spark, folder).select("id", "image_link")
     return joins.join_images_containing(feed, images(spark, folder))
 
 
@@ -649,7 +663,7 @@ def image_join_contains(spark: SparkSession, folder: str) -> DataFrame:
 )
 def image_join_wildcards(spark: SparkSession, folder: str) -> DataFrame:
     """File names with the wildcards of LIKE in them."""
-    feed = raw_feed(spark, folder).select(
+    feed = products(spark, folder).select(
         "id",
         F.concat(
             F.lit("https://img/"), "brand", F.lit("/"), "id", F.lit("x_front.png")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedlift.functions.text import as_column
+from feedlift.functions.text import as_column, bind
 
 _REST_OF_LINE = "[^\n\r\u2028\u2029]*"
 
@@ -41,14 +41,18 @@ def rule_text(html: Column | str) -> Column:
     text = F.regexp_replace(as_column(html), "(?s)<head.*</head>", "")
     for tag, not_next in _CUT_TO_LINE_END:
         text = F.regexp_replace(text, _tag_to_line_end(tag, not_next), "")
-    kept = F.concat(
-        *[
-            F.regexp_extract_all(text, F.lit(_tag_to_line_end(tag, not_next)), F.lit(0))
-            for tag, not_next in _KEPT_TO_LINE_END
-        ]
-    )
-    inner = F.transform(kept, lambda k: F.regexp_extract(k, "(?s)>(.*)<", 1))
-    return F.array_join(F.filter(inner, lambda t: t != ""), " ")
+
+    def kept_text(cleaned: Column) -> Column:
+        kept = F.concat(
+            *[
+                F.regexp_extract_all(cleaned, F.lit(_tag_to_line_end(tag, not_next)), F.lit(0))
+                for tag, not_next in _KEPT_TO_LINE_END
+            ]
+        )
+        inner = F.transform(kept, lambda k: F.regexp_extract(k, "(?s)>(.*)<", 1))
+        return F.array_join(F.filter(inner, lambda t: t != ""), " ")
+
+    return bind(text, kept_text)
 
 
 def page_text(body: Column | str, content_type: Column | str, *, one_line_pages: bool = False) -> Column:

@@ -99,8 +99,9 @@ def export_approved(
     cfg = cfg or FeedConfig()
     rows = approved(review)
     stamp = F.lit(modified_at) if modified_at else F.current_timestamp()
+    utc = F.to_utc_timestamp(stamp, F.current_timezone())
     lead = [
-        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("modified_at"),
+        F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("modified_at"),
         F.col("item_id").alias("Item ID"),
         F.col("title_generated").alias("Title"),
         F.col("description_generated").alias("Description"),

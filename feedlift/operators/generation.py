@@ -20,7 +20,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.types import _parse_datatype_string as parse_type
 
 from feedlift.config import ModelParams
-from feedlift.functions.text import as_column
+from feedlift.functions.prompts import IMAGE_PARAMS, IMAGE_PROMPT, multimodal_request
+from feedlift.functions.text import as_column, trim_ws
 
 
 class Completer(Protocol):
@@ -150,6 +151,27 @@ def generate_text(
     return completer.complete(df, prompt, response, error)
 
 
+def describe_images(
+    images: DataFrame,
+    completer: Completer,
+    prompt: str = IMAGE_PROMPT,
+    params: ModelParams = IMAGE_PARAMS,
+) -> DataFrame:
+    """``uri, description`` of image files: one constant prompt per file, answers trimmed.
+    The completer gets the JSON request; files outside of storage go inline when the
+    frame has ``mime_type`` and ``content``."""
+    inline = {"mime_type", "content"} <= set(images.columns)
+    request = multimodal_request(
+        F.lit(prompt),
+        params,
+        F.col("uri"),
+        F.col("mime_type") if inline else None,
+        F.col("content") if inline else None,
+    )
+    asked = images.select("uri", request.alias("prompt"))
+    return generate_text(asked, completer).select("uri", trim_ws("response").alias("description"))
+
+
 def embed_text(
     df: DataFrame, completer: Completer, content: str = "content", embedding: str = "embedding"
 ) -> DataFrame:

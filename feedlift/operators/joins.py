@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlift.functions.rows import row_context, row_properties
@@ -127,6 +127,14 @@ def merge_sources(
     return out.select(*[as_column(c) for c in result])
 
 
+def literal_examples(spark: SparkSession, examples: Sequence[dict[str, str]]) -> DataFrame:
+    """Examples written out by the user, as ``id, properties, title, description``."""
+    fields = ("id", "properties", "title", "description")
+    return spark.createDataFrame(
+        [tuple(e.get(f) for f in fields) for e in examples], ", ".join(f"{f} string" for f in fields)
+    )
+
+
 def examples_from_texts(texts: DataFrame, inputs: DataFrame, id_col: str = "id") -> DataFrame:
     """Examples ``id, properties, title, description``: given texts, properties from the feed."""
     rows = inputs.select(

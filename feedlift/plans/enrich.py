@@ -12,7 +12,15 @@ from feedlift.functions.text import as_column
 from feedlift.operators.generation import Completer, generate_text
 from feedlift.operators.skew import left_join
 from feedlift.session import materialise
-from feedlift.sources.requests import REQUEST_TYPE, RESPONSE_TYPE
+from feedlift.sources.feeds import write_csv
+from feedlift.sources.requests import (
+    PREDICTION_SCHEMA,
+    REQUEST_TYPE,
+    RESPONSE_TYPE,
+    latest_predictions,
+    request_lines,
+    write_requests,
+)
 
 
 def build_requests(
@@ -50,6 +58,35 @@ def join_column(
     return joined.select(*kept, value.alias(column))
 
 
+def write_batch(
+    feed: DataFrame,
+    cfg: FeedConfig,
+    column: str,
+    language: str,
+    path: str,
+    meaning: str | None = None,
+) -> None:
+    """First half of a run through a batch service: its request file, one line per product."""
+    requests = build_requests(feed, cfg, column, language, meaning)
+    write_requests(request_lines(requests, F.col("request")), path)
+
+
+def collect_batch(
+    feed: DataFrame, cfg: FeedConfig, column: str, folder: str, *, mode: str = "fill"
+) -> str:
+    """Second half: joins the predictions of the latest run in ``folder`` to the feed and
+    writes the feed as CSV beside them. Returns where. A run without predictions is an
+    error."""
+    spark = feed.sparkSession
+    predictions = latest_predictions(spark, folder)
+    found = spark.read.schema(PREDICTION_SCHEMA).json(predictions)
+    path = f"{predictions.rsplit('/', 1)[0]}/feed_enriched.csv"
+    write_csv(
+        join_column(feed, parse_predictions(found, column), column, cfg.id_col, mode=mode), path
+    )
+    return path
+
+
 def enrich_column(
     feed: DataFrame,
     cfg: FeedConfig,

@@ -44,7 +44,7 @@ def with_feed_position(feed: DataFrame, column: str = "feed_pos") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    return number_rows(located, ["_file", "_block", "_line"], column).drop(
+    return number_rows(located, ["_file", "_block", "_line"], column, frozen=True).drop(
         "_file", "_block", "_line"
     )
 

@@ -21,7 +21,7 @@ from feedlift.operators.generation import (
 from feedlift.operators.quality import semantic_drift
 from feedlift.operators.selection import init_state
 from feedlift.plans.batched import BatchOptions, batched_update
-from feedlift.plans.enrich import enrich_column, join_column
+from feedlift.plans.enrich import collect_batch, enrich_column, join_column, write_batch
 from feedlift.plans.review_feed import review_feed
 from feedlift.session import materialise, scratch, workspace
 from feedlift.sources import feeds, requests
@@ -230,6 +230,25 @@ def test_column_modes_and_predictions_without_id(spark):
     assert by_mode("replace") == {"1": "a", "2": "b", "3": None}
 
 
+def test_batch_run_in_two_halves(spark, tmp_path):
+    feed = spark.createDataFrame(
+        [("1", "a", "b"), ("2", "c", "d")], "id string, title string, description string"
+    )
+    cfg = FeedConfig()
+    write_batch(feed, cfg, "colour", "English", str(tmp_path / "requests"))
+    lines = spark.read.text(str(tmp_path / "requests"))
+    assert lines.count() == 2
+    response = '{"candidates":[{"content":{"parts":[{"text":"red"}]}}]}'
+    (tmp_path / "out" / "run").mkdir(parents=True)
+    with (tmp_path / "out" / "run" / "predictions.jsonl").open("w") as f:
+        for r in lines.collect():
+            f.write(r.value[:-1] + f',"response":{response}}}\n')
+    path = collect_batch(feed, cfg, "colour", str(tmp_path / "out"))
+    assert path.endswith("/run/feed_enriched.csv")
+    found = feeds.read_feed_csv(spark, path, ["colour"])
+    assert {(r.id, r.colour) for r in found.collect()} == {("1", "red"), ("2", "red")}
+
+
 def test_enrich_with_quotes_and_number_ids(spark):
     feed = spark.createDataFrame([(1, 'say "x"', "d\n{")], "id long, title string, description string")
     def model(texts, params):

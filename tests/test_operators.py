@@ -189,6 +189,11 @@ def test_examples_beyond_a_prompt_are_an_error(spark):
         joins.collect_examples(df, limit=4)
 
 
+def test_literal_examples(spark):
+    found = joins.literal_examples(spark, [{"id": "1", "title": "t"}])
+    assert [tuple(r) for r in found.collect()] == [("1", None, "t", None)]
+
+
 def test_first_row_of_a_repeated_id(spark):
     feed = spark.createDataFrame([("1", "b", 2), ("1", "a", 1), ("2", "c", 3)], "id string, x string, pos int")
     found = joins.context_of_ids(feed, ["1", "9"], "pos").collect()
