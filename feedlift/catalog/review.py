@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from feedlift.catalog.feed import RAW, key_of, products, table
 from feedlift.catalog.registry import query, with_tables
 from feedlift.config import DescriptionSettings, FeedConfig, TitleSettings
-from feedlift.functions.responses import description_answer, title_answer
 from feedlift.functions.scoring import compliance_status
 from feedlift.functions.text import trim_ws, utf16_length
 from feedlift.operators import review as steps
 from feedlift.operators import selection
 from feedlift.operators.export import attribute_keys, export_approved, structured_export
 from feedlift.operators.generation import ExpressionCompleter, generate_text
+from feedlift.operators.labels import with_description_answer, with_title_answer
 from feedlift.plans.review_feed import review_feed
 from feedlift.session import materialise
 
@@ -168,13 +168,12 @@ def answered_titles(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def parse_title_response(spark: SparkSession, folder: str) -> DataFrame:
-    found = answered_titles(spark, folder).select(
-        F.col("item_id").alias("id"), title_answer("title_response").alias("a")
-    )
+    found = with_title_answer(answered_titles(spark, folder), "title_response")
     names = {"values": "attribute_values"}
     fields = ("original_keys", "category", "keys", "values", "replaced", "title")
     return found.select(
-        "id", *[trim_ws(F.col("a")[f]).alias(names.get(f, f)) for f in fields]
+        F.col("item_id").alias("id"),
+        *[trim_ws(f"answer_{f}").alias(names.get(f, f)) for f in fields],
     )
 
 
@@ -380,14 +379,15 @@ def parse_description_response(spark: SparkSession, folder: str) -> DataFrame:
     asked = steps.add_description_prompt(
         rows.withColumn("failure", F.lit(None).cast("string")), CONFIG
     )
-    answered = asked.select("item_id", description_model(F.col("description_prompt")).alias("r"))
-    return answered.select(
-        F.col("item_id").alias("id"), description_answer("r").alias("a")
-    ).select(
+    answered = asked.select(
+        F.col("item_id").alias("id"), description_model(F.col("description_prompt")).alias("r")
+    )
+    score = F.when(F.isnan("answer_score"), F.lit(-9.0)).otherwise(F.col("answer_score"))
+    return with_description_answer(answered, "r").select(
         "id",
-        F.col("a.description").alias("description"),
-        F.when(F.isnan("a.score"), F.lit(-9.0)).otherwise(F.col("a.score")).alias("score"),
-        F.col("a.reasoning").alias("reasoning"),
+        F.col("answer_description").alias("description"),
+        score.alias("score"),
+        F.col("answer_reasoning").alias("reasoning"),
     )
 
 

@@ -1,19 +1,17 @@
 """Answers of a model, taken apart by column expressions.
 
-Labelled answers are cut from the back: the last label first, then what precedes its
-line is searched for the label before it. Each step is one pass over the text, so a
-long or hostile answer costs time linear in its length, while one pattern with a
-greedy group per label would try every combination of label positions.
+Labelled answers are cut from the back, see ``operators.labels``: the last label first,
+then what precedes its line is searched for the label before it. Each step is a pass over
+the text, so a long or hostile answer costs time linear in its length, while one pattern
+with a greedy group per label would try every combination of label positions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedlift.functions.text import as_column, bind, blank_if_null, parse_number, trim_ws
+from feedlift.functions.text import as_column, bind, blank_if_null
 
 NOT_AVAILABLE = "N/A"
 
@@ -37,111 +35,43 @@ DESCRIPTION_LABELS = {
 _LINE_ENDS = "\n\r\u2028\u2029"
 
 
-def _lines_before(text: Column, label: str) -> Column:
-    """Whole lines that precede the line of the last ``label``."""
-    line = rf"[^{_LINE_ENDS}]*{label}"
-    return F.regexp_extract(text, rf"(?is)\A(.*[{_LINE_ENDS}])?{line}", 1)
-
-
-def _before_newline(text: Column, label: str) -> Column:
-    """Text before the last line feed that precedes the last ``label``; NULL without one."""
-    return bind(
-        F.regexp_extract(text, rf"(?is)\A(.*){label}", 1),
-        lambda head: F.when(head.contains("\n"), F.regexp_extract(head, r"(?s)\A(.*)\n", 1)),
-    )
-
+def has_label(text: Column, label: str) -> Column:
+    return text.rlike(rf"(?i){label}")
 
-def _cut(text: Column, label: str, head: Callable[[Column, str], Column]) -> Column:
-    """Struct of what follows the last ``label`` and its asterisks, and of the text left
-    for the labels before it; NULL without the label."""
-    return bind(
-        F.split(text, rf"(?i){label}\**", -1),
-        lambda parts: F.when(
-            F.size(parts) > 1,
-            F.struct(F.element_at(parts, -1).alias("tail"), head(text, label).alias("head")),
-        ),
-    )
 
+def after_last(text: Column, label: str) -> Column:
+    """Text behind the last ``label`` and its asterisks."""
+    return F.regexp_extract(text, rf"(?is)\A.*{label}\**(.*)\z", 1)
 
-def _cut_all(text: Column, labels: dict[str, str], head: Callable[[Column, str], Column]) -> Column:
-    """Struct of the texts behind the labels, which must appear in the order given; NULL
-    when one is missing."""
-
-    def step(rest: Column, names: list[str], found: dict[str, Column]) -> Column:
-        if not names:
-            return F.struct(*[found[name].alias(name) for name in labels])
-        return bind(
-            _cut(rest, labels[names[-1]], head),
-            lambda c: F.when(
-                c.isNotNull(), step(c["head"], names[:-1], {**found, names[-1]: c["tail"]})
-            ),
-        )
-
-    return step(text, list(labels), {})
 
+def lines_before(text: Column, label: str) -> Column:
+    """Whole lines that precede the line of the last ``label``."""
+    line = rf"[^{_LINE_ENDS}]*{label}"
+    return F.regexp_extract(text, rf"(?is)\A(.*[{_LINE_ENDS}])?{line}", 1)
 
-def title_answer(c: Column | str) -> Column:
-    """Struct of the labelled texts of a title answer, ``replaced`` NULL when its label is
-    missing or out of order; NULL when any other label is."""
-    inner = {k: v for k, v in TITLE_LABELS.items() if k not in ("replaced", "title")}
 
-    def answer(fields: Column, replaced: Column, title: Column) -> Column:
-        return F.struct(
-            *[fields[f].alias(f) for f in inner], replaced.alias("replaced"), title.alias("title")
-        )
+def has_label_on_later_line(text: Column, label: str) -> Column:
+    return text.rlike(rf"(?i)\n[^\n]*{label}")
 
-    def with_or_without(end: Column, replaced: Column) -> Column:
-        no_text = F.lit(None).cast("string")
-        short = _cut_all(end["head"], inner, _lines_before)
-        return bind(
-            _cut_all(replaced["head"], inner, _lines_before),
-            lambda full: F.when(
-                full.isNotNull(), answer(full, replaced["tail"], end["tail"])
-            ).otherwise(
-                bind(short, lambda f: F.when(f.isNotNull(), answer(f, no_text, end["tail"])))
-            ),
-        )
 
-    return bind(
-        _cut(as_column(c), TITLE_LABELS["title"], _lines_before),
-        lambda end: bind(
-            _cut(end["head"], TITLE_LABELS["replaced"], _lines_before),
-            lambda replaced: with_or_without(end, replaced),
-        ),
-    )
-
-
-def description_answer(c: Column | str) -> Column:
-    """Struct of description, score (NaN when not a number) and reasoning; NULL when a
-    label is missing or two of them share a line."""
-    return bind(
-        _cut_all(as_column(c), DESCRIPTION_LABELS, _before_newline),
-        lambda a: F.when(
-            a.isNotNull(),
-            F.struct(
-                trim_ws(a["description"]).alias("description"),
-                parse_number(trim_ws(a["score"])).alias("score"),
-                trim_ws(a["reasoning"]).alias("reasoning"),
-            ),
-        ),
-    )
+def before_line(text: Column, label: str) -> Column:
+    """Text up to the line feed in front of the line of the last ``label``."""
+    return F.regexp_extract(text, rf"(?is)\A(.*)\n[^\n]*{label}", 1)
 
 
 # --- answers of a batch prompt: one line per product -------------------------------
 
-# "id: text", the id being what precedes the first colon.
-_ID_AND_TEXT = r"(?s)\A([^:]+): (.*)\z"
-_BARE_ID = r"\A[^:]+\z"
-
 
 def answer_line(line: Column) -> Column:
-    """Struct ``id, text`` of one answer line; a line without a colon is a bare id."""
-    pair = line.rlike(_ID_AND_TEXT)
+    """Struct ``id, text`` of one answer line ``id: text``, the id being what precedes the
+    first colon; a line without a colon is a bare id. Anything else has neither."""
+    colon = F.locate(":", line)
+    pair = (colon > 1) & (F.substring(line, colon + 1, F.lit(1)) == " ")
     return F.struct(
-        F.when(pair, F.regexp_extract(line, _ID_AND_TEXT, 1))
-        .when(line.rlike(_BARE_ID), line)
+        F.when(pair, F.substring(line, F.lit(1), colon - 1))
+        .when((colon == 0) & (line != ""), line)
         .alias("id"),
-        F.when(pair, F.regexp_extract(line, _ID_AND_TEXT, 2)).alias("text"),
+        F.when(pair, F.substring(line, colon + 2, F.length(line))).alias("text"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from feedlift.config import FeedConfig, Status
 from feedlift.functions import scoring
 from feedlift.functions.prompts import row_prompt
-from feedlift.functions.responses import NOT_AVAILABLE, description_answer, title_answer
+from feedlift.functions.responses import NOT_AVAILABLE
 from feedlift.functions.rows import row_context, row_map
 from feedlift.functions.sets import difference
 from feedlift.functions.text import (
@@ -27,6 +27,7 @@ from feedlift.functions.text import (
     trim_ws,
     utf16_length,
 )
+from feedlift.operators.labels import with_description_answer, with_title_answer
 
 REVIEW_COLUMNS = (
     "approval",
@@ -92,25 +93,19 @@ def add_title_prompt(rows: DataFrame, cfg: FeedConfig) -> DataFrame:
 
 def parse_titles(rows: DataFrame) -> DataFrame:
     """Adds the lists of a title answer, or the failure of a row without a complete one."""
-    response = F.col("title_response")
-    answered = rows.withColumn("_answer", title_answer(response))
+    no_keys = F.array().cast("array<string>")
     lists = {
-        "original_keys": tokens(F.col("_answer.original_keys"), r"\|"),
-        "keys": tokens(F.col("_answer.keys"), r"\|"),
-        "values": tokens(F.col("_answer.values"), r"\|"),
-        "replaced_keys": F.coalesce(
-            lower_each(tokens(F.col("_answer.replaced"), ",")), F.array().cast("array<string>")
-        ),
-        "category_generated": trim_ws(F.col("_answer.category")),
-        "model_title": trim_ws(F.col("_answer.title")),
+        "original_keys": tokens("answer_original_keys", r"\|"),
+        "keys": tokens("answer_keys", r"\|"),
+        "values": tokens("answer_values", r"\|"),
+        "replaced_keys": F.coalesce(lower_each(tokens("answer_replaced", ",")), no_keys),
+        "category_generated": trim_ws("answer_category"),
+        "model_title": trim_ws("answer_title"),
     }
-    incomplete = F.concat(F.lit("incomplete title answer: "), blank_if_null(response))
-    failure = F.coalesce(
-        F.col("title_error"), F.when(F.col("_answer").isNull(), incomplete)
-    )
-    return answered.select(
+    incomplete = F.concat(F.lit("incomplete title answer: "), blank_if_null("title_response"))
+    return with_title_answer(rows, "title_response").select(
         *[F.col(c) for c in rows.columns],
-        failure.alias("failure"),
+        F.coalesce("title_error", F.when(~F.col("answered"), incomplete)).alias("failure"),
         *[v.alias(k) for k, v in lists.items()],
     )
 
@@ -220,20 +215,16 @@ def add_description_prompt(rows: DataFrame, cfg: FeedConfig) -> DataFrame:
 
 def parse_descriptions(rows: DataFrame) -> DataFrame:
     """Adds new description, its score and its evaluation."""
-    response = F.col("description_response")
-    answered = rows.withColumn("_answer", description_answer(response))
-    incomplete = F.concat(F.lit("incomplete description answer: "), blank_if_null(response))
-    failure = F.coalesce(
-        F.col("failure"),
-        F.col("description_error"),
-        F.when(F.col("_answer").isNull(), incomplete),
+    incomplete = F.concat(
+        F.lit("incomplete description answer: "), blank_if_null("description_response")
     )
-    return answered.select(
+    failure = F.coalesce("failure", "description_error", F.when(~F.col("answered"), incomplete))
+    return with_description_answer(rows, "description_response").select(
         *[F.col(c) for c in rows.columns if c != "failure"],
         failure.alias("failure"),
-        F.col("_answer.description").alias("description_generated"),
-        F.col("_answer.score").alias("description_score"),
-        F.col("_answer.reasoning").alias("evaluation"),
+        F.col("answer_description").alias("description_generated"),
+        F.col("answer_score").alias("description_score"),
+        F.col("answer_reasoning").alias("evaluation"),
     )
 
 

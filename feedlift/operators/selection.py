@@ -46,10 +46,12 @@ def mid_range(
     metric fall out. The bounds are scalar subqueries: no join, one pass for both."""
     ends = df.agg(
         F.percentile_approx(metric, [0.0, (precision - 1) / precision], 10_000).alias("ends")
-    ).select(F.struct(F.col("ends")[0].alias("lo"), F.col("ends")[1].alias("hi")).alias("span"))
-    lo = ends.select(F.col("span.lo").cast("double")).scalar()
-    hi = ends.select(F.col("span.hi").cast("double")).scalar()
-    return df.where(as_column(metric).between(lo + low * (hi - lo), lo + high * (hi - lo)))
+    ).select(F.col("ends")[0].cast("double").alias("lo"), F.col("ends")[1].cast("double").alias("hi"))
+
+    def bound(share: float) -> Column:
+        return ends.select(F.col("lo") + share * (F.col("hi") - F.col("lo"))).scalar()
+
+    return df.where(as_column(metric).between(bound(low), bound(high)))
 
 
 def in_part(df: DataFrame, parts: int | None, part: int | None, id_col: str = "id") -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlift.functions import responses as r
+from feedlift.operators.labels import with_description_answer, with_title_answer
 
 TITLE = list(r.TITLE_LABELS)
 LABELS = r.TITLE_LABELS
@@ -56,12 +57,13 @@ def test_title_answers_equal_one_pattern(spark):
             )
         )
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
-    found = df.select("i", r.title_answer("x").alias("a")).collect()
+    found = with_title_answer(df, "x").collect()
     matched = 0
     for row in found:
         m = FULL.match(texts[row.i]) or SHORT.match(texts[row.i])
         want = m and {"replaced": None, **m.groupdict()}
-        assert (row.a and row.a.asDict()) == (want or None), texts[row.i]
+        got = {n: row[f"answer_{n}"] for n in TITLE} if row.answered else None
+        assert got == (want or None), texts[row.i]
         matched += want is not None
     assert 300 < matched < 1900
 
@@ -83,16 +85,18 @@ def test_description_answers_equal_one_pattern(spark):
         )
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
     matched = 0
-    for row in df.select("i", r.description_answer("x").alias("a")).collect():
+    for row in with_description_answer(df, "x").collect():
         m = DESCRIPTION.match(texts[row.i])
+        assert row.answered == bool(m)
         if not m:
-            assert row.a is None
+            assert row.answer_description is None
             continue
         matched += 1
-        assert row.a.description == m[1].strip()
-        assert row.a.reasoning == m[3].strip()
+        assert row.answer_description == m[1].strip()
+        assert row.answer_reasoning == m[3].strip()
         number = re.match(r"[0-9.]+", m[2].strip())
-        assert row.a.score == float(number[0]) if number else math.isnan(row.a.score)
+        score = row.answer_score
+        assert score == float(number[0]) if number else math.isnan(score)
     assert 300 < matched < 1450
 
 
@@ -100,7 +104,7 @@ def test_repeated_labels_take_linear_time(spark):
     """A pattern with a greedy group per label would try all combinations of lines here."""
     block = "".join(f"{label} v\n" for label in list(LABELS.values())[:-1])
     df = spark.createDataFrame([(block * 2000,)], "x string")
-    assert df.select(r.title_answer("x").alias("a")).first().a is None
+    assert not with_title_answer(df, "x").first().answered
 
 
 @pytest.mark.parametrize(
