@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlift.catalog.feed import RAW, key_of, products
+from feedlift.catalog.feed import RAW, key_of, products, table
 from feedlift.catalog.registry import query, with_tables
 from feedlift.config import FeedConfig, ModelParams
 from feedlift.functions import prompts
 from feedlift.functions.responses import prediction_response, stream_response
-from feedlift.operators.generation import ExpressionCompleter
+from feedlift.operators.generation import (
+    ExpressionCompleter,
+    FunctionCompleter,
+    generate_text,
+)
 from feedlift.plans.enrich import build_requests, enrich_column, parse_predictions
 from feedlift.sources.requests import REQUEST_TYPE, RESPONSE_TYPE, request_lines
 
@@ -216,3 +220,27 @@ def multimodal_requests(spark: SparkSession, folder: str) -> DataFrame:
         content,
     )
     return products(spark, folder).select("id", request.alias("request"))
+
+
+def shouting_model(texts: list[str], params: ModelParams) -> list[str | None]:
+    """A stand-in for a remote model: refuses texts without an "o", fails on a blue product."""
+    if any("blue" in t for t in texts):
+        raise RuntimeError("no quota")
+    return [t.upper() if "o" in t else None for t in texts]
+
+
+@query(
+    "function_completions",
+    "SELECT p_partkey AS id, CASE WHEN p_name NOT LIKE '%blue%' AND p_name LIKE '%o%' "
+    "THEN upper(p_name) END AS response, CASE WHEN p_name LIKE '%blue%' "
+    "THEN 'RuntimeError: no quota' END AS error FROM part",
+)
+def function_completions(spark: SparkSession, folder: str) -> DataFrame:
+    """A Python model in Arrow batches: answers, refusals and failures after three attempts."""
+    asked = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("prompt")
+    )
+    completer = FunctionCompleter(
+        shouting_model, concurrency=4, partitions=spark.sparkContext.defaultParallelism
+    )
+    return generate_text(asked, completer).drop("prompt")

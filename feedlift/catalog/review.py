@@ -605,7 +605,7 @@ def attribute_keys_query(spark: SparkSession, folder: str) -> DataFrame:
     return attribute_keys(every_review(spark, folder), "feed_pos")
 
 
-_STAMP = datetime.datetime(2024, 5, 6, 7, 8, 9, 120000)
+_STAMP = datetime.datetime(2024, 5, 6, 7, 8, 9, 120000, datetime.timezone.utc)
 _EXPORT_LEAD = (
     "'2024-05-06T07:08:09.120Z' AS modified_at, item_id AS \"Item ID\", new_title AS {title}, "
     "text AS {text}"

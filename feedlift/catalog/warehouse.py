@@ -395,26 +395,21 @@ def examples_renamed(spark: SparkSession, folder: str) -> DataFrame:
     "few_shot_block",
     with_tables(
         RAW,
-        "picked AS (SELECT category, id, 'Context: ' || CAST(to_json({'title': title, 'brand': brand}) "
-        "AS VARCHAR) || chr(10) || 'keys: brand | title' AS block FROM raw "
-        "QUALIFY row_number() OVER (PARTITION BY category ORDER BY clicks DESC NULLS LAST, id) = 1)",
-        "SELECT 'all' AS scope, string_agg(block, chr(10) || chr(10) ORDER BY category) AS block "
-        "FROM picked",
+        "best AS (SELECT id, 'Context: ' || CAST(to_json({'title': title, 'brand': brand}) AS VARCHAR) "
+        "|| chr(10) || 'keys: brand | title' AS block FROM raw "
+        "ORDER BY clicks DESC NULLS LAST, id LIMIT 3)",
+        "SELECT CAST(count(*) AS INTEGER) AS examples, "
+        "string_agg(block, chr(10) || chr(10) ORDER BY id) AS block FROM best",
     ),
 )
 def few_shot_block(spark: SparkSession, folder: str) -> DataFrame:
-    """One example per category, the best clicked, as the few-shot section of a prompt."""
-    order = F.struct(-F.coalesce(F.col("clicks"), F.lit(-1)), F.col("id"))
-    best = (
-        raw_feed(spark, folder)
-        .select("category", order.alias("o"), row_context(["title", "brand"]).alias("context"))
-        .groupBy("category")
-        .agg(F.min_by("context", "o").alias("context"))
-        .select("category", "context", F.lit("brand | title").alias("keys"))
+    """The three best clicked products as the few-shot section of a row prompt."""
+    best = selection.top_by(raw_feed(spark, folder), "clicks", 3).select(
+        "id", row_context(["title", "brand"]).alias("context"), F.lit("brand | title").alias("keys")
     )
-    rows = F.array_sort(F.collect_list(F.struct("category", "context", "keys")))
-    return best.agg(rows.alias("examples")).select(
-        F.lit("all").alias("scope"), prompts.few_shot_block("examples", ["keys"]).alias("block")
+    rows = F.array_sort(F.collect_list(F.struct("id", "context", "keys")))
+    return best.agg(rows.alias("rows")).select(
+        F.size("rows").alias("examples"), prompts.few_shot_block("rows", ["keys"]).alias("block")
     )
 
 

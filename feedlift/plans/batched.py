@@ -94,7 +94,7 @@ def generate_round(
 
 
 def commit_round(
-    table: VersionedTable, state: DataFrame, generated: DataFrame, target: str
+    table: VersionedTable, base: int, state: DataFrame, generated: DataFrame, target: str
 ) -> tuple[DataFrame, int]:
     """Merge the answers of a round: the new state and the number of answered products,
     counted while the state is written. A round without answers writes nothing."""
@@ -102,7 +102,7 @@ def commit_round(
         return state, 0
     seen = Observation()
     answers = first_answers(generated).observe(seen, F.count(F.lit(1)).alias("answered"))
-    return table.commit(merge_answers(state, answers, target)), seen.get["answered"]
+    return table.commit(merge_answers(state, answers, target), base), seen.get["answered"]
 
 
 def batched_update(
@@ -120,7 +120,8 @@ def batched_update(
     """
     shown = collect_examples(examples) if examples is not None else []
     answered: list[int] = []
-    state = table.read()
+    version = table.latest()
+    state = table.read(version)
     while options.max_iterations is None or len(answered) < options.max_iterations:
         if wanted_rows(state, options).isEmpty():
             break
@@ -129,7 +130,8 @@ def batched_update(
             generated = generate_round(
                 state, inputs, shown, completer, options, len(answered)
             )
-            state, count = commit_round(table, state, generated, options.target)
+            state, count = commit_round(table, version, state, generated, options.target)
+            version += count > 0
         answered.append(count)
         if options.ids is not None:
             break

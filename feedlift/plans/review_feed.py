@@ -49,6 +49,8 @@ def review_feed(
             "title_response",
             "title_error",
         ).drop("title_prompt")
+        if not cfg.description.use_page_text:
+            asked = asked.drop("page_text")
         parsed = steps.parse_titles(after_model(asked, "titles"))
         titled = steps.score_titles(steps.compose_titles(parsed, cfg), cfg)
     else:

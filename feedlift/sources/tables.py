@@ -3,10 +3,16 @@
 Parquet has no MERGE and a table cannot be overwritten while it is read. Each commit
 writes a whole new version and then one line into the commit log; readers take the
 last version in the log, so a write that breaks off is never seen.
+
+A table has one writer at a time. Every write has a folder of its own, so two writers
+cannot damage each other's data, and a version that was committed twice is an error.
+Runs over parts of a feed that go on side by side need a table each.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,33 +23,47 @@ class VersionedTable:
         self._spark = spark
         self._path = path.rstrip("/")
 
-    def _version_path(self, version: int) -> str:
-        return f"{self._path}/versions/v{version:08d}"
-
-    def latest(self) -> int | None:
-        """Number of the last committed version."""
+    def _log(self) -> DataFrame | None:
         try:
-            log = self._spark.read.schema("version long").json(f"{self._path}/commits")
+            return self._spark.read.schema("version long, folder string").json(
+                f"{self._path}/commits"
+            )
         except AnalysisException as problem:
             if "PATH_NOT_FOUND" in str(problem):
                 return None
             raise
-        return log.agg(F.max("version")).first()[0]
+
+    def latest(self) -> int | None:
+        """Number of the last committed version."""
+        log = self._log()
+        return None if log is None else log.agg(F.max("version")).first()[0]
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = self.latest() if version is None else version
-        if version is None:
+        """A committed version, the last one by default."""
+        log = self._log()
+        if log is None:
             raise FileNotFoundError(f"no committed version in {self._path}")
-        return self._spark.read.parquet(self._version_path(version))
-
-    def commit(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` as the next version and return it as read back."""
-        version = (self.latest() or 0) + 1
-        # What lies there was never committed.
-        df.write.mode("overwrite").parquet(self._version_path(version))
-        self._spark.range(version, version + 1, 1, 1).toDF("version").write.mode("append").json(
-            f"{self._path}/commits"
+        if version is None:
+            version = log.agg(F.max("version")).first()[0]
+        folders = log.where(F.col("version") == version).select("folder").distinct().take(2)
+        if len(folders) != 1:
+            state = "was committed by two writers" if folders else "was never committed"
+            raise RuntimeError(f"version {version} of {self._path} {state}")
+        return self._spark.read.parquet(f"{self._path}/versions/{folders[0]['folder']}")
+
+    def commit(self, df: DataFrame, base: int | None = None) -> DataFrame:
+        """Write ``df`` as the next version and return it as read back. With ``base``, the
+        version that ``df`` was made from, a table that has moved on since is an error."""
+        folder = uuid.uuid4().hex
+        df.write.parquet(f"{self._path}/versions/{folder}")
+        last = self.latest()
+        if base is not None and last != base:
+            raise RuntimeError(f"{self._path} has moved from version {base} to {last}")
+        version = (last or 0) + 1
+        line = self._spark.range(version, version + 1, 1, 1).select(
+            F.col("id").alias("version"), F.lit(folder).alias("folder")
         )
+        line.write.mode("append").json(f"{self._path}/commits")
         return self.read(version)
 
     def clear(self) -> DataFrame:

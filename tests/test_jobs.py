@@ -292,12 +292,28 @@ def test_uncommitted_versions_are_not_seen(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         table.read()
     table.commit(spark.range(3))
-    spark.range(9).write.parquet(str(tmp_path / "t" / "versions" / "v00000002"))
+    spark.range(9).write.parquet(str(tmp_path / "t" / "versions" / "broken-off"))
     assert table.read().count() == 3
-    assert table.commit(spark.range(4)).count() == 4
+    assert table.commit(spark.range(4), base=1).count() == 4
     assert table.latest() == 2
     assert table.clear().count() == 0
     assert table.read(1).count() == 3
+    with pytest.raises(RuntimeError, match="never"):
+        table.read(9)
+
+
+def test_two_writers_are_noticed(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    table.commit(spark.range(3))
+    table.commit(spark.range(4))
+    with pytest.raises(RuntimeError, match="moved"):
+        table.commit(spark.range(5), base=1)
+    # Both looked before either had written its line.
+    spark.createDataFrame([(2, "other")], "version long, folder string").write.mode("append").json(
+        str(tmp_path / "t" / "commits")
+    )
+    with pytest.raises(RuntimeError, match="two writers"):
+        table.read()
 
 
 def test_csv_feed(spark, tmp_path):
