@@ -253,7 +253,7 @@ titled AS (
 
 def composed_titles(spark: SparkSession, folder: str) -> DataFrame:
     parsed = steps.parse_titles(answered_titles(spark, folder))
-    return steps.compose_titles(parsed, CONFIG).where("failure IS NULL")
+    return materialise(steps.compose_titles(parsed, CONFIG), "composed").where("failure IS NULL")
 
 
 def scored_titles(spark: SparkSession, folder: str) -> DataFrame:
@@ -463,12 +463,12 @@ def _unless_failed(expression: str, name: str) -> str:
         "SELECT item_id, feed_pos, status, "
         + ", ".join(
             [
-                _unless_failed("approval", "approval"),
+                _unless_failed("CAST(approval AS VARCHAR)", "approval"),
                 _unless_failed("new_title", "title_generated"),
                 _unless_failed("title_original", "title_original"),
-                _unless_failed("final_score", "title_score"),
-                _unless_failed("score <> 0", "title_changed"),
-                _unless_failed("CAST(length(new_title) AS INTEGER)", "title_length"),
+                _unless_failed("CAST(final_score AS VARCHAR)", "title_score"),
+                _unless_failed("CAST(score <> 0 AS VARCHAR)", "title_changed"),
+                _unless_failed("CAST(length(new_title) AS VARCHAR)", "title_length"),
                 _unless_failed("array_to_string(strange, ' | ')", "new_words_added"),
                 _unless_failed("array_to_string(lost, ' | ')", "words_removed"),
                 _unless_failed(_angled("old_keys"), "template_original"),
@@ -478,9 +478,9 @@ def _unless_failed(expression: str, name: str) -> str:
                 _unless_failed("gaps", "gap_attributes"),
                 _unless_failed("text", "description_generated"),
                 _unless_failed("description_original", "description_original"),
-                _unless_failed("text <> description_original", "description_changed"),
-                _unless_failed("CAST(length(text) AS INTEGER)", "description_length"),
-                _unless_failed("grade", "description_score"),
+                _unless_failed("CAST(text <> description_original AS VARCHAR)", "description_changed"),
+                _unless_failed("CAST(length(text) AS VARCHAR)", "description_length"),
+                _unless_failed("lower(CAST(grade AS VARCHAR))", "description_score"),
                 _unless_failed("category", "category_generated"),
                 "COALESCE(failure, rtrim(response, chr(10) || ' ') || chr(10) || 'Product description: ' || text "
                 "|| chr(10) || 'Description evaluation: Score: ' || CASE WHEN isnan(grade) THEN 'NaN' "
@@ -492,7 +492,14 @@ def _unless_failed(expression: str, name: str) -> str:
     ),
 )
 def review_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return reviewed(spark, folder)
+    """The whole review; flags, lengths and scores as texts, since failed rows have none."""
+    rows = reviewed(spark, folder)
+    return rows.select(
+        *[
+            c if kind in ("string", "bigint") else F.lower(F.col(c).cast("string")).alias(c)
+            for c, kind in rows.dtypes
+        ]
+    )
 
 
 @query(
@@ -506,7 +513,8 @@ def review_rows(spark: SparkSession, folder: str) -> DataFrame:
         "CASE WHEN k % 5 <> 3 THEN (CASE WHEN text = '' THEN -1.0 ELSE 1.0 END)::DOUBLE END AS title_score, "
         "CASE WHEN k % 5 <> 3 THEN '[]' END AS attributes_added, "
         "CASE WHEN k % 5 <> 3 THEN text END AS description_generated, "
-        "CASE WHEN k % 5 <> 3 THEN text <> '' AND k % 5 < 2 END AS approval FROM described",
+        "CASE WHEN k % 5 <> 3 THEN CAST(text <> '' AND k % 5 < 2 AS VARCHAR) END AS approval "
+        "FROM described",
     ),
 )
 def review_without_titles(spark: SparkSession, folder: str) -> DataFrame:
@@ -518,7 +526,7 @@ def review_without_titles(spark: SparkSession, folder: str) -> DataFrame:
         "title_score",
         "attributes_added",
         "description_generated",
-        "approval",
+        F.col("approval").cast("string").alias("approval"),
     )
 
 
@@ -567,13 +575,16 @@ def unprocessed_rows(spark: SparkSession, folder: str) -> DataFrame:
     with_tables(
         *_TITLES,
         REVIEW,
-        "SELECT item_id, CASE WHEN failure IS NULL AND final_score >= 0.5 THEN true "
-        "WHEN failure IS NULL THEN approval END AS approval FROM review",
+        "SELECT item_id, CASE WHEN failure IS NULL AND final_score >= 0.5 THEN 'true' "
+        "WHEN failure IS NULL THEN CAST(approval AS VARCHAR) ELSE 'none' END AS approval FROM review",
     ),
 )
 def approve_filtered(spark: SparkSession, folder: str) -> DataFrame:
     rows = reviewed(spark, folder)
-    return selection.approve_where(rows, F.col("title_score") >= 0.5).select("item_id", "approval")
+    flag = F.coalesce(F.col("approval").cast("string"), F.lit("none"))
+    return selection.approve_where(rows, F.col("title_score") >= 0.5).select(
+        "item_id", flag.alias("approval")
+    )
 
 
 _GAP_KEYS = (

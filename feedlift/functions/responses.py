@@ -35,28 +35,26 @@ DESCRIPTION_LABELS = {
 _LINE_ENDS = "\n\r\u2028\u2029"
 
 
-def has_label(text: Column, label: str) -> Column:
-    return text.rlike(rf"(?i){label}")
+def _first_match(text: Column, pattern: str) -> Column:
+    """First group of a pattern, NULL when it does not match."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
 def after_last(text: Column, label: str) -> Column:
-    """Text behind the last ``label`` and its asterisks."""
-    return F.regexp_extract(text, rf"(?is)\A.*{label}\**(.*)\z", 1)
+    """Text behind the last ``label`` and its asterisks; NULL without the label."""
+    return _first_match(text, rf"(?is)\A.*{label}\**(.*)\z")
 
 
 def lines_before(text: Column, label: str) -> Column:
-    """Whole lines that precede the line of the last ``label``."""
+    """Whole lines that precede the line of the last ``label``; NULL without the label."""
     line = rf"[^{_LINE_ENDS}]*{label}"
-    return F.regexp_extract(text, rf"(?is)\A(.*[{_LINE_ENDS}])?{line}", 1)
-
-
-def has_label_on_later_line(text: Column, label: str) -> Column:
-    return text.rlike(rf"(?i)\n[^\n]*{label}")
+    return _first_match(text, rf"(?is)\A((?:.*[{_LINE_ENDS}])?){line}")
 
 
 def before_line(text: Column, label: str) -> Column:
-    """Text up to the line feed in front of the line of the last ``label``."""
-    return F.regexp_extract(text, rf"(?is)\A(.*)\n[^\n]*{label}", 1)
+    """Text up to the line feed in front of the line of the last ``label``; NULL without
+    the label or the line feed."""
+    return _first_match(text, rf"(?is)\A(.*)\n[^\n]*{label}")
 
 
 # --- answers of a batch prompt: one line per product -------------------------------

@@ -1,11 +1,13 @@
 """Labelled answers, taken apart label by label.
 
 One projection per label: the text left for the earlier labels is a column that the next
-projection uses several times, so it is computed once and all of it stays generated code.
+projection uses twice, so it is computed once, and all of it stays generated code.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,36 +19,43 @@ _INNER_TITLE_LABELS = {
 }
 
 
-def _cut_lines(df: DataFrame, text: str, labels: dict[str, str], prefix: str) -> DataFrame:
-    """Adds ``prefix + name`` for each label, NULL from the first missing one backwards, and
-    ``prefix + name + "_head"``, the lines before. Each label has to stand on an earlier line
-    than the next."""
+def _cut(
+    df: DataFrame,
+    text: str,
+    labels: dict[str, str],
+    prefix: str,
+    head: Callable[[Column, str], Column],
+) -> DataFrame:
+    """Adds ``prefix + name`` for each label, from the last to the first, and
+    ``prefix + name + "_head"``, the text left before it. A missing label leaves NULL for
+    all labels before it."""
     for name in reversed(labels):
-        label, column = labels[name], F.col(text)
-        found = r.has_label(column, label)
-        head = f"{prefix}{name}_head"
         df = df.select(
             "*",
-            F.when(found, r.after_last(column, label)).alias(f"{prefix}{name}"),
-            F.when(found, r.lines_before(column, label)).alias(head),
+            r.after_last(F.col(text), labels[name]).alias(f"{prefix}{name}"),
+            head(F.col(text), labels[name]).alias(f"{prefix}{name}_head"),
         )
-        text = head
+        text = f"{prefix}{name}_head"
     return df
 
 
 def with_title_answer(df: DataFrame, response: str) -> DataFrame:
     """Adds ``answer_<label>`` for the labels of a title answer and ``answered``, whether
-    the answer is complete. ``answer_replaced`` is NULL when that label is missing or out of
-    order; the others then are looked for without it."""
+    the answer is complete. Each label has to stand on an earlier line than the next.
+    ``answer_replaced`` is NULL when that label is missing or out of order; the others then
+    are looked for without it."""
     labels = r.TITLE_LABELS
-    first, last = next(iter(_INNER_TITLE_LABELS)), {"title": labels["title"]}
-    out = _cut_lines(df, response, last, "_end_")
-    out = _cut_lines(out, "_end_title_head", {"replaced": labels["replaced"]}, "_end_")
-    out = _cut_lines(out, "_end_replaced_head", _INNER_TITLE_LABELS, "_full_")
+    first = next(iter(_INNER_TITLE_LABELS))
+
+    def cut(rows: DataFrame, text: str, wanted: dict[str, str], prefix: str) -> DataFrame:
+        return _cut(rows, text, wanted, prefix, r.lines_before)
+
+    out = cut(df, response, {k: labels[k] for k in ("replaced", "title")}, "_end_")
+    out = cut(out, "_end_replaced_head", _INNER_TITLE_LABELS, "_full_")
     # Only rows without a full answer are searched once more.
     full = F.col(f"_full_{first}").isNotNull()
     out = out.withColumn("_short_text", F.when(~full, F.col("_end_title_head")))
-    out = _cut_lines(out, "_short_text", _INNER_TITLE_LABELS, "_short_")
+    out = cut(out, "_short_text", _INNER_TITLE_LABELS, "_short_")
     short = F.col(f"_short_{first}").isNotNull()
 
     def field(name: str) -> Column:
@@ -65,22 +74,15 @@ def with_description_answer(df: DataFrame, response: str) -> DataFrame:
     """Adds ``answered``, ``answer_description``, ``answer_score`` (NaN when it is no number)
     and ``answer_reasoning``. Score and reasoning start on lines of their own."""
     labels = r.DESCRIPTION_LABELS
-    out, text = df, response
-    for name in ("reasoning", "score"):
-        label, column = labels[name], F.col(text)
-        found = r.has_label_on_later_line(column, label)
-        out = out.select(
-            "*",
-            F.when(found, r.after_last(column, label)).alias(f"_{name}"),
-            F.when(found, r.before_line(column, label)).alias(f"_{name}_head"),
-        )
-        text = f"_{name}_head"
-    head, label = F.col(text), labels["description"]
-    answered = F.coalesce(r.has_label(head, label), F.lit(False))
+    later = {k: labels[k] for k in ("score", "reasoning")}
+    out = _cut(df, response, later, "_", r.before_line)
+    text = r.after_last(F.col("_score_head"), labels["description"])
+    out = out.withColumn("_description", text)
+    answered = F.col("_description").isNotNull()
     return out.select(
         *[F.col(c) for c in df.columns],
         answered.alias("answered"),
-        F.when(answered, trim_ws(r.after_last(head, label))).alias("answer_description"),
+        F.when(answered, trim_ws("_description")).alias("answer_description"),
         F.when(answered, parse_number(trim_ws("_score"))).alias("answer_score"),
         F.when(answered, trim_ws("_reasoning")).alias("answer_reasoning"),
     )

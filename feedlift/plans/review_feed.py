@@ -27,8 +27,10 @@ def review_feed(
     """Review rows of all products in ``feed``.
 
     Two generation stages, the second of which needs the new title of the first; each is
-    frozen behind it. ``freeze=False`` leaves the plan lazy, which is safe only for
-    completers that always answer the same. Page texts join once for both prompts.
+    frozen behind it. So is the review: what reads it later, such as an export, scans the few
+    columns it needs instead of parsing the answers again. ``freeze=False`` leaves the plan
+    lazy, which is safe only for completers that always answer the same. Page texts join
+    once for both prompts.
     ``partitions`` spreads the rows evenly over so many tasks, where the layout of the feed
     would leave the model stage to few of them.
     """
@@ -66,4 +68,4 @@ def review_feed(
         described = steps.parse_descriptions(after_model(asked, "descriptions"))
     else:
         described = steps.keep_descriptions(titled)
-    return steps.review_rows(steps.gate(described, cfg), keep)
+    return after_model(steps.review_rows(steps.gate(described, cfg), keep), "review")

@@ -33,23 +33,30 @@ class VersionedTable:
                 return None
             raise
 
+    def _entries(self, version: int | None = None) -> list:
+        """Up to two log lines of a version, of the last one by default."""
+        log = self._log()
+        if log is None:
+            return []
+        if version is not None:
+            log = log.where(F.col("version") == version)
+        lines = log.orderBy(F.desc("version")).take(2)
+        return [line for line in lines if line["version"] == lines[0]["version"]]
+
     def latest(self) -> int | None:
         """Number of the last committed version."""
-        log = self._log()
-        return None if log is None else log.agg(F.max("version")).first()[0]
+        entries = self._entries()
+        return entries[0]["version"] if entries else None
 
     def read(self, version: int | None = None) -> DataFrame:
         """A committed version, the last one by default."""
-        log = self._log()
-        if log is None:
-            raise FileNotFoundError(f"no committed version in {self._path}")
-        if version is None:
-            version = log.agg(F.max("version")).first()[0]
-        folders = log.where(F.col("version") == version).select("folder").distinct().take(2)
-        if len(folders) != 1:
-            state = "was committed by two writers" if folders else "was never committed"
-            raise RuntimeError(f"version {version} of {self._path} {state}")
-        return self._spark.read.parquet(f"{self._path}/versions/{folders[0]['folder']}")
+        entries = self._entries(version)
+        if not entries:
+            raise FileNotFoundError(f"{self._path} has no committed version {version or ''}")
+        if len(entries) > 1:
+            number = entries[0]["version"]
+            raise RuntimeError(f"version {number} of {self._path} has two writers")
+        return self._spark.read.parquet(f"{self._path}/versions/{entries[0]['folder']}")
 
     def commit(self, df: DataFrame, base: int | None = None) -> DataFrame:
         """Write ``df`` as the next version and return it as read back. With ``base``, the
