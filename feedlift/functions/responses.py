@@ -45,16 +45,19 @@ def after_last(text: Column, label: str) -> Column:
     return _first_match(text, rf"(?is)\A.*{label}\**(.*)\z")
 
 
+def _before_last(text: Column, label: str) -> Column:
+    return _first_match(text, rf"(?is)\A(.*){label}")
+
+
 def lines_before(text: Column, label: str) -> Column:
     """Whole lines that precede the line of the last ``label``; NULL without the label."""
-    line = rf"[^{_LINE_ENDS}]*{label}"
-    return _first_match(text, rf"(?is)\A((?:.*[{_LINE_ENDS}])?){line}")
+    return F.regexp_extract(_before_last(text, label), rf"(?s)\A(?:.*[{_LINE_ENDS}])?", 0)
 
 
 def before_line(text: Column, label: str) -> Column:
     """Text up to the line feed in front of the line of the last ``label``; NULL without
     the label or the line feed."""
-    return _first_match(text, rf"(?is)\A(.*)\n[^\n]*{label}")
+    return _first_match(_before_last(text, label), r"(?s)\A(.*)\n")
 
 
 # --- answers of a batch prompt: one line per product -------------------------------
