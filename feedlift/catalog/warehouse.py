@@ -35,7 +35,7 @@ from feedlift.operators.generation import ExpressionCompleter, ReplayCompleter
 from feedlift.operators.numbering import number_rows, pack_chunks
 from feedlift.operators.state import merge_answers
 from feedlift.plans.batched import BatchOptions, batched_update, build_prompts, wanted_rows
-from feedlift.session import materialise, new_path
+from feedlift.session import new_path
 from feedlift.sources.tables import VersionedTable
 
 # --- selection ---------------------------------------------------------------------
@@ -518,7 +518,7 @@ def run_batched(
     spark: SparkSession, folder: str, options: BatchOptions, start: DataFrame | None = None
 ) -> DataFrame:
     """A whole run of batched generation; the last version of the state."""
-    inputs = materialise(filtered(spark, folder), "inputs")
+    inputs = filtered(spark, folder)
     state_table = VersionedTable(spark, new_path(spark, "state"))
     state_table.commit(selection.init_state(inputs) if start is None else start)
     examples = top_examples(spark, folder)
