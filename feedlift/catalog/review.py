@@ -11,7 +11,7 @@ from feedlift.catalog.feed import RAW, key_of, products, table
 from feedlift.catalog.registry import query, with_tables
 from feedlift.config import DescriptionSettings, FeedConfig, TitleSettings
 from feedlift.functions.scoring import compliance_status
-from feedlift.functions.text import trim_ws, utf16_length
+from feedlift.functions.text import bind, trim_ws, utf16_length
 from feedlift.operators import review as steps
 from feedlift.operators import selection
 from feedlift.operators.export import attribute_keys, export_approved, structured_export
@@ -52,7 +52,10 @@ def _context(prompt: Column) -> Column:
 # 1 leaves out the replaced keys, 2 the title, 3 invents a word, 4 drops one, 5 replaces
 # the size, 6 adds the brand, 7 adds brand and size. Every third answer has bold labels.
 def title_model(prompt: Column) -> Column:
-    row = _context(prompt)
+    return bind(_context(prompt), _title_answer)
+
+
+def _title_answer(row: Column) -> Column:
     k = row["id"].cast("bigint")
     kind = k % 8
     title = row["title"]
@@ -331,7 +334,10 @@ def title_score(spark: SparkSession, folder: str) -> DataFrame:
 # Descriptions: by the remainder of the id by 5 a good score, a fraction, no number, no
 # reasoning, a text of two lines with a low score; every eleventh text is empty.
 def description_model(prompt: Column) -> Column:
-    row = _context(prompt)
+    return bind(_context(prompt), _description_answer)
+
+
+def _description_answer(row: Column) -> Column:
     k = row["id"].cast("bigint")
     kind = k % 5
     text = F.concat(row["Generated Title"], F.lit(" - "), row["description"])
