@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from feedlift.catalog.feed import RAW, key_of, products, table
 from feedlift.catalog.registry import query, with_tables
-from feedlift.config import FeedConfig, ModelParams
+from feedlift.config import FeedConfig, ModelParams, TitleSettings
 from feedlift.functions import prompts
 from feedlift.functions.responses import prediction_response, stream_response
+from feedlift.operators import review as steps
 from feedlift.operators.generation import (
     ExpressionCompleter,
     FunctionCompleter,
+    RawCompleter,
     generate_text,
 )
 from feedlift.plans.enrich import build_requests, enrich_column, parse_predictions
@@ -222,6 +224,55 @@ def multimodal_requests(spark: SparkSession, folder: str) -> DataFrame:
     return products(spark, folder).select("id", request.alias("request"))
 
 
+@query(
+    "title_requests_with_images",
+    with_tables(
+        RAW,
+        "SELECT id, md5("
+        + _multimodal_sql(
+            "'Write a title.' || chr(10) || 'Context: ' || CAST(to_json({'id': id, 'title': title, "
+            "'description': description, 'image_link': image_link}) AS VARCHAR) || chr(10) || chr(10)",
+            "',{\"inlineData\":{\"mimeType\":\"image/png\",\"data\":\"' || to_base64(encode(title)) || '\"}}'",
+            '{"temperature":0.1,"maxOutputTokens":2048}',
+        )
+        + ") AS request_hash FROM raw",
+    ),
+)
+def title_requests_with_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Title requests of a review that sends the product images along."""
+    cfg = FeedConfig(use_images=True, title=TitleSettings(prompt="Write a title.\n"))
+    feed = products(spark, folder).select("id", "title", "description", "image_link")
+    files = feed.select(
+        F.col("image_link").alias("uri"),
+        F.lit("image/png").alias("mime_type"),
+        F.col("title").cast("binary").alias("content"),
+    )
+    rows = steps.add_title_prompt(steps.join_images(steps.feed_rows(feed, cfg), files), cfg)
+    return rows.select(F.col("item_id").alias("id"), F.md5("title_prompt").alias("request_hash"))
+
+
+@query(
+    "raw_completions",
+    "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN p_name || '!' END AS response, "
+    "CASE WHEN p_partkey % 3 = 0 THEN 'the request was blocked by a safety filter' END AS error FROM part",
+)
+def raw_completions(spark: SparkSession, folder: str) -> DataFrame:
+    """A completer that hands out raw responses."""
+    blocked = '[{"candidates":[{"finishReason":"BLOCKLIST"}]}]'
+    text = F.concat(
+        F.lit('[{"candidates":[{"content":{"parts":[{"text":"'),
+        "prompt",
+        F.lit('"}]}}]},{"candidates":[{"content":{"parts":[{"text":"!"}]},"finishReason":"STOP"}]}]'),
+    )
+    model = ExpressionCompleter(
+        lambda prompt: F.when(F.col("id") % 3 == 0, F.lit(blocked)).otherwise(text)
+    )
+    asked = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("prompt")
+    )
+    return generate_text(asked, RawCompleter(model, stream_response)).drop("prompt")
+
+
 def shouting_model(texts: list[str], params: ModelParams) -> list[str | None]:
     """A stand-in for a remote model: refuses texts without an "o", fails on a blue product."""
     if any("blue" in t for t in texts):

@@ -36,6 +36,7 @@ from feedlift.operators.numbering import number_rows, pack_chunks
 from feedlift.operators.state import merge_answers
 from feedlift.plans.batched import BatchOptions, batched_update, build_prompts, wanted_rows
 from feedlift.session import new_path
+from feedlift.sources import feeds
 from feedlift.sources.tables import VersionedTable
 
 # --- selection ---------------------------------------------------------------------
@@ -169,9 +170,7 @@ def nonempty_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("page_links", with_tables(RAW, "SELECT id, web_url FROM raw"))
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    from feedlift.sources.feeds import page_links as links
-
-    return links(products(spark, folder))
+    return feeds.page_links(products(spark, folder))
 
 
 @query(
@@ -179,10 +178,8 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT DISTINCT 'https://img/' || p_brand || '.png' AS image_link FROM part",
 )
 def image_links(spark: SparkSession, folder: str) -> DataFrame:
-    from feedlift.sources.feeds import image_links as links
-
     shared = F.concat(F.lit("https://img/"), "p_brand", F.lit(".png")).alias("image_link")
-    return links(table(spark, folder, "part").select(shared))
+    return feeds.image_links(table(spark, folder, "part").select(shared))
 
 
 # --- text and set functions --------------------------------------------------------

@@ -46,6 +46,7 @@ class TitleSettings:
     use_model_titles: bool = False
     # Comma separated words that may appear in a new title without being in the row.
     allowed_words: str = ""
+    # Written into requests with images; a completer for plain prompts has its own.
     params: ModelParams = field(default_factory=ModelParams)
 
     def allowed(self) -> list[str]:
@@ -67,10 +68,10 @@ class FeedConfig:
     id_col: str = "id"
     title_col: str = "title"
     description_col: str = "description"
-    page_link_col: str = "web_url"
     image_col: str = "image_link"
     generate_titles: bool = True
     generate_descriptions: bool = True
+    # Send requests with the image of the row instead of plain prompts.
     use_images: bool = False
     title: TitleSettings = field(default_factory=TitleSettings)
     description: DescriptionSettings = field(default_factory=DescriptionSettings)

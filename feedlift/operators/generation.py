@@ -59,6 +59,25 @@ class ReplayCompleter:
         )
 
 
+@dataclass(frozen=True)
+class RawCompleter:
+    """A completer whose answers are raw model responses: ``parse`` turns each into a struct
+    ``text, error``, as ``stream_response`` and ``prediction_response`` do."""
+
+    inner: Completer
+    parse: Callable[[Column], Column]
+
+    def complete(self, df: DataFrame, prompt: str, response: str, error: str) -> DataFrame:
+        raw = self.inner.complete(df, prompt, "_raw", "_failed")
+        answered = F.col("_failed").isNull() & as_column(prompt).isNotNull()
+        parsed = raw.withColumn("_parsed", F.when(answered, self.parse(F.col("_raw"))))
+        return parsed.select(
+            *[as_column(c) for c in df.columns],
+            F.col("_parsed.text").alias(response),
+            F.coalesce("_failed", "_parsed.error").alias(error),
+        )
+
+
 def call_with_retries(call: Callable[[], Any], attempts: int, delay: float = 0.0) -> Any:
     """Result of ``call``; after the last failed attempt its error is raised."""
     for left in range(attempts - 1, -1, -1):

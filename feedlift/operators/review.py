@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlift.config import FeedConfig, Status
+from feedlift.config import FeedConfig, ModelParams, Status
 from feedlift.functions import scoring
-from feedlift.functions.prompts import row_prompt
+from feedlift.functions.prompts import multimodal_request, row_prompt
 from feedlift.functions.responses import NOT_AVAILABLE
 from feedlift.functions.rows import row_context, row_map
 from feedlift.functions.sets import difference
@@ -28,6 +28,7 @@ from feedlift.functions.text import (
     utf16_length,
 )
 from feedlift.operators.labels import with_description_answer, with_title_answer
+from feedlift.operators.skew import left_join
 
 REVIEW_COLUMNS = (
     "approval",
@@ -65,8 +66,8 @@ _NEW_TITLE_FIELD = "Generated Title"
 def feed_rows(
     feed: DataFrame, cfg: FeedConfig, page_text: str | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """What a review needs of each feed row: id, old texts, image, the row as map and as
-    JSON. Columns in ``keep`` and the page text stay out of the row."""
+    """What a review needs of each feed row: id, old texts, image link, the row as map and
+    as JSON. Columns in ``keep`` and the page text stay out of the row."""
     columns = [c for c in feed.columns if c and c != page_text and c not in keep]
 
     def optional(name: str) -> Column:
@@ -84,11 +85,35 @@ def feed_rows(
     )
 
 
+def join_images(rows: DataFrame, images: DataFrame) -> DataFrame:
+    """Rows with the type and the bytes of their image, from files ``uri, mime_type,
+    content`` whose URI is the link of the row."""
+    files = images.select(
+        F.col("uri").alias("_uri"),
+        F.col("mime_type").alias("image_type"),
+        F.col("content").alias("image_bytes"),
+    )
+    return left_join(rows, files, F.col("image"), "_uri")
+
+
+def _sent(rows: DataFrame, cfg: FeedConfig, prompt: Column, params: ModelParams) -> Column:
+    """What the completer gets: the prompt, or a request with the prompt and the image."""
+    if not cfg.use_images:
+        return prompt
+    inline = "image_bytes" in rows.columns
+    return multimodal_request(
+        prompt,
+        params,
+        F.nullif("image", F.lit("")),
+        F.col("image_type") if inline else None,
+        F.col("image_bytes") if inline else None,
+    )
+
+
 def add_title_prompt(rows: DataFrame, cfg: FeedConfig) -> DataFrame:
     page = F.col("page_text") if cfg.title.use_page_text else None
-    return rows.withColumn(
-        "title_prompt", row_prompt(cfg.title.prompt, F.col("original_input"), page)
-    )
+    prompt = row_prompt(cfg.title.prompt, F.col("original_input"), page)
+    return rows.withColumn("title_prompt", _sent(rows, cfg, prompt, cfg.title.params))
 
 
 def parse_titles(rows: DataFrame) -> DataFrame:
@@ -210,7 +235,8 @@ def add_description_prompt(rows: DataFrame, cfg: FeedConfig) -> DataFrame:
     prompt = row_prompt(
         cfg.description.prompt, F.when(has_field, context).otherwise(joined), page
     )
-    return rows.withColumn("description_prompt", F.when(F.col("failure").isNull(), prompt))
+    sent = _sent(rows, cfg, prompt, cfg.description.params)
+    return rows.withColumn("description_prompt", F.when(F.col("failure").isNull(), sent))
 
 
 def parse_descriptions(rows: DataFrame) -> DataFrame:

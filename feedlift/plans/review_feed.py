@@ -20,6 +20,7 @@ def review_feed(
     description_completer: Completer | None = None,
     *,
     page_texts: DataFrame | None = None,
+    images: DataFrame | None = None,
     keep: Sequence[str] = (),
     partitions: int | None = None,
     freeze: bool = True,
@@ -30,7 +31,8 @@ def review_feed(
     frozen behind it. So is the review: what reads it later, such as an export, scans the few
     columns it needs instead of parsing the answers again. ``freeze=False`` leaves the plan
     lazy, which is safe only for completers that always answer the same. Page texts join
-    once for both prompts.
+    once for both prompts, image files (``uri, mime_type, content``) as well; with
+    ``use_images`` the completers get JSON requests.
     ``partitions`` spreads the rows evenly over so many tasks, where the layout of the feed
     would leave the model stage to few of them.
     """
@@ -43,6 +45,8 @@ def review_feed(
         feed = join_page_texts(feed, page_texts, cfg.id_col)
         page = "webpage_content"
     rows = steps.feed_rows(feed.repartition(partitions) if partitions else feed, cfg, page, keep)
+    if cfg.use_images and images is not None:
+        rows = steps.join_images(rows, images)
     if cfg.generate_titles:
         asked = generate_text(
             steps.add_title_prompt(rows, cfg),

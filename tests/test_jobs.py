@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from feedlift.catalog.warehouse import prompt_reader
 from feedlift.config import FeedConfig, ModelParams
 from feedlift.functions import prompts
+from feedlift.functions.responses import stream_response
 from feedlift.operators.generation import (
     ExpressionCompleter,
     FunctionCompleter,
+    RawCompleter,
     ReplayCompleter,
     call_with_retries,
     embed_text,
@@ -83,6 +85,38 @@ def test_embeddings_come_from_the_same_hook(spark):
     assert embed_text(df, completer).first().embedding == [3.0, 1.0]
 
 
+def test_raw_answers_are_parsed_and_failures_kept(spark):
+    def model(texts, params):
+        if texts == ["down"]:
+            raise OSError("net")
+        return ['[{"candidates":[{"content":{"parts":[{"text":"a"}]}}]}]' if texts == ["ok"] else "[]"]
+
+    df = spark.createDataFrame([("ok",), ("down",), ("empty",)], "prompt string")
+    completer = RawCompleter(FunctionCompleter(model, attempts=1), stream_response)
+    found = {r.prompt: (r.response, r.error) for r in generate_text(df, completer).collect()}
+    assert found == {
+        "ok": ("a", None),
+        "down": (None, "OSError: net"),
+        "empty": (None, "the response holds no text: []"),
+    }
+
+
+def test_review_sends_images(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"12")
+    files = feeds.read_images(spark, str(tmp_path), with_content=True)
+    link = files.first().uri
+    feed = spark.createDataFrame(
+        [("1", "t", "d", link), ("2", "t", "d", "gs://b/c.png"), ("3", "t", "d", None)],
+        "id string, title string, description string, image_link string",
+    )
+    echo = ExpressionCompleter(lambda request: request)
+    found = review_feed(feed, FeedConfig(use_images=True), echo, echo, images=files)
+    sent = {r.item_id: r.full_response for r in found.collect()}
+    assert '"inlineData":{"mimeType":"image/png","data":"MTI="}' in sent["1"]
+    assert '"fileUri":"gs://b/c.png"' in sent["2"]
+    assert "Data" not in sent["3"]
+
+
 def test_replay_keeps_one_row_per_prompt(spark):
     stored = spark.createDataFrame([("a", "2"), ("a", "1"), ("b", "3")], "k string, response string")
     df = spark.createDataFrame([("a", "p"), ("c", "q")], "k string, prompt string")
@@ -324,6 +358,12 @@ def test_csv_feed(spark, tmp_path):
         feeds.read_feed_csv(spark, str(tmp_path / "f.csv"), ["price"])
 
 
+def test_parquet_feed_without_empty_rows(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a"), ("", None)], "id string, t string")
+    feeds.write_table(df, str(tmp_path / "p"))
+    assert [tuple(r) for r in feeds.read_feed_parquet(spark, str(tmp_path / "p")).collect()] == [("1", "a")]
+
+
 def test_tsv_keeps_marked_texts(spark, tmp_path):
     df = spark.createDataFrame([("1", 'm:"a ""b"""', "x\ty\nz", None)], "id string, t string, d string, n string")
     feeds.write_tsv(df.coalesce(1), str(tmp_path / "o"))

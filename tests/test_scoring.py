@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,8 +138,9 @@ def facts_of(spark, keys, values, original=(), replaced=(), row=None, prefer=Fal
     facts = s.attribute_facts(
         F.col("k"), F.col("v"), F.col("o"), F.col("r"), F.col("m"), prefer_generated=prefer
     )
-    found = df.select(facts.alias("f")).select("f", s.gap_attributes(F.col("f")).alias("g")).first()
-    return [tuple(f) for f in found.f], found.g
+    gaps = F.map_entries(s.gap_attributes(F.col("f"))).alias("g")
+    found = df.select(facts.alias("f")).select("f", gaps).first()
+    return [tuple(f) for f in found.f], dict(tuple(e) for e in found.g)
 
 
 def test_gap_rules(spark):
@@ -156,6 +159,61 @@ def test_gap_rules(spark):
     assert facts[4] == ("color", None, None)
 
 
+def by_hand(keys, values, original, replaced, row, prefer):
+    """The attribute rules, one attribute after the other."""
+
+    def real(key, value):
+        value = value.strip()
+        bare = value[:-1] if value.endswith(",") else value
+        echo = key.lower() in (value.lower(), bare.strip().lower())
+        return ("", "") if echo or value == "," else (value, bare.strip())
+
+    gaps, used = {}, []
+    for place, key in enumerate(keys):
+        made = values[place] if place < len(values) else None
+        fed = row.get(key) or ""
+        open_gap = fed == "" and made and (key not in original or key in row)
+        if made is not None and (open_gap or key.lower() in replaced) and real(key, made)[1]:
+            gaps[key] = real(key, made)[1]
+        chosen = made if prefer or fed == "" else fed
+        if chosen is not None and chosen.strip() and real(key, chosen)[0]:
+            used.append((key, real(key, chosen)[0]))
+    return gaps, used
+
+
+@pytest.mark.parametrize("prefer", [False, True])
+def test_random_attribute_lists(spark, prefer):
+    rng = random.Random(11)
+    names = ["Size", "size", "Color", "fit", "", "Brand"]
+    texts = ["M", "m,", ",", "", " ", "Size", "size,", "fit ,", "Acme", "Color", "a,,"]
+    cases = []
+    for _ in range(400):
+        keys = rng.choices(names, k=rng.randrange(6))
+        values = rng.choices(texts, k=max(0, len(keys) + rng.randrange(-2, 2)))
+        original = rng.choices(names, k=rng.randrange(4))
+        replaced = [n.lower() for n in rng.choices(names, k=rng.randrange(2))]
+        row = {n: rng.choice([*texts, None]) for n in rng.sample(names, 3)}
+        cases.append((len(cases), keys, values, original, replaced, row))
+    df = spark.createDataFrame(
+        cases,
+        "i int, k array<string>, v array<string>, o array<string>, r array<string>, "
+        "m map<string,string>",
+    )
+    facts = s.attribute_facts(
+        F.col("k"), F.col("v"), F.col("o"), F.col("r"), F.col("m"), prefer_generated=prefer
+    )
+    found = df.select("i", facts.alias("f")).select(
+        "i",
+        # As entries: a collected map has no order.
+        F.map_entries(s.gap_attributes(F.col("f"))).alias("g"),
+        s.used_facts(F.col("f")).alias("u"),
+    )
+    for r in found.collect():
+        gaps, used = by_hand(*cases[r.i][1:], prefer)
+        assert [tuple(e) for e in r.g] == list(gaps.items()), cases[r.i]
+        assert [(u.name, u.used) for u in r.u] == used, cases[r.i]
+
+
 def test_replaced_keys_count_as_gaps_and_need_a_value(spark):
     _, gaps = facts_of(
         spark, ["Brand", "fit"], ["Other"], replaced=["brand", "fit"], row={"Brand": "Acme"}
@@ -173,6 +231,33 @@ def test_generated_values_can_be_preferred(spark):
     assert facts == [("brand", None, "Other")]
 
 
+def test_random_titles(spark):
+    rng = random.Random(12)
+    bits = ["Men's", "men", "MEN", "Mens", "Größe", "größe", "10×5cm", "5cm", "O'Neil", "Oneil", "-", "x,"]
+
+    def title():
+        return " ".join(rng.choices(bits, k=rng.randrange(6)))
+
+    cases = [(i, title(), title(), rng.choices(["men", "größe", "10", "o"], k=2)) for i in range(500)]
+    df = spark.createDataFrame(cases, "i int, old string, new string, known array<string>")
+    found = df.select(
+        "i",
+        s.new_words(F.col("new"), F.col("known")).alias("n"),
+        s.removed_words(F.col("old"), F.col("new")).alias("r"),
+    )
+
+    def words(text):
+        return re.findall("[A-Za-zÀ-ÖØ-öø-ÿ0-9]+", text.replace("'s", ""))
+
+    for row in found.collect():
+        _, old, new, known = cases[row.i]
+        fresh = [w for w in dict.fromkeys(words(new)) if w.lower() not in known]
+        kept = {w.lower() for w in words(new)}
+        bare = new.replace("'", "")
+        lost = [w for w in dict.fromkeys(words(old)) if w.lower() not in kept and w not in bare]
+        assert (row.n, row.r) == (fresh, lost), cases[row.i]
+
+
 def test_removed_words_are_part_of_text_tests(value):
     # "Men" is inside "Mens"; "men" is found in lower case; "Old" is gone.
     assert value(s.removed_words(F.lit("Men's Men men Old"), F.lit("Mens MEN swim"))) == ["Old"]
