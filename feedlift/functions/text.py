@@ -23,7 +23,8 @@ _NUMBER_PREFIX = (
 
 
 def as_column(c: Column | str) -> Column:
-    return F.col(f"`{c}`") if isinstance(c, str) else c
+    """A column by its name, whatever signs the name holds."""
+    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -13,9 +13,10 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
+    """NULL for a vector of zeros or for vectors of different length."""
     a = as_column(a).cast("array<double>")
     b = as_column(b).cast("array<double>")
-    return F.lit(1.0) - _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
+    return F.lit(1.0) - F.try_divide(_dot(a, b), F.sqrt(_dot(a, a) * _dot(b, b)))
 
 
 def distance_bucket(distance: Column | str) -> Column:

@@ -81,6 +81,21 @@ def attribute_keys(review: DataFrame, position: str | None = None) -> DataFrame:
     )
 
 
+def _distinct_names(names: list[str]) -> list[str]:
+    """Names that differ from each other and from the leading columns even without regard to
+    case, as files need them: a repeated one gets a number."""
+    taken = {"modified_at", "item id", "title", "description"}
+    found = []
+    for name in names:
+        unique, count = name, 1
+        while unique.lower() in taken:
+            count += 1
+            unique = f"{name}_{count}"
+        taken.add(unique.lower())
+        found.append(unique)
+    return found
+
+
 def export_approved(
     review: DataFrame,
     cfg: FeedConfig | None = None,
@@ -127,8 +142,9 @@ def export_approved(
         return F.coalesce(F.try_element_at("_gaps", F.lit(key)), F.lit(""))
 
     prefix = {"gap": "", "new": cfg.new_attribute_prefix}
+    names = _distinct_names([prefix[k["kind"]] + k["key"] for k in keys])
     return rows.withColumn("_gaps", gaps).select(
-        *lead, *[value(k["key"]).alias(prefix[k["kind"]] + k["key"]) for k in keys]
+        *lead, *[value(k["key"]).alias(name) for k, name in zip(keys, names, strict=True)]
     )
 
 

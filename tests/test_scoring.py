@@ -340,6 +340,19 @@ def test_wide_export_refuses_what_does_not_fit(spark, monkeypatch):
     assert found.new_attributes == {"Fit": "slim", "Cut": "long"}
 
 
+def test_export_columns_that_only_differ_in_case(spark, tmp_path):
+    text = answer("title", "title | fit | Fit | Title", "a b | slim | long | c")
+    reviewed = review(spark, {"id": "1", "title": "slim long c a b", "description": "d"}, text)
+    export = export_approved(approve_where(reviewed, F.lit(True)))
+    assert export.columns[4:] == ["new-Fit", "new-Title", "new-fit_2"]
+    export.write.parquet(str(tmp_path / "e"))
+    cfg = FeedConfig(new_attribute_prefix="")
+    export = export_approved(approve_where(reviewed, F.lit(True)), cfg)
+    assert export.columns[4:] == ["Fit", "Title_2", "fit_2"]
+    row = export.first()
+    assert (row["Fit"], row["Title_2"], row["fit_2"]) == ("long", "c", "slim")
+
+
 def test_new_title_leads_the_context(spark):
     rows = spark.createDataFrame([("N", "{\"a\":\"1\"}", None, "")],
         "title_generated string, original_input string, failure string, page_text string")

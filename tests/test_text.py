@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlift.functions import rows, sets
 from feedlift.functions import text as t
+from feedlift.functions.vectors import cosine_distance
 
 
 def lit(v):
@@ -103,5 +104,20 @@ def test_row_json(spark):
     assert found.m == {"id": "1", "x": "", "t t": 'a"b', "n": "3"}
 
 
+def test_any_column_name(spark):
+    df = spark.createDataFrame([("x",)], "`a.b``c d` string")
+    assert df.select(rows.row_properties(df.columns).alias("p")).first().p == '{"a.b`c d":"x"}'
+
+
+def test_cosine_distance(value):
+    def vector(*xs):
+        return F.array(*[F.lit(float(x)) for x in xs])
+
+    assert value(cosine_distance(vector(1, 0), vector(0, 2))) == 1.0
+    assert value(cosine_distance(vector(1, 1), vector(2, 2))) == pytest.approx(0.0)
+    assert value(cosine_distance(vector(0, 0), vector(1, 1))) is None
+    assert value(cosine_distance(vector(1), vector(1, 1))) is None
+
+
 def test_bind_evaluates_once(value):
     assert value(t.bind(F.lit(3), lambda x: x * x + x)) == 12
