@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from pathlib import Path
 
 import pytest
 
@@ -22,6 +24,12 @@ def test_every_sql_has_its_query():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_the_list_of_queries_is_complete():
+    text = (Path(__file__).parent.parent / "README.md").read_text()
+    table = text.split("## Registered queries")[1].split("## Scale")[0]
+    assert set(re.findall("`([a-z_]+)`", table)) == set(QUERIES)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     names, rows = compare.rows_of_spark(QUERIES[name](spark, FOLDER))
