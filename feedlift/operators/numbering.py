@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlift.functions.text import as_column
-from feedlift.session import materialise
+from feedlift.session import materialise, scratch
 
 # monotonically_increasing_id() puts the partition above bit 33 and counts below it.
 _ROW_BITS = 33
@@ -41,16 +41,17 @@ def number_rows(
 
     One range shuffle; the offsets have one row per partition.
     """
-    source = df if frozen else materialise(df, "unnumbered")
     order = [as_column(c) for c in by]
-    ranged = (
-        source.withColumn("_place", F.monotonically_increasing_id())
-        .repartitionByRange(*order, F.col("_place"))
-        .sortWithinPartitions(*order, F.col("_place"))
-        .withColumn("_slot", F.monotonically_increasing_id())
-        .drop("_place")
-    )
-    placed = materialise(ranged, "numbered")
+    with scratch(df.sparkSession):
+        source = df if frozen else materialise(df, "unnumbered")
+        ranged = (
+            source.withColumn("_place", F.monotonically_increasing_id())
+            .repartitionByRange(*order, F.col("_place"))
+            .sortWithinPartitions(*order, F.col("_place"))
+            .withColumn("_slot", F.monotonically_increasing_id())
+            .drop("_place")
+        )
+        placed = materialise(ranged, "numbered", keep=True)
 
     part = F.shiftright("_slot", _ROW_BITS)
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -10,7 +11,7 @@ from feedlift.config import FeedConfig
 from feedlift.operators import review as steps
 from feedlift.operators.generation import Completer, generate_text
 from feedlift.operators.joins import join_page_texts
-from feedlift.session import materialise
+from feedlift.session import materialise, scratch
 
 
 def review_feed(
@@ -36,10 +37,35 @@ def review_feed(
     ``partitions`` spreads the rows evenly over so many tasks, where the layout of the feed
     would leave the model stage to few of them.
     """
+    build = partial(
+        _review,
+        feed,
+        cfg,
+        title_completer,
+        description_completer,
+        page_texts,
+        images,
+        keep,
+        partitions,
+    )
+    if not freeze:
+        return build(lambda df, label: df)
+    # The answers are emptied once the review is written.
+    with scratch(feed.sparkSession):
+        return materialise(build(materialise), "review", keep=True)
 
-    def after_model(df: DataFrame, label: str) -> DataFrame:
-        return materialise(df, label) if freeze else df
 
+def _review(
+    feed: DataFrame,
+    cfg: FeedConfig,
+    title_completer: Completer | None,
+    description_completer: Completer | None,
+    page_texts: DataFrame | None,
+    images: DataFrame | None,
+    keep: Sequence[str],
+    partitions: int | None,
+    after_model: Callable[[DataFrame, str], DataFrame],
+) -> DataFrame:
     page = None
     if page_texts is not None and (cfg.title.use_page_text or cfg.description.use_page_text):
         feed = join_page_texts(feed, page_texts, cfg.id_col)
@@ -72,4 +98,4 @@ def review_feed(
         described = steps.parse_descriptions(after_model(asked, "descriptions"))
     else:
         described = steps.keep_descriptions(titled)
-    return after_model(steps.review_rows(steps.gate(described, cfg), keep), "review")
+    return steps.review_rows(steps.gate(described, cfg), keep)

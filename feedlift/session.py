@@ -44,17 +44,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/feedlift/{label}-{uuid.uuid4().hex}"
 
 
-_open_scratch: ContextVar[list[str] | None] = ContextVar("open_scratch", default=None)
+# Paths written inside each open scratch block, the innermost last.
+_scratches: ContextVar[tuple[list[str], ...]] = ContextVar("scratches", default=())
 
 
-def materialise(df: DataFrame, label: str = "frame") -> DataFrame:
-    """Write ``df`` once and return a scan of what was written."""
+def materialise(df: DataFrame, label: str = "frame", *, keep: bool = False) -> DataFrame:
+    """Write ``df`` once and return a scan of what was written. With ``keep`` it outlives the
+    innermost scratch block."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    written = _open_scratch.get()
-    if written is not None:
-        written.append(path)
+    blocks = _scratches.get()
+    if keep:
+        blocks = blocks[:-1]
+    if blocks:
+        blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,10 +66,10 @@ def materialise(df: DataFrame, label: str = "frame") -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Frames materialised inside are emptied at the end; nothing may read them later."""
     written: list[str] = []
-    token = _open_scratch.set(written)
+    token = _scratches.set((*_scratches.get(), written))
     try:
         yield
     finally:
-        _open_scratch.reset(token)
+        _scratches.reset(token)
         for path in written:
             spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)

@@ -312,12 +312,17 @@ def test_workspace_is_the_session_setting(spark):
 
 
 def test_scratch_frames_are_emptied(spark):
+    def left(df):
+        return spark.read.parquet(df.inputFiles()[0].rsplit("/", 1)[0]).count()
+
     with scratch(spark):
-        inside = materialise(spark.range(100))
-        assert inside.count() == 100
+        with scratch(spark):
+            inside = materialise(spark.range(100))
+            result = materialise(spark.range(7), keep=True)
+            assert inside.count() == 100
+        assert (left(inside), left(result)) == (0, 7)
     kept = materialise(spark.range(5))
-    assert spark.read.parquet(inside.inputFiles()[0].rsplit("/", 1)[0]).count() == 0
-    assert kept.count() == 5
+    assert (left(result), left(kept)) == (0, 5)
 
 
 def test_uncommitted_versions_are_not_seen(spark, tmp_path):
