@@ -20,6 +20,8 @@ _MASK = (1 << 64) - 1
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For words that are runs of letters and digits: everything else of ASCII parts them.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -109,8 +111,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def _bounds(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    solid = ~IS_SPACE[raw]
+def _bounds(raw: np.ndarray, cuts: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    solid = ~parts[raw]
     opens, closes = solid.copy(), solid.copy()
     opens[1:] &= ~solid[:-1]
     closes[:-1] &= ~solid[1:]
@@ -120,21 +122,23 @@ def _bounds(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, size: int = BLOCK) -> Words:
-    """All words of the texts ``raw[offsets[d]:offsets[d + 1]]``."""
+def words(
+    raw: np.ndarray, offsets: np.ndarray, lower: bool = False, size: int = BLOCK, parts: np.ndarray = IS_SPACE
+) -> Words:
+    """All words of the texts ``raw[offsets[d]:offsets[d + 1]]``, parted by the bytes in ``parts``."""
     starts, ends, hashes = [], [], []
     at, n = 0, len(raw)
     while at < n:
         to = min(n, at + size)
         while to < n:  # end behind white space or at the end of a text
-            space = np.flatnonzero(IS_SPACE[raw[to : to + size]])
+            space = np.flatnonzero(parts[raw[to : to + size]])
             text = int(offsets[np.searchsorted(offsets, to, "left")])
             step = to + int(space[0]) + 1 if len(space) else to + size
             to = min(n, text, step)
             if len(space) or to == text:
                 break
         piece = raw[at:to]
-        start, end = _bounds(piece, offsets - at)
+        start, end = _bounds(piece, offsets - at, parts)
         piece = LOWER[piece] if lower else piece
         hashes.append(_BYTES.spans(_BYTES.prefix(_BYTE_VALUES[piece]), start, end))
         starts.append(start + at)

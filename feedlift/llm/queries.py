@@ -48,3 +48,18 @@ def tokenizer(spark: SparkSession):
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", tokenizer(spark).digests("text").alias("d")).select("doc_id", "d.*")
+
+
+@query
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    from feedlift.llm import jaccard
+
+    groups = jaccard.similar(table(spark, folder, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from feedlift.llm import decontaminate
+
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key")
