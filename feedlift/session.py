@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,9 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/feedlift/{label}-{uuid.uuid4().hex}"
 
 
+# Where the frames of materialise are.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 # Paths written inside each open scratch block, the innermost last.
 _scratches: ContextVar[tuple[list[str], ...]] = ContextVar("scratches", default=())
 
@@ -59,12 +63,25 @@ def materialise(df: DataFrame, label: str = "frame", *, keep: bool = False) -> D
         blocks = blocks[:-1]
     if blocks:
         blocks[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _paths[stored] = path
+    return stored
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for these frames, once nothing reads them any more."""
+    for frame in frames:
+        _delete(frame.sparkSession, _paths.pop(frame))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Frames materialised inside are emptied at the end; nothing may read them later."""
+    """Frames materialised inside are deleted at the end; nothing may read them later."""
     written: list[str] = []
     token = _scratches.set((*_scratches.get(), written))
     try:
@@ -72,4 +89,4 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _scratches.reset(token)
         for path in written:
-            spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+            _delete(spark, path)
