@@ -63,3 +63,10 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from feedlift.llm import decontaminate
 
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key")
+
+
+@query
+def op2_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    from feedlift.llm import repeats
+
+    return repeats.repeat_digests(table(spark, folder, "documents"))
