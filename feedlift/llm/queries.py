@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +71,20 @@ def op2_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     from feedlift.llm import repeats
 
     return repeats.repeat_digests(table(spark, folder, "documents"))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from feedlift.llm import secrets
+
+    return secrets.secret_digests(table(spark, folder, "documents"))
+
+
+@query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from feedlift.llm import language
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = language.fit(docs.filter(~held_out))
+    return language.predicted(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
