@@ -88,3 +88,48 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = language.fit(docs.filter(~held_out))
     return language.predicted(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op8_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents are counted; those labelled toxic are taken out; those labelled poor are counted anew by a
+    later tokenizer; one batch is delivered twice."""
+    from feedlift.llm import rollup
+    from feedlift.session import new_path
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    labels = table(spark, folder, "labels")
+    counts = rollup.Rollup(spark, new_path(spark, "rollup"))
+    counts.apply("load", rollup.counts(docs, "words-1", rollup.words_1("text")))
+    toxic = rollup.deletes(labels.filter("toxic = 1").select("doc_id"), "words-1")
+    counts.apply("take-down", toxic)
+    poor = docs.join(labels.filter("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
+    moved = rollup.deletes(poor, "words-1").unionByName(rollup.counts(poor, "words-2", rollup.words_2("text")))
+    counts.apply("recount", moved)
+    counts.apply("take-down", toxic)
+    return counts.totals()
+
+
+SQL["op8_token_rollup"] = r"""
+WITH told AS (
+  SELECT doc_id, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic, max(CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END) AS poor
+  FROM labels GROUP BY doc_id
+), kept AS (
+  SELECT d.source, d.lang, CASE WHEN poor = 1 THEN 'words-2' ELSE 'words-1' END AS version,
+    len(regexp_extract_all(coalesce(text, ''), CASE WHEN poor = 1 THEN '[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]' ELSE '[^\x20\x09-\x0D]+' END)) AS n
+  FROM documents d LEFT JOIN told USING (doc_id)
+  WHERE d.doc_id IS NOT NULL AND (coalesce(toxic, 0) = 0 OR coalesce(poor, 0) = 1)
+)
+SELECT source, lang, version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM kept GROUP BY source, lang, version
+"""
+
+ORDER_KEY = 20_250_101
+
+
+@query
+def op4_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    from feedlift.llm import shards
+
+    _, rows = shards.materialise_order(table(spark, folder, "documents"), ORDER_KEY)
+    return rows
