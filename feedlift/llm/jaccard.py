@@ -355,8 +355,8 @@ def similar(
     copies = members.filter("member <> class_id").select("member")
 
     shared = full.select(F.explode("prefix").alias("hash"), "member")
-    stream = materialise(runs.repeated(shared, ["member"], 2, buckets(docs)), "jaccard-runs")
-    tied = runs.settled(stream, 2).filter("member <> first_member").select(F.col("first_member").alias("centre"), "member")
+    stream = materialise(runs.repeated(shared, ["hash"], ["member"], 2, buckets(docs)), "jaccard-runs")
+    tied = runs.settled(stream, ["hash"], 2).filter("member <> first_member").select(F.col("first_member").alias("centre"), "member")
     tied = materialise(tied.distinct().join(copies, "member", "left_anti"), "jaccard-tied")
     shapes = full.select("member", "n", "bits", "key")
     pairs = tied.select(F.col("member").alias("a"), F.col("centre").alias("b"))

@@ -103,8 +103,8 @@ def keep_bitmaps(
     rows = keyed(docs, id_col, text_col)
     found = materialise(rows.mapInArrow(lambda b: _occurrences(b, min_chars), _ROWS), "line-occurrences")
     order = [F.col("doc_id").desc_nulls_last(), F.col("member")]
-    stream = materialise(runs.repeated(found, order, min_docs, buckets(found)), "line-runs")
-    lost = runs.settled(stream, min_docs).filter(F.col("member") != F.col("first_member"))
+    stream = materialise(runs.repeated(found, ["hash"], order, min_docs, buckets(found)), "line-runs")
+    lost = runs.settled(stream, ["hash"], min_docs).filter(F.col("member") != F.col("first_member"))
     return (
         lost.groupBy(F.col("member").alias("key"))
         .agg(F.flatten(F.collect_list("lines")).alias("dropped"))

@@ -164,9 +164,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     :func:`feedlift.llm.frames.row_key`. Stretches may overlap. Documents without any have no row."""
     rows = keyed(docs, id_col, text_col)
     edges = materialise(rows.select("key", "text").mapInArrow(lambda b: _edges(b, window, anchor), _EDGE), "graph-edges")
-    stream = materialise(runs.repeated(edges, ["content", "member", "start"], 2, buckets(edges)), "graph-runs")
+    stream = materialise(runs.repeated(edges, ["hash"], ["content", "member", "start"], 2, buckets(edges)), "graph-runs")
     discard(edges)
-    shared = runs.settled(stream, 2).drop("first_member")
+    shared = runs.settled(stream, ["hash"], 2).drop("first_member")
     source = F.struct("member", "start", "n")
     kinds = shared.groupBy("hash", "content").agg(F.count("*").alias("k"), F.min(source).alias("source"))
     kinds = materialise(kinds, "graph-kinds")
@@ -192,11 +192,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = texts.join(opened.hint("shuffle_hash"), "key").select("key", "text", "starts", "sizes")
     kind = "hash long, second long, member long, start int, single boolean"
     windows = materialise(texts.mapInArrow(lambda b: _windows(b, window), kind), "graph-windows")
-    stream = materialise(runs.repeated(windows, ["second", "member", "start"], 2, buckets(windows)), "window-runs")
+    stream = materialise(runs.repeated(windows, ["hash", "second"], ["member", "start"], 2, buckets(windows)), "window-runs")
     discard(windows)
-    same = runs.settled(stream, 2)
-    twice = same.groupBy("hash", "second").agg(F.count("*").alias("k")).filter("k > 1")
-    alone = same.filter("single").join(twice.select("hash", "second"), ["hash", "second"], "left_semi")
+    alone = runs.settled(stream, ["hash", "second"], 2).filter("single")
     spans = spans.unionByName(alone.select("member", "start", F.lit(1).alias("n")))
     return spans.groupBy(F.col("member").alias("key")).agg(
         F.collect_list("start").alias("starts"), F.collect_list((F.col("n") + (window - 1)).cast("int")).alias("sizes")

@@ -17,11 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _SETTLED, _OPEN, _SUMMARY = 0, 1, 2
 
 
-def _stream(batches: Iterator[pa.RecordBatch], least: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _stream(batches: Iterator[pa.RecordBatch], keys: list[str], least: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     names = [f.name for f in schema if f.name not in ("_state", "_first", "_n", "_part")]
 
@@ -36,22 +37,24 @@ def _stream(batches: Iterator[pa.RecordBatch], least: int, schema: pa.Schema) ->
             whole = pa.table({**{n: table[n] for n in names}, **extra}).cast(schema)
             yield from whole.to_batches()
 
-    def summary(hash_: int, first: int, n: int) -> pa.RecordBatch:
-        values = {"hash": hash_, "_state": _SUMMARY, "_first": first, "_n": n, "_part": part}
+    def summary(key: tuple[int, ...], first: int, n: int) -> pa.RecordBatch:
+        values = {**dict(zip(keys, key, strict=True)), "_state": _SUMMARY, "_first": first, "_n": n, "_part": part}
         return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
 
     held: pa.Table | None = None  # rows of the run being read, if not yet told apart
-    now = head = None  # its hash, and the member of its first row
+    now = head = None  # its key, and the member of its first row
     count, leading = 0, True  # leading: the first run of this partition
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        hashes = batch.column("hash").to_numpy(zero_copy_only=False)
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        key_at = lambda i: tuple(int(v[i]) for v in values)  # noqa: B023, E731
         members = batch.column("member").to_numpy(zero_copy_only=False)
-        bounds = np.concatenate(([0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1, [len(hashes)]))
+        change = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+        bounds = np.concatenate(([0], np.flatnonzero(change) + 1, [len(members)]))
         at = 0
-        if hashes[0] == now:  # the run goes on
+        if key_at(0) == now:  # the run goes on
             at, n = 1, int(bounds[1])
             mine = table.slice(0, n)
             if leading:
@@ -73,7 +76,7 @@ def _stream(batches: Iterator[pa.RecordBatch], least: int, schema: pa.Schema) ->
         if leading:  # the very first run
             s, e = starts[0], ends[0]
             yield from rows(table.slice(s, e - s), _OPEN, np.full(e - s, members[s]))
-            now, head, count = hashes[s], members[s], int(e - s)
+            now, head, count = key_at(s), members[s], int(e - s)
             if len(starts) == 1:
                 continue
             yield summary(now, head, count)
@@ -84,7 +87,7 @@ def _stream(batches: Iterator[pa.RecordBatch], least: int, schema: pa.Schema) ->
             keep = np.flatnonzero(long[run])
             yield from rows(table.take(pa.array(keep + starts[0])), _SETTLED, members[starts[run[keep]]])
         s, e = starts[-1], ends[-1]
-        now, head, count = hashes[s], members[s], int(e - s)
+        now, head, count = key_at(s), members[s], int(e - s)
         held = None if long[-1] else table.slice(s, e - s)
     if now is not None:
         if held is not None:
@@ -92,12 +95,12 @@ def _stream(batches: Iterator[pa.RecordBatch], least: int, schema: pa.Schema) ->
         yield summary(now, head, count)
 
 
-def repeated(df: DataFrame, order: list, least: int, partitions: int) -> DataFrame:
-    """Rows of ``df`` whose ``hash`` at least ``least`` rows have, with the ``member`` of the first
-    row of the run, in ``order``, as column ``first_member``.
+def repeated(df: DataFrame, keys: list[str], order: list, least: int, partitions: int) -> DataFrame:
+    """The stream of the rows of ``df`` whose ``keys`` at least ``least`` rows have: store it, and read it
+    by :func:`settled`.
 
-    ``df`` has ``hash`` and ``member``, both long and never null, and any other columns. ``df`` is read
-    twice (ranges are sampled first): give a frame that is cheap to read again.
+    ``keys`` and ``member`` are long and never null; other columns are carried along. ``df`` is read twice
+    (ranges are sampled first): give a frame that is cheap to read again.
     """
     kinds = df.schema
     out = T.StructType([
@@ -108,25 +111,23 @@ def repeated(df: DataFrame, order: list, least: int, partitions: int) -> DataFra
         T.StructField("_part", T.IntegerType()),
     ])
     out = T.StructType([T.StructField(f.name, f.dataType, True) for f in out])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(out)
-    by_range = df.repartitionByRange(partitions, "hash", *order).sortWithinPartitions("hash", *order)
-    streamed = by_range.mapInArrow(lambda batches: _stream(batches, least, arrow), out)
-    return streamed
+    by_range = df.repartitionByRange(partitions, *keys, *order).sortWithinPartitions(*keys, *order)
+    return by_range.mapInArrow(lambda batches: _stream(batches, keys, least, arrow), out)
 
 
-def settled(streamed: DataFrame, least: int) -> DataFrame:
-    """The outcome of :func:`repeated` from its stored stream."""
+def settled(streamed: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The rows of a stored stream that are in runs of at least ``least`` rows, with the ``member`` of the
+    first row of the run, in the order of the stream, as column ``first_member``."""
     names = [c for c in streamed.columns if not c.startswith("_")]
-    done = streamed.filter(F.col("_state") == _SETTLED).select(*names, F.col("_first").alias("first_member"))
     # At most two rows for each partition of the stream: that bounds what is broadcast here.
     ends = (
         streamed.filter(F.col("_state") == _SUMMARY)
-        .groupBy("hash")
-        .agg(F.min_by("_first", "_part").alias("first_member"), F.sum("_n").alias("_total"))
+        .groupBy(*keys)
+        .agg(F.min_by("_first", "_part").alias("_head"), F.sum("_n").alias("_total"))
         .filter(F.col("_total") >= least)
         .drop("_total")
     )
-    late = streamed.filter(F.col("_state") == _OPEN).select(*names).join(F.broadcast(ends), "hash")
-    return done.unionByName(late.select(*names, "first_member"))
+    rows = streamed.filter(F.col("_state") != _SUMMARY).join(F.broadcast(ends), keys, "left")
+    first = F.when(F.col("_state") == _SETTLED, F.col("_first")).otherwise(F.col("_head")).alias("first_member")
+    return rows.select(*names, first).filter("first_member is not null")

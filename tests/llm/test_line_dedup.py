@@ -61,11 +61,13 @@ def test_bitmap_round_trip():
 @pytest.mark.parametrize("partitions", [1, 7, 23])
 def test_runs(spark, least, partitions):
     rng = random.Random(least * partitions)
-    rows = [(min(rng.randrange(90), 12) if rng.random() < 0.5 else 1000 + rng.randrange(200), k) for k in range(900)]
+    rows = [(min(rng.randrange(90), 12) if rng.random() < 0.5 else 1000 + rng.randrange(200), rng.randrange(2), k) for k in range(900)]
     rng.shuffle(rows)
-    frame = spark.createDataFrame(rows, "hash long, member long").repartition(5)
-    got = {(r.hash, r.member): r.first_member for r in runs.settled(runs.repeated(frame, ["member"], least, partitions), least).collect()}
-    groups = {}
-    for h, m in rows:
-        groups.setdefault(h, []).append(m)
-    assert got == {(h, m): min(g) for h, g in groups.items() if len(g) >= least for m in g}
+    frame = spark.createDataFrame(rows, "hash long, more long, member long").repartition(5)
+    for keys in (["hash"], ["hash", "more"]):
+        stream = runs.repeated(frame, keys, ["member"], least, partitions)
+        got = {r.member: r.first_member for r in runs.settled(stream, keys, least).collect()}
+        groups = {}
+        for *key, m in rows:
+            groups.setdefault(tuple(key[: len(keys)]), []).append(m)
+        assert got == {m: min(g) for g in groups.values() if len(g) >= least for m in g}
