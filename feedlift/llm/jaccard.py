@@ -40,11 +40,12 @@ from feedlift.llm import arrays, runs
 from feedlift.llm.bitmap import bitmap_of, maybe_in
 from feedlift.llm.components import components
 from feedlift.llm.frames import buckets, keyed
-from feedlift.session import materialise
+from feedlift.session import discard, materialise
 
 WORDS, PERCENT = 5, 75
-#: Documents sampled for frequent shingles, in how many of them one is frequent, how many are listed at most.
-SAMPLE_DOCS, FREQUENT, LISTED = 8192, 3, 1 << 18
+#: The share of documents sampled for frequent shingles, how many are sampled at least, and in how many of
+#: them a shingle is frequent.
+SAMPLE_SHARE, SAMPLE_LEAST, FREQUENT = 1 / 16, 1024, 3
 #: Documents in a node of a signature tree, and in the smallest inner node.
 NODE, INNER = 256, 16
 _SIZE_BASE = 100 / PERCENT
@@ -81,17 +82,12 @@ _PROFILE = "doc_id long, key long, n int, sum_a long, sum_b long, bits binary, p
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], words: int, percent: int, listed: Broadcast) -> Iterator[pa.RecordBatch]:
-    frequent = np.frombuffer(listed.value, np.uint64)
     for batch in batches:
         rows: list[tuple] = []
         for tokens in shingle_sets(batch.column("text"), words):
             k = prefix_length(len(tokens), percent)
-            if len(frequent) and k:
-                at = np.searchsorted(frequent, tokens)
-                late = frequent[np.minimum(at, len(frequent) - 1)] == tokens
-                ordered = np.concatenate((tokens[~late], tokens[late]))
-            else:
-                ordered = tokens
+            late = maybe_in(listed.value, tokens)
+            ordered = np.concatenate((tokens[~late], tokens[late]))
             sums = (tokens.sum(dtype=np.uint64), arrays.mix(tokens + np.uint64(1)).sum(dtype=np.uint64))
             # 48 bits tell prefix shingles apart well enough: what they suggest is compared exactly.
             prefix = (ordered[:k] >> np.uint64(16)).astype(np.int64)
@@ -120,13 +116,12 @@ def _tokens(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 
 
 def frequent_shingles(rows: DataFrame, words: int) -> Broadcast:
-    """Shingles found in several documents of a sample of bounded size, at most ``LISTED``."""
-    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
+    """Shingles found in several documents of a sample, as a bitmap of fixed size. A shingle it takes for
+    frequent by mistake is one for all documents."""
+    share = max(SAMPLE_SHARE, min(1.0, SAMPLE_LEAST / max(1, rows.count())))
     sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
     found = sample.select("text").mapInArrow(lambda b: _tokens(b, words), "token long").groupBy("token").count()
-    top = found.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(LISTED).toPandas()
-    tokens = np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
-    return rows.sparkSession.sparkContext.broadcast(tokens.tobytes())
+    return bitmap_of(found.filter(F.col("count") >= FREQUENT), "token")
 
 
 # Exact comparison
@@ -184,14 +179,14 @@ def _verified(pairs: DataFrame, members: DataFrame, rows: DataFrame, words: int,
         .select("a", "b", "key_a", "key_b")
     )
     near = materialise(near, "jaccard-pairs")
-    wanted = near.select(F.col("key_a").alias("key")).union(near.select(F.col("key_b").alias("key")))
+    wanted = near.select(F.col("key_a").alias("key")).union(near.select(F.col("key_b").alias("key"))).distinct()
     bitmap = bitmap_of(wanted, "key")
 
     def maybe(keys: pa.Array) -> pa.Array:
         return pa.array(maybe_in(bitmap.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     texts = rows.select("key", "text").filter(F.arrow_udf(maybe, "boolean")("key"))
-    texts = texts.join(wanted.distinct(), "key", "left_semi").dropDuplicates(["key"])
+    texts = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
     text = lambda s: texts.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}"))
     linked = F.arrow_udf(lambda a, b: _linked(a, b, words, percent), "boolean")
     return near.join(text("a"), "key_a").join(text("b"), "key_b").filter(linked("text_a", "text_b")).select("a", "b")
@@ -358,7 +353,10 @@ def similar(
     stream = materialise(runs.repeated(shared, ["hash"], ["member"], 2, buckets(docs)), "jaccard-runs")
     tied = runs.settled(stream, ["hash"], 2).filter("member <> first_member").select(F.col("first_member").alias("centre"), "member")
     tied = materialise(tied.distinct().join(copies, "member", "left_anti"), "jaccard-tied")
-    shapes = full.select("member", "n", "bits", "key")
+    discard(stream)
+    prefixes, profiles = profiles, materialise(profiles.drop("prefix"), "jaccard-shapes")
+    discard(prefixes)
+    shapes = profiles.filter("n > 0").select("member", "n", "bits", "key")
     pairs = tied.select(F.col("member").alias("a"), F.col("centre").alias("b"))
     links = materialise(_verified(pairs, shapes, rows, words, percent), "jaccard-links")
     found = components(links)
