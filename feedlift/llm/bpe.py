@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 _NEVER = 1 << 40  # later than every merge
 SLICE = 1 << 20
-MAX_STEPS, MAX_PIECES = 400_000, 200_000
+MAX_STEPS, MAX_PIECES = 500_000, 250_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -104,7 +104,8 @@ class Merges:
 
 
 class Transducer:
-    """Encoder of one piece. ``step[state][byte]`` is (tokens emitted, next state)."""
+    """Encoder of one piece. ``steps[state + byte]`` is (next state, tokens emitted); states are
+    numbered in steps of 256."""
 
     START = ((-1, 0, ()),)
 
@@ -127,13 +128,12 @@ class Transducer:
     def _reset(self) -> None:
         self._ids = {self.START: 0}
         self._states = [self.START]
-        self._steps: list[dict[int, tuple[tuple, int]]] = [{}]
+        self._steps: dict[int, tuple[int, tuple]] = {}
         self._owed: list[tuple] = [()]
-        self._made = 0
 
-    def _make(self, state: int, byte: int) -> tuple[tuple, int]:
+    def _make(self, state: int, byte: int) -> tuple[int, tuple]:
         open_tokens, done = [], None
-        for before, place, owed in self._states[state]:
+        for before, place, owed in self._states[state >> 8]:
             to = self._trie[place].get(byte)
             if to is None:
                 continue
@@ -153,30 +153,33 @@ class Transducer:
         new = tuple((before, place, rest[shared:]) for before, place, rest in open_tokens)
         to = self._ids.get(new)
         if to is None:
-            to = self._ids[new] = len(self._states)
+            to = self._ids[new] = len(self._states) << 8
             self._states.append(new)
-            self._steps.append({})
             self._owed.append(new[-1][2])
-        self._made += 1
-        step = self._steps[state][byte] = (emitted, to)
+        step = self._steps[state + byte] = (to, emitted)
         return step
 
-    def emit(self, piece: bytes) -> list[tuple]:
+    def emit(self, piece: bytes) -> Iterator[tuple]:
         """Tokens of the piece in the portions in which they become certain."""
-        if self._made > MAX_STEPS:
-            self._reset()
-        state, out, steps = 0, [], self._steps
+        state = 0
         for byte in piece:
-            step = steps[state].get(byte) or self._make(state, byte)
-            state = step[1]
-            if step[0]:
-                out.append(step[0])
-        out.append(self._owed[state])
-        return out
+            state, tokens = self._steps.get(state + byte) or self._make(state, byte)
+            yield tokens
+        yield self._owed[state >> 8]
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.merges.ranks.get(piece)  # a token is never cut, made by merges or not
-        return (whole,) if whole is not None else tuple(chain.from_iterable(self.emit(piece)))
+        if whole is not None:
+            return (whole,)
+        if len(self._steps) > MAX_STEPS:
+            self._reset()
+        step, state, out = self._steps.get, 0, []
+        for byte in piece:  # emit(), in one go
+            state, tokens = step(state + byte) or self._make(state, byte)
+            if tokens:
+                out += tokens
+        out += self._owed[state >> 8]
+        return tuple(out)
 
 
 class Codec(dict):
@@ -186,14 +189,16 @@ class Codec(dict):
         super().__init__()
         self.transducer = Transducer(Merges(ranks))
         self.bytes_of = self.transducer.merges.bytes_of
+        self._older: dict[str, tuple[int, ...]] = {}
         self.digits = {i: str(i) for i in self.bytes_of}
         self._pieces = regex.compile(pattern)
         self._cut = regex.compile(r"(?<=\S) (?=\p{L})")
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.transducer.encode(piece.encode())
+        ids = self._older.get(piece) or self.transducer.encode(piece.encode())
         if len(piece) <= 64:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= MAX_PIECES:  # pieces not met again until the next time are forgotten
+                self._older = self.copy()
                 self.clear()
             self[piece] = ids
         return ids
