@@ -46,7 +46,7 @@ def csv_feed(spark: SparkSession, folder: str) -> DataFrame:
         ),
         path,
     )
-    return feeds.read_feed_csv(spark, path, ["id", "title"])
+    return feeds.read_feed_csv(spark, path, ["id", "title"], multi_line=True)
 
 
 @query(
@@ -146,7 +146,7 @@ def latest_predictions(spark: SparkSession, folder: str) -> DataFrame:
     with_tables(
         RAW,
         "SELECT 'gs://b/images/' || id || '.png' AS uri, 'seen on gs://b/images/' || id || '.png' "
-        "AS description FROM raw",
+        "AS description, CAST(NULL AS VARCHAR) AS error FROM raw",
     ),
 )
 def image_descriptions(spark: SparkSession, folder: str) -> DataFrame:

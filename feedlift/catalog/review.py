@@ -540,25 +540,24 @@ def review_without_titles(spark: SparkSession, folder: str) -> DataFrame:
     "review_without_descriptions",
     with_tables(
         *_TITLES,
-        "SELECT id AS item_id, new_title AS title_generated, "
-        "score AS title_score, description AS description_generated, -1.0::DOUBLE AS description_score, "
-        "false AS description_changed, score >= 0 AS approval FROM titled",
+        "SELECT raw.id AS item_id, CASE WHEN t.id IS NULL THEN 'Failed. See the column full_response for details.' "
+        "ELSE 'Success' END AS status, new_title AS title_generated, score AS title_score, "
+        "t.description AS description_generated, CASE WHEN t.id IS NOT NULL THEN -1.0::DOUBLE END AS description_score, "
+        "CASE WHEN t.id IS NOT NULL THEN 'false' END AS description_changed, "
+        "CAST(score >= 0 AS VARCHAR) AS approval FROM raw LEFT JOIN titled t ON raw.id = t.id",
     ),
 )
 def review_without_descriptions(spark: SparkSession, folder: str) -> DataFrame:
     cfg = FeedConfig(generate_descriptions=False, title=CONFIG.title)
-    return (
-        reviewed(spark, folder, cfg)
-        .where(F.col("status") != steps.FAILED_STATUS)
-        .select(
-            "item_id",
-            "title_generated",
-            "title_score",
-            "description_generated",
-            "description_score",
-            "description_changed",
-            "approval",
-        )
+    return reviewed(spark, folder, cfg).select(
+        "item_id",
+        "status",
+        "title_generated",
+        "title_score",
+        "description_generated",
+        "description_score",
+        F.col("description_changed").cast("string").alias("description_changed"),
+        F.col("approval").cast("string").alias("approval"),
     )
 
 
@@ -615,11 +614,12 @@ _ALL_APPROVED = REVIEW.replace("final_score >= 0 AND raw.k % 5 < 2 AS approval",
         _GAP_KEYS,
         "named AS (SELECT feed_pos, unnest(names) AS key, unnest(range(len(names))) AS pos FROM gap_keys)",
         f"SELECT key, CASE WHEN key IN ({', '.join(repr(c) for c in FEED_COLUMNS)}) THEN 'gap' "
-        "ELSE 'new' END AS kind, min(feed_pos * 4096 + pos) AS place FROM named GROUP BY key",
+        "ELSE 'new' END AS kind, struct_extract(min({'row': feed_pos, 'pos': pos}), 'row') AS row, "
+        "CAST(struct_extract(min({'row': feed_pos, 'pos': pos}), 'pos') AS INTEGER) AS pos FROM named GROUP BY key",
     ),
 )
 def attribute_keys_query(spark: SparkSession, folder: str) -> DataFrame:
-    return attribute_keys(every_review(spark, folder), "feed_pos")
+    return attribute_keys(every_review(spark, folder), "feed_pos").select("key", "kind", "place.*")
 
 
 _STAMP = datetime.datetime(2024, 5, 6, 7, 8, 9, 120000, datetime.timezone.utc)
@@ -642,7 +642,7 @@ def _exported(title: str, text: str, mark: str = "") -> str:
 @query("export_approved", with_tables(*_TITLES, _ALL_APPROVED, _exported('"Title"', '"Description"')))
 def export_approved_query(spark: SparkSession, folder: str) -> DataFrame:
     return export_approved(
-        every_review(spark, folder), CONFIG, position="feed_pos", modified_at=_STAMP
+        every_review(spark, folder), CONFIG, position="feed_pos", modified_at=_STAMP, layout="wide"
     )
 
 

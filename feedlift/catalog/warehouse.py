@@ -37,7 +37,7 @@ from feedlift.operators.state import merge_answers
 from feedlift.plans.batched import BatchOptions, batched_update, build_prompts, wanted_rows
 from feedlift.session import new_path
 from feedlift.sources import feeds
-from feedlift.sources.tables import VersionedTable
+from feedlift.sources.tables import StateTable
 
 # --- selection ---------------------------------------------------------------------
 
@@ -311,11 +311,9 @@ def top_examples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _prompts(spark: SparkSession, folder: str, target: str, language: str) -> DataFrame:
-    rows = filtered(spark, folder).select(
-        "id", row_properties(FILTERED_COLUMNS).alias("properties")
-    )
-    shown = joins.collect_examples(top_examples(spark, folder))
-    return build_prompts(rows, shown, BatchOptions(target, language)).select(
+    rows = filtered(spark, folder).select(*FILTERED_COLUMNS)
+    shown = top_examples(spark, folder)
+    return build_prompts(rows, rows, shown, BatchOptions(target, language)).select(
         "chunk_id",
         F.size("ids").cast("bigint").alias("products"),
         F.md5("prompt").alias("prompt_hash"),
@@ -516,7 +514,7 @@ def run_batched(
 ) -> DataFrame:
     """A whole run of batched generation; the last version of the state."""
     inputs = filtered(spark, folder)
-    state_table = VersionedTable(spark, new_path(spark, "state"))
+    state_table = StateTable(spark, new_path(spark, "state"))
     state_table.commit(selection.init_state(inputs) if start is None else start)
     examples = top_examples(spark, folder)
     batched_update(state_table, inputs, examples, prompt_reader(options.target), options)

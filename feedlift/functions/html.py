@@ -11,23 +11,18 @@ from pyspark.sql import functions as F
 
 from feedlift.functions.text import as_column, bind
 
-_REST_OF_LINE = "[^\n\r\u2028\u2029]*"
-
-# What is cut from a tag to the end of its line. Each pair is the tag and
-# the characters that must not follow it directly.
-_CUT_TO_LINE_END = (
-    ("<script", "</script"),
-    ("<svg", "</svg"),
-    ("<path", "</path"),
-    ("<iframe", "</iframe"),
-    ("<a ", "</a"),
+# What is cut, in this order.
+_CUT = (
+    "(?s)<head.*</head>",
+    "<script[^</script][^\n\r\u2028\u2029]*",
+    "<svg[^</svg][^\n\r\u2028\u2029]*",
+    "<path[^</path][^\n\r\u2028\u2029]*",
+    "<iframe[^</iframe][^\n\r\u2028\u2029]*",
+    "<a [^</a][^\n\r\u2028\u2029]*",
 )
-# What is kept, in this order, written the same way.
-_KEPT_TO_LINE_END = (("<span", "</span"), ("<p", "</p"))
-
-
-def _tag_to_line_end(tag: str, not_next: str) -> str:
-    return f"{tag}[^{not_next}]{_REST_OF_LINE}"
+# What is kept, in this order, and the part of it that is its text.
+_KEPT = ("<span[^</span][^\n\r\u2028\u2029]*", "<p[^</p][^\n\r\u2028\u2029]*")
+_INNER = "(?s)>(.*)<"
 
 
 def break_lines(html: Column | str) -> Column:
@@ -38,18 +33,13 @@ def break_lines(html: Column | str) -> Column:
 def rule_text(html: Column | str) -> Column:
     """Text of a page by line rules: the head goes, scripts, drawings, frames and links
     go to the end of their line, then span and paragraph lines are kept."""
-    text = F.regexp_replace(as_column(html), "(?s)<head.*</head>", "")
-    for tag, not_next in _CUT_TO_LINE_END:
-        text = F.regexp_replace(text, _tag_to_line_end(tag, not_next), "")
+    text = as_column(html)
+    for pattern in _CUT:
+        text = F.regexp_replace(text, pattern, "")
 
     def kept_text(cleaned: Column) -> Column:
-        kept = F.concat(
-            *[
-                F.regexp_extract_all(cleaned, F.lit(_tag_to_line_end(tag, not_next)), F.lit(0))
-                for tag, not_next in _KEPT_TO_LINE_END
-            ]
-        )
-        inner = F.transform(kept, lambda k: F.regexp_extract(k, "(?s)>(.*)<", 1))
+        kept = F.concat(*[F.regexp_extract_all(cleaned, F.lit(p), F.lit(0)) for p in _KEPT])
+        inner = F.transform(kept, lambda k: F.regexp_extract(k, _INNER, 1))
         return F.array_join(F.filter(inner, lambda t: t != ""), " ")
 
     return bind(text, kept_text)
@@ -119,11 +109,15 @@ def _div_text(html: str | None, css_class: str) -> str | None:
 
 def div_text(html: Column | str, css_class: str) -> Column:
     """Text of all divs of a class, joined by a space, on one line. Needs a tag tree, so
-    it runs in Python over Arrow batches."""
+    it runs in Python over Arrow batches, for pages only that name the class at all."""
 
     @F.pandas_udf("string")
     def collect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
             yield pages.map(lambda h: _div_text(h, css_class))
 
-    return F.translate(collect(as_column(html)), "\n\r", " ")
+    page = as_column(html)
+    # A page may write a sign of the name as an entity.
+    named = page.contains(css_class) | page.contains("&")
+    found = F.when(named, collect(F.when(named, page)))
+    return F.translate(found.when(page.isNotNull(), F.lit("")), "\n\r", " ")

@@ -20,6 +20,20 @@ def answer_rows(generated: DataFrame) -> DataFrame:
     )
 
 
+def asked_products(generated: DataFrame) -> DataFrame:
+    """``id, text, error, named`` of every product that was asked for: its first answer, whether an
+    answer names it at all, and the error of its prompt."""
+    asked = generated.select(
+        F.explode("ids").alias("id"), F.lit(None).cast(answer_rows(generated).schema["pos"].dataType).alias("pos"),
+        F.lit(None).cast("string").alias("text"), "chunk_id", "error",
+    )
+    rows = asked.unionByName(answer_rows(generated).withColumn("error", F.lit(None).cast("string")))
+    named = F.col("pos").isNotNull()
+    first = F.min(F.when(named, F.struct("chunk_id", "pos", "text"))).alias("first")
+    reduced = rows.groupBy("id").agg(first, F.max("error").alias("error"))
+    return reduced.select("id", "first.text", "error", F.col("first").isNotNull().alias("named"))
+
+
 def first_answers(generated: DataFrame) -> DataFrame:
     """``id, text``: the first answer of each product by prompt and line. An aggregate
     instead of a window: repeated lines of one id are reduced before the shuffle."""

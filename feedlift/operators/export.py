@@ -11,10 +11,7 @@ from feedlift.config import FeedConfig
 from feedlift.functions.scoring import GENERATED_MARK, feed_text
 from feedlift.functions.text import as_column
 from feedlift.operators.selection import approved, with_both_texts
-from feedlift.operators.skew import left_join
-
-# More attribute columns than this are not planned as columns; use layout="map".
-MAX_ATTRIBUTE_COLUMNS = 2000
+from feedlift.operators.joins import left_join, one_per_key
 
 _TEXT_MAP = "map<string,string>"
 
@@ -44,7 +41,7 @@ def full_feed(
         return feed_text(F.coalesce(F.col(new), as_column(old)), F.col(new).isNotNull())
 
     kept = [c for c in raw.columns if c not in (title_col, description_col)]
-    return left_join(raw, texts, as_column(id_col).cast("string"), "_id").select(
+    return left_join(raw, one_per_key(texts, "_id"), as_column(id_col).cast("string"), "_id").select(
         *[as_column(c) for c in kept],
         best("_title", title_col).alias("structured_title"),
         best("_text", description_col).alias("structured_description"),
@@ -55,8 +52,8 @@ def attribute_keys(review: DataFrame, position: str | None = None) -> DataFrame:
     """``key, kind, place`` of every gap attribute of the approved rows: kind ``gap`` when
     any approved input row carries the key, else ``new``.
 
-    ``place`` orders by first mention when ``position`` (a row number) is given, else it
-    is 0 and keys order by name. All rows are reduced to their distinct keys map-side.
+    ``place`` orders by first mention, as the row and the place in it, when ``position`` (a row
+    number) is given; else it is null and keys order by name. All rows are reduced to their distinct keys map-side.
     """
     rows = approved(review)
     row_place = as_column(position) if position else F.lit(0)
@@ -64,7 +61,8 @@ def attribute_keys(review: DataFrame, position: str | None = None) -> DataFrame:
         row_place.cast("long").alias("_row"),
         F.posexplode(F.json_object_keys("gap_attributes")).alias("_pos", "key"),
     )
-    place = F.col("_row") * 4096 + F.col("_pos") if position else F.lit(0).cast("long")
+    mention = F.struct(F.col("_row").alias("row"), F.col("_pos").alias("pos"))
+    place = mention if position else F.lit(None).cast("struct<row:long,pos:int>")
     gaps = found.groupBy("key").agg(F.min(place).alias("place"))
     # Rows of one feed share their columns: distinct key lists first, then their keys.
     inputs = (
@@ -96,27 +94,39 @@ def _distinct_names(names: list[str]) -> list[str]:
     return found
 
 
+def utc_text(stamp: Column) -> Column:
+    """A time as ISO text in UTC with milliseconds, whatever the session's time zone."""
+    millis = F.unix_millis(stamp)
+    day, rest = F.floor(millis / 86_400_000).cast("int"), F.pmod(millis, F.lit(86_400_000))
+
+    def digits(unit: int, span: int, width: int) -> Column:
+        return F.lpad((F.floor(rest / unit) % span).cast("string"), width, "0")
+
+    date = F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string")
+    clock = F.concat_ws(":", digits(3_600_000, 24, 2), digits(60_000, 60, 2), digits(1000, 60, 2))
+    return F.concat(date, F.lit("T"), clock, F.lit("."), digits(1, 1000, 3), F.lit("Z"))
+
+
 def export_approved(
     review: DataFrame,
     cfg: FeedConfig | None = None,
     *,
     position: str | None = None,
     modified_at: datetime.datetime | None = None,
-    layout: str = "wide",
+    layout: str = "map",
 ) -> DataFrame | None:
-    """Approved rows with one column per gap attribute, then one per new attribute, whose
-    name gets the prefix of the settings. None when no row is approved, so that a caller
-    leaves an older export in place.
+    """Approved rows with their gap attributes in one map and the new ones in another, whatever
+    their number.
 
-    The column names are data, so the keys are read first. ``layout="map"`` puts the
-    attributes into two maps instead and needs no such pass, whatever their number.
+    ``layout="wide"`` gives one column per gap attribute, then one per new attribute, whose name gets
+    the prefix of the settings. The column names are data, so the keys are read first. It is None
+    when no row is approved, so that a caller leaves an older export in place.
     """
     cfg = cfg or FeedConfig()
     rows = approved(review)
     stamp = F.lit(modified_at) if modified_at else F.current_timestamp()
-    utc = F.to_utc_timestamp(stamp, F.current_timezone())
     lead = [
-        F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("modified_at"),
+        utc_text(stamp).alias("modified_at"),
         F.col("item_id").alias("Item ID"),
         F.col("title_generated").alias("Title"),
         F.col("description_generated").alias("Description"),
@@ -131,12 +141,10 @@ def export_approved(
         return rows.select(
             *lead, known.alias("gap_attributes"), new.alias("new_attributes")
         )
-    keys = attribute_keys(review, position).take(MAX_ATTRIBUTE_COLUMNS + 1)
-    if len(keys) > MAX_ATTRIBUTE_COLUMNS:
-        raise ValueError('too many attributes for one column each: use layout="map"')
+    keys = attribute_keys(review, position).collect()
     if not keys and rows.isEmpty():
         return None
-    keys.sort(key=lambda k: (k["kind"], k["place"], k["key"]))
+    keys.sort(key=lambda k: (k["kind"], k["place"] or (), k["key"]))
 
     def value(key: str) -> Column:
         return F.coalesce(F.try_element_at("_gaps", F.lit(key)), F.lit(""))

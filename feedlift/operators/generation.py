@@ -7,7 +7,7 @@ itself is the caller's: a Python function, a table of stored answers, or an expr
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -22,6 +22,9 @@ from pyspark.sql.types import _parse_datatype_string as parse_type
 from feedlift.config import ModelParams
 from feedlift.functions.prompts import IMAGE_PARAMS, IMAGE_PROMPT, multimodal_request
 from feedlift.functions.text import as_column, trim_ws
+from feedlift.session import materialise
+
+NO_IMAGE = "the image was not read, so nothing was asked"
 
 
 class Completer(Protocol):
@@ -113,28 +116,27 @@ class FunctionCompleter:
 
     def complete(self, df: DataFrame, prompt: str, response: str, error: str) -> DataFrame:
         spread = df.repartition(self.partitions) if self.partitions else df
-        kind = parse_type(self.answer_type)
-        schema = StructType(
-            [*df.schema.fields, StructField(response, kind), StructField(error, StringType())]
+        answer = StructType(
+            [
+                StructField("response", parse_type(self.answer_type)),
+                StructField("error", StringType()),
+            ]
         )
-        index = df.columns.index(prompt)
-        arrow_kind = to_arrow_type(kind)
-        names = schema.names
+        kind = to_arrow_type(answer)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(prompts: pa.Array) -> pa.Array:
             with ThreadPoolExecutor(self.concurrency) as pool:
-                for batch in batches:
-                    answers, errors = self._answer(batch.column(index).to_pylist(), pool)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *batch.columns,
-                            pa.array(answers, arrow_kind),
-                            pa.array(errors, pa.string()),
-                        ],
-                        names=names,
-                    )
-
-        return spread.mapInArrow(run, schema)
+                answers, errors = self._answer(prompts.to_pylist(), pool)
+            pairs = zip(answers, errors, strict=True)
+            return pa.array([{"response": a, "error": e} for a, e in pairs], kind)
+
+        # Only the prompt travels to Python, and no plan may run the model twice for a row.
+        asked = F.arrow_udf(run, answer).asNondeterministic()(as_column(prompt))
+        return spread.withColumn("_answer", asked).select(
+            *[as_column(c) for c in df.columns],
+            F.col("_answer.response").alias(response),
+            F.col("_answer.error").alias(error),
+        )
 
     def _answer(self, prompts: list, pool: ThreadPoolExecutor) -> tuple[list, list]:
         answers: list = [None] * len(prompts)
@@ -176,9 +178,9 @@ def describe_images(
     prompt: str = IMAGE_PROMPT,
     params: ModelParams = IMAGE_PARAMS,
 ) -> DataFrame:
-    """``uri, description`` of image files: one constant prompt per file, answers trimmed.
-    The completer gets the JSON request; files outside of storage go inline when the
-    frame has ``mime_type`` and ``content``."""
+    """``uri, description, error`` of image files: one constant prompt per file, answers trimmed,
+    asked once and frozen. The completer gets the JSON request; files outside of storage go inline
+    when the frame has ``mime_type`` and ``content``. A file that cannot be sent is not asked about."""
     inline = {"mime_type", "content"} <= set(images.columns)
     request = multimodal_request(
         F.lit(prompt),
@@ -187,12 +189,21 @@ def describe_images(
         F.col("mime_type") if inline else None,
         F.col("content") if inline else None,
     )
-    asked = images.select("uri", request.alias("prompt"))
-    return generate_text(asked, completer).select("uri", trim_ws("response").alias("description"))
+    there = F.coalesce(F.col("uri").startswith("gs://"), F.lit(False))
+    if inline:
+        there = there | (F.col("mime_type").isNotNull() & F.col("content").isNotNull())
+    asked = images.select("uri", F.when(there, request).alias("prompt"))
+    answered = generate_text(asked, completer).select(
+        "uri",
+        F.when(F.col("prompt").isNotNull(), trim_ws("response")).alias("description"),
+        F.when(F.col("prompt").isNull(), F.lit(NO_IMAGE)).otherwise(F.col("error")).alias("error"),
+    )
+    return materialise(answered, "image-descriptions")
 
 
 def embed_text(
     df: DataFrame, completer: Completer, content: str = "content", embedding: str = "embedding"
 ) -> DataFrame:
-    """One vector per row, by a completer that answers with arrays."""
-    return completer.complete(df, content, embedding, "error").drop("error")
+    """One vector per row and its ``error``, by a completer that answers with arrays. Asked once
+    and frozen."""
+    return materialise(completer.complete(df, content, embedding, "error"), "embeddings")

@@ -1,8 +1,8 @@
 """Joins that bring page texts, image descriptions and examples to the feed.
 
 No join is hinted: Spark broadcasts a side only when its size is below the session's
-threshold, and adaptive execution splits a hot key of a sort-merge join where it can; see
-``skew`` for where it cannot.
+threshold, and adaptive execution splits a hot key of a sort-merge join on the side of the feed.
+Building a join starts no job.
 """
 
 from __future__ import annotations
@@ -12,17 +12,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlift.functions.prompts import example_lines
 from feedlift.functions.rows import row_context, row_properties
-from feedlift.functions.text import as_column, base_name, bind
+from feedlift.functions.text import as_column, base_name
 from feedlift.operators.selection import by_ids
-from feedlift.operators.skew import left_join
 
 
-def join_page_texts(feed: DataFrame, pages: DataFrame, id_col: str = "id") -> DataFrame:
-    """Feed with ``webpage_content`` from a table ``id, content``."""
+def left_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: str) -> DataFrame:
+    """``left`` LEFT JOIN ``right``, without ``right_key`` in the result."""
+    return left.join(right, left_key == F.col(right_key), "left").drop(right_key)
+
+
+def one_per_key(right: DataFrame, key: str) -> DataFrame:
+    """One row per key, for a side whose keys are unique by contract: a repeated one must not
+    multiply the rows it meets. Combined before the shuffle."""
+    rest = F.struct(*[as_column(c) for c in right.columns if c != key])
+    one = right.groupBy(key).agg(F.max(rest).alias("_one"))
+    return one.select(key, "_one.*")
+
+
+def join_page_texts(
+    feed: DataFrame, pages: DataFrame, id_col: str = "id", *, unique: bool = False
+) -> DataFrame:
+    """Feed with ``webpage_content`` from a table ``id, content``. ``unique`` takes one text per
+    id, so that each feed row stays one row."""
     texts = pages.select(
         F.col("id").cast("string").alias("_page_id"), F.col("content").alias("webpage_content")
     )
+    texts = one_per_key(texts, "_page_id") if unique else texts
     return left_join(feed, texts, as_column(id_col).cast("string"), "_page_id")
 
 
@@ -38,27 +55,16 @@ def join_images_by_name(
     return left_join(feed, named, link_name, "_name")
 
 
-def _literal_pieces(name: Column) -> Column:
-    """Parts of a LIKE pattern between its wildcards; [''] for wildcards alone."""
-    pieces = F.array_distinct(F.filter(F.split(name, "[_%]", -1), lambda p: p != ""))
-    return bind(pieces, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.lit(""))))
+# Pieces of names are looked up by substrings of this length, shorter ones as they are.
+_GRAM = 8
 
 
-def _anchors(names: DataFrame) -> DataFrame:
-    """For each file name the literal piece that is shared by the fewest names. A name
-    without wildcards is its own anchor."""
-    pieces = names.select("_name", F.explode(_literal_pieces(F.col("_name"))).alias("_anchor"))
-    shared = pieces.groupBy("_anchor").agg(F.count("*").alias("_names"))
-    rank = F.struct(F.col("_names"), (-F.length("_anchor")).alias("_short"), F.col("_anchor"))
-    return (
-        pieces.join(shared, "_anchor")
-        .groupBy("_name")
-        .agg(F.min(rank).alias("_best"))
-        .select("_name", F.col("_best._anchor").alias("_anchor"))
-    )
+def _pieces(name: Column) -> Column:
+    """Parts of a LIKE pattern between its wildcards."""
+    return F.array_distinct(F.filter(F.split(name, "[_%]", -1), lambda p: p != ""))
 
 
-def _substrings(text: Column, lengths: Column) -> Column:
+def _grams(text: Column, lengths: Column) -> Column:
     """Distinct substrings of a text in the given lengths."""
 
     def of_length(n: Column) -> Column:
@@ -69,25 +75,47 @@ def _substrings(text: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
 
 
+def _anchors(names: DataFrame) -> DataFrame:
+    """For each file name the substring of its literal pieces that the fewest names share."""
+    piece = names.select("_name", F.explode(_pieces(F.col("_name"))).alias("_piece"))
+    length = F.array(F.least(F.length("_piece"), F.lit(_GRAM)))
+    grams = piece.select("_name", F.explode(_grams(F.col("_piece"), length)).alias("_anchor")).distinct()
+    shared = grams.groupBy("_anchor").agg(F.count("*").alias("_names"))
+    rank = F.struct(F.col("_names"), (-F.length("_anchor")).alias("_short"), F.col("_anchor"))
+    return (
+        grams.join(shared, "_anchor")
+        .groupBy("_name")
+        .agg(F.min(rank).alias("_best"))
+        .select("_name", F.col("_best._anchor").alias("_anchor"))
+    )
+
+
 def join_images_containing(
-    feed: DataFrame, images: DataFrame, link_col: str = "image_link"
+    feed: DataFrame, images: DataFrame, link_col: str = "image_link", *, allow_bare: bool = False
 ) -> DataFrame:
     """Feed with ``image_description`` of every image whose file name occurs in the link;
     ``_`` and ``%`` in a name are wildcards, and several hits give several rows.
 
-    A LIKE join compares each link with each name. Here each distinct link is cut into the
-    substrings of the lengths in use, which are joined on equality with one literal piece
-    of each name; LIKE then only confirms the candidates. The work is linear in the text
-    of the links, and a link shared by many rows is matched once.
+    A LIKE join compares each link with each name. Here each distinct link is cut into its
+    substrings of eight characters (and of the lengths of names that are shorter), which are joined on
+    equality with one such substring of each name; LIKE then only confirms the candidates. A link
+    of ``n`` characters gives at most ``8 n`` of them, and a link shared by many rows is matched once.
+
+    A name of wildcards alone fits every link that is long enough, so its result is a product: it is
+    an error unless ``allow_bare`` is set.
     """
     named = images.select(
         base_name("uri").alias("_name"), F.col("description").alias("image_description")
     ).where(F.col("_name").isNotNull())
+    bare = F.size(_pieces(F.col("_name"))) == 0
+    if not allow_bare:
+        problem = F.concat(F.lit("a file name of wildcards alone fits every link: "), F.col("_name"))
+        named = named.withColumn("_name", F.when(bare, F.raise_error(problem)).otherwise(F.col("_name")))
     anchors = _anchors(named.select("_name").distinct())
     lengths = anchors.agg(F.collect_set(F.length("_anchor"))).scalar()
     links = feed.select(as_column(link_col).alias("_link")).where("_link is not null").distinct()
     cut = links.withColumn("_lengths", lengths).select(
-        "_link", F.explode(_substrings(F.col("_link"), F.col("_lengths"))).alias("_anchor")
+        "_link", F.explode(_grams(F.col("_link"), F.col("_lengths"))).alias("_anchor")
     )
     # The escape sign is a character that no file name holds: a backslash means itself.
     pattern = F.concat(F.lit("%"), F.col("_name"), F.lit("%"))
@@ -98,6 +126,12 @@ def join_images_containing(
         .join(named, "_name")
         .select("_link", "image_description")
     )
+    if allow_bare:
+        least = F.length(F.translate("_name", "%", ""))
+        some = named.where(bare).select(least.alias("_least"), "image_description")
+        hits = hits.unionByName(
+            links.join(some, F.length("_link") >= F.col("_least")).select("_link", "image_description")
+        )
     return feed.join(hits, as_column(link_col) == F.col("_link"), "left").drop("_link")
 
 
@@ -168,24 +202,19 @@ def examples_from_feed(
     )
 
 
-def collect_examples(examples: DataFrame, limit: int = 1000) -> list:
-    """Examples as Python rows, by id. All of them go into every prompt, so a set that is
-    too large for a prompt is an error and never cut."""
-    rows = examples.select("id", "properties", "title", "description").take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} examples do not fit into a prompt")
-    return sorted(rows, key=lambda r: (r["id"] is None, r["id"]))
-
+def collected_examples(examples: DataFrame) -> DataFrame:
+    """All examples, by id, as one array ``examples`` in one row: they go into every prompt."""
+    fields = ("id", "properties", "title", "description")
+    rows = F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("_last"), *fields)))
+    shown = F.transform(rows, lambda r: F.struct(*[r[f].alias(f) for f in fields]))
+    return examples.agg(shown.alias("examples"))
 
-def examples_column(rows: Sequence) -> Column:
-    """Collected examples as one constant array column."""
-    def text(v: str | None) -> Column:
-        return F.lit(v).cast("string")
 
-    fields = ("id", "properties", "title", "description")
-    structs = [F.struct(*[text(r[f]).alias(f) for f in fields]) for r in rows]
-    kind = "array<struct<id:string,properties:string,title:string,description:string>>"
-    return F.array(*structs).cast(kind)
+def example_texts(examples: DataFrame, target: str) -> tuple[Column, Column]:
+    """The two example sections of a batch prompt as scalar subqueries, computed once."""
+    inputs, outputs = example_lines(F.col("examples"), target)
+    texts = collected_examples(examples).select(inputs.alias("inputs"), outputs.alias("outputs"))
+    return texts.select("inputs").scalar(), texts.select("outputs").scalar()
 
 
 def context_of_ids(

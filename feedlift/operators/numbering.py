@@ -19,16 +19,6 @@ from feedlift.session import materialise, scratch
 _ROW_BITS = 33
 
 
-# A frame known to hold no more rows than this may be numbered, or cut, in one task.
-SMALL_ROWS = 10_000
-
-
-def number_small(df: DataFrame, by: Sequence[str], column: str = "row_id") -> DataFrame:
-    """``number_rows`` for a frame whose size is bounded by ``SMALL_ROWS``."""
-    order = Window.orderBy(*[as_column(c) for c in by])
-    return df.withColumn(column, (F.row_number().over(order) - 1).cast("bigint"))
-
-
 def number_rows(
     df: DataFrame, by: Sequence[str], column: str = "row_id", *, frozen: bool = False
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from feedlift.functions.text import as_column
 from feedlift.functions.vectors import cosine_distance, distance_bucket
 from feedlift.operators.generation import Completer, embed_text
 from feedlift.operators.selection import random_batch, with_title
+from feedlift.session import materialise
 
 
 def drift_sample(state: DataFrame, size: int = 1000, seed: int | str = 0) -> DataFrame:
@@ -28,9 +29,9 @@ def originals_of(
 
 
 def embedding_distances(original: DataFrame, generated: DataFrame) -> DataFrame:
-    """``id, distance`` of two tables ``id, embedding``."""
-    left = original.select("id", F.col("embedding").alias("_original"))
-    right = generated.select("id", F.col("embedding").alias("_generated"))
+    """``id, distance`` of two tables ``id, embedding``, where both have a vector."""
+    left = original.select("id", F.col("embedding").alias("_original")).where("_original is not null")
+    right = generated.select("id", F.col("embedding").alias("_generated")).where("_generated is not null")
     return left.join(right, "id").select(
         "id", cosine_distance("_original", "_generated").alias("distance")
     )
@@ -57,7 +58,7 @@ def semantic_drift(
 ) -> DataFrame:
     """Histogram of the distance between old and new titles of a random sample. The sample
     is drawn before anything is embedded."""
-    sample = drift_sample(state, size, seed)
+    sample = materialise(drift_sample(state, size, seed), "drift-sample")
     old = originals_of(sample, inputs, id_col, title_col)
     return distance_histogram(
         embedding_distances(embed_text(old, embedder), embed_text(sample, embedder))

@@ -28,7 +28,7 @@ from feedlift.functions.text import (
     utf16_length,
 )
 from feedlift.operators.labels import with_description_answer, with_title_answer
-from feedlift.operators.skew import left_join
+from feedlift.operators.joins import left_join, one_per_key
 
 REVIEW_COLUMNS = (
     "approval",
@@ -87,13 +87,16 @@ def feed_rows(
 
 def join_images(rows: DataFrame, images: DataFrame) -> DataFrame:
     """Rows with the type and the bytes of their image, from files ``uri, mime_type,
-    content`` whose URI is the link of the row."""
+    content`` whose URI is the link of the row. Rows without a link would meet in one key;
+    they get keys of their own, which no file has."""
     files = images.select(
         F.col("uri").alias("_uri"),
         F.col("mime_type").alias("image_type"),
         F.col("content").alias("image_bytes"),
     )
-    return left_join(rows, files, F.col("image"), "_uri")
+    alone = F.concat(F.lit("\u0000"), F.col("item_id"))
+    link = F.coalesce(F.nullif("image", F.lit("")), alone)
+    return left_join(rows, one_per_key(files, "_uri"), link, "_uri")
 
 
 def _sent(rows: DataFrame, cfg: FeedConfig, prompt: Column, params: ModelParams) -> Column:

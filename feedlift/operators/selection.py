@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from feedlift.config import Status
-from feedlift.functions.text import as_column, id_part, shuffle_key
-from feedlift.operators.numbering import SMALL_ROWS, number_rows
+from feedlift.functions.text import as_column, blank_if_null, id_part, shuffle_key
+from feedlift.operators.numbering import number_rows
 
-# Longer id lists are joined instead of being written into the plan.
-_MAX_LISTED_IDS = 1000
+_WHOLE = re.compile(r"0|-?[1-9][0-9]*", re.ASCII)
 
 DONE = (Status.SUCCESS, Status.NON_COMPLIANT)
 
 
 def by_ids(df: DataFrame, ids: Sequence[str] | DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows whose id is listed. ``ids`` is a list or a frame with the ids in its first column."""
-    if isinstance(ids, DataFrame):
-        wanted = ids.select(F.col(ids.columns[0]).cast("string").alias("_wanted"))
-    elif len(ids) <= _MAX_LISTED_IDS:
-        return df.where(as_column(id_col).isin(list(ids)))
-    else:
-        wanted = df.sparkSession.createDataFrame([(i,) for i in ids], "_wanted string")
+    """Rows whose id is listed. ``ids`` is a list or a frame with the ids in its first column;
+    ids are compared as texts either way."""
+    as_text = as_column(id_col).cast("string")
+    if not isinstance(ids, DataFrame):
+        listed = [str(i) for i in ids]
+        if isinstance(df.select(as_column(id_col).alias("id")).schema["id"].dataType, IntegralType):
+            # The same comparison in a form that a scan can use: a whole number has one text.
+            whole = [i for i in listed if _WHOLE.fullmatch(i) and abs(int(i)) < 1 << 63]
+            return df.where(as_column(id_col).isin([int(i) for i in whole]))
+        return df.where(as_text.isin(listed))
+    wanted = ids.select(F.col(ids.columns[0]).cast("string").alias("_wanted"))
     # Distinct first: a repeated id is reduced before the shuffle.
-    return df.join(
-        wanted.distinct(), as_column(id_col).cast("string") == F.col("_wanted"), "left_semi"
-    )
+    return df.join(wanted.distinct(), as_text == F.col("_wanted"), "left_semi")
 
 
 def quantiles(df: DataFrame, metric: str, precision: int = 100) -> DataFrame:
@@ -86,13 +89,11 @@ def pending(state: DataFrame, target: str, max_tries: int = 3) -> DataFrame:
 def random_batch(
     df: DataFrame, size: int | None, seed: int | str = 0, id_col: str = "id"
 ) -> DataFrame:
-    """``size`` rows in the repeatable random order of ``seed``; all rows without a size. A
-    small batch is a top-k, a larger one is cut by distributed row numbers."""
+    """``size`` rows in the repeatable random order of ``seed``, cut by distributed row
+    numbers; all rows without a size."""
     if size is None:
         return df
     keyed = df.withColumn("_key", shuffle_key(id_col, seed))
-    if size <= SMALL_ROWS:
-        return keyed.orderBy("_key", as_column(id_col)).limit(size).drop("_key")
     return number_rows(keyed, ["_key", id_col], "_rank").where(F.col("_rank") < size).drop(
         "_key", "_rank"
     )
@@ -121,8 +122,9 @@ def unprocessed(
     """Feed rows that no finished review row covers."""
     if not skip_done:
         return feed
-    done = completed_ids(review, **options).distinct()
-    return feed.join(done, as_column(id_col).cast("string") == F.col("item_id"), "left_anti")
+    done = completed_ids(review, **options).select(blank_if_null("item_id").alias("item_id"))
+    own = blank_if_null(as_column(id_col).cast("string"))
+    return feed.join(done.distinct(), own == F.col("item_id"), "left_anti")
 
 
 def approve_where(review: DataFrame, condition: Column) -> DataFrame:

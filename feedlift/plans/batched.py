@@ -1,7 +1,8 @@
-"""Batched generation of titles or descriptions into a versioned state."""
+"""Batched generation of titles or descriptions into a state table."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,21 +12,21 @@ from pyspark.sql import functions as F
 from feedlift.functions.prompts import BatchWording, batch_prompt
 from feedlift.functions.rows import row_properties
 from feedlift.functions.text import as_column
-from feedlift.operators.answers import answer_rows, first_answers
+from feedlift.operators.answers import asked_products
 from feedlift.operators.generation import Completer, generate_text
-from feedlift.operators.joins import collect_examples, examples_column
-from feedlift.operators.numbering import SMALL_ROWS, number_rows, number_small, pack_chunks
+from feedlift.operators.joins import example_texts
+from feedlift.operators.numbering import number_rows, pack_chunks
 from feedlift.operators.selection import by_ids, in_part, pending, random_batch
-from feedlift.operators.state import merge_answers
 from feedlift.session import materialise, scratch
-from feedlift.sources.tables import VersionedTable
+from feedlift.sources.tables import StateTable
 
 
 @dataclass(frozen=True)
 class BatchOptions:
     """``target`` is ``title`` or ``description``. ``items_per_iteration`` bounds a round, so
     that progress is saved in between; None takes all pending products at once. ``ids``
-    asks for these products once, done or not."""
+    asks for these products once, done or not. ``compact_every`` rounds the answers are
+    merged into a version of the state; runs over parts side by side leave it out."""
 
     target: str
     language: str = "English"
@@ -33,9 +34,10 @@ class BatchOptions:
     items_per_iteration: int | None = None
     parts: int | None = None
     part: int | None = None
-    ids: Sequence[str] | None = None
+    ids: Sequence[str] | DataFrame | None = None
     max_tries: int = 3
     max_iterations: int | None = None
+    compact_every: int | None = None
     seed: int = 0
     wording: BatchWording | None = None
 
@@ -48,29 +50,33 @@ def wanted_rows(state: DataFrame, options: BatchOptions) -> DataFrame:
     return pending(rows, options.target, options.max_tries)
 
 
-def select_batch(
-    state: DataFrame, inputs: DataFrame, options: BatchOptions, round_no: int = 0
-) -> DataFrame:
-    """``id, properties`` of the products of one round, in a random order of its own."""
+def input_rows(inputs: DataFrame) -> DataFrame:
+    """``id, properties`` of the products; of a repeated id one row."""
     rows = inputs.select(
         as_column("id").cast("string").alias("id"),
         row_properties(inputs.columns).alias("properties"),
     )
-    joined = wanted_rows(state, options).select("id").join(rows, "id")
-    return random_batch(joined, options.items_per_iteration, f"{options.seed}.{round_no}")
+    return rows.groupBy("id").agg(F.min("properties").alias("properties"))
+
+
+def select_batch(
+    state: DataFrame, inputs: DataFrame, options: BatchOptions, round_no: int = 0
+) -> DataFrame:
+    """Ids of the products of one round, in a random order of its own."""
+    known = inputs.select(as_column("id").cast("string").alias("id"))
+    ids = wanted_rows(state, options).select("id").distinct().join(known, "id", "left_semi")
+    return random_batch(ids, options.items_per_iteration, f"{options.seed}.{round_no}")
 
 
-def build_prompts(batch: DataFrame, examples: Sequence, options: BatchOptions) -> DataFrame:
-    """``chunk_id, ids, prompt``."""
-    size = options.items_per_iteration
-    number = number_small if size is not None and size <= SMALL_ROWS else number_rows
-    numbered = number(batch, ["id"])
+def build_prompts(
+    ids: DataFrame, inputs: DataFrame, examples: DataFrame | None, options: BatchOptions
+) -> DataFrame:
+    """``chunk_id, ids, prompt``. Only the ids are numbered; the rows of the products come
+    in with the join that gives them their chunk."""
+    numbered = number_rows(ids.select("id"), ["id"]).join(input_rows(inputs), "id")
+    lines = None if examples is None else example_texts(examples, options.target)
     prompt = batch_prompt(
-        options.target,
-        options.language,
-        "properties",
-        examples_column(examples),
-        options.wording,
+        options.target, options.language, "properties", wording=options.wording, lines=lines
     )
     return pack_chunks(numbered, options.items_per_prompt).select(
         "chunk_id", "ids", prompt.alias("prompt")
@@ -80,70 +86,64 @@ def build_prompts(batch: DataFrame, examples: Sequence, options: BatchOptions) -
 def generate_round(
     state: DataFrame,
     inputs: DataFrame,
-    examples: Sequence,
+    examples: DataFrame | None,
     completer: Completer,
     options: BatchOptions,
     round_no: int = 0,
 ) -> DataFrame:
-    """``chunk_id, ids, response`` of one round, written before anything is parsed: the
+    """``chunk_id, ids, response, error`` of one round, written before anything is parsed: the
     model must not be asked again when a later stage is repeated."""
-    batch = select_batch(state, inputs, options, round_no)
-    prompts = build_prompts(batch, examples, options)
-    generated = generate_text(prompts, completer).select("chunk_id", "ids", "response")
+    prompts = build_prompts(select_batch(state, inputs, options, round_no), inputs, examples, options)
+    generated = generate_text(prompts, completer).select("chunk_id", "ids", "response", "error")
     return materialise(generated, "generated")
 
 
-def commit_round(
-    table: VersionedTable, base: int, state: DataFrame, generated: DataFrame, target: str
-) -> tuple[DataFrame, int]:
-    """Merge the answers of a round: the new state and the number of answered products,
-    counted while the state is written. A round without answers writes nothing."""
-    if answer_rows(generated).isEmpty():
-        return state, 0
+def save_round(
+    table: StateTable, generated: DataFrame, target: str, run: str, round_no: int
+) -> tuple[str, int, int]:
+    """Append what a round found out: its folder, the number of products asked for and of those that an
+    answer names, counted while they are written."""
     seen = Observation()
-    answers = first_answers(generated).observe(seen, F.count(F.lit(1)).alias("answered"))
-    return table.commit(merge_answers(state, answers, target), base), seen.get["answered"]
+    rows = asked_products(generated).select(
+        "id", F.lit(target).alias("target"), "text", "error", "named", F.lit(run).alias("run"), F.lit(round_no).alias("round")
+    )
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("asked"), F.count_if("named").alias("answered"))
+    folder = table.append(counted)
+    return folder, seen.get["asked"], seen.get["answered"]
 
 
 def batched_update(
-    table: VersionedTable,
+    table: StateTable,
     inputs: DataFrame,
     examples: DataFrame | None,
     completer: Completer,
     options: BatchOptions,
 ) -> list[int]:
-    """Rounds of generation until nothing is pending; each commits a version of the state.
-    Returns the number of products answered per round.
+    """Rounds of generation until nothing is pending; each appends its answers. Returns the number of
+    products answered per round.
 
-    A product that no answer ever names gains no tries, so a round over all pending
-    products that answers none ends the loop.
+    A product that no answer names gains no tries, and is not asked for again in this run. So each
+    round leaves fewer products or tries, and every run ends. Any number of runs may work on parts of
+    one table side by side.
     """
-    shown = collect_examples(examples) if examples is not None else []
     answered: list[int] = []
-    version = table.latest()
-    state = table.read(version)
+    run = uuid.uuid4().hex
+    folders: list[str] = []
     while options.max_iterations is None or len(answered) < options.max_iterations:
-        if wanted_rows(state, options).isEmpty():
-            break
-        # The state is committed inside; what a round wrote on the way is emptied after it.
+        state = table.read()
+        if folders:
+            silent = table.answers_in(folders).where("not named").select("id")
+            state = state.join(silent, "id", "left_anti")
         with scratch(state.sparkSession):
-            generated = generate_round(
-                state, inputs, shown, completer, options, len(answered)
-            )
-            state, count = commit_round(table, version, state, generated, options.target)
-            version += count > 0
-        answered.append(count)
-        if options.ids is not None:
+            generated = generate_round(state, inputs, examples, completer, options, len(answered))
+            folder, asked, named = save_round(table, generated, options.target, run, len(answered))
+        if not asked:
             break
-        if not count and _round_was_complete(state, inputs, options):
+        answered.append(named)
+        if options.ids is not None:
             break
+        if named < asked:
+            folders.append(folder)
+        if options.compact_every and len(answered) % options.compact_every == 0:
+            table.compact()
     return answered
-
-
-def _round_was_complete(state: DataFrame, inputs: DataFrame, options: BatchOptions) -> bool:
-    size = options.items_per_iteration
-    if size is None:
-        return True
-    known = inputs.select(as_column("id").cast("string").alias("id"))
-    left = wanted_rows(state, options).join(known, "id", "left_semi")
-    return left.agg(F.count("*")).first()[0] <= size

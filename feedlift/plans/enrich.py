@@ -10,7 +10,7 @@ from feedlift.functions.prompts import column_prompt, column_request
 from feedlift.functions.responses import NOT_AVAILABLE, first_candidate_text, request_id
 from feedlift.functions.text import as_column
 from feedlift.operators.generation import Completer, generate_text
-from feedlift.operators.skew import left_join
+from feedlift.operators.joins import left_join, one_per_key
 from feedlift.session import materialise
 from feedlift.sources.feeds import write_csv
 from feedlift.sources.requests import (
@@ -34,28 +34,41 @@ def build_requests(
 
 
 def parse_predictions(predictions: DataFrame, column: str) -> DataFrame:
-    """``id`` and the generated column, read from request and response."""
+    """``id`` and the generated column, read from request and response; with a column ``error``
+    that too, and no value where it is set."""
+    value = first_candidate_text("response")
+    if "error" not in predictions.columns:
+        return predictions.select(request_id("request").alias("id"), value.alias(column))
     return predictions.select(
-        request_id("request").alias("id"), first_candidate_text("response").alias(column)
+        request_id("request").alias("id"), F.when(F.col("error").isNull(), value).alias(column), "error"
     )
 
 
 def join_column(
-    feed: DataFrame, values: DataFrame, column: str, id_col: str = "id", *, mode: str = "fill"
+    feed: DataFrame,
+    values: DataFrame,
+    column: str,
+    id_col: str = "id",
+    *,
+    mode: str = "fill",
+    error_column: str | None = None,
 ) -> DataFrame:
     """Feed with the generated column. ``fill`` keeps the values a feed has already,
     ``replace`` overwrites them. Predictions without an id belong to no product; they
-    would meet in one key and go first."""
+    would meet in one key and go first. Of several predictions for an id one is taken, so a feed
+    keeps its rows. ``error_column`` adds the errors of the failed ones (``error`` of ``values``)."""
+    failed = F.col("error") if "error" in values.columns else F.lit(None).cast("string")
     generated = values.where(F.col("id") != NOT_AVAILABLE).select(
-        F.col("id").alias("_id"), F.col(column).alias("_value")
+        F.col("id").alias("_id"), F.col(column).alias("_value"), failed.alias("_error")
     )
-    joined = left_join(feed, generated, as_column(id_col).cast("string"), "_id")
+    joined = left_join(feed, one_per_key(generated, "_id"), as_column(id_col).cast("string"), "_id")
     value = F.col("_value")
     if mode == "fill" and column in feed.columns:
         old = as_column(column)
         value = F.when(F.coalesce(old, F.lit("")) != "", old).otherwise(value)
     kept = [as_column(c) for c in feed.columns if c != column]
-    return joined.select(*kept, value.alias(column))
+    errors = [F.col("_error").alias(error_column)] if error_column else []
+    return joined.select(*kept, value.alias(column), *errors)
 
 
 def write_batch(
@@ -96,18 +109,21 @@ def enrich_column(
     *,
     meaning: str | None = None,
     mode: str = "fill",
+    error_column: str | None = None,
 ) -> DataFrame:
     """The whole job: requests, answers of a completer that takes the request as JSON and
-    gives the response as JSON, and the feed with the new column."""
+    gives the response as JSON, and the feed with the new column. A product whose call failed has no
+    value, so that a later run fills it, and its error in ``error_column``."""
     requests = build_requests(feed, cfg, column, language, meaning).select(
         F.to_json("request").alias("prompt")
-    )
+    ).distinct()  # a repeated row is asked for once
     answered = materialise(generate_text(requests, completer), "predictions")
     values = parse_predictions(
         answered.select(
             F.from_json("prompt", REQUEST_TYPE).alias("request"),
             F.from_json("response", RESPONSE_TYPE).alias("response"),
+            "error",
         ),
         column,
     )
-    return join_column(feed, values, column, cfg.id_col, mode=mode)
+    return join_column(feed, values, column, cfg.id_col, mode=mode, error_column=error_column)

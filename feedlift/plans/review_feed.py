@@ -68,14 +68,16 @@ def _review(
 ) -> DataFrame:
     page = None
     if page_texts is not None and (cfg.title.use_page_text or cfg.description.use_page_text):
-        feed = join_page_texts(feed, page_texts, cfg.id_col)
+        feed = join_page_texts(feed, page_texts, cfg.id_col, unique=True)
         page = "webpage_content"
     rows = steps.feed_rows(feed.repartition(partitions) if partitions else feed, cfg, page, keep)
-    if cfg.use_images and images is not None:
-        rows = steps.join_images(rows, images)
+    def with_images(df: DataFrame) -> DataFrame:
+        return df if images is None or not cfg.use_images else steps.join_images(df, images)
+
+    # The bytes of an image are in its request; beside it they would be frozen with every answer.
     if cfg.generate_titles:
         asked = generate_text(
-            steps.add_title_prompt(rows, cfg),
+            steps.add_title_prompt(with_images(rows), cfg).drop("image_type", "image_bytes"),
             title_completer,
             "title_prompt",
             "title_response",
@@ -89,7 +91,7 @@ def _review(
         titled = steps.keep_titles(rows)
     if cfg.generate_descriptions:
         asked = generate_text(
-            steps.add_description_prompt(titled, cfg),
+            steps.add_description_prompt(with_images(titled), cfg).drop("image_type", "image_bytes"),
             description_completer,
             "description_prompt",
             "description_response",

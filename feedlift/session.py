@@ -8,6 +8,7 @@ they outlive any executor.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,14 +25,14 @@ _CHECKPOINT_DIR = "spark.checkpoint.dir"
 def workspace(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is read from the session. Only a local session may go without the setting;
-    a folder of this machine is then named for it.
+    It is read from the session. Only a session that runs in this process alone, as in tests,
+    may go without the setting; a folder of this machine is then named for it.
     """
     base = spark.conf.get(_CHECKPOINT_DIR, None)
     if base:
         return base.rstrip("/")
     master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", master):
         raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder that all executors share")
     return _local_folder(spark.sparkContext.applicationId)
 
@@ -71,12 +72,22 @@ def materialise(df: DataFrame, label: str = "frame", *, keep: bool = False) -> D
 def discard(*frames: DataFrame) -> None:
     """Delete what :func:`materialise` wrote for these frames, once nothing reads them any more."""
     for frame in frames:
-        _delete(frame.sparkSession, _paths.pop(frame))
+        delete_path(frame.sparkSession, _paths.pop(frame))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _located(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    store, at = _located(spark, path)
+    store.delete(at, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, at = _located(spark, path)
+    return store.exists(at)
 
 
 @contextmanager
@@ -89,4 +100,4 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _scratches.reset(token)
         for path in written:
-            _delete(spark, path)
+            delete_path(spark, path)

@@ -14,15 +14,16 @@ from feedlift.operators.selection import non_empty_rows
 PAGE_TEXT_SCHEMA = "id string, content string"
 # The image types a model accepts.
 IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
+# The first bytes of such files, in hexadecimal.
+IMAGE_LEADS = {"89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg"}
 
 
 def read_feed_csv(
-    spark: SparkSession, path: str, required: Sequence[str] = (), *, multi_line: bool = True
+    spark: SparkSession, path: str, required: Sequence[str] = (), *, multi_line: bool = False
 ) -> DataFrame:
     """A CSV feed as texts, header first, quotes doubled, wholly empty rows dropped.
 
-    ``multi_line=False`` lets Spark split a large file, for feeds without line breaks in
-    their cells.
+    ``multi_line`` allows line breaks in cells, at the price that Spark cannot split a file.
     """
     feed = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
     missing = [c for c in required if c not in feed.columns]
@@ -57,9 +58,10 @@ def image_links(feed: DataFrame, link_col: str = "image_link") -> DataFrame:
     return feed.select(as_column(link_col)).distinct()
 
 
-def read_page_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Scraped texts ``id, content`` from CSV without a header, quotes doubled."""
-    return spark.read.schema(PAGE_TEXT_SCHEMA).csv(path, multiLine=True, escape='"')
+def read_page_texts(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+    """Scraped texts ``id, content`` from CSV without a header, quotes doubled. ``multi_line``
+    allows line breaks in texts, at the price that Spark cannot split a file."""
+    return spark.read.schema(PAGE_TEXT_SCHEMA).csv(path, multiLine=multi_line, escape='"')
 
 
 def write_page_texts(texts: DataFrame, path: str) -> None:
@@ -70,19 +72,29 @@ def write_page_texts(texts: DataFrame, path: str) -> None:
     ).write.mode("overwrite").csv(path, escape='"', quoteAll=True)
 
 
-def read_images(spark: SparkSession, path: str, *, with_content: bool = False) -> DataFrame:
-    """Image files as ``uri, mime_type, length`` and, when asked, ``content``. Spark does not
-    open the files unless the content is used."""
+def read_images(
+    spark: SparkSession, path: str, *, with_content: bool = False, mime_type: str | None = None
+) -> DataFrame:
+    """All files as ``uri, mime_type, length`` and, when asked, ``content``.
+
+    The type is the given one, or that of the suffix; with the content also that of the leading
+    bytes, for files without a known suffix. It is NULL for files that are no image a model takes.
+    Spark does not open the files unless the content is used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)\z", 1))
     types = F.create_map(*[F.lit(v) for pair in IMAGE_TYPES.items() for v in pair])
+    kind = F.try_element_at(types, suffix)
+    if with_content:
+        for lead, found in IMAGE_LEADS.items():
+            starts = F.hex(F.substring("content", 1, len(lead) // 2)) == lead
+            kind = F.coalesce(kind, F.when(starts, F.lit(found)))
     columns = [
         F.col("path").alias("uri"),
-        F.try_element_at(types, suffix).alias("mime_type"),
+        (kind if mime_type is None else F.lit(mime_type)).alias("mime_type"),
         "length",
         *(["content"] if with_content else []),
     ]
-    return files.select(*columns).where(F.col("mime_type").isNotNull())
+    return files.select(*columns)
 
 
 def write_table(df: DataFrame, path: str) -> None:

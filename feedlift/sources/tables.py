@@ -1,22 +1,27 @@
-"""Versioned tables on plain parquet.
+"""Versioned tables on plain parquet, and the state table of batched generation.
 
 Parquet has no MERGE and a table cannot be overwritten while it is read. Each commit
 writes a whole new version and then one line into the commit log; readers take the
 last version in the log, so a write that breaks off is never seen.
 
-A table has one writer at a time. Every write has a folder of its own, so two writers
-cannot damage each other's data, and a version that was committed twice is an error.
-Runs over parts of a feed that go on side by side need a table each.
+Every write has a folder of its own, so writers cannot damage each other's data. Of two
+commits of one version the one whose folder sorts first counts; the other writer is told.
+A state table also takes appended answers, from any number of writers side by side.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlift.operators.state import merge_log
+from feedlift.session import delete_path, path_exists
+
+ANSWERS = "id string, target string, text string, error string, named boolean, run string, round int"
+
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -24,55 +29,125 @@ class VersionedTable:
         self._path = path.rstrip("/")
 
     def _log(self) -> DataFrame | None:
-        try:
-            return self._spark.read.schema("version long, folder string").json(
-                f"{self._path}/commits"
-            )
-        except AnalysisException as problem:
-            if "PATH_NOT_FOUND" in str(problem):
-                return None
-            raise
-
-    def _entries(self, version: int | None = None) -> list:
-        """Up to two log lines of a version, of the last one by default."""
+        commits = f"{self._path}/commits"
+        if not path_exists(self._spark, commits):
+            return None
+        return self._spark.read.schema("version long, folder string, merged array<string>").json(commits)
+
+    def _entry(self, version: int | None = None):
+        """The line of a version, of the last one by default."""
         log = self._log()
         if log is None:
-            return []
+            return None
         if version is not None:
             log = log.where(F.col("version") == version)
-        lines = log.orderBy(F.desc("version")).take(2)
-        return [line for line in lines if line["version"] == lines[0]["version"]]
+        lines = log.orderBy(F.desc("version"), "folder").take(1)
+        return lines[0] if lines else None
 
     def latest(self) -> int | None:
         """Number of the last committed version."""
-        entries = self._entries()
-        return entries[0]["version"] if entries else None
+        entry = self._entry()
+        return entry["version"] if entry else None
 
     def read(self, version: int | None = None) -> DataFrame:
         """A committed version, the last one by default."""
-        entries = self._entries(version)
-        if not entries:
+        entry = self._entry(version)
+        if entry is None:
             raise FileNotFoundError(f"{self._path} has no committed version {version or ''}")
-        if len(entries) > 1:
-            number = entries[0]["version"]
-            raise RuntimeError(f"version {number} of {self._path} has two writers")
-        return self._spark.read.parquet(f"{self._path}/versions/{entries[0]['folder']}")
+        return self._spark.read.parquet(f"{self._path}/versions/{entry['folder']}")
 
     def commit(self, df: DataFrame, base: int | None = None) -> DataFrame:
         """Write ``df`` as the next version and return it as read back. With ``base``, the
         version that ``df`` was made from, a table that has moved on since is an error."""
+        return self._commit(df, base, [])
+
+    def _commit(self, df: DataFrame, base: int | None, merged: list[str]) -> DataFrame:
         folder = uuid.uuid4().hex
         df.write.parquet(f"{self._path}/versions/{folder}")
         last = self.latest()
         if base is not None and last != base:
             raise RuntimeError(f"{self._path} has moved from version {base} to {last}")
         version = (last or 0) + 1
+        names = F.array(*[F.lit(m) for m in merged]).cast("array<string>")
         line = self._spark.range(version, version + 1, 1, 1).select(
-            F.col("id").alias("version"), F.lit(folder).alias("folder")
+            F.col("id").alias("version"), F.lit(folder).alias("folder"), names.alias("merged")
         )
         line.write.mode("append").json(f"{self._path}/commits")
-        return self.read(version)
+        if self._entry(version)["folder"] != folder:
+            raise RuntimeError(f"version {version} of {self._path} was committed by another writer")
+        return VersionedTable.read(self, version)
 
     def clear(self) -> DataFrame:
         """Commit an empty version of the same schema."""
         return self.commit(self.read().limit(0))
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete the data of all versions but the last ``keep``."""
+        last, log = self.latest(), self._log()
+        if log is None:
+            return
+        for line in log.where(F.col("version") <= last - keep).select("folder").collect():
+            delete_path(self._spark, f"{self._path}/versions/{line['folder']}")
+
+
+class StateTable(VersionedTable):
+    """The state of batched generation: a version of it, and the answers appended since.
+
+    Appending writes only the answers, and writers need not know of each other. ``compact``
+    merges the answers into a new version now and then.
+    """
+
+    def _folders(self) -> list[str]:
+        """Appended folders in order. One line per append comes to the driver."""
+        commits = f"{self._path}/appends"
+        if not path_exists(self._spark, commits):
+            return []
+        lines = self._spark.read.schema("at long, folder string").json(commits)
+        return [r["folder"] for r in lines.orderBy("at", "folder").collect()]
+
+    def _pending(self) -> tuple[list[str], list[str]]:
+        entry = self._entry()
+        done = list(entry["merged"] or []) if entry else []
+        return done, [f for f in self._folders() if f not in done]
+
+    def append(self, answers: DataFrame) -> str:
+        """Save answers (:data:`ANSWERS`); they count once the line in the log is there. The name of
+        their folder."""
+        folder = uuid.uuid4().hex
+        answers.write.parquet(f"{self._path}/answers/{folder}")
+        line = self._spark.range(1).select(F.lit(time.time_ns()).alias("at"), F.lit(folder).alias("folder"))
+        line.coalesce(1).write.mode("append").json(f"{self._path}/appends")
+        return folder
+
+    def answers_in(self, folders: list[str]) -> DataFrame:
+        """Appended answers with ``place``, the order of their folders."""
+        if not folders:
+            return self._spark.createDataFrame([], ANSWERS).withColumn("place", F.lit(0))
+        rows = self._spark.read.schema(ANSWERS).parquet(*[f"{self._path}/answers/{f}" for f in folders])
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        places = F.array(*[F.lit(f) for f in folders])
+        return rows.withColumn("place", F.array_position(places, name).cast("int"))
+
+    def answers(self) -> DataFrame:
+        """Answers that no version holds yet."""
+        return self.answers_in(self._pending()[1])
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The state as of now; with ``version`` that version without later answers."""
+        base = super().read(version)
+        later = self._pending()[1]
+        return base if version is not None or not later else merge_log(base, self.answers_in(later))
+
+    def commit(self, df: DataFrame, base: int | None = None) -> DataFrame:
+        """A new version in place of the last one and all answers so far."""
+        done, later = self._pending()
+        return self._commit(df, base, [*done, *later])
+
+    def compact(self) -> DataFrame:
+        """Merge the answers so far into a new version. Answers appended meanwhile stay."""
+        done, later = self._pending()
+        if not later:
+            return super().read()
+        version = self.latest()
+        merged = merge_log(super().read(version), self.answers_in(later))
+        return self._commit(merged, version, [*done, *later])

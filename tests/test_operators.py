@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlift.functions.prompts import batch_prompt, column_prompt, few_shot_block, page_text_section
-from feedlift.operators import joins, numbering, selection, skew
+from feedlift.operators import joins, numbering, selection
 from feedlift.operators.answers import first_answers
 from feedlift.operators.pages import page_div_texts, page_texts
 from feedlift.operators.state import merge_answers
@@ -112,6 +112,12 @@ def test_completed_ids_and_the_retry_option(spark):
     assert left(skip_done=False) == [1, 2, 3, 4, 5]
 
 
+def test_blank_ids_are_done_once_reviewed(spark):
+    review = spark.createDataFrame([("", "Success"), ("1", "Success")], "item_id string, status string")
+    feed = spark.createDataFrame([(None,), ("",), ("1",), ("2",)], "id string")
+    assert [r.id for r in selection.unprocessed(feed, review).collect()] == ["2"]
+
+
 def test_separate_tries(spark):
     state = selection.init_state(spark.range(2), separate_tries=True)
     assert state.columns == ["id", "title", "description", "title_tries", "description_tries"]
@@ -123,17 +129,18 @@ def test_separate_tries(spark):
 # --- joins -------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot_rows", [0, 10**9])
-def test_left_join_has_the_same_rows_in_both_forms(spark, hot_rows):
+def test_left_join_and_one_row_per_key(spark):
     left = spark.createDataFrame(
         [("a", 1), ("a", 2), ("b", 3), ("c", 4), (None, 5)], "k string, n int"
     )
     right = spark.createDataFrame(
         [("a", "x"), ("a", "y"), ("b", None), ("d", "z"), (None, "q")], "_r string, v string"
     )
-    found = skew.left_join(left, right, F.col("k"), "_r", hot_rows)
+    found = joins.left_join(left, right, F.col("k"), "_r")
     assert found.columns == ["k", "n", "v"]
     assert rows(found) == rows(left.join(right, F.col("k") == F.col("_r"), "left").drop("_r"))
+    single = joins.left_join(left, joins.one_per_key(right, "_r"), F.col("k"), "_r")
+    assert single.count() == left.count()
 
 
 def like(text, pattern):
@@ -159,9 +166,10 @@ def test_containing_join_equals_like(spark):
     for i, link in enumerate(links):
         hits = [j for j, n in enumerate(names) if link is not None and like(link, f"%{n}%")]
         want.update([(i, link, f"d{j}") for j in hits] or [(i, link, None)])
-    found = joins.join_images_containing(feed, images)
-    assert rows(found) == want
-    plan = plan_of(found)
+    assert rows(joins.join_images_containing(feed, images, allow_bare=True)) == want
+    with pytest.raises(Exception, match="wildcards alone"):
+        joins.join_images_containing(feed, images).collect()
+    plan = plan_of(joins.join_images_containing(feed, images))
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
@@ -180,13 +188,27 @@ def test_name_join_ignores_query_and_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan_of(found)
 
 
-def test_examples_beyond_a_prompt_are_an_error(spark):
-    df = spark.range(5).select(
+def test_any_number_of_examples_by_id(spark):
+    df = spark.range(3000).select(
         F.col("id").cast("string"), *[F.lit("x").alias(c) for c in ("properties", "title", "description")]
     )
-    assert len(joins.collect_examples(df)) == 5
-    with pytest.raises(ValueError, match="prompt"):
-        joins.collect_examples(df, limit=4)
+    shown = joins.collected_examples(df).first().examples
+    assert [e.id for e in shown] == sorted(str(i) for i in range(3000))
+    inputs, outputs = joins.example_texts(df, "title")
+    made = spark.range(2).select(inputs.alias("i"), outputs.alias("o")).first()
+    assert made.i == "\n".join(["x"] * 3000) and made.o.startswith("0: x\n1: x\n10: x")
+    assert joins.collected_examples(df.limit(0)).first().examples == []
+
+
+def test_ids_are_compared_as_texts_in_lists_of_any_length(spark):
+    numbers = spark.range(3000).select("id")
+    texts = numbers.select(F.col("id").cast("string"))
+    short, long = ["007", "8", "z"], ["007", "8", "z", *map(str, range(1000, 3000))]
+    for df in (numbers, texts):
+        assert [str(r.id) for r in selection.by_ids(df, short).collect()] == ["8"]
+        assert selection.by_ids(df, long).count() == 2001
+        wanted = spark.createDataFrame([(i,) for i in long], "x string")
+        assert rows(selection.by_ids(df, wanted)) == rows(selection.by_ids(df, long))
 
 
 def test_literal_examples(spark):
@@ -216,7 +238,7 @@ def test_batch_prompt_sections(spark):
         batch_prompt("description", "German", props, F.array(one)).alias("d"),
         batch_prompt("title", "German", props).alias("n"),
     ).first()
-    assert "one title in German" in made.t
+    assert "Answer in German" in made.t
     assert "\n7: A title\n" in made.t and '{"x":1}' in made.t
     # A missing text gives an empty line, a missing product as well; nothing turns NULL.
     assert "p1\n\np2" in made.t
@@ -229,7 +251,7 @@ def test_other_prompt_parts(value):
     assert value(few_shot_block(e, ["keys"])) == "Context: {}\nkeys: a | b"
     assert value(page_text_section(F.lit("t"))) == "Website: t\n\n"
     assert value(page_text_section(F.lit(None).cast("string"))) == ""
-    assert "stands for the hue" in column_prompt("colour", "English", "the hue")
+    assert "holds the hue" in column_prompt("colour", "English", "the hue")
 
 
 # --- answers and pages -------------------------------------------------------------

@@ -7,9 +7,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from feedlift.operators import export, selection
+from feedlift.operators import export, joins, selection
 from feedlift.operators.answers import first_answers
 from feedlift.operators.state import merge_answers
+from feedlift.plans.enrich import join_column
+from feedlift.sources import feeds
 from tests.conftest import plan_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,9 +53,48 @@ def test_pending_rows_are_filtered_in_the_scan(spark, tmp_path):
     assert "description" not in read_schemas(plan)[0]
 
 
-def test_small_batches_are_a_top_k(lines):
-    batch = selection.random_batch(lines.select("l_orderkey"), 100, 1, "l_orderkey")
-    assert "TakeOrderedAndProject" in plan_of(batch)
+@pytest.mark.parametrize("size", [100, 5000])
+def test_batches_of_any_size_are_cut_by_row_numbers(lines, size):
+    batch = selection.random_batch(lines.select("l_orderkey"), size, 1, "l_orderkey")
+    assert "TakeOrderedAndProject" not in plan_of(batch)
+    assert batch.count() == size
+
+
+def test_building_a_join_starts_no_job(spark, lines):
+    feed = lines.select(F.col("l_orderkey").cast("string").alias("id"), F.lit("u/a.png").alias("image_link"))
+    texts = lines.select(F.col("l_partkey").cast("string").alias("id"), F.lit("x").alias("content"))
+    images = lines.select(F.lit("g/a.png").alias("uri"), F.lit("d").alias("description"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans only")
+    try:
+        joins.join_page_texts(feed, texts)
+        joins.join_images_by_name(feed, images)
+        joins.join_images_containing(feed, images)
+        export.full_feed(feed.withColumn("title", F.lit("t")).withColumn("description", F.lit("d")), selection.init_state(feed))
+        join_column(feed, texts.withColumnRenamed("content", "colour"), "colour")
+        assert not tracker.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_links_are_cut_into_few_pieces(spark):
+    link = "https://shop.example/" + "abcdefgh/" * 12 + "x.png"
+    feed = spark.createDataFrame([(1, link)], "id int, image_link string")
+    names = [(f"gs://b/{'n' * k}{k}.png", "d") for k in range(9, 50)]
+    images = spark.createDataFrame([*names, ("gs://b/x.png", "hit")], "uri string, description string")
+    lengths = F.array(*[F.lit(k) for k in range(1, joins._GRAM + 1)])
+    assert feed.select(F.size(joins._grams(F.col("image_link"), lengths)).alias("n")).first().n <= joins._GRAM * len(link)
+    assert [r.image_description for r in joins.join_images_containing(feed, images).collect()] == ["hit"]
+
+
+def test_page_text_files_are_split(spark, tmp_path):
+    rows = spark.range(20_000).select("id", F.repeat(F.lit("text "), 40).alias("content")).coalesce(1)
+    feeds.write_page_texts(rows, str(tmp_path / "p"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        assert feeds.read_page_texts(spark, str(tmp_path / "p")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_merge_shuffles_each_side_once(spark, no_broadcast):

@@ -13,12 +13,13 @@ from feedlift.config import FeedConfig, TitleSettings
 from feedlift.functions import scoring as s
 from feedlift.operators import review as steps
 from feedlift.operators.selection import approve_where
-from feedlift.operators.export import attribute_keys, export_approved
+from feedlift.operators.export import attribute_keys, export_approved, utc_text
 from feedlift.operators.generation import ExpressionCompleter
 from feedlift.plans.review_feed import review_feed
 
-OLD = "2XU Men's Swim Compression Long Sleeve Top"
-TEXT = OLD + ", lightweight, breathable PWX fabric, UPF 50+ protects you from the sun."
+# Products of our own making.
+OLD = "Halvard Garden Folding Chair With Armrests"
+TEXT = OLD + ", light frame of oiled acacia, seat of quick drying canvas."
 
 
 def answer(original, keys, values, replaced="", title=""):
@@ -41,17 +42,17 @@ def review(spark, row, response, cfg=CONFIG, description=None):
     )
 
 
-BRAND_TO_TYPE = "Brand | Gender | Category | Product Type"
+BRAND_TO_TYPE = "Brand | Place | Category | Product Type"
 BASE = {
     "id": "1",
     "title": OLD,
     "description": TEXT,
-    "Brand": "2XU",
-    "Gender": "Men's",
-    "Category": "Swim Compression",
-    "Size": "Size M",
-    "Color": "Black",
-    "Material": "PWX Fabric",
+    "Brand": "Halvard",
+    "Place": "Garden",
+    "Category": "Folding",
+    "Height": "Height 46cm",
+    "Finish": "Walnut",
+    "Material": "Acacia",
 }
 
 
@@ -59,21 +60,21 @@ BASE = {
     ("change", "keys", "values", "score"),
     [
         # A feature that no column mentions counts as invented.
-        ({}, BRAND_TO_TYPE + " | Size | Protection",
-         "2XU | Men's | Swim Compression | Long Sleeve Top | Size M | UV Protection", -1.0),
-        # "Long Sleeve" is lost.
-        ({}, BRAND_TO_TYPE + " | Size", "2XU | Men's | Swim Compression | Top | Size M", -0.5),
-        # Only the size is added.
-        ({}, BRAND_TO_TYPE + " | Size",
-         "2XU | Men's | Swim Compression | Long Sleeve Top | Size M", 0.5),
-        # Size added and colour gap filled, the colour being named elsewhere in the row.
-        ({"Color": "", "Image Notes": "black top"}, BRAND_TO_TYPE + " | Color | Size",
-         "2XU | Men's | Swim Compression | Long Sleeve Top | Black | Size M", 1.0),
+        ({}, BRAND_TO_TYPE + " | Height | Weather",
+         "Halvard | Garden | Folding | Chair With Armrests | Height 46cm | Rainproof", -1.0),
+        # "With Armrests" is lost.
+        ({}, BRAND_TO_TYPE + " | Height", "Halvard | Garden | Folding | Chair | Height 46cm", -0.5),
+        # Only the height is added.
+        ({}, BRAND_TO_TYPE + " | Height",
+         "Halvard | Garden | Folding | Chair With Armrests | Height 46cm", 0.5),
+        # Height added and finish gap filled, the finish being named elsewhere in the row.
+        ({"Finish": "", "Notes": "walnut stain"}, BRAND_TO_TYPE + " | Finish | Height",
+         "Halvard | Garden | Folding | Chair With Armrests | Walnut | Height 46cm", 1.0),
         # A filled gap is no part of the vocabulary by itself.
-        ({"Color": ""}, BRAND_TO_TYPE + " | Color | Size",
-         "2XU | Men's | Swim Compression | Long Sleeve Top | Black | Size M", -1.0),
+        ({"Finish": ""}, BRAND_TO_TYPE + " | Finish | Height",
+         "Halvard | Garden | Folding | Chair With Armrests | Walnut | Height 46cm", -1.0),
         # Nothing changed.
-        ({}, BRAND_TO_TYPE, "2XU | Men's | Swim Compression | Long Sleeve Top", 0.0),
+        ({}, BRAND_TO_TYPE, "Halvard | Garden | Folding | Chair With Armrests", 0.0),
     ],
 )
 def test_documented_title_scores(spark, change, keys, values, score):
@@ -92,22 +93,22 @@ def test_score_table(value):
 def test_new_attribute_is_extracted_and_prefixed(spark):
     row = {
         "id": "1",
-        "title": "ASICS Women's Performance Running Capri Tight",
+        "title": "Tolva Kitchen Stoneware Mug Speckled",
         "description": "d",
-        "Brand": "ASICS",
-        "Gender": "Women's Performance",
+        "Brand": "Tolva",
+        "Room": "Kitchen",
     }
     text = answer(
-        "Brand | Gender | Product Type",
-        "Brand | Gender | Product Type | Fit",
-        "ASICS | Women's Performance | Running Capri | Tight",
+        "Brand | Room | Product Type",
+        "Brand | Room | Product Type | Glaze",
+        "Tolva | Kitchen | Stoneware Mug | Speckled",
     )
     reviewed = review(spark, row, text)
-    assert reviewed.first().gap_attributes == '{"Fit":"Tight"}'
-    assert [tuple(r) for r in attribute_keys(reviewed).collect()] == [("Fit", "new", 0)]
-    export = export_approved(reviewed, FeedConfig(new_attribute_prefix="made-"))
-    assert export.columns == ["modified_at", "Item ID", "Title", "Description", "made-Fit"]
-    assert export.first()["made-Fit"] == "Tight"
+    assert reviewed.first().gap_attributes == '{"Glaze":"Speckled"}'
+    assert [tuple(r) for r in attribute_keys(reviewed).collect()] == [("Glaze", "new", None)]
+    export = export_approved(reviewed, FeedConfig(new_attribute_prefix="made-"), layout="wide")
+    assert export.columns == ["modified_at", "Item ID", "Title", "Description", "made-Glaze"]
+    assert export.first()["made-Glaze"] == "Speckled"
 
 
 @pytest.mark.parametrize(
@@ -324,30 +325,45 @@ def test_failed_rows_only_carry_their_error(spark):
 
 def test_nothing_is_approved_gives_no_export(spark):
     rejected = approve_where(review(spark, BASE, "x"), F.lit(False))
-    assert export_approved(rejected) is None
+    assert export_approved(rejected, layout="wide") is None
+    assert export_approved(rejected).isEmpty()
 
 
-def test_wide_export_refuses_what_does_not_fit(spark, monkeypatch):
-    from feedlift.operators import export
+def test_stamps_are_utc_in_any_session(spark):
+    stamps = ["2024-03-10T02:30:00.007Z", "2024-11-03T05:59:59.999Z", "1969-12-31T23:59:59.999Z", "2024-02-29T00:00:00.000Z"]
+    for zone in ("UTC", "America/New_York", "America/Sao_Paulo", "Pacific/Apia"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = [spark.range(1).select(utc_text(F.lit(x).cast("timestamp")).alias("t")).first().t for x in stamps]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got == stamps
 
-    monkeypatch.setattr(export, "MAX_ATTRIBUTE_COLUMNS", 1)
+
+def test_columns_keep_the_order_of_first_mention_in_wide_rows(spark):
+    keys = [f"k{i:05d}" for i in range(5000)]
+    rows = [(1, "{" + ",".join(f'"{k}":"v"' for k in keys) + "}"), (2, '{"early":"v"}')]
+    review = spark.createDataFrame([(p, g, True, "{}") for p, g in rows], "pos long, gap_attributes string, approval boolean, original_input string")
+    found = sorted(attribute_keys(review, "pos").collect(), key=lambda k: k["place"])
+    assert [k["key"] for k in found] == [*keys, "early"]
+
+
+def test_attributes_go_into_maps(spark):
     text = answer("title", "title | Fit | Cut", "a b | slim | long")
     reviewed = review(spark, {"id": "1", "title": "slim long a b", "description": "d"}, text)
     rows = approve_where(reviewed, F.lit(True))
-    with pytest.raises(ValueError, match="layout"):
-        export_approved(rows)
-    found = export_approved(rows, layout="map").first()
+    found = export_approved(rows).first()
     assert found.new_attributes == {"Fit": "slim", "Cut": "long"}
 
 
 def test_export_columns_that_only_differ_in_case(spark, tmp_path):
     text = answer("title", "title | fit | Fit | Title", "a b | slim | long | c")
     reviewed = review(spark, {"id": "1", "title": "slim long c a b", "description": "d"}, text)
-    export = export_approved(approve_where(reviewed, F.lit(True)))
+    export = export_approved(approve_where(reviewed, F.lit(True)), layout="wide")
     assert export.columns[4:] == ["new-Fit", "new-Title", "new-fit_2"]
     export.write.parquet(str(tmp_path / "e"))
     cfg = FeedConfig(new_attribute_prefix="")
-    export = export_approved(approve_where(reviewed, F.lit(True)), cfg)
+    export = export_approved(approve_where(reviewed, F.lit(True)), cfg, layout="wide")
     assert export.columns[4:] == ["Fit", "Title_2", "fit_2"]
     row = export.first()
     assert (row["Fit"], row["Title_2"], row["fit_2"]) == ("long", "c", "slim")
