@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from feedlift.functions.html import rule_text
 from feedlift.functions.prompts import batch_prompt, column_prompt, few_shot_block, page_text_section
 from feedlift.operators import joins, numbering, selection
 from feedlift.operators.answers import first_answers
@@ -292,6 +293,34 @@ def test_page_texts(spark):
     assert found == {"1": "three one <b>two</b> kept", "2": '{"p":1}', "3": ""}
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # From the first bracket to the last one of the line.
+        ("<span>a</span><span>b</span>", "a</span><span>b"),
+        # Spans go before paragraphs, whatever their order on the page.
+        ("<p>q</p>\n<span class='x'>s</span>", "s q"),
+        # A paragraph that ends on another line has no last bracket.
+        ("<p>x\n</p>", ""),
+        # The head goes to its last end tag.
+        ("<head><p>h</p></head><p>b</p></head>\n<p>c</p>", "c"),
+        # Cut to the end of the line, not to the end tag.
+        ("<iframe src='1'></iframe><p>gone</p>\n<p>stay</p>", "stay"),
+        ("<p>a</p><svg x='1'><p>gone</p>\n<path d='m'/>\n<p>b</p>", "a b"),
+        # The sign after the tag decides: none of its own letters.
+        ("<scripts><p>kept</p>", "kept"),
+        ("<a a='1'><p>kept</p>", "kept"),
+        ("<a b='1'><p>gone</p>", ""),
+        ("<pp>not a paragraph</pp>", ""),
+        # Other line ends count as well.
+        ("<p>a</p>\u2028<p>b</p>\r<p>c</p>", "a b c"),
+        ("", ""),
+    ],
+)
+def test_page_rules(value, html, text):
+    assert value(rule_text(F.lit(html))) == text
+
+
 def test_div_texts(spark):
     html = (
         '<div class="a b">x<br>y<div class="a">in\r\nner</div><script>no</script><!-- no --></div>'
@@ -300,3 +329,5 @@ def test_div_texts(spark):
     pages = spark.createDataFrame([("1", html), ("2", None)], "id string, html string")
     found = {r.id: r.content for r in page_div_texts(pages, "a").collect()}
     assert found == {"1": "xyin ner in ner z & w", "2": None}
+    others = spark.createDataFrame([("1", "<p>none</p>"), ("2", '<div class="&#97;">coded</div>')], "id string, html string")
+    assert {r.id: r.content for r in page_div_texts(others, "a").collect()} == {"1": "", "2": "coded"}
