@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 _NEVER = 1 << 40  # later than every merge
 SLICE = 1 << 20
-MAX_STEPS, MAX_PIECES = 500_000, 250_000
+MAX_STEPS, MAX_PIECES, MAX_PAIRS = 500_000, 250_000, 150_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -51,7 +52,7 @@ class Merges:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self._edges: dict[int, tuple[tuple, tuple]] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}  # by both tokens in one number
 
     def merged(self, data: bytes, below: int = _NEVER) -> list[bytes]:
         """Plain merging, lowest rank first, leftmost of equals, with ranks under ``below``."""
@@ -85,7 +86,7 @@ class Merges:
 
     def apart(self, a: int, b: int) -> bool:
         """True if merging the bytes of both tokens together gives these two tokens again."""
-        known = self._apart.get((a, b))
+        known = self._apart.get(a << 24 | b)
         if known is None:
             ranks, known = self.ranks, True
             for x, x_until in self.edges(a)[1]:
@@ -97,75 +98,95 @@ class Merges:
                         break
                 if not known:
                     break
-            if len(self._apart) >= MAX_STEPS:
+            if len(self._apart) >= MAX_PAIRS:
                 self._apart.clear()
-            self._apart[a, b] = known
+            self._apart[a << 24 | b] = known
         return known
 
 
 class Transducer:
-    """Encoder of one piece. ``steps[state + byte]`` is (next state, tokens emitted); states are
-    numbered in steps of 256."""
+    """Encoder of one piece.
 
-    START = ((-1, 0, ()),)
+    A state is one flat tuple of numbers: for each open token the token before, its place in the trie, how
+    many tokens it owes, and these. The first one is the split that ends here. ``steps[state + byte]`` is the next state
+    and, in the bits above, which of the ``emits`` comes out; states are numbered in steps of 256."""
+
+    START = (-1, 0, 0)
+    _NEXT = (1 << 40) - 1
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self._trie: list[dict[int, int]] = [{}]
-        self._token: list[int] = [-1]  # at a place of the trie
+        self._trie: dict[int, int] = {}  # by place * 256 + byte
+        token_at, inner = array("i", [-1]), bytearray(1)
         for token, rank in merges.ranks.items():
             at = 0
             for byte in token:
-                to = self._trie[at].get(byte)
+                to = self._trie.get(at << 8 | byte)
                 if to is None:
-                    to = self._trie[at][byte] = len(self._trie)
-                    self._trie.append({})
-                    self._token.append(-1)
+                    to = self._trie[at << 8 | byte] = len(token_at)
+                    token_at.append(-1)
+                    inner.append(0)
+                inner[at] = 1
                 at = to
-            self._token[at] = rank
+            token_at[at] = rank
+        self._token, self._inner = token_at, inner  # at a place: its token, and whether longer ones go on
         self._reset()
 
     def _reset(self) -> None:
         self._ids = {self.START: 0}
         self._states = [self.START]
-        self._steps: dict[int, tuple[int, tuple]] = {}
-        self._owed: list[tuple] = [()]
+        self._steps: dict[int, int] = {}
+        self._emits: list[tuple[int, ...]] = [()]
+        self._emit_ids: dict[tuple[int, ...], int] = {(): 0}
+
+    def _owed(self, state: int) -> tuple[int, ...]:
+        """What is left to come out if the piece ends here."""
+        key = self._states[state >> 8]
+        return key[3 : 3 + key[2]]
 
-    def _make(self, state: int, byte: int) -> tuple[int, tuple]:
+    def _make(self, state: int, byte: int) -> int:
         open_tokens, done = [], None
-        for before, place, owed in self._states[state >> 8]:
-            to = self._trie[place].get(byte)
+        for before, place, owed in _open_tokens(self._states[state >> 8]):
+            to = self._trie.get(place << 8 | byte)
             if to is None:
                 continue
             token = self._token[to]
             if token >= 0 and done is None and (before < 0 or self.merges.apart(before, token)):
                 done = (token, 0, (*owed, token))
-            if self._trie[to]:
+            if self._inner[to]:
                 open_tokens.append((before, to, owed))
-        open_tokens.append(done)
+        open_tokens.insert(0, done)
         owed = [x[2] for x in open_tokens]
         shared = 0
         for tokens in zip(*owed):
             if tokens.count(tokens[0]) < len(tokens):
                 break
             shared += 1
-        emitted = owed[0][:shared]
-        new = tuple((before, place, rest[shared:]) for before, place, rest in open_tokens)
-        to = self._ids.get(new)
+        new: list[int] = []
+        for before, place, rest in open_tokens:
+            new += (before, place, len(rest) - shared, *rest[shared:])
+        key = tuple(new)
+        to = self._ids.get(key)
         if to is None:
-            to = self._ids[new] = len(self._states) << 8
-            self._states.append(new)
-            self._owed.append(new[-1][2])
-        step = self._steps[state + byte] = (to, emitted)
+            to = self._ids[key] = len(self._states) << 8
+            self._states.append(key)
+        emitted = owed[0][:shared]
+        out = self._emit_ids.get(emitted)
+        if out is None:
+            out = self._emit_ids[emitted] = len(self._emits)
+            self._emits.append(emitted)
+        step = self._steps[state + byte] = to | out << 40
         return step
 
     def emit(self, piece: bytes) -> Iterator[tuple]:
         """Tokens of the piece in the portions in which they become certain."""
         state = 0
         for byte in piece:
-            state, tokens = self._steps.get(state + byte) or self._make(state, byte)
-            yield tokens
-        yield self._owed[state >> 8]
+            step = self._steps.get(state + byte)
+            step = self._make(state, byte) if step is None else step
+            state = step & self._NEXT
+            yield self._emits[step >> 40]
+        yield self._owed(state)
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.merges.ranks.get(piece)  # a token is never cut, made by merges or not
@@ -173,13 +194,27 @@ class Transducer:
             return (whole,)
         if len(self._steps) > MAX_STEPS:
             self._reset()
-        step, state, out = self._steps.get, 0, []
+        steps, emits, below, state, out = self._steps, self._emits, self._NEXT, 0, []
         for byte in piece:  # emit(), in one go
-            state, tokens = step(state + byte) or self._make(state, byte)
-            if tokens:
-                out += tokens
-        out += self._owed[state >> 8]
-        return tuple(out)
+            step = steps.get(state + byte)
+            if step is None:
+                step = self._make(state, byte)
+            if step > below:
+                out += emits[step >> 40]
+                state = step & below
+            else:
+                state = step
+        key = self._states[state >> 8]
+        return (*out, *key[3 : 3 + key[2]])
+
+
+def _open_tokens(state: tuple[int, ...]) -> list[tuple[int, int, tuple[int, ...]]]:
+    out, at = [], 0
+    while at < len(state):
+        end = at + 3 + state[at + 2]
+        out.append((state[at], state[at + 1], state[at + 3 : end]))
+        at = end
+    return out
 
 
 class Codec(dict):
