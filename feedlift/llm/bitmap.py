@@ -8,8 +8,9 @@ join that decides. A set too large for the bitmap drops less and loses nothing.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 25
@@ -41,3 +42,12 @@ def maybe_in(bitmap: bytes, hashes: np.ndarray) -> np.ndarray:
     rest = np.flatnonzero(found)
     found[rest] = at(hashes[rest] >> np.uint64(64 - BITS))
     return found
+
+
+def possible(bitmap: Broadcast, hashes: Column | str) -> Column:
+    """The same as a column, of a column of longs that is never null."""
+
+    def test(values: pa.Array) -> pa.Array:
+        return pa.array(maybe_in(bitmap.value, values.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return F.arrow_udf(test, "boolean")(hashes)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlift.llm import arrays, runs
-from feedlift.llm.bitmap import bitmap_of, maybe_in
+from feedlift.llm.bitmap import bitmap_of, maybe_in, possible
 from feedlift.llm.components import components
 from feedlift.llm.frames import buckets, keyed
 from feedlift.session import discard, materialise
@@ -181,11 +181,7 @@ def _verified(pairs: DataFrame, members: DataFrame, rows: DataFrame, words: int,
     near = materialise(near, "jaccard-pairs")
     wanted = near.select(F.col("key_a").alias("key")).union(near.select(F.col("key_b").alias("key"))).distinct()
     bitmap = bitmap_of(wanted, "key")
-
-    def maybe(keys: pa.Array) -> pa.Array:
-        return pa.array(maybe_in(bitmap.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
-
-    texts = rows.select("key", "text").filter(F.arrow_udf(maybe, "boolean")("key"))
+    texts = rows.select("key", "text").filter(possible(bitmap, "key"))
     texts = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
     text = lambda s: texts.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}"))
     linked = F.arrow_udf(lambda a, b: _linked(a, b, words, percent), "boolean")

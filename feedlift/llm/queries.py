@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlift.llm.frames import small_batches
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,6 +19,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -27,7 +30,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     judged = quality.judged(docs, quality.fit(docs, table(spark, folder, "labels")))
     counts = [f"stats.{n}" for n in quality.COUNTS[:5]]
-    return judged.select("doc_id", *counts, "base_failed", "kept", "anomaly")
+    return judged.select("doc_id", *counts, "base_failed", "kept", "stats.anomaly")
 
 
 @query
@@ -95,6 +98,7 @@ def op8_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents are counted; those labelled toxic are taken out; those labelled poor are counted anew by a
     later tokenizer; one batch is delivered twice."""
     from feedlift.llm import rollup
+    from feedlift.llm.bitmap import bitmap_of, possible
     from feedlift.session import new_path
 
     docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
@@ -103,8 +107,12 @@ def op8_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
     counts.apply("load", rollup.counts(docs, "words-1", rollup.words_1("text")))
     toxic = rollup.deletes(labels.filter("toxic = 1").select("doc_id"), "words-1")
     counts.apply("take-down", toxic)
-    poor = docs.join(labels.filter("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
-    moved = rollup.deletes(poor, "words-1").unionByName(rollup.counts(poor, "words-2", rollup.words_2("text")))
+    poor = labels.filter("quality = 0 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
+    # Only texts that may be among them are shuffled.
+    hashed = F.xxhash64(F.col("doc_id").cast("long"))
+    some = docs.filter(possible(bitmap_of(poor.select(hashed.alias("key")), "key"), hashed))
+    recounted = rollup.counts(some.join(poor, "doc_id", "left_semi"), "words-2", rollup.words_2("text"))
+    moved = rollup.deletes(recounted, "words-1").unionByName(recounted)
     counts.apply("recount", moved)
     counts.apply("take-down", toxic)
     return counts.totals()

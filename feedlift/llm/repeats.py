@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlift.llm import arrays, runs
-from feedlift.llm.bitmap import bitmap_of, maybe_in
+from feedlift.llm.bitmap import bitmap_of, possible
 from feedlift.llm.frames import buckets, keyed
 from feedlift.session import discard, materialise
 
@@ -184,11 +184,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     )
     opened = materialise(opened, "graph-opened")
     bitmap = bitmap_of(opened, "key")
-
-    def maybe(keys: pa.Array) -> pa.Array:
-        return pa.array(maybe_in(bitmap.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
-
-    texts = rows.select("key", "text").filter(F.arrow_udf(maybe, "boolean")("key"))
+    texts = rows.select("key", "text").filter(possible(bitmap, "key"))
     texts = texts.join(opened.hint("shuffle_hash"), "key").select("key", "text", "starts", "sizes")
     kind = "hash long, second long, member long, start int, single boolean"
     windows = materialise(texts.mapInArrow(lambda b: _windows(b, window), kind), "graph-windows")
