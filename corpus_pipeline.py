@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlift.llm import decontaminate, jaccard, line_dedup, quality
-from feedlift.llm.frames import ROW, packed, unpacked
+from feedlift.llm.frames import ROW, packed, small_batches, unpacked
 from feedlift.llm.queries import table, tokenizer
 from feedlift.session import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the isolation forest accept. The forest learns from labelled ones among them."""
+    small_batches(spark)
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
     judged = quality.judged(packed(docs), forest, f"{ROW}.text")
     return unpacked(judged.filter("kept"))
@@ -24,6 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that others repeat. A column ``n_chars`` follows the text."""
+    small_batches(spark)
     rows = line_dedup.with_bitmaps(packed(docs), line_dedup.keep_bitmaps(docs))
     text = F.when(F.col("keep_bitmap").isNull(), F.col(f"{ROW}.text")).otherwise(line_dedup.kept_text(f"{ROW}.text", "keep_bitmap"))
     row = F.col(ROW).withField("text", F.col("new_text"))
@@ -34,6 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
+    small_batches(spark)
     groups = jaccard.similar(docs).groupBy("key").agg(F.max("first").alias("first"), F.count("*").alias("copies"))
     rows = packed(docs).join(groups.filter("first").drop("first").hint("shuffle_hash"), "key")
     repeated = rows.filter("copies > 1").dropDuplicates(["key"])
@@ -42,12 +45,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    small_batches(spark)
     leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("key").distinct()
     return unpacked(packed(docs).join(leaks, "key", "left_anti"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of what is left, encoded and decoded again."""
+    small_batches(spark)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.select("doc_id", tokenizer(spark).digests("text").alias("d")).select("doc_id", "d.*")
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MASK = (1 << 64) - 1
 
 IS_SPACE = np.zeros(256, bool)

@@ -27,7 +27,6 @@ import codecs
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -263,7 +262,6 @@ class Codec(dict):
         yield machine.decode(b"", final=True)
 
 
-@lru_cache(maxsize=4)
 def codec(raw: bytes, pattern: str) -> Codec:
     return Codec(read_ranks(raw), pattern)
 
@@ -281,8 +279,10 @@ class Tokenizer:
     def _column(self, f, kind: str, column: Column | str) -> Column:
         raw, pattern = self._raw, self._pattern
 
-        def run(values: pa.Array) -> pa.Array:
-            return f(codec(raw.value, pattern), values)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            own = codec(raw.value, pattern)  # its tables go when the task ends: workers live on
+            for values in batches:
+                yield f(own, values)
 
         return F.arrow_udf(run, kind)(column)
 

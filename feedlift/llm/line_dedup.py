@@ -105,11 +105,13 @@ def keep_bitmaps(
     order = [F.col("doc_id").desc_nulls_last(), F.col("member")]
     stream = materialise(runs.repeated(found, ["hash"], order, min_docs, buckets(found)), "line-runs")
     lost = runs.settled(stream, ["hash"], min_docs).filter(F.col("member") != F.col("first_member"))
-    return (
+    bitmaps = (
         lost.groupBy(F.col("member").alias("key"))
         .agg(F.flatten(F.collect_list("lines")).alias("dropped"))
         .select("key", F.arrow_udf(_bitmaps, "binary")("dropped").alias("keep_bitmap"))
     )
+    # A stage that makes bitmaps and applies them would run two Python workers for each task.
+    return materialise(bitmaps, "line-bitmaps")
 
 
 def _kept_text(text: pa.Array, bitmap: pa.Array) -> pa.Array:
