@@ -19,7 +19,8 @@ are found; the result is the component of each document.
    signature tree does it: nodes hold the size range and the OR of the bitmaps of a size class (and
    a salt, as no node may grow large); pairs of nodes of one group are joined and dropped when the
    largest possible overlap is too small, and so on down to documents. What survives is compared
-   exactly, and all links give the final components.
+   exactly, in the task of its pair of nodes, until the components in it are joined; all links give the final
+   components. So rows grow with the members, not with their pairs.
 
 Repeated rows and rows with equal sets are in one component; a null id is never the smallest, and
 a component of null ids only has the id null. Columns other than id and text are not read.
@@ -166,6 +167,12 @@ def fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
+def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``key, text`` of the documents with the keys in ``wanted``, one for each key."""
+    some = rows.select("key", "text").filter(possible(bitmap_of(wanted, "key"), "key"))
+    return some.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+
 def _verified(pairs: DataFrame, members: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """``pairs`` (a, b: members) whose texts link. Pairs that cannot by size and bitmap go first."""
     shape = members.select("member", "n", "bits", "key")
@@ -180,9 +187,7 @@ def _verified(pairs: DataFrame, members: DataFrame, rows: DataFrame, words: int,
     )
     near = materialise(near, "jaccard-pairs")
     wanted = near.select(F.col("key_a").alias("key")).union(near.select(F.col("key_b").alias("key"))).distinct()
-    bitmap = bitmap_of(wanted, "key")
-    texts = rows.select("key", "text").filter(possible(bitmap, "key"))
-    texts = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    texts = _texts_of(rows, wanted)
     text = lambda s: texts.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}"))
     linked = F.arrow_udf(lambda a, b: _linked(a, b, words, percent), "boolean")
     return near.join(text("a"), "key_a").join(text("b"), "key_b").filter(linked("text_a", "text_b")).select("a", "b")
@@ -285,22 +290,63 @@ def _node_pairs(na: pa.Array, a: pa.Array, nb: pa.Array, b: pa.Array, sa: pa.Arr
     return pa.array(out, pa.bool_())
 
 
-def _leaf_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of members from the rows of pairs of nodes (``node`` is here the pair)."""
+def _sides(rows: pa.Table) -> tuple[Side, Side, pa.Table, pa.Table]:
+    second = rows["second"].to_numpy()
+    one, two = rows.filter(pa.array(~second)), rows.filter(pa.array(second))
+    a = Side(one)
+    return (a, Side(two), one, two) if len(two) else (a, a, one, one)
+
+
+def _leaf_members(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Members of pairs of nodes (``node`` is here the pair) that may link with one of the other node."""
+    for pair, rows in _node_rows(batches):
+        a, b, _, two = _sides(rows)
+        left, right = traverse(a, b, percent)
+        own = len(two) == 0 or a is b
+        for second, found in ((False, np.concatenate((left, right)) if own else left), (True, left[:0] if own else right)):
+            found = np.unique(found)
+            if len(found):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), pair)), pa.array(np.full(len(found), second)), pa.array(found)], names=["node", "second", "member"]
+                )
+
+
+def _leaf_links(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between the members of a pair of nodes, by exact comparison. Once two components are joined,
+    their other members need not be compared."""
     for _, rows in _node_rows(batches):
-        second = rows["second"].to_numpy(zero_copy_only=False)
-        a = Side(rows.filter(pa.array(~second)))
-        b = Side(rows.filter(pa.array(second))) if second.any() else a
+        a, b, *_ = _sides(rows)
         left, right = traverse(a, b, percent)
-        pairs = np.unique(np.stack((np.minimum(left, right), np.maximum(left, right))), axis=1)
-        if pairs.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        if not len(left):
+            continue
+        sets = dict(zip(rows["member"].to_pylist(), shingle_sets(pa.concat_arrays(rows["text"].chunks), words), strict=True))
+        parent = {c: c for c in rows["component"].to_pylist()}
+        component = dict(zip(rows["member"].to_pylist(), rows["component"].to_pylist(), strict=True))
+
+        def root(c: int) -> int:
+            while parent[c] != c:  # noqa: B023
+                parent[c] = parent[parent[c]]  # noqa: B023
+                c = parent[c]  # noqa: B023
+            return c
+
+        links = []
+        for p, q in zip(left.tolist(), right.tolist(), strict=True):
+            x, y = root(component[p]), root(component[q])
+            if x == y:
+                continue
+            n = overlap(sets[p], sets[q])
+            if 100 * n >= percent * (len(sets[p]) + len(sets[q]) - n):
+                parent[x] = y
+                links.append((p, q))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], names=["a", "b"])
 
 
-def tree_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one group and different components that may link.
+def tree_links(groups: DataFrame, rows_of: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one group and different components; enough of them to join all
+    components that links join.
 
-    ``groups``: centre, member, component, n, bits."""
+    ``groups``: centre, member, component, n, bits, key; ``rows_of``: key, text of all documents."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(_SIZE_BASE)).cast("int")
     rows = groups.withColumn("class", size_class)
     salts = rows.groupBy("centre", "class").agg(F.ceil(F.count("*") / NODE).alias("salts"))
@@ -325,7 +371,15 @@ def tree_pairs(groups: DataFrame, percent: int) -> DataFrame:
     other = pairs.filter("node_a <> node_b").select(F.col("node_b").alias("node"), "pair", F.lit(True).alias("second"))
     leaves = rows.join(first.union(other), "node").select(F.col("pair").alias("node"), "second", "member", "component", "n", "bits")
     leaves = leaves.repartition("node").sortWithinPartitions("node")
-    return leaves.mapInArrow(lambda b: _leaf_pairs(b, percent), "a long, b long").distinct()
+    # Only members with a possible partner are compared, and only their texts are sent.
+    chosen = leaves.mapInArrow(lambda b: _leaf_members(b, percent), "node long, second boolean, member long")
+    chosen = materialise(chosen, "tree-chosen")
+    known = rows.select("member", "component", "n", "bits", "key").dropDuplicates(["member"])
+    chosen = materialise(chosen.join(known, "member"), "tree-candidates")
+    texts = _texts_of(rows_of, chosen.select("key").distinct())
+    sent = chosen.join(texts, "key").select("node", "second", "member", "component", "n", "bits", "text")
+    sent = sent.repartition("node").sortWithinPartitions("node")
+    return sent.mapInArrow(lambda b: _leaf_links(b, words, percent), "a long, b long").distinct()
 
 
 def similar(
@@ -363,9 +417,8 @@ def similar(
     whole = whole.select("centre", "member", F.coalesce("component", "member").alias("component"))
     open_ = whole.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k"))
     whole = whole.join(open_.filter("x <> y and k > 2").select("centre"), "centre", "left_semi")
-    groups = whole.join(shapes.select("member", "n", "bits"), "member")
-    more = tree_pairs(groups, percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialise(_verified(more, shapes, rows, words, percent), "jaccard-more-links")
+    groups = whole.join(shapes.select("member", "n", "bits", "key"), "member")
+    more = materialise(tree_links(groups, rows, words, percent), "jaccard-more-links")
     found = components(links.union(more))
 
     ids = profiles.select("member", "doc_id", "key", "n").join(members, "member", "left")
