@@ -144,32 +144,35 @@ class Transducer:
         return key[3 : 3 + key[2]]
 
     def _make(self, state: int, byte: int) -> int:
-        open_tokens, done = [], None
-        for before, place, owed in _open_tokens(self._states[state >> 8]):
+        key, at, size = self._states[state >> 8], 0, 0
+        done, open_tokens = None, []
+        while size < len(key):
+            before, place, at = key[size], key[size + 1], size + 3
+            size = at + key[size + 2]
             to = self._trie.get(place << 8 | byte)
             if to is None:
                 continue
-            token = self._token[to]
-            if token >= 0 and done is None and (before < 0 or self.merges.apart(before, token)):
+            owed = key[at:size]
+            if done is None and (token := self._token[to]) >= 0 and (before < 0 or self.merges.apart(before, token)):
                 done = (token, 0, (*owed, token))
             if self._inner[to]:
                 open_tokens.append((before, to, owed))
-        open_tokens.insert(0, done)
-        owed = [x[2] for x in open_tokens]
-        shared = 0
-        for tokens in zip(*owed):
-            if tokens.count(tokens[0]) < len(tokens):
-                break
-            shared += 1
-        new: list[int] = []
-        for before, place, rest in open_tokens:
-            new += (before, place, len(rest) - shared, *rest[shared:])
-        key = tuple(new)
-        to = self._ids.get(key)
+        shared, certain = 0, done[2]
+        if not open_tokens:
+            shared = len(certain)
+        else:
+            most = min(len(x[2]) for x in open_tokens)
+            while shared < most and all(x[2][shared] == certain[shared] for x in open_tokens):
+                shared += 1
+        new = [done[0], 0, len(certain) - shared, *certain[shared:]]
+        for before, place, owed in open_tokens:
+            new += (before, place, len(owed) - shared, *owed[shared:])
+        made = tuple(new)
+        to = self._ids.get(made)
         if to is None:
-            to = self._ids[key] = len(self._states) << 8
-            self._states.append(key)
-        emitted = owed[0][:shared]
+            to = self._ids[made] = len(self._states) << 8
+            self._states.append(made)
+        emitted = certain[:shared]
         out = self._emit_ids.get(emitted)
         if out is None:
             out = self._emit_ids[emitted] = len(self._emits)
@@ -207,15 +210,6 @@ class Transducer:
         return (*out, *key[3 : 3 + key[2]])
 
 
-def _open_tokens(state: tuple[int, ...]) -> list[tuple[int, int, tuple[int, ...]]]:
-    out, at = [], 0
-    while at < len(state):
-        end = at + 3 + state[at + 2]
-        out.append((state[at], state[at + 1], state[at + 3 : end]))
-        at = end
-    return out
-
-
 class Codec(dict):
     """Text to ids and back. As a dictionary it keeps the ids of pieces seen, up to a bound."""
 
