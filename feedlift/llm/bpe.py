@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -34,6 +35,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+_ASCII = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
 _NEVER = 1 << 40  # later than every merge
 SLICE = 1 << 20
 MAX_STEPS, MAX_PIECES, MAX_PAIRS = 500_000, 250_000, 150_000
@@ -210,6 +212,25 @@ class Transducer:
         return (*out, *key[3 : 3 + key[2]])
 
 
+def ascii_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of ASCII only, in the faster engine of the standard library; None if it has
+    properties other than letters and numbers."""
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        name = next((n for n in _ASCII if pattern.startswith(n, at)), None)
+        if name is not None:
+            out.append(_ASCII[name] if inside else f"[{_ASCII[name]}]")
+            at += len(name)
+            continue
+        size = 2 if pattern[at] == "\\" else 1
+        if pattern[at : at + 2] in ("\\p", "\\P"):
+            return None
+        inside = pattern[at] == "[" or (inside and pattern[at] != "]")
+        out.append(pattern[at : at + size])
+        at += size
+    return re.compile("".join(out), re.ASCII)
+
+
 class Codec(dict):
     """Text to ids and back. As a dictionary it keeps the ids of pieces seen, up to a bound."""
 
@@ -220,6 +241,7 @@ class Codec(dict):
         self._older: dict[str, tuple[int, ...]] = {}
         self.digits = {i: str(i) for i in self.bytes_of}
         self._pieces = regex.compile(pattern)
+        self._ascii = ascii_pattern(pattern) or self._pieces
         self._cut = regex.compile(r"(?<=\S) (?=\p{L})")
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -246,7 +268,8 @@ class Codec(dict):
     def encode(self, text: str) -> Iterator[list[int]]:
         """Ids, slice by slice."""
         for part in self.slices(text):
-            yield list(chain.from_iterable(map(self.__getitem__, self._pieces.findall(part))))
+            pieces = (self._ascii if part.isascii() else self._pieces).findall(part)
+            yield list(chain.from_iterable(map(self.__getitem__, pieces)))
 
     def decode(self, parts: Iterable[Iterable[int]]) -> Iterator[str]:
         """Text of ids that come in parts; a part may end within a character."""

@@ -53,6 +53,22 @@ def test_random_bytes_and_scripts(library):
         assert [i for part in codec.encode(text) for i in part] == library.encode_ordinary(text)
 
 
+def test_ascii_texts_are_cut_alike():
+    full, fast = bpe.codec(RAW, vocabularies.PATTERN), bpe.ascii_pattern(vocabularies.PATTERN)
+    rng = random.Random(7)
+    for _ in range(5000):
+        text = "".join(rng.choice(["'", "s", "re", "ll", " ", "\n", "7", "_", "A", chr(rng.randrange(128))]) for _ in range(rng.randrange(30)))
+        assert fast.findall(text) == full._pieces.findall(text)
+    assert bpe.ascii_pattern(r"\p{Lu}+") is None
+
+
+def test_control_characters(library):
+    codec = bpe.codec(RAW, vocabularies.PATTERN)
+    for c in map(chr, range(128)):
+        for text in (c, f" {c}", f"a{c} b", f"{c}{c}x", f"é{c} \n{c}"):
+            assert [i for part in codec.encode(text) for i in part] == library.encode_ordinary(text)
+
+
 def test_slices_end_where_pieces_end(library):
     codec = bpe.codec(RAW, vocabularies.PATTERN)
     rng = random.Random(6)
