@@ -77,6 +77,40 @@ def test_spans(planted):
     assert (r.n_matched, r.n_compared, r.doc_from, r.doc_to, r.item_from, r.item_to) == (40, 40, 70, 110, 0, 40)
 
 
+def _most_of(doc, item):
+    """The most words of the item that are equal on one diagonal, and the most on a stretch with the highest score."""
+    whole = stretch = 0
+    for at in range(1 - len(item), len(doc)):
+        equal = [0 <= at + k < len(doc) and doc[at + k] == x for k, x in enumerate(item)]
+        whole = max(whole, sum(equal))
+        if sum(equal) > 1:
+            spans = [(sum(1 if x else -3 for x in equal[s:e]), sum(equal[s:e])) for s in range(len(equal)) for e in range(s + 1, len(equal) + 1)]
+            stretch = max(stretch, max(spans)[1])
+    return whole, stretch
+
+
+def test_four_fifths_of_an_item_wherever_its_changed_words_are(spark, docs):
+    rng = random.Random(5)
+    items = [(j, _text(rng, n)) for j, n in enumerate([15, 16, 20, 25, 30, 59])]
+    rows = []
+    for j, w in items:
+        for changed in [len(w) // 5] * 8 + [len(w) // 3]:
+            copy = list(w)
+            for k in rng.sample(range(len(w)), changed):
+                copy[k] = "other"
+            rows.append((len(rows), _text(rng, 20) + copy + _text(rng, 20)))
+    benchmark = spark.createDataFrame([(j, " ".join(w)) for j, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs([(i, " ".join(d)) for i, d in rows]), benchmark).collect()}
+    best = {(i, j): (*_most_of(d, w), len(w)) for i, d in rows for j, w in items}
+    assert {p for p, (whole, _, n) in best.items() if 5 * whole >= 4 * n} <= set(got)
+    assert set(got) <= {p for p, (whole, stretch, n) in best.items() if stretch >= 13 or 5 * whole >= 4 * n}
+    assert [p for p, (whole, stretch, n) in best.items() if stretch < 13 and 5 * stretch < 4 * n and 5 * whole >= 4 * n]
+    for p, r in got.items():
+        assert r.n_matched in best[p][:2]
+        assert r.doc_from - r.item_from == 20
+        assert r.n_compared == r.item_to - r.item_from
+
+
 def test_odd_texts_and_empty_tables(spark, docs):
     benchmark = spark.createDataFrame([(1, None), (2, ""), (None, "no id at all no id at all no id at all"), (3, "a")], "item_id long, text string")
     got = decontaminate.leaks(docs(ODD), benchmark).collect()
