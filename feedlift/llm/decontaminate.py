@@ -1,6 +1,6 @@
 """Benchmark decontamination (1): spaced seeds, joined and verified with substitutions allowed.
 
-Words are runs of ASCII letters and digits and of all other characters beyond ASCII, A-Z in lower
+Words are runs of ASCII letters and digits and of other characters beyond ASCII, A-Z in lower
 case; white space and punctuation part them. A mask of :data:`MASKS` looks at some of twelve
 consecutive words and ignores the rest, so a changed word in an ignored place leaves the seed as it
 is. An item that may have k changed words is also cut into blocks so many that one of them has at most one,
@@ -12,9 +12,10 @@ run of seeds that pass travels with its words, so no text is shuffled.
 A seed that joins puts document and item on a diagonal. On it the stretch with the best score is
 found, +1 for an equal word and -3 for a changed one. It is a leak if it holds ``min_matched`` equal
 words, and so is a diagonal whose equal words, wherever they lie, are 80 % of the words of the item; what is
-reported is then the item from its first to its last equal word. Items of 5 to 11 words are found by masks of their
-length without ignored places, that is exactly; shorter ones are not searched, as they occur
-by chance.
+reported is then the item from its first to its last equal word. Items of 2 to 4 words are found if all are equal; an
+item of a single word is not searched, as it says nothing of where it comes from.
+
+In scripts written without spaces every character is a word, and wide punctuation parts words too.
 
 Null and empty texts and items give nothing, as do empty tables. Repeated rows get equal results; rows
 equal in id and text are one document. Items with a null id are searched and reported with it. Columns
@@ -41,7 +42,7 @@ MASKS = ("111010110011", "110110101101", "101101110110")
 SPAN = 12
 #: Words of a block that is searched with one word changed, at most.
 BLOCK_WORDS = 8
-SHORTEST, MIN_MATCHED, LOSS = 5, 13, 3
+SHORTEST, MIN_MATCHED, LOSS = 2, 13, 3
 #: From so many words on, the masks of items are the same.
 MOST = 40
 #: Words kept around a run of seeds, for the stretch to grow into.
@@ -76,17 +77,63 @@ def spaced(length: int) -> list[tuple[str, int]]:
 
 def masks_of(n: int) -> set[tuple[str, int]]:
     """The masks of an item of ``n`` words, and the places they are put at."""
-    if n < SPAN:
+    if n < 5:
         return {("1" * n, 0)} if n >= SHORTEST else set()
     blocks = n // 5 // 2 + 1  # n // 5 words may be changed
     length = min(BLOCK_WORDS, n // blocks)
     out = {(mask, b * length + at) for b in range(blocks) for mask, at in spaced(length)}
+    if n < SPAN:
+        return out
     out |= {(mask, k) for mask in MASKS for k in range(n - SPAN + 1)}
     return out | {(mask, k + at) for mask, at in spaced(BLOCK_WORDS) for k in range(n - BLOCK_WORDS + 1)}
 
 
+def _kinds() -> np.ndarray:
+    """Of each code point below 2**16: 1 if it is a word by itself, 2 if it parts words."""
+    kinds = np.zeros(1 << 16, np.uint8)
+    for kind, ranges in ((1, ALONE), (2, WIDE_MARKS)):
+        for first, last in ranges:
+            kinds[first : last + 1] = kind
+    return kinds
+
+
+#: Thai, Lao, Tibetan; Burmese; Khmer; Tai scripts; Han radicals, marks and letters, kana, bopomofo; Yi; further Burmese; half-width kana.
+ALONE = (
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3000, 0x312F),
+    (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+)
+WIDE_MARKS = (
+    (0x0F0B, 0x0F14), (0x104A, 0x104B), (0x17D4, 0x17DA), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x30FB, 0x30FB), (0xFE10, 0xFE1F),
+    (0xFE30, 0xFE4F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65),
+)
+_KINDS = _kinds()
+
+
+def spread(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with spaces around characters that are words, and instead of wide punctuation."""
+    lead = np.flatnonzero(raw >= 0xE0)
+    if not len(lead):
+        return raw, offsets
+    after = np.concatenate((raw, np.zeros(3, np.uint8))).astype(np.int32)
+    b = [after[lead + k] for k in range(4)]
+    whole = (b[1] & 0xC0 == 0x80) & (b[2] & 0xC0 == 0x80)
+    kind = np.where(whole & (b[0] < 0xF0), _KINDS[((b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63)], 0)
+    # Of four bytes, planes 2 and 3 are Han.
+    four = whole & (b[3] & 0xC0 == 0x80) & (b[0] == 0xF0) & (b[1] >= 0xA0)
+    marks, alone = lead[kind == 2], np.flatnonzero((kind == 1) | four)
+    if not len(marks) and not len(alone):
+        return raw, offsets
+    raw = raw.copy()
+    for k in range(3):
+        raw[marks + k] = 32
+    breaks = np.unique(np.concatenate((lead[alone], lead[alone] + np.where(four[alone], 4, 3))))
+    moved = offsets + np.searchsorted(breaks, offsets, "right")
+    moved[0] = 0
+    return np.insert(raw, breaks, 32), moved
+
+
 def _words(raw: np.ndarray, offsets: np.ndarray) -> arrays.Words:
-    return arrays.words(raw, offsets, lower=True, parts=arrays.IS_MARK)
+    return arrays.words(*spread(raw, offsets), lower=True, parts=arrays.IS_MARK)
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +227,7 @@ def leaks(
     exclusive). Documents that are clean have no row."""
     items = keyed(benchmark, item_col, text_col).select("doc_id", "text").mapInArrow(_items, _ITEM)
     items = materialise(items.withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
-    known = items.select("item", F.inline("seeds"))
+    known = items.select("item", (F.size("words") < 5).alias("exact"), F.inline("seeds"))
     # A mask that items of several lengths have in common is looked for once; there are few, as blocks are short.
     lengths = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(MOST)).alias("n")).distinct().collect()]
     masks = tuple(sorted({mask for n in lengths for mask, _ in masks_of(n)}))
@@ -190,7 +237,9 @@ def leaks(
     clusters = keyed(docs, id_col, text_col).mapInArrow(lambda b: _clusters(b, masks, bitmap, reach), _CLUSTER)
     clusters = materialise(clusters.withColumn("cluster", F.monotonically_increasing_id()), "seed-clusters")
     hits = clusters.select("cluster", F.inline("seeds")).withColumnRenamed("at", "doc_at")
-    diagonals = hits.join(known, "seed").select("cluster", "item", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()
+    met = hits.join(known, "seed").select("cluster", "item", "exact", (F.col("doc_at") - F.col("at")).alias("diagonal"))
+    # Wherever an item without changed words is, its match is the same: the last one stands for all.
+    diagonals = met.groupBy("cluster", "item", F.when(~F.col("exact"), F.col("diagonal")).alias("each")).agg(F.max("diagonal").alias("diagonal")).drop("each")
     verify = F.arrow_udf(lambda d, i, at: _verify(d, i, at, min_matched), _FOUND)
     found = (
         diagonals.join(clusters.drop("seeds"), "cluster")

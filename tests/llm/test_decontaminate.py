@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -111,6 +112,32 @@ def test_four_fifths_of_an_item_wherever_its_changed_words_are(spark, docs):
         assert r.n_compared == r.item_to - r.item_from
 
 
+def test_short_items_with_any_words_changed(spark, docs):
+    rng = random.Random(6)
+    items = [(n, _text(rng, n)) for n in range(2, 15)]
+    rows, lost = [], []
+    for n, w in items:
+        for changed in combinations(range(n), n // 5):
+            copy = ["other" if k in changed else x for k, x in enumerate(w)]
+            rows.append((1000 * n + len(rows), [*_text(rng, 3), *copy, *_text(rng, 3)], n))
+        rows.append((100_000 + n, w[1 if n >= 5 else 0 :], n))  # the document begins within the item
+        wrong = rng.sample(range(n), n // 5 + 1)
+        lost.append((200_000 + n, ["other" if k in wrong else x for k, x in enumerate(w)]))
+    benchmark = spark.createDataFrame([(j, " ".join(w)) for j, w in items], "item_id long, text string")
+    frame = docs([(r[0], " ".join(r[1])) for r in rows + lost])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, benchmark).collect()} == {(i, j) for i, _, j in rows}
+
+
+def test_scripts_without_spaces(spark, docs):
+    items = [(1, "中国的首都是哪里?"), (2, "日本で一番高い山は、富士山です。"), (3, "เมืองหลวงของประเทศไทยคืออะไร"), (4, "𠀀𠀁𠀂")]
+    rows = [
+        (1, "今天我们学习:中国的首都是哪里,请回答"), (2, "問い:日本で一番高い山は富士山です。続き"), (3, "คำถามเมืองหลวงของประเทศไทยคืออะไรตอบ"), (4, "漢𠀀𠀁𠀂字"),
+        (5, "今天中国的首府是哪里呢"), (6, "今天我们去公园里看花"), (7, "富士山は日本の高い山"), (8, None), (9, "中国"), (10, "的首都"),
+    ]
+    got = decontaminate.leaks(docs(rows, 1), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)}
+
+
 def test_odd_texts_and_empty_tables(spark, docs):
     benchmark = spark.createDataFrame([(1, None), (2, ""), (None, "no id at all no id at all no id at all"), (3, "a")], "item_id long, text string")
     got = decontaminate.leaks(docs(ODD), benchmark).collect()
