@@ -20,8 +20,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """What tells rows apart: id and text. Rows equal in both are the same document."""
-    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    """What tells rows apart: id and text. Rows equal in both are the same document. The hash depends on the type, so
+    both are taken as :func:`keyed` gives them."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import public_tokenizers as vocabularies
 import pytest
 import tiktoken
 
 import corpus_pipeline
-from feedlift.llm import bpe
+from feedlift.llm import bpe, decontaminate
+from feedlift.llm.frames import packed, unpacked
 from feedlift.session import materialise
 from tests.llm import brute
 from tests.llm.conftest import DOCS, ODD
@@ -102,3 +105,26 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path):
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns
         assert [tuple(r) for r in out.collect()] == [tuple(r) for r in docs.collect()]
+
+
+def test_int_ids(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice("bcdfg") + str(rng.randrange(3000)) for _ in range(n))
+    line, copy, item = words(12), words(60), words(20)
+    rows = [(i, f"{words(60)}\n{line}") for i in (1, 2, 7, 8, 9)]
+    rows += [(3, copy), (4, copy + " end"), (5, f"{words(30)} {item} {words(30)}"), (6, words(60))]
+    out = {}
+    for kind in ("long", "int"):
+        docs, kept = spark.createDataFrame(rows, f"doc_id {kind}, text string"), []
+        lines = corpus_pipeline.drop_repeated_lines(spark, docs, None)
+        kept.append(sorted(map(tuple, lines.collect())))
+        kept.append(sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, None).collect())))
+        leaks = decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id int, text string")).select("key")
+        kept.append(sorted(map(tuple, unpacked(packed(docs).join(leaks, "key", "left_anti")).collect())))
+        assert lines.dtypes == docs.dtypes
+        out[kind] = kept
+    assert out["int"] == out["long"]
+    lines, copies, clean = out["int"]
+    assert sum(line in t for _, t in lines) == 1
+    assert [i for i, _ in copies] == [1, 2, 3, 5, 6, 7, 8, 9]
+    assert [i for i, _ in clean] == [1, 2, 3, 4, 6, 7, 8, 9]
