@@ -13,7 +13,9 @@ may be taken up at any record (:func:`read_records`). A file appears under its f
 complete; a task that is run again writes the same bytes.
 
 A null text is a sequence without ids. Repeated rows are sequences of their own. No rows give no shards. Frames
-that are not read from Parquet files are written to the shared folder first, as their rows have no lasting place.
+that are not all rows of Parquet files are written to the shared folder first, as their rows have no lasting place.
+Files are taken in the order of their names, so a frame whose partitions have the same rows in the same order
+each time gets the same training order each time.
 Columns other than id and text are not read.
 """
 
@@ -69,16 +71,28 @@ class Permutation:
         return self._walk(slots, self._keys[::-1])
 
 
+def _whole_files(docs: DataFrame) -> bool:
+    """Whether a frame is a scan, with columns picked or made at most: each row of its files once."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """``number, doc_id, text``, and how many rows there are."""
     picked = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    path = F.col("_metadata.file_path")
+    place = [path.alias("path"), F.xxhash64(path).alias("file"), F.col("_metadata.row_index").alias("at")]
     try:
-        rows = docs.select(*picked, *place)
+        rows = docs.select(*picked, *place) if _whole_files(docs) else None
     except AnalysisException:
+        rows = None
+    if rows is None:
         rows = materialise(docs.select(*picked), "sequences").select("doc_id", "text", *place)
     # A row per input file: that bounds what is collected here and broadcast below.
-    files = sorted((r["file"], r["n"]) for r in rows.groupBy("file").agg(F.count("*").alias("n")).collect())
+    counts = rows.groupBy("file").agg(F.first("path").alias("path"), F.count("*").alias("n")).collect()
+    files = [(r["file"], r["n"]) for r in sorted(counts, key=lambda r: r["path"])]
     before = np.concatenate(([0], np.cumsum([n for _, n in files]))).astype(np.int64).tolist()
     if not files:
         return rows.select(F.lit(0).cast("long").alias("number"), "doc_id", "text"), 0

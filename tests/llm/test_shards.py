@@ -83,3 +83,13 @@ def test_wider_ids(docs):
     where, written = shards.materialise_order(docs([(1, "añb"), (2, "漢字")]), 3, 16, 1, ids, 2, 0xFFFF, 0xFFFE)
     contents = _contents(where, written.collect(), 16, 2)
     assert sorted("".join(map(chr, v)) for v in contents.values()) == ["añb", "漢字"]
+
+
+def test_frames_that_are_part_of_parquet_files(spark, tmp_path):
+    spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartitionByRange(4, "doc_id").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    kept = docs.filter("doc_id % 3 = 0")
+    for frame, n in ((kept, 67), (kept.select("text", "doc_id"), 67), (docs.limit(50), 50), (docs.unionByName(kept), 267), (docs.withColumn("x", F.lit(1)), 200)):
+        first, again = ([(r.slot, r.doc_id) for r in shards.materialise_order(frame, 8, 64, 3)[1].collect()] for _ in range(2))
+        assert sorted(s for s, _ in first) == list(range(n))
+        assert sorted(first) == sorted(again)
