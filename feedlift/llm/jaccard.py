@@ -167,6 +167,22 @@ def fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
+def spares(n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """How many members of each set fall on a bit that another one has set, for every width that a bitmap can be
+    folded to: one row for each width, ``2**row`` words. Folding lets more members fall together, so the count of
+    the full width would be too low for a narrower one."""
+    out = []
+    while True:
+        out.append(n.astype(np.int64) - np.bitwise_count(bits).sum(axis=1))
+        if bits.shape[1] == 1:
+            return np.stack(out[::-1])
+        bits = fold(bits, bits.shape[1] // 2)
+
+
+def level(width: int) -> int:
+    return width.bit_length() - 1
+
+
 def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``key, text`` of the documents with the keys in ``wanted``, one for each key."""
     some = rows.select("key", "text").filter(possible(bitmap_of(wanted, "key"), "key"))
@@ -222,15 +238,15 @@ def _matrix(bits: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([fold(r[None], width) for r in rows])
 
 
-_NODE = "node long, centre long, class int, low int, high int, spare int, bits binary, component_low long, component_high long"
+_NODE = "node long, centre long, class int, low int, high int, spare array<long>, bits binary, component_low long, component_high long"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split(" ")[0] for c in _NODE.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
     for node, rows in _node_rows(batches):
         n, bits = rows["n"].to_numpy(), _matrix(rows["bits"])
-        spare = int((n - np.bitwise_count(bits).sum(axis=1)).max())
+        spare = spares(n, bits).max(axis=1).tolist()
         component = rows["component"].to_numpy()
         values = (
             node, rows["centre"][0].as_py(), rows["class"][0].as_py(), int(n.min()), int(n.max()), spare,
@@ -241,11 +257,11 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _may_overlap(low_a, spare_a, bits_a, low_b, spare_b, bits_b, percent: int) -> np.ndarray:
     """For every pair of nodes: can a member of one link with a member of the other? Shared members fall on
-    shared bits, and no more than ``spare`` of them on bits that are counted already."""
+    shared bits, and no more than ``spare`` of them (see :func:`spares`) on bits that are counted already."""
     width = min(bits_a.shape[1], bits_b.shape[1])
     x, y = fold(bits_a, width), fold(bits_b, width)
     both = np.stack([np.bitwise_count(row & y).sum(axis=1) for row in x]).astype(np.int64)
-    most = both + np.minimum(spare_a[:, None], spare_b[None, :])
+    most = both + np.minimum(spare_a[level(width)][:, None], spare_b[level(width)][None, :])
     return (100 + percent) * most >= percent * (low_a[:, None] + low_b[None, :])
 
 
@@ -258,9 +274,12 @@ class Side:
         self.member = rows["member"].to_numpy()[order]
         self.component = rows["component"].to_numpy()[order]
         self.bits = _matrix(rows["bits"])[order]
-        self.spare = self.n - np.bitwise_count(self.bits).sum(axis=1)
+        self.spare = spares(self.n, self.bits)
         at = np.arange(0, len(self.n), INNER)
-        self.inner = (np.minimum.reduceat(self.n, at), np.maximum.reduceat(self.n, at), np.maximum.reduceat(self.spare, at), np.bitwise_or.reduceat(self.bits, at, axis=0))
+        self.inner = (
+            np.minimum.reduceat(self.n, at), np.maximum.reduceat(self.n, at),
+            np.maximum.reduceat(self.spare, at, axis=1), np.bitwise_or.reduceat(self.bits, at, axis=0),
+        )
 
 
 def traverse(a: Side, b: Side, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +291,7 @@ def traverse(a: Side, b: Side, percent: int) -> tuple[np.ndarray, np.ndarray]:
     may &= (100 * high_a[:, None] >= percent * low_b[None, :]) & (100 * high_b[None, :] >= percent * low_a[:, None])
     for i, j in zip(*np.nonzero(may), strict=True):
         x, y = slice(i * INNER, (i + 1) * INNER), slice(j * INNER, (j + 1) * INNER)
-        ok = _may_overlap(a.n[x], a.spare[x], a.bits[x], b.n[y], b.spare[y], b.bits[y], percent)
+        ok = _may_overlap(a.n[x], a.spare[:, x], a.bits[x], b.n[y], b.spare[:, y], b.bits[y], percent)
         ok &= 100 * np.minimum.outer(a.n[x], b.n[y]) >= percent * np.maximum.outer(a.n[x], b.n[y])
         ok &= a.component[x][:, None] != b.component[y][None, :]
         p, q = np.nonzero(ok)
@@ -285,7 +304,8 @@ def traverse(a: Side, b: Side, percent: int) -> tuple[np.ndarray, np.ndarray]:
 def _node_pairs(na: pa.Array, a: pa.Array, nb: pa.Array, b: pa.Array, sa: pa.Array, sb: pa.Array, percent: int) -> pa.Array:
     out = []
     for m, x, n, y, s, t in zip(na.to_pylist(), a, nb.to_pylist(), b, sa.to_pylist(), sb.to_pylist(), strict=True):
-        args = (np.array([m]), np.array([s]), _bits(x.as_buffer())[None], np.array([n]), np.array([t]), _bits(y.as_buffer())[None])
+        one = lambda spare: np.array(spare, np.int64)[:, None]
+        args = (np.array([m]), one(s), _bits(x.as_buffer())[None], np.array([n]), one(t), _bits(y.as_buffer())[None])
         out.append(bool(_may_overlap(*args, percent)[0, 0]))
     return pa.array(out, pa.bool_())
 

@@ -85,6 +85,65 @@ def test_bound_is_never_too_low():
             assert could[0].as_py()
 
 
+def _at_the_edge(rng, m, n):
+    """Two sets of these sizes with the least overlap that links them."""
+    both = -(-75 * (m + n) // 175)
+    pool = rng.integers(0, 2**63, m + n - both, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.unique(pool[:m]), np.unique(pool[m - both :])
+
+
+@pytest.mark.parametrize("unequal", [False, True])
+def test_linked_pairs_survive_every_bound(unequal):
+    rng = np.random.default_rng(11)
+    edges = [(64, 65), (128, 129), (250, 260), (32, 33), (510, 520)]
+    for i in range(5_000):
+        if unequal:  # on both sides of a change of width
+            m, n = edges[i % len(edges)]
+        else:
+            m = int(rng.integers(20, 600))
+            n = int(rng.integers(m, 4 * m // 3 + 1))
+        a, b = _at_the_edge(rng, m, n)
+        x, y = jaccard.set_bits(a), jaccard.set_bits(b)
+        assert jaccard._could_link(pa.array([m]), pa.array([x.tobytes()]), pa.array([n]), pa.array([y.tobytes()]), 75)[0].as_py()
+        sides = []
+        for member, (tokens, bits) in enumerate(((a, x), (b, y))):
+            fields = {"n": [len(tokens)], "member": [member], "component": [member], "bits": [bits.tobytes()]}
+            sides.append(jaccard.Side(pa.table(fields)))
+        left, right = jaccard.traverse(*sides, 75)
+        assert (left.tolist(), right.tolist()) == ([0], [1])
+        packed = [(pa.array([int(s.n[0])]), pa.array([s.bits[0].tobytes()], pa.binary()), pa.array([s.spare[:, 0].tolist()])) for s in sides]
+        (na, ba, sa), (nb, bb, sb) = packed
+        assert jaccard._node_pairs(na, ba, nb, bb, sa, sb, 75)[0].as_py()
+
+
+def test_nodes_of_several_widths_keep_their_pairs():
+    rng = np.random.default_rng(12)
+    pairs = [_at_the_edge(rng, m, n) for m, n in ((60, 70), (64, 65), (62, 80), (90, 100), (127, 130), (120, 150)) for _ in range(40)]
+    sides = []
+    for at in (0, 1):
+        sets = [p[at] for p in pairs]
+        rows = {"n": [len(t) for t in sets], "member": range(len(sets)), "component": [2 * i + at for i in range(len(sets))]}
+        sides.append(jaccard.Side(pa.table({**rows, "bits": [jaccard.set_bits(t).tobytes() for t in sets]})))
+    left, right = jaccard.traverse(*sides, 75)
+    assert set(zip(left.tolist(), right.tolist(), strict=True)) >= {(i, i) for i in range(len(pairs))}
+
+
+def test_pages_that_meet_in_a_third_are_linked(docs):
+    """A and B link; a third page quotes A and a common passage, so that all three meet in one group."""
+    rng = random.Random(21)
+    rows, want = [], {}
+    passage = [f"p{i}" for i in range(40)]
+    for group in range(12):
+        a = [f"g{group}w{rng.randrange(10**6)}" for _ in range(64)]  # 60 shingles
+        b = a[:63] + [f"g{group}x{i}" for i in range(17)]  # 76, of which 59 are shared
+        c = a + passage + [f"g{group}y{i}" for i in range(60)]
+        for k, text in enumerate((c, a, b)):
+            rows.append((3 * group + k, " ".join(text)))
+        want |= {3 * group: 3 * group, 3 * group + 1: 3 * group + 1, 3 * group + 2: 3 * group + 1}
+    assert {i: c for i, (_, c) in _components(jaccard.similar(docs(rows))).items()} == want
+    assert _expected(rows) == _components(jaccard.similar(docs(rows)))
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001), (5001, 5000), (7, 7)]
