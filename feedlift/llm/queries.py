@@ -141,3 +141,12 @@ def op4_training_order(spark: SparkSession, folder: str) -> DataFrame:
 
     _, rows = shards.materialise_order(table(spark, folder, "documents"), ORDER_KEY)
     return rows
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    from feedlift.llm import resampling
+
+    docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    drawn = resampling.resample(docs, target, resampling.Features(runs=1, buckets=10_000), seed=2024, percent=10, least_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
