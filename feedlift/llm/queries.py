@@ -150,3 +150,22 @@ def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     drawn = resampling.resample(docs, target, resampling.Features(runs=1, buckets=10_000), seed=2024, percent=10, least_words=20)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    from feedlift.llm import topk
+
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5, scale=256)
+
+
+SQL["op13_exact_topk"] = """
+WITH q AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
