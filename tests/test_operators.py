@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -87,6 +88,17 @@ def test_large_and_small_batches_agree(spark):
     assert {r.id for r in small.collect()} < large_ids
 
 
+def test_batches_with_repeated_and_missing_ids(spark):
+    ids = ["a"] * 50 + ["b"] * 7 + [None] * 3 + [f"x{i}" for i in range(40)]
+    df = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id string, n int").repartition(4)
+    key = lambda i: "0" * 32 if i is None else hashlib.md5(f"5:{i}".encode()).hexdigest()
+    order = sorted(map(key, ids))
+    for size in (0, 1, 3, 10, 40, 77, 99, 100, 200):
+        batch = selection.random_batch(df, size, 5).collect()
+        assert sorted(key(r.id) for r in batch) == order[:size]
+        assert len({r.n for r in batch}) == min(size, 100)
+
+
 def test_mid_range_leaves_out_both_ends_and_null(spark):
     df = spark.createDataFrame(
         [(i, i) for i in range(101)] + [(500, None), (501, 100_000)], "id long, clicks long"
