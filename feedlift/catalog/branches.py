@@ -114,19 +114,19 @@ def batched_update_in_rounds(spark: SparkSession, folder: str) -> DataFrame:
     """Bounded rounds give the same state as one; products no answer names end the run all the same. The
     bound follows the feed, so that there are a few rounds of it at any size."""
     items = max(60, table(spark, folder, "part").count() // 3)
-    return run_batched(spark, folder, BatchOptions("title", items_per_iteration=items, compact_every=2))
+    return run_batched(spark, folder, BatchOptions("title", items_per_iteration=items))
 
 
 @query("batched_update_in_parts", with_tables(RAW, _ALL_DONE))
 def batched_update_in_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """Four runs over the parts of one table, each from the same base, then their answers merged."""
+    """Four runs over the parts of one table; each works on buckets of its own."""
     inputs = filtered(spark, folder)
     state = StateTable(spark, new_path(spark, "state"))
-    state.commit(selection.init_state(inputs))
+    state.create(selection.init_state(inputs))
     for part in range(4):
         options = BatchOptions("title", parts=4, part=part)
         batched_update(state, inputs, top_examples(spark, folder), prompt_reader("title"), options)
-    return state.compact()
+    return state.read()
 
 
 # --- one column ----------------------------------------------------------------------

@@ -96,9 +96,9 @@ def feed_position(spark: SparkSession, folder: str) -> DataFrame:
 def versioned_state(spark: SparkSession, folder: str) -> DataFrame:
     """Two updates of a table from its own rows."""
     versions = VersionedTable(spark, new_path(spark, "state"))
-    rows = versions.commit(state(spark, folder))
+    rows = versions.write(state(spark, folder))
     for _ in range(2):
-        rows = versions.commit(rows.withColumn("tries", F.col("tries") + 1))
+        rows = versions.write(rows.withColumn("tries", F.col("tries") + 1))
     return versions.read().withColumn("version", F.lit(versions.latest()))
 
 
@@ -108,7 +108,7 @@ def versioned_state(spark: SparkSession, folder: str) -> DataFrame:
 )
 def cleared_table(spark: SparkSession, folder: str) -> DataFrame:
     versions = VersionedTable(spark, new_path(spark, "review"))
-    versions.commit(filtered(spark, folder))
+    versions.write(filtered(spark, folder))
     return versions.clear().select(*FILTERED_COLUMNS)
 
 

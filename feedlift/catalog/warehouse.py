@@ -512,10 +512,10 @@ def prompt_reader(write: str) -> ExpressionCompleter:
 def run_batched(
     spark: SparkSession, folder: str, options: BatchOptions, start: DataFrame | None = None
 ) -> DataFrame:
-    """A whole run of batched generation; the last version of the state."""
+    """A whole run of batched generation; the state after it."""
     inputs = filtered(spark, folder)
     state_table = StateTable(spark, new_path(spark, "state"))
-    state_table.commit(selection.init_state(inputs) if start is None else start)
+    state_table.create(selection.init_state(inputs) if start is None else start)
     examples = top_examples(spark, folder)
     batched_update(state_table, inputs, examples, prompt_reader(options.target), options)
     return state_table.read()

@@ -8,31 +8,6 @@ from pyspark.sql import functions as F
 from feedlift.operators.selection import tries_column
 
 
-def merge_log(state: DataFrame, log: DataFrame) -> DataFrame:
-    """State with appended answers: of each target the last text, and a try for every answer.
-
-    ``log`` has ``id, target, text, named, place``; it is reduced to a row per id before the join."""
-    targets = [t for t in ("title", "description") if t in state.columns]
-    named = F.col("named")
-    last = {
-        t: F.max_by(F.when((F.col("target") == t) & F.col("text").isNotNull(), F.col("text")), F.when(
-            (F.col("target") == t) & F.col("text").isNotNull(), F.struct("place", "round")
-        ))
-        for t in targets
-    }
-    tries = {t: F.count(F.when(named & (F.col("target") == t), 1)) for t in targets}
-    found = log.groupBy(F.col("id").alias("_id")).agg(
-        *[last[t].alias(f"_{t}") for t in targets], *[tries[t].alias(f"_{t}_n") for t in targets]
-    )
-    changed = {t: F.coalesce(F.col(f"_{t}"), F.col(t)) for t in targets}
-    for t in targets:
-        counter = tries_column(state, t)
-        changed[counter] = (changed.get(counter, F.col(counter)) + F.coalesce(f"_{t}_n", F.lit(0))).cast("int")
-    return state.join(found, F.col("id") == F.col("_id"), "left").select(
-        *[changed[c].alias(c) if c in changed else F.col(c) for c in state.columns]
-    )
-
-
 def merge_answers(state: DataFrame, answers: DataFrame, target: str) -> DataFrame:
     """State after a round: a new text replaces the old one, a missing text does not, and
     every product that was answered at all has one more try behind it.
@@ -51,3 +26,19 @@ def merge_answers(state: DataFrame, answers: DataFrame, target: str) -> DataFram
     return state.join(updates, F.col("id") == F.col("_id"), "left").select(
         *[changed[c].alias(c) if c in changed else F.col(c) for c in state.columns]
     )
+
+
+def merge_round(state: DataFrame, answers: DataFrame, target: str, run: str) -> DataFrame:
+    """:func:`merge_answers` for the answers of one round of a run (``id, text, named``); products that were asked
+    for and that no answer names are marked with the run in ``silent_in`` and keep their tries."""
+    tries = tries_column(state, target)
+    updates = answers.select(F.col("id").alias("_id"), F.col("text").alias("_text"), F.col("named").alias("_named"))
+    named = F.coalesce("_named", F.lit(False))
+    changed = {
+        target: F.coalesce(F.when(named, F.col("_text")), F.col(target)),
+        tries: F.col(tries) + named.cast("int"),
+        "silent_in": F.when(F.col("_named") == F.lit(False), F.lit(run)).otherwise(F.col("silent_in")),
+    }
+    return state.join(updates, F.col("id") == F.col("_id"), "left").select(
+        *[changed[c].alias(c) if c in changed else F.col(c) for c in state.columns]
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -17,16 +18,16 @@ from feedlift.operators.generation import Completer, generate_text
 from feedlift.operators.joins import example_texts
 from feedlift.operators.numbering import number_rows, pack_chunks
 from feedlift.operators.selection import by_ids, in_part, pending, random_batch
-from feedlift.session import materialise, scratch
-from feedlift.sources.tables import StateTable
+from feedlift.operators.state import merge_round
+from feedlift.session import materialise, scratch, temporary_path
+from feedlift.sources.tables import BucketedRows, StateTable
 
 
 @dataclass(frozen=True)
 class BatchOptions:
     """``target`` is ``title`` or ``description``. ``items_per_iteration`` bounds a round, so
     that progress is saved in between; None takes all pending products at once. ``ids``
-    asks for these products once, done or not. ``compact_every`` rounds the answers are
-    merged into a version of the state; runs over parts side by side leave it out."""
+    asks for these products once, done or not."""
 
     target: str
     language: str = "English"
@@ -37,7 +38,6 @@ class BatchOptions:
     ids: Sequence[str] | DataFrame | None = None
     max_tries: int = 3
     max_iterations: int | None = None
-    compact_every: int | None = None
     seed: int = 0
     wording: BatchWording | None = None
 
@@ -59,57 +59,61 @@ def input_rows(inputs: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min("properties").alias("properties"))
 
 
-def select_batch(
-    state: DataFrame, inputs: DataFrame, options: BatchOptions, round_no: int = 0
-) -> DataFrame:
-    """Ids of the products of one round, in a random order of its own."""
-    known = inputs.select(as_column("id").cast("string").alias("id"))
-    ids = wanted_rows(state, options).select("id").distinct().join(known, "id", "left_semi")
-    return random_batch(ids, options.items_per_iteration, f"{options.seed}.{round_no}")
+def waiting_rows(rows: DataFrame, feed: DataFrame, options: BatchOptions, run: str) -> DataFrame:
+    """``id, bucket`` of the products that a run has yet to ask for: wanted ones with a row in the feed, without
+    those it has asked for in vain."""
+    open_ = wanted_rows(rows, options).where(~F.col("silent_in").eqNullSafe(F.lit(run)))
+    return open_.select("id", "bucket").distinct().join(feed.select("id"), "id", "left_semi")
 
 
 def build_prompts(
     ids: DataFrame, inputs: DataFrame, examples: DataFrame | None, options: BatchOptions
 ) -> DataFrame:
-    """``chunk_id, ids, prompt``. Only the ids are numbered; the rows of the products come
-    in with the join that gives them their chunk."""
-    numbered = number_rows(ids.select("id"), ["id"]).join(input_rows(inputs), "id")
+    """``chunk_id, ids, prompt`` for the products of ``inputs`` with these ids."""
+    return _prompts(number_rows(ids.select("id"), ["id"]), input_rows(inputs), examples, options)
+
+
+def _prompts(
+    numbered: DataFrame, feed: DataFrame, examples: DataFrame | None, options: BatchOptions
+) -> DataFrame:
+    """Only the ids are numbered; the rows of the products (``id, properties``) come in with the join that gives
+    them their chunk."""
     lines = None if examples is None else example_texts(examples, options.target)
     prompt = batch_prompt(
         options.target, options.language, "properties", wording=options.wording, lines=lines
     )
-    return pack_chunks(numbered, options.items_per_prompt).select(
+    return pack_chunks(numbered.join(feed, "id"), options.items_per_prompt).select(
         "chunk_id", "ids", prompt.alias("prompt")
     )
 
 
 def generate_round(
-    state: DataFrame,
-    inputs: DataFrame,
-    examples: DataFrame | None,
-    completer: Completer,
-    options: BatchOptions,
-    round_no: int = 0,
+    ids: DataFrame, feed: DataFrame, examples: DataFrame | None, completer: Completer, options: BatchOptions
 ) -> DataFrame:
-    """``chunk_id, ids, response, error`` of one round, written before anything is parsed: the
-    model must not be asked again when a later stage is repeated."""
-    prompts = build_prompts(select_batch(state, inputs, options, round_no), inputs, examples, options)
+    """``chunk_id, ids, response, error`` for these products (a frame that is stored), written before anything is
+    parsed: the model must not be asked again when a later stage is repeated."""
+    prompts = _prompts(number_rows(ids.select("id"), ["id"], frozen=True), feed, examples, options)
     generated = generate_text(prompts, completer).select("chunk_id", "ids", "response", "error")
     return materialise(generated, "generated")
 
 
-def save_round(
-    table: StateTable, generated: DataFrame, target: str, run: str, round_no: int
-) -> tuple[str, int, int]:
-    """Append what a round found out: its folder, the number of products asked for and of those that an
-    answer names, counted while they are written."""
-    seen = Observation()
-    rows = asked_products(generated).select(
-        "id", F.lit(target).alias("target"), "text", "error", "named", F.lit(run).alias("run"), F.lit(round_no).alias("round")
-    )
-    counted = rows.observe(seen, F.count(F.lit(1)).alias("asked"), F.count_if("named").alias("answered"))
-    folder = table.append(counted)
-    return folder, seen.get["asked"], seen.get["answered"]
+def _per_bucket(waiting: DataFrame) -> dict[int, int]:
+    """Waiting products of each bucket; a row for each bucket comes to the driver."""
+    return {r["bucket"]: r["n"] for r in waiting.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+
+
+def _next_buckets(waiting: dict[int, int], options: BatchOptions) -> list[int]:
+    """Buckets in a random order of the seed, as many as hold the products of a round."""
+    order = sorted(waiting, key=lambda b: (hashlib.md5(f"{options.seed}:{b}".encode()).hexdigest(), b))
+    if options.items_per_iteration is None:
+        return order
+    taken, n = [], 0
+    for b in order:
+        if n >= options.items_per_iteration:
+            break
+        taken.append(b)
+        n += waiting[b]
+    return taken
 
 
 def batched_update(
@@ -119,31 +123,50 @@ def batched_update(
     completer: Completer,
     options: BatchOptions,
 ) -> list[int]:
-    """Rounds of generation until nothing is pending; each appends its answers. Returns the number of
-    products answered per round.
+    """Rounds of generation until nothing is pending. Returns the number of products answered per round.
+
+    The run reads state and feed once, counts what waits in each bucket, and stores the feed in the same buckets. A
+    round takes its products, in a random order, from as few buckets as hold enough of them; it reads and replaces
+    these buckets alone, so its cost follows the round, not the state.
 
     A product that no answer names gains no tries, and is not asked for again in this run. So each
-    round leaves fewer products or tries, and every run ends. Any number of runs may work on parts of
-    one table side by side.
+    round leaves fewer products or tries, and every run ends. Runs over different parts may work on one table side by
+    side; one part takes one run at a time.
     """
+    if options.parts is not None and table.buckets % options.parts:
+        raise ValueError(f"{options.parts} parts do not divide the {table.buckets} buckets of the state")
+    spark = inputs.sparkSession
     answered: list[int] = []
     run = uuid.uuid4().hex
-    folders: list[str] = []
-    while options.max_iterations is None or len(answered) < options.max_iterations:
-        state = table.read()
-        if folders:
-            silent = table.answers_in(folders).where("not named").select("id")
-            state = state.join(silent, "id", "left_anti")
-        with scratch(state.sparkSession):
-            generated = generate_round(state, inputs, examples, completer, options, len(answered))
-            folder, asked, named = save_round(table, generated, options.target, run, len(answered))
-        if not asked:
-            break
-        answered.append(named)
-        if options.ids is not None:
-            break
-        if named < asked:
-            folders.append(folder)
-        if options.compact_every and len(answered) % options.compact_every == 0:
-            table.compact()
+    with scratch(spark):
+        feed = BucketedRows(spark, temporary_path(spark, "feed"), table.buckets)
+        feed.create(input_rows(inputs))
+        waiting = _per_bucket(waiting_rows(table.rows(), feed.rows(), options, run))
+        while waiting and (options.max_iterations is None or len(answered) < options.max_iterations):
+            chosen = _next_buckets(waiting, options)
+            named, left = _round(table, feed, chosen, examples, completer, options, run, len(answered))
+            answered.append(named)
+            if options.ids is not None:
+                break
+            waiting = {b: n for b, n in waiting.items() if b not in set(chosen)} | left
     return answered
+
+
+def _round(
+    table: StateTable, feed: BucketedRows, buckets: list[int], examples: DataFrame | None, completer: Completer,
+    options: BatchOptions, run: str, round_no: int,
+) -> tuple[int, dict[int, int]]:
+    """One round over some buckets: how many products an answer names, and how many wait now in each bucket."""
+    spark = feed.rows(buckets).sparkSession
+    with scratch(spark):
+        rows = feed.rows(buckets).drop("bucket")
+        waiting = materialise(waiting_rows(table.rows(buckets), rows, options, run), "waiting")
+        ids = random_batch(waiting, options.items_per_iteration, f"{options.seed}.{round_no}")
+        generated = generate_round(ids, rows, examples, completer, options)
+        seen = Observation()
+        asked = asked_products(generated).withColumn("target", F.lit(options.target))
+        asked = asked.observe(seen, F.count_if("named").alias("named"))
+        answers = table.save_answers(asked, run, round_no)
+        table.replace(merge_round(table.rows(buckets), answers, options.target, run))
+        left = _per_bucket(waiting_rows(table.rows(buckets), rows, options, run)) if options.ids is None else {}
+    return seen.get["named"], left

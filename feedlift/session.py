@@ -69,6 +69,15 @@ def materialise(df: DataFrame, label: str = "frame", *, keep: bool = False) -> D
     return stored
 
 
+def temporary_path(spark: SparkSession, label: str) -> str:
+    """A new path that is deleted at the end of the innermost scratch block."""
+    path = new_path(spark, label)
+    blocks = _scratches.get()
+    if blocks:
+        blocks[-1].append(path)
+    return path
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what :func:`materialise` wrote for these frames, once nothing reads them any more."""
     for frame in frames:
@@ -90,6 +99,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return store.exists(at)
 
 
+def file_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern; none if its folder is missing."""
+    store, at = _located(spark, pattern)
+    return [str(f.getPath().toString()) for f in store.globStatus(at) or []]
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Frames materialised inside are deleted at the end; nothing may read them later."""

@@ -1,153 +1,147 @@
-"""Versioned tables on plain parquet, and the state table of batched generation.
+"""Result tables on plain parquet.
 
-Parquet has no MERGE and a table cannot be overwritten while it is read. Each commit
-writes a whole new version and then one line into the commit log; readers take the
-last version in the log, so a write that breaks off is never seen.
+Parquet has no MERGE, and a table cannot be overwritten as a whole while it is read. A result that is
+replaced as a whole goes to a new folder per write. The state of batched generation lies in buckets by id, one folder
+each, so a round of generation reads and replaces only the buckets of its products (dynamic partition overwrite).
 
-Every write has a folder of its own, so writers cannot damage each other's data. Of two
-commits of one version the one whose folder sorts first counts; the other writer is told.
-A state table also takes appended answers, from any number of writers side by side.
+Several writers of one table, and the clearing up of old versions, are left to table formats and retention rules.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
+import re
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from feedlift.operators.state import merge_log
-from feedlift.session import delete_path, path_exists
-
-ANSWERS = "id string, target string, text string, error string, named boolean, run string, round int"
+from feedlift.functions.text import as_column, id_part
+from feedlift.session import file_names
 
 
 class VersionedTable:
+    """A table of which every write is a folder of its own; readers take the last one that is complete."""
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self._spark = spark
         self._path = path.rstrip("/")
 
-    def _log(self) -> DataFrame | None:
-        commits = f"{self._path}/commits"
-        if not path_exists(self._spark, commits):
-            return None
-        return self._spark.read.schema("version long, folder string, merged array<string>").json(commits)
-
-    def _entry(self, version: int | None = None):
-        """The line of a version, of the last one by default."""
-        log = self._log()
-        if log is None:
-            return None
-        if version is not None:
-            log = log.where(F.col("version") == version)
-        lines = log.orderBy(F.desc("version"), "folder").take(1)
-        return lines[0] if lines else None
+    def _versions(self, pattern: str) -> list[int]:
+        names = file_names(self._spark, f"{self._path}/{pattern}")
+        return sorted(int(m[1]) for m in (re.search(r"/version=(\d+)", n) for n in names) if m)
 
     def latest(self) -> int | None:
-        """Number of the last committed version."""
-        entry = self._entry()
-        return entry["version"] if entry else None
+        """Number of the last complete version."""
+        done = self._versions("version=*/_SUCCESS")
+        return done[-1] if done else None
 
     def read(self, version: int | None = None) -> DataFrame:
-        """A committed version, the last one by default."""
-        entry = self._entry(version)
-        if entry is None:
-            raise FileNotFoundError(f"{self._path} has no committed version {version or ''}")
-        return self._spark.read.parquet(f"{self._path}/versions/{entry['folder']}")
-
-    def commit(self, df: DataFrame, base: int | None = None) -> DataFrame:
-        """Write ``df`` as the next version and return it as read back. With ``base``, the
-        version that ``df`` was made from, a table that has moved on since is an error."""
-        return self._commit(df, base, [])
-
-    def _commit(self, df: DataFrame, base: int | None, merged: list[str]) -> DataFrame:
-        folder = uuid.uuid4().hex
-        df.write.parquet(f"{self._path}/versions/{folder}")
-        last = self.latest()
-        if base is not None and last != base:
-            raise RuntimeError(f"{self._path} has moved from version {base} to {last}")
-        version = (last or 0) + 1
-        names = F.array(*[F.lit(m) for m in merged]).cast("array<string>")
-        line = self._spark.range(version, version + 1, 1, 1).select(
-            F.col("id").alias("version"), F.lit(folder).alias("folder"), names.alias("merged")
-        )
-        line.write.mode("append").json(f"{self._path}/commits")
-        if self._entry(version)["folder"] != folder:
-            raise RuntimeError(f"version {version} of {self._path} was committed by another writer")
-        return VersionedTable.read(self, version)
+        """A version, the last one by default."""
+        done = self._versions("version=*/_SUCCESS")
+        if not done or (version is not None and version not in done):
+            raise FileNotFoundError(f"{self._path} has no version {version or ''}")
+        return self._spark.read.parquet(f"{self._path}/version={version or done[-1]}")
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as the next version and return it as read back."""
+        begun = self._versions("version=*")
+        version = begun[-1] + 1 if begun else 1
+        df.write.parquet(f"{self._path}/version={version}")
+        return self.read(version)
 
     def clear(self) -> DataFrame:
-        """Commit an empty version of the same schema."""
-        return self.commit(self.read().limit(0))
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Delete the data of all versions but the last ``keep``."""
-        last, log = self.latest(), self._log()
-        if log is None:
-            return
-        for line in log.where(F.col("version") <= last - keep).select("folder").collect():
-            delete_path(self._spark, f"{self._path}/versions/{line['folder']}")
-
-
-class StateTable(VersionedTable):
-    """The state of batched generation: a version of it, and the answers appended since.
-
-    Appending writes only the answers, and writers need not know of each other. ``compact``
-    merges the answers into a new version now and then.
-    """
-
-    def _folders(self) -> list[str]:
-        """Appended folders in order. One line per append comes to the driver."""
-        commits = f"{self._path}/appends"
-        if not path_exists(self._spark, commits):
-            return []
-        lines = self._spark.read.schema("at long, folder string").json(commits)
-        return [r["folder"] for r in lines.orderBy("at", "folder").collect()]
-
-    def _pending(self) -> tuple[list[str], list[str]]:
-        entry = self._entry()
-        done = list(entry["merged"] or []) if entry else []
-        return done, [f for f in self._folders() if f not in done]
-
-    def append(self, answers: DataFrame) -> str:
-        """Save answers (:data:`ANSWERS`); they count once the line in the log is there. The name of
-        their folder."""
-        folder = uuid.uuid4().hex
-        answers.write.parquet(f"{self._path}/answers/{folder}")
-        line = self._spark.range(1).select(F.lit(time.time_ns()).alias("at"), F.lit(folder).alias("folder"))
-        line.coalesce(1).write.mode("append").json(f"{self._path}/appends")
-        return folder
-
-    def answers_in(self, folders: list[str]) -> DataFrame:
-        """Appended answers with ``place``, the order of their folders."""
-        if not folders:
-            return self._spark.createDataFrame([], ANSWERS).withColumn("place", F.lit(0))
-        rows = self._spark.read.schema(ANSWERS).parquet(*[f"{self._path}/answers/{f}" for f in folders])
-        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-        places = F.array(*[F.lit(f) for f in folders])
-        return rows.withColumn("place", F.array_position(places, name).cast("int"))
+        """An empty version of the same schema."""
+        return self.write(self.read().limit(0))
 
-    def answers(self) -> DataFrame:
-        """Answers that no version holds yet."""
-        return self.answers_in(self._pending()[1])
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The state as of now; with ``version`` that version without later answers."""
-        base = super().read(version)
-        later = self._pending()[1]
-        return base if version is not None or not later else merge_log(base, self.answers_in(later))
-
-    def commit(self, df: DataFrame, base: int | None = None) -> DataFrame:
-        """A new version in place of the last one and all answers so far."""
-        done, later = self._pending()
-        return self._commit(df, base, [*done, *later])
-
-    def compact(self) -> DataFrame:
-        """Merge the answers so far into a new version. Answers appended meanwhile stay."""
-        done, later = self._pending()
-        if not later:
-            return super().read()
-        version = self.latest()
-        merged = merge_log(super().read(version), self.answers_in(later))
-        return self._commit(merged, version, [*done, *later])
+BUCKET = "bucket"
+_SILENT = "silent_in"
+
+
+class BucketedRows:
+    """Rows in ``buckets`` folders by a hash of their id. Choose the number so that a bucket holds about as many
+    products as a round takes."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int) -> None:
+        self._spark = spark
+        self._path = f"{path.rstrip('/')}/buckets-{buckets}"
+        self.buckets = buckets
+
+    def bucket_of(self, id_col: Column | str = "id") -> Column:
+        """The bucket of an id. A part of a feed (:func:`selection.in_part`) is whole buckets if the number of parts
+        divides that of buckets."""
+        return F.coalesce(id_part(as_column(id_col), self.buckets), F.lit(0)).cast("int")
+
+    def create(self, df: DataFrame) -> None:
+        """All rows; the schema is kept beside them, so that empty tables can be read."""
+        df.limit(0).write.mode("overwrite").parquet(f"{self._path}/schema")
+        self._write(df, "overwrite")
+
+    def replace(self, df: DataFrame) -> None:
+        """Put ``df`` in place of the buckets its rows are in. It may be made from these buckets."""
+        self._write(df, "dynamic")
+
+    def _write(self, df: DataFrame, how: str) -> None:
+        # Rows of a bucket side by side; a large bucket is spread over tasks.
+        rows = df.withColumn(BUCKET, self.bucket_of()).hint("rebalance", F.col(BUCKET))
+        mode = "dynamic" if how == "dynamic" else "static"
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", mode)
+        writer.partitionBy(BUCKET).parquet(f"{self._path}/rows")
+
+    def rows(self, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The rows of all buckets, or of some that have rows: no other folder is listed or read. With the column
+        ``bucket``."""
+        schema = self._spark.read.parquet(f"{self._path}/schema").schema
+        whole = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        base = f"{self._path}/rows"
+        paths = [base] if buckets is None else [f"{base}/{BUCKET}={b}" for b in sorted(buckets)]
+        if not paths:
+            return self._spark.createDataFrame([], whole)
+        return self._spark.read.schema(whole).option("basePath", base).parquet(*paths)
+
+
+class StateTable:
+    """The state of batched generation in buckets, and beside it all answers as they came, a folder for each run and round."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
+        self._spark = spark
+        self._answers = f"{path.rstrip('/')}/answers"
+        self._rows = BucketedRows(spark, path, buckets)
+
+    @property
+    def buckets(self) -> int:
+        return self._rows.buckets
+
+    def bucket_of(self, id_col: Column | str = "id") -> Column:
+        return self._rows.bucket_of(id_col)
+
+    def create(self, df: DataFrame) -> None:
+        """Begin with these rows."""
+        self._rows.create(df.withColumn(_SILENT, F.lit(None).cast("string")))
+
+    def read(self) -> DataFrame:
+        """The state as of now."""
+        return self._rows.rows().drop(BUCKET, _SILENT)
+
+    def rows(self, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The state of some buckets, with ``bucket`` and ``silent_in``, the run that last asked for a product in vain."""
+        return self._rows.rows(buckets)
+
+    def replace(self, df: DataFrame) -> None:
+        """New rows in place of those of their buckets."""
+        self._rows.replace(df.drop(BUCKET))
+
+    def save_answers(self, answers: DataFrame, run: str, round_no: int) -> DataFrame:
+        """Keep the answers of a round, errors included; they are paid for, whatever becomes of the state. Returned as
+        read back."""
+        path = f"{self._answers}/run={run}/round={round_no}"
+        answers.write.parquet(path)
+        return self._spark.read.schema(answers.schema).parquet(path)
+
+    def answers(self) -> DataFrame:
+        """All answers so far: ``id, target, text, error, named, run, round``."""
+        kinds = "id string, target string, text string, error string, named boolean, run string, round int"
+        if not file_names(self._spark, f"{self._answers}/run=*"):
+            return self._spark.createDataFrame([], kinds)
+        return self._spark.read.schema(kinds).parquet(self._answers)

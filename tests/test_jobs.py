@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -24,12 +26,12 @@ from feedlift.operators.generation import (
 )
 from feedlift.operators.quality import semantic_drift
 from feedlift.operators.selection import init_state
-from feedlift.plans.batched import BatchOptions, batched_update, generate_round, save_round
+from feedlift.plans.batched import BatchOptions, batched_update
 from feedlift.plans.enrich import collect_batch, enrich_column, join_column, write_batch
 from feedlift.plans.review_feed import review_feed
 from feedlift.session import discard, materialise, path_exists, scratch, workspace
 from feedlift.sources import feeds, requests
-from feedlift.sources.tables import StateTable, VersionedTable
+from feedlift.sources.tables import BucketedRows, StateTable, VersionedTable
 
 # --- generation --------------------------------------------------------------------
 
@@ -134,7 +136,7 @@ def run(spark, tmp_path, n, completer, options, state=None):
         F.col("id").cast("string").alias("id"), F.concat(F.lit("t"), "id").alias("title")
     )
     table = StateTable(spark, str(tmp_path / "state"))
-    table.commit(init_state(inputs) if state is None else state)
+    table.create(init_state(inputs) if state is None else state)
     counts = batched_update(table, inputs, None, completer, options)
     return counts, {r.id: r for r in table.read().collect()}, table
 
@@ -147,10 +149,8 @@ def test_small_rounds_reach_everything(spark, tmp_path):
         assert row.title == (f"T{i}" if digit > 1 else None)
         assert row.tries == {0: 0, 1: 3}.get(digit, 1)
     assert sum(counts) == 80 + 30
-    # Rounds append their answers; a version is made when it is asked for.
-    assert table.latest() == 1
-    assert {r.id: r for r in table.compact().collect()} == state
-    assert table.latest() == 2 and table.answers().isEmpty()
+    # All answers are kept as they came, by round.
+    assert {r["round"] for r in table.answers().collect()} == set(range(len(counts)))
 
 
 def test_blocked_answers_end_after_three_tries(spark, tmp_path):
@@ -182,21 +182,54 @@ def test_errors_of_a_round_are_kept(spark, tmp_path):
     assert sum(counts) == 36
     assert all(r.title is None and r.tries == 3 for r in state.values())
     assert {r.error for r in table.answers().collect()} == {"RuntimeError: down"}
-    assert {r.id: r for r in table.compact().collect()} == state
 
 
-def test_parts_side_by_side_from_one_base(spark, tmp_path):
+def files_of(table):
+    """The files of each bucket of a state."""
+    names = [r.f for r in table.rows().select(F.input_file_name().alias("f")).distinct().collect()]
+    return {int(n.split("/bucket=")[1].split("/")[0]): n for n in names}
+
+
+def test_a_round_replaces_its_buckets_alone(spark, tmp_path):
+    options = BatchOptions("title", items_per_iteration=12, max_iterations=1)
+    inputs = spark.range(200).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("t"), "id").alias("title"))
+    table = StateTable(spark, str(tmp_path / "state"), buckets=20)
+    table.create(init_state(inputs))
+    before = files_of(table)
+    assert len(before) == 20
+    for _ in range(3):
+        batched_update(table, inputs, None, prompt_reader("title"), options)
+        after = files_of(table)
+        changed = {b for b in before if before[b] != after[b]}
+        asked = {r["bucket"] for r in table.rows().where("tries > 0 or silent_in is not null").select("bucket").distinct().collect()}
+        assert 1 <= len(changed) <= 3 and changed <= asked
+        before = after
+    assert table.read().count() == 200 and table.answers().count() == 36
+
+
+def test_parts_side_by_side(spark, tmp_path):
     inputs = spark.range(40).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("t"), "id").alias("title"))
-    table = StateTable(spark, str(tmp_path / "state"))
-    table.commit(init_state(inputs))
-    # Both read the state before either has appended.
-    rows = [save_round(table, materialise(generated), "title", f"run{p}", 0) for p in (0, 1)
-            for generated in [generate_round(table.read(1), inputs, None, prompt_reader("title"), BatchOptions("title", parts=2, part=p))]]
-    assert sum(asked for _, asked, _ in rows) == 40
-    assert sum(r.title is not None for r in table.read().collect()) == 32
-    table.compact()
-    table.vacuum(keep=1)
+    table = StateTable(spark, str(tmp_path / "state"), buckets=6)
+    table.create(init_state(inputs))
+    with ThreadPoolExecutor(3) as pool:
+        runs = [pool.submit(batched_update, table, inputs, None, prompt_reader("title"), BatchOptions("title", parts=3, part=p, items_per_iteration=5)) for p in range(3)]
+        counts = [r.result() for r in runs]
+    assert sum(map(sum, counts)) == 32 + 12
     assert sum(r.title is not None for r in table.read().collect()) == 32
+    with pytest.raises(ValueError, match="divide"):
+        batched_update(table, inputs, None, prompt_reader("title"), BatchOptions("title", parts=4, part=0))
+
+
+def test_buckets_of_any_rows(spark, tmp_path):
+    rows = BucketedRows(spark, str(tmp_path / "rows"), 5)
+    rows.create(spark.createDataFrame([], "id string, n int"))
+    assert rows.rows().count() == 0 and rows.rows([]).count() == 0
+    rows.create(spark.createDataFrame([("a", 1), (None, 2), ("a", 1), ("b", None)], "id string, n int"))
+    assert sorted((r.id or "", r.n or 0) for r in rows.rows().collect()) == [("", 2), ("a", 1), ("a", 1), ("b", 0)]
+    rows.replace(rows.rows().drop("bucket").withColumn("n", F.col("n") + 10))
+    assert sorted((r.id or "", r.n or 0) for r in rows.rows().collect()) == [("", 12), ("a", 11), ("a", 11), ("b", 0)]
+    bucket = rows.rows().where("id = 'a'").first().bucket
+    assert {r.bucket for r in rows.rows([bucket]).collect()} == {bucket}
 
 
 def test_the_model_is_called_once_per_image_and_text(spark):
@@ -397,37 +430,22 @@ def test_scratch_frames_are_deleted(spark):
     assert not there(kept)
 
 
-def test_uncommitted_versions_are_not_seen(spark, tmp_path):
+def test_unfinished_versions_are_not_seen(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"))
     assert table.latest() is None
     with pytest.raises(FileNotFoundError):
         table.read()
-    table.commit(spark.range(3))
-    spark.range(9).write.parquet(str(tmp_path / "t" / "versions" / "broken-off"))
+    table.write(spark.range(3))
+    (tmp_path / "t" / "version=2").mkdir()  # broken off
     assert table.read().count() == 3
-    assert table.commit(spark.range(4), base=1).count() == 4
-    assert table.latest() == 2
+    assert table.write(table.read().union(spark.range(1))).count() == 4
+    assert table.latest() == 3
     assert table.clear().count() == 0
     assert table.read(1).count() == 3
     with pytest.raises(FileNotFoundError, match="9"):
         table.read(9)
 
 
-def test_two_writers_one_of_which_counts(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"))
-    table.commit(spark.range(3))
-    table.commit(spark.range(4))
-    with pytest.raises(RuntimeError, match="moved"):
-        table.commit(spark.range(5), base=1)
-    # Both looked before either had written its line.
-    spark.range(9).write.parquet(str(tmp_path / "t" / "versions" / "zz-later"))
-    spark.createDataFrame([(2, "zz-later")], "version long, folder string").write.mode("append").json(
-        str(tmp_path / "t" / "commits")
-    )
-    assert table.read().count() == 4
-    assert table.commit(spark.range(6), base=2).count() == 6
-
-
 def test_csv_feed(spark, tmp_path):
     (tmp_path / "f.csv").write_text('id,title,brand\n1,"a ""b"", c\nd",x\n,,\n2,,\n')
     feed = feeds.read_feed_csv(spark, str(tmp_path / "f.csv"), ["id", "title"], multi_line=True)
