@@ -7,8 +7,9 @@ Building a join starts no job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +56,9 @@ def join_images_by_name(
     return left_join(feed, named, link_name, "_name")
 
 
-# Pieces of names are looked up by substrings of this length, shorter ones as they are.
-_GRAM = 8
+# Names in one automaton, and links that one task puts through it. A link is sent to a task for every so many names, and
+# a name for every so many links.
+_NAMES, _LINKS = 1 << 16, 1 << 17
 
 
 def _pieces(name: Column) -> Column:
@@ -64,30 +66,60 @@ def _pieces(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(name, "[_%]", -1), lambda p: p != ""))
 
 
-def _grams(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of a text in the given lengths."""
-
-    def of_length(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-        return F.transform(starts, lambda p: F.substring(text, p, n))
-
-    fitting = F.filter(lengths, lambda n: n <= F.length(text))
-    return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
-
-
-def _anchors(names: DataFrame) -> DataFrame:
-    """For each file name the substring of its literal pieces that the fewest names share."""
-    piece = names.select("_name", F.explode(_pieces(F.col("_name"))).alias("_piece"))
-    length = F.array(F.least(F.length("_piece"), F.lit(_GRAM)))
-    grams = piece.select("_name", F.explode(_grams(F.col("_piece"), length)).alias("_anchor")).distinct()
-    shared = grams.groupBy("_anchor").agg(F.count("*").alias("_names"))
-    rank = F.struct(F.col("_names"), (-F.length("_anchor")).alias("_short"), F.col("_anchor"))
-    return (
-        grams.join(shared, "_anchor")
-        .groupBy("_name")
-        .agg(F.min(rank).alias("_best"))
-        .select("_name", F.col("_best._anchor").alias("_anchor"))
+def _rarest_pieces(names: DataFrame) -> DataFrame:
+    """For each file name the literal piece that the fewest names have."""
+    pieces = names.select("_name", F.explode(_pieces(F.col("_name"))).alias("_piece"))
+    shared = pieces.groupBy("_piece").agg(F.count("*").alias("_names"))
+    rank = F.struct(F.col("_names"), (-F.length("_piece")).alias("_short"), F.col("_piece"))
+    best = pieces.join(shared, "_piece").groupBy("_name").agg(F.min(rank).alias("_best"))
+    return best.select("_name", F.col("_best._piece").alias("_piece"))
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_link, _name`` where the link holds the piece of the name. Rows come sorted by cell of the grid, names before
+    links: the names of a cell make an automaton, through which its links are streamed."""
+    import ahocorasick
+
+    cell, automaton, words = None, None, {}
+    for batch in batches:
+        links, names = [], []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("_block", "_slice", "_text", "_name")), strict=True)
+        for block, part, text, name in rows:
+            if (block, part) != cell:
+                cell, automaton, words = (block, part), None, {}
+            if name is not None:
+                words.setdefault(text, []).append(name)
+                continue
+            if automaton is None:
+                automaton = ahocorasick.Automaton()
+                for word, of in words.items():
+                    automaton.add_word(word, of)
+                automaton.make_automaton()
+            if words:
+                hits = {n for _, of in automaton.iter(text) for n in of}
+                links += [text] * len(hits)
+                names += hits
+        yield pa.RecordBatch.from_arrays([pa.array(links, pa.string()), pa.array(names, pa.string())], names=["_link", "_name"])
+
+
+def _candidates(links: DataFrame, names: DataFrame) -> DataFrame:
+    """``_link, _name`` of every distinct link and the names whose rarest piece it holds.
+
+    Names are cut into blocks and links into slices, both by hash and as many as their counts ask for; each cell of that
+    grid is a task's work, so its memory follows a block and no key can make it large."""
+    blocks = names.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / _NAMES)).cast("int")).scalar()
+    slices = links.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / _LINKS)).cast("int")).scalar()
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    patterns = _rarest_pieces(names).select(
+        hashed("_name", blocks).alias("_block"), each(slices).alias("_slice"), F.col("_piece").alias("_text"), "_name"
+    )
+    texts = links.select(
+        each(blocks).alias("_block"), hashed("_link", slices).alias("_slice"), F.col("_link").alias("_text"), F.lit(None).cast("string").alias("_name")
     )
+    cells = patterns.union(texts).repartition("_block", "_slice")
+    sorted_ = cells.sortWithinPartitions("_block", "_slice", F.col("_name").isNull())
+    return sorted_.mapInArrow(_found, "_link string, _name string")
 
 
 def join_images_containing(
@@ -96,10 +128,9 @@ def join_images_containing(
     """Feed with ``image_description`` of every image whose file name occurs in the link;
     ``_`` and ``%`` in a name are wildcards, and several hits give several rows.
 
-    A LIKE join compares each link with each name. Here each distinct link is cut into its
-    substrings of eight characters (and of the lengths of names that are shorter), which are joined on
-    equality with one such substring of each name; LIKE then only confirms the candidates. A link
-    of ``n`` characters gives at most ``8 n`` of them, and a link shared by many rows is matched once.
+    A LIKE join compares each link with each name. Here distinct links run through automata (Aho-Corasick) that
+    find all pieces of names in one pass; of each name it is the piece that the fewest names share. LIKE then confirms
+    names with wildcards. A link shared by many rows is matched once.
 
     A name of wildcards alone fits every link that is long enough, so its result is a product: it is
     an error unless ``allow_bare`` is set.
@@ -111,18 +142,12 @@ def join_images_containing(
     if not allow_bare:
         problem = F.concat(F.lit("a file name of wildcards alone fits every link: "), F.col("_name"))
         named = named.withColumn("_name", F.when(bare, F.raise_error(problem)).otherwise(F.col("_name")))
-    anchors = _anchors(named.select("_name").distinct())
-    lengths = anchors.agg(F.collect_set(F.length("_anchor"))).scalar()
     links = feed.select(as_column(link_col).alias("_link")).where("_link is not null").distinct()
-    cut = links.withColumn("_lengths", lengths).select(
-        "_link", F.explode(_grams(F.col("_link"), F.col("_lengths"))).alias("_anchor")
-    )
     # The escape sign is a character that no file name holds: a backslash means itself.
     pattern = F.concat(F.lit("%"), F.col("_name"), F.lit("%"))
     hits = (
-        cut.join(anchors, "_anchor")
+        _candidates(links, named.select("_name").distinct())
         .where(F.like(F.col("_link"), pattern, F.lit("\u0001")))
-        .select("_link", "_name")
         .join(named, "_name")
         .select("_link", "image_description")
     )

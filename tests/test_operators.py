@@ -162,7 +162,10 @@ def like(text, pattern):
     return re.fullmatch(regex, text, re.S) is not None
 
 
-def test_containing_join_equals_like(spark):
+@pytest.mark.parametrize(("names_per_block", "links_per_slice"), [(1 << 16, 1 << 17), (7, 1 << 17), (7, 20)])
+def test_containing_join_equals_like(spark, monkeypatch, names_per_block, links_per_slice):
+    monkeypatch.setattr(joins, "_NAMES", names_per_block)
+    monkeypatch.setattr(joins, "_LINKS", links_per_slice)
     rng = random.Random(3)
     def part(n):
         return "".join(rng.choice("ab1_%.\\") for _ in range(rng.randrange(1, n)))

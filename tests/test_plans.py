@@ -78,14 +78,17 @@ def test_building_a_join_starts_no_job(spark, lines):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_links_are_cut_into_few_pieces(spark):
-    link = "https://shop.example/" + "abcdefgh/" * 12 + "x.png"
-    feed = spark.createDataFrame([(1, link)], "id int, image_link string")
+def test_each_link_is_sent_once_for_a_block_of_names(spark, monkeypatch):
+    link = "https://shop.example/" + "abcdefgh/" * 12 + "img_1.jpg"
+    feed = spark.range(50).select("id", F.concat(F.lit(link), F.col("id") % 10).alias("image_link"))
     names = [(f"gs://b/{'n' * k}{k}.png", "d") for k in range(9, 50)]
-    images = spark.createDataFrame([*names, ("gs://b/x.png", "hit")], "uri string, description string")
-    lengths = F.array(*[F.lit(k) for k in range(1, joins._GRAM + 1)])
-    assert feed.select(F.size(joins._grams(F.col("image_link"), lengths)).alias("n")).first().n <= joins._GRAM * len(link)
-    assert [r.image_description for r in joins.join_images_containing(feed, images).collect()] == ["hit"]
+    images = spark.createDataFrame([*names, ("gs://b/img_1.jpg", "hit")], "uri string, description string")
+    found = joins.join_images_containing(feed, images)
+    assert [r.image_description for r in found.collect()] == ["hit"] * 50
+    distinct = feed.select(F.col("image_link").alias("_link")).distinct()
+    monkeypatch.setattr(joins, "_NAMES", 10)
+    sent = joins._candidates(distinct, images.select(F.col("uri").alias("_name")))
+    assert plan_of(sent).count("MapInArrow") == 1 and "NestedLoop" not in plan_of(sent)
 
 
 def test_page_text_files_are_split(spark, tmp_path):
