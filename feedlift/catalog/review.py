@@ -14,11 +14,11 @@ from feedlift.functions.scoring import compliance_status
 from feedlift.functions.text import bind, trim_ws, utf16_length
 from feedlift.operators import review as steps
 from feedlift.operators import selection
-from feedlift.operators.export import attribute_keys, export_approved, structured_export
+from feedlift.operators.export import attribute_keys, export_approved, structured_export, write_wide_export
 from feedlift.operators.generation import ExpressionCompleter, generate_text
 from feedlift.operators.labels import with_description_answer, with_title_answer
 from feedlift.plans.review_feed import review_feed
-from feedlift.session import materialise
+from feedlift.session import materialise, new_path
 
 CONFIG = FeedConfig(
     title=TitleSettings(prompt="Write a title.\n\n", allowed_words="Size, , deluxe"),
@@ -678,3 +678,23 @@ def export_as_maps(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join(F.array_sort(F.map_keys("gap_attributes")), "").alias("gap_keys"),
         F.array_join(F.map_values("new_attributes"), "").alias("new_values"),
     )
+
+
+@query(
+    "export_wide_files",
+    with_tables(
+        *_TITLES,
+        _ALL_APPROVED,
+        "cells AS (SELECT item_id, concat_ws(',', '2024-05-06T07:08:09.120Z', item_id, new_title, text, "
+        + ", ".join(f"COALESCE(json_extract_string(NULLIF(gaps, ''), '$.{k}'), '')" for k in ("size", "brand", "Finish"))
+        + ") AS line FROM review WHERE failure IS NULL AND approval)",
+        "SELECT 'row' AS kind, line FROM cells UNION ALL SELECT 'column', unnest(['modified_at', 'Item ID', 'Title', "
+        "'Description', 'size', 'brand', 'new-Finish'])",
+    ),
+)
+def export_wide_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The wide export as delimited files, whatever the number of attributes."""
+    path = new_path(spark, "wide")
+    write_wide_export(every_review(spark, folder), path, CONFIG, position="feed_pos", modified_at=_STAMP)
+    read = lambda kind, of: spark.read.text(f"{path}/{of}").select(F.lit(kind).alias("kind"), F.col("value").alias("line"))
+    return read("row", "rows").union(read("column", "header"))

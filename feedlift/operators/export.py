@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlift.config import FeedConfig
 from feedlift.functions.scoring import GENERATED_MARK, feed_text
 from feedlift.functions.text import as_column
-from feedlift.operators.selection import approved, with_both_texts
 from feedlift.operators.joins import left_join, one_per_key
+from feedlift.operators.numbering import number_rows
+from feedlift.operators.selection import approved, with_both_texts
+from feedlift.session import materialise, scratch
 
 _TEXT_MAP = "map<string,string>"
+# The columns before the attributes of an export.
+_LEAD = ("modified_at", "Item ID", "Title", "Description")
 
 
 def supplemental_feed(state: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def attribute_keys(review: DataFrame, position: str | None = None) -> DataFrame:
 def _distinct_names(names: list[str]) -> list[str]:
     """Names that differ from each other and from the leading columns even without regard to
     case, as files need them: a repeated one gets a number."""
-    taken = {"modified_at", "item id", "title", "description"}
+    taken = {n.lower() for n in _LEAD}
     found = []
     for name in names:
         unique, count = name, 1
@@ -156,6 +160,84 @@ def export_approved(
     )
 
 
+def attribute_columns(review: DataFrame, cfg: FeedConfig, position: str | None = None) -> DataFrame:
+    """``place, key, name`` of the columns that follow the leading ones in a wide export: gap attributes, then new ones with
+    their prefix. Names that differ in nothing but case, from each other or from a leading column, get a number."""
+    keys = attribute_keys(review, position).select(
+        "key", F.when(F.col("kind") == "new", F.concat(F.lit(cfg.new_attribute_prefix), "key")).otherwise(F.col("key")).alias("name"),
+        "kind", F.col("place.row").alias("row"), F.col("place.pos").alias("pos"),
+    )
+    columns = materialise(number_rows(keys, ["kind", "row", "pos", "key"], "place").select("place", "key", "name"), "columns")
+    while True:
+        lead = columns.sparkSession.createDataFrame([(n,) for n in _LEAD], "name string")
+        named = columns.unionByName(lead.select(F.lit(-1).cast("long").alias("place"), F.lit(None).cast("string").alias("key"), "name"))
+        nth = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("place"))
+        repeated = materialise(named.withColumn("nth", nth).filter("nth > 1 and place >= 0"), "repeated-columns")
+        if repeated.isEmpty():
+            return columns
+        others = repeated.select("place", F.concat_ws("_", "name", "nth").alias("_new"))
+        columns = columns.join(others, "place", "left").select("place", "key", F.coalesce("_new", "name").alias("name"))
+        columns = materialise(columns, "columns")
+
+
+def _cell(text: Column, separator: str) -> Column:
+    """A value as delimited text: quoted where it holds a separator, a quote or a line end."""
+    special = text.contains(separator) | text.rlike('["\\r\\n]')
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(special, quoted).otherwise(text)
+
+
+def write_wide_export(
+    review: DataFrame,
+    path: str,
+    cfg: FeedConfig | None = None,
+    *,
+    position: str | None = None,
+    modified_at: datetime.datetime | None = None,
+    separator: str = ",",
+) -> bool:
+    """The wide export as files: ``path/header`` names one column a line, the files and lines in order; ``path/rows`` has one delimited line
+    per approved row. False, and nothing is touched, when no row is approved.
+
+    Any number of attributes: the columns are a table, each value gets its place by a join, and a row is laid out from the
+    values it has. Neither keys nor rows come to the driver. With ``position`` the lines follow it."""
+    cfg = cfg or FeedConfig()
+    spark = review.sparkSession
+    with scratch(spark):
+        rows = materialise(approved(review), "approved")
+        if rows.isEmpty():
+            return False
+        columns = attribute_columns(rows, cfg, position)
+        order = as_column(position).cast("long") if position else F.lit(None).cast("long")
+        stamp = utc_text(F.lit(modified_at) if modified_at else F.current_timestamp())
+        lead = [stamp, F.col("item_id"), F.col("title_generated"), F.col("description_generated")]
+        lead = [_cell(F.coalesce(c.cast("string"), F.lit("")), separator) for c in lead]
+        gaps = F.from_json(F.when(F.col("gap_attributes") != "", F.col("gap_attributes")), _TEXT_MAP)
+        rows = rows.select(
+            F.monotonically_increasing_id().alias("row"), order.alias("order"), F.concat_ws(separator, *lead).alias("lead"), gaps.alias("gaps")
+        )
+        values = rows.select("row", F.explode("gaps").alias("key", "value")).join(columns.select("key", "place"), "key")
+        cell = F.struct(F.col("place").cast("int").alias("place"), _cell(F.coalesce("value", F.lit("")), separator).alias("text"))
+        cells = values.groupBy("row").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+
+        def after(previous: Column, text: Column, place: Column) -> Column:
+            return F.concat(F.repeat(F.lit(separator), place - previous), text)
+
+        # Each value stands behind the separators that lead to its place; the leading columns come before all places.
+        width = columns.agg(F.count("*").cast("int")).scalar()
+        some = F.coalesce("cells", F.array().cast("array<struct<place:int,text:string>>"))
+        before = lambda i: F.coalesce(F.get(some, i - 1)["place"], F.lit(-1))
+        body = F.transform(some, lambda c, i: after(before(i), c["text"], c["place"]))
+        rest = F.repeat(F.lit(separator), width - 1 - before(F.size(some)))
+        lines = rows.join(cells, "row", "left").select("order", "row", F.concat("lead", F.array_join(body, ""), rest).alias("line"))
+        ordered = lines.repartitionByRange("order", "row").sortWithinPartitions("order", "row")
+        first = spark.createDataFrame([(i - len(_LEAD), n) for i, n in enumerate(_LEAD)], "place long, name string")
+        header = first.union(columns.select("place", "name")).repartitionByRange("place").sortWithinPartitions("place")
+        header.select("name").write.mode("overwrite").text(f"{path}/header")
+        ordered.select("line").write.mode("overwrite").text(f"{path}/rows")
+    return True
+
+
 def structured_export(export: DataFrame) -> DataFrame:
     """An approved export with its texts renamed and marked as generated."""
     names = {"Title": "structured_title", "Description": "structured_description"}

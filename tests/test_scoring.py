@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import csv
+import datetime
 import itertools
+import json
 import math
 import random
 import re
@@ -13,7 +16,7 @@ from feedlift.config import FeedConfig, TitleSettings
 from feedlift.functions import scoring as s
 from feedlift.operators import review as steps
 from feedlift.operators.selection import approve_where
-from feedlift.operators.export import attribute_keys, export_approved, utc_text
+from feedlift.operators.export import attribute_keys, export_approved, utc_text, write_wide_export
 from feedlift.operators.generation import ExpressionCompleter
 from feedlift.plans.review_feed import review_feed
 
@@ -348,6 +351,47 @@ def test_columns_keep_the_order_of_first_mention_in_wide_rows(spark):
     assert [k["key"] for k in found] == [*keys, "early"]
 
 
+def lines_of(path):
+    files = sorted(path.glob("part-*"))
+    return [row for f in files for row in csv.reader(f.open(newline=""))]
+
+
+def test_wide_files_of_many_attributes(spark, tmp_path):
+    n = 100_000
+    sets = [{f"k{i}": f"v{i}" for i in range(0, n, 7)}, {f"k{i}": f"w{i}" for i in range(n)}, {}, {"k5": 'a "b", c', "K5": "line\nend"}]
+    rows = [(p, f"id{p}", "t,1", None, json.dumps(g) if g else "", True, '{"k5":"x"}') for p, g in enumerate(sets)]
+    kinds = "pos long, item_id string, title_generated string, description_generated string, gap_attributes string, approval boolean, original_input string"
+    review = spark.createDataFrame(rows, kinds)
+    stamp = datetime.datetime(2024, 1, 2, tzinfo=datetime.timezone.utc)
+    assert write_wide_export(review, str(tmp_path / "e"), FeedConfig(new_attribute_prefix=""), position="pos", modified_at=stamp)
+    names = [r[0] for r in lines_of(tmp_path / "e" / "header")]
+    first = [*sets[0], *[k for k in sets[1] if k not in sets[0]], "K5"]
+    order = ["k5", *[k for k in first if k != "k5"]]  # attributes of the input before new ones
+    assert names[:4] == ["modified_at", "Item ID", "Title", "Description"]
+    assert names[4:-1] == order[:-1] and names[-1] == "K5_2"
+    got = lines_of(tmp_path / "e" / "rows")
+    assert [len(r) for r in got] == [len(names)] * 4
+    for row, given in zip(got, sets, strict=True):
+        assert row[:1] + row[2:4] == ["2024-01-02T00:00:00.000Z", "t,1", ""]
+        assert row[4:] == [given.get(k, "") for k in order]
+
+
+def test_wide_files_agree_with_wide_columns(spark, tmp_path):
+    text = answer("title", "title | fit | Fit | Title", "a b | slim | long | c")
+    reviewed = approve_where(review(spark, {"id": "1", "title": "slim long c a b", "description": "d"}, text), F.lit(True))
+    stamp = datetime.datetime(2024, 1, 2, tzinfo=datetime.timezone.utc)
+    for prefix in ("", "new-"):
+        cfg = FeedConfig(new_attribute_prefix=prefix)
+        wide = export_approved(reviewed, cfg, modified_at=stamp, layout="wide")
+        path = tmp_path / f"e{prefix}"
+        assert write_wide_export(reviewed, str(path), cfg, modified_at=stamp)
+        assert [r[0] for r in lines_of(path / "header")] == wide.columns
+        assert lines_of(path / "rows") == [list(wide.first())]
+    rejected = reviewed.withColumn("approval", F.lit(False))
+    assert not write_wide_export(rejected, str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+
+
 def test_attributes_go_into_maps(spark):
     text = answer("title", "title | Fit | Cut", "a b | slim | long")
     reviewed = review(spark, {"id": "1", "title": "slim long a b", "description": "d"}, text)
