@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,15 @@ def test_cosine_distance(value):
 
 def test_bind_evaluates_once(value):
     assert value(t.bind(F.lit(3), lambda x: x * x + x)) == 12
+
+
+def test_cosine_distances_of_many_rows(spark):
+    rng = random.Random(2)
+    vector = lambda n: [rng.uniform(-1, 1) for _ in range(n)]
+    rows = [(vector(n), vector(n)) for n in (1, 3, 64, 65, 3, 1) for _ in range(9)]
+    rows += [([], []), (None, [1.0]), ([1.0, None], [1.0, 1.0]), ([0.0], [1.0]), ([1.0], [1.0, 2.0]), ([float("nan")], [1.0]), ([3.0, 4.0], [3.0, 4.0])]
+    got = [r.d for r in spark.createDataFrame(rows, "a array<double>, b array<double>").coalesce(1).select(cosine_distance("a", "b").alias("d")).collect()]
+    for (a, b), d in zip(rows[:54], got, strict=False):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        assert d == pytest.approx(1 - dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)), abs=1e-12)
+    assert got[54:59] == [None] * 5 and math.isnan(got[59]) and got[60] == 0.0
