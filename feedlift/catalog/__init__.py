@@ -5,7 +5,7 @@ from feedlift.catalog.registry import QUERIES, SQL
 
 def load() -> None:
     """Import every module that registers queries."""
-    from feedlift.catalog import branches, column, files, pages, review, warehouse  # noqa: F401
+    from feedlift.catalog import branches, column, files, pages, review, sql, warehouse  # noqa: F401
 
 
 __all__ = ["QUERIES", "SQL", "load"]

@@ -680,21 +680,24 @@ def export_as_maps(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_CELLS = [f"c{i}" for i in range(7)]
+
+
 @query(
     "export_wide_files",
     with_tables(
         *_TITLES,
         _ALL_APPROVED,
-        "cells AS (SELECT item_id, concat_ws(',', '2024-05-06T07:08:09.120Z', item_id, new_title, text, "
-        + ", ".join(f"COALESCE(json_extract_string(NULLIF(gaps, ''), '$.{k}'), '')" for k in ("size", "brand", "Finish"))
-        + ") AS line FROM review WHERE failure IS NULL AND approval)",
-        "SELECT 'row' AS kind, line FROM cells UNION ALL SELECT 'column', unnest(['modified_at', 'Item ID', 'Title', "
-        "'Description', 'size', 'brand', 'new-Finish'])",
+        "SELECT '2024-05-06T07:08:09.120Z' AS c0, item_id AS c1, new_title AS c2, text AS c3, "
+        + ", ".join(f"COALESCE(json_extract_string(NULLIF(gaps, ''), '$.{k}'), '') AS c{i}" for i, k in enumerate(("size", "brand", "Finish"), 4))
+        + " FROM review WHERE failure IS NULL AND approval UNION ALL "
+        "SELECT unnest(['modified_at', 'Item ID', 'Title', 'Description', 'size', 'brand', 'new-Finish']), '', '', '', '', '', ''",
     ),
 )
 def export_wide_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The wide export as delimited files, whatever the number of attributes."""
+    """The wide export as delimited files, whatever the number of attributes: its rows, and the names of its columns."""
     path = new_path(spark, "wide")
     write_wide_export(every_review(spark, folder), path, CONFIG, position="feed_pos", modified_at=_STAMP)
-    read = lambda kind, of: spark.read.text(f"{path}/{of}").select(F.lit(kind).alias("kind"), F.col("value").alias("line"))
-    return read("row", "rows").union(read("column", "header"))
+    cells = spark.read.csv(f"{path}/rows", ", ".join(f"{c} string" for c in _CELLS), multiLine=True, escape='"')
+    names = spark.read.text(f"{path}/header").select(F.col("value").alias("c0"), *[F.lit("").alias(c) for c in _CELLS[1:]])
+    return cells.na.fill("").union(names)

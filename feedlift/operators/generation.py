@@ -126,7 +126,7 @@ class FunctionCompleter:
 
         def run(prompts: pa.Array) -> pa.Array:
             with ThreadPoolExecutor(self.concurrency) as pool:
-                answers, errors = self._answer(prompts.to_pylist(), pool)
+                answers, errors = self.answer(prompts.to_pylist(), pool)
             pairs = zip(answers, errors, strict=True)
             return pa.array([{"response": a, "error": e} for a, e in pairs], kind)
 
@@ -138,7 +138,8 @@ class FunctionCompleter:
             F.col("_answer.error").alias(error),
         )
 
-    def _answer(self, prompts: list, pool: ThreadPoolExecutor) -> tuple[list, list]:
+    def answer(self, prompts: list, pool: ThreadPoolExecutor) -> tuple[list, list]:
+        """Answers and errors of prompts, in calls of ``batch_size``."""
         answers: list = [None] * len(prompts)
         errors: list = [None] * len(prompts)
         sent = [i for i, p in enumerate(prompts) if p is not None]

@@ -133,15 +133,14 @@ def batched_update(
     round leaves fewer products or tries, and every run ends. Runs over different parts may work on one table side by
     side; one part takes one run at a time.
     """
-    if options.parts is not None and table.buckets % options.parts:
-        raise ValueError(f"{options.parts} parts do not divide the {table.buckets} buckets of the state")
     spark = inputs.sparkSession
+    state = table.rows() if options.parts is None else table.part(options.parts, options.part)
     answered: list[int] = []
     run = uuid.uuid4().hex
     with scratch(spark):
         feed = BucketedRows(spark, temporary_path(spark, "feed"), table.buckets)
-        feed.create(input_rows(inputs))
-        waiting = _per_bucket(waiting_rows(table.rows(), feed.rows(), options, run))
+        feed.create(input_rows(in_part(inputs, options.parts, options.part)))
+        waiting = _per_bucket(waiting_rows(state, feed.rows(), options, run))
         while waiting and (options.max_iterations is None or len(answered) < options.max_iterations):
             chosen = _next_buckets(waiting, options)
             named, left = _round(table, feed, chosen, examples, completer, options, run, len(answered))

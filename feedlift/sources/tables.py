@@ -101,6 +101,13 @@ class BucketedRows:
         return self._spark.read.schema(whole).option("basePath", base).parquet(*paths)
 
 
+    def part(self, parts: int, part: int) -> DataFrame:
+        """The rows of one part of a feed, from the folders of that part."""
+        if self.buckets % parts:
+            raise ValueError(f"{parts} parts do not divide {self.buckets} buckets")
+        return self.rows().where(F.col(BUCKET) % parts == part)
+
+
 class StateTable:
     """The state of batched generation in buckets, and beside it all answers as they came, a folder for each run and round."""
 
@@ -128,6 +135,10 @@ class StateTable:
         """The state of some buckets, with ``bucket`` and ``silent_in``, the run that last asked for a product in vain."""
         return self._rows.rows(buckets)
 
+    def part(self, parts: int, part: int) -> DataFrame:
+        """The state of one part, from its own buckets."""
+        return self._rows.part(parts, part)
+
     def replace(self, df: DataFrame) -> None:
         """New rows in place of those of their buckets."""
         self._rows.replace(df.drop(BUCKET))

@@ -13,6 +13,9 @@ from feedlift.catalog.warehouse import prompt_reader
 from feedlift.config import FeedConfig, ModelParams
 from feedlift.functions import prompts
 from feedlift.functions.responses import stream_response
+from feedlift.functions.scoring import feed_text
+from feedlift.functions.sql import create_functions
+from feedlift.functions.text import id_part
 from feedlift.operators import joins
 from feedlift.operators.generation import (
     ExpressionCompleter,
@@ -26,6 +29,7 @@ from feedlift.operators.generation import (
 )
 from feedlift.operators.quality import semantic_drift
 from feedlift.operators.selection import init_state
+from feedlift.operators.table_functions import table_function
 from feedlift.plans.batched import BatchOptions, batched_update
 from feedlift.plans.enrich import collect_batch, enrich_column, join_column, write_batch
 from feedlift.plans.review_feed import review_feed
@@ -81,6 +85,45 @@ def test_one_failing_prompt_fails_only_its_call(spark):
     assert [p for p, e in found.items() if e is None] == ["a", "b"]
 
 
+def test_a_table_function_answers_the_rows_of_a_query(spark):
+    def model(texts, params):
+        if "bad" in texts:
+            raise RuntimeError("x")
+        return [f"{t}:{params.temperature}:{params.max_output_tokens}" for t in texts]
+
+    spark.udtf.register("ask", table_function(FunctionCompleter(model, batch_size=2, concurrency=2, attempts=1)))
+    rows = spark.createDataFrame([(i, p, None) for i, p in enumerate(["a", None, "bad", "c", "d", "e", "f"])], "id int, prompt string, x string").coalesce(1)
+    got = spark.sql("SELECT * FROM ask(TABLE(SELECT * FROM {rows}), temperature => 0.5, max_output_tokens => 9)", rows=rows)
+    assert got.columns == ["id", "prompt", "x", "response", "error"]
+    found = {r.id: (r.response, r.error) for r in got.collect()}
+    failed = (None, "RuntimeError: x")
+    assert found == {0: failed, 1: (None, None), 2: failed, **{i: (f"{p}:0.5:9", None) for i, p in ((3, "c"), (4, "d"), (5, "e"), (6, "f"))}}
+    assert spark.sql("SELECT * FROM ask(TABLE(SELECT * FROM {rows}))", rows=rows.limit(0)).count() == 0
+    with pytest.raises(Exception, match="column prompt"):
+        spark.sql("SELECT * FROM ask(TABLE(SELECT id FROM {rows}))", rows=rows)
+    with pytest.raises(Exception, match="named like the answers"):
+        spark.sql("SELECT * FROM ask(TABLE(SELECT prompt, id AS error FROM {rows}))", rows=rows)
+
+
+def test_sql_functions_give_the_text_of_the_columns(spark):
+    words = prompts.BatchWording("It's {language}\\ ", "in\n", "\tout ", "a 'quote' \"x\"", "end")
+    create_functions(spark, {"title": words})
+    rows = spark.createDataFrame(
+        [(["p1", None, "p'2"], [("1", "{}", "t", None), ("2", None, None, "d")], 'say "x"'), ([], None, None)],
+        "properties array<string>, examples array<struct<id:string,properties:string,title:string,description:string>>, text string",
+    )
+    by_sql = spark.sql(
+        "SELECT titles_prompt('German', examples, properties) a, descriptions_prompt('German', examples, properties) b, "
+        "feed_text(text, true) c, feed_text(text, false) d, id_part(text, 7) e FROM {rows}", rows=rows,
+    )
+    columns = rows.select(
+        prompts.batch_prompt("title", "German", "properties", F.col("examples"), words).alias("a"),
+        prompts.batch_prompt("description", "German", "properties", F.col("examples")).alias("b"),
+        feed_text("text", True).alias("c"), feed_text("text", False).alias("d"), id_part("text", 7).alias("e"),
+    )
+    assert by_sql.collect() == columns.collect()
+
+
 def test_embeddings_come_from_the_same_hook(spark):
     completer = FunctionCompleter(
         lambda texts, params: [[float(len(t)), 1.0] for t in texts], answer_type="array<float>"

@@ -12,6 +12,7 @@ from feedlift.operators.answers import first_answers
 from feedlift.operators.state import merge_answers
 from feedlift.plans.enrich import join_column
 from feedlift.sources import feeds
+from feedlift.sources.tables import BucketedRows
 from tests.conftest import plan_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -91,6 +92,16 @@ def test_each_link_is_sent_once_for_a_block_of_names(spark, monkeypatch):
     assert plan_of(sent).count("MapInArrow") == 1 and "NestedLoop" not in plan_of(sent)
 
 
+def test_a_part_is_read_from_its_own_folders(spark, tmp_path):
+    stored = BucketedRows(spark, str(tmp_path / "parts"), 8)
+    stored.create(spark.range(500).select(F.col("id").cast("string").alias("id")))
+    part = stored.part(4, 1)
+    assert re.search(r"PartitionFilters: \[.*bucket.*% 4.*= 1", plan_of(part))
+    folders = {r.f.split("bucket=")[1].split("/")[0] for r in part.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert folders == {"1", "5"}
+    assert sum(stored.part(4, p).count() for p in range(4)) == 500
+
+
 def test_page_text_files_are_split(spark, tmp_path):
     rows = spark.range(20_000).select("id", F.repeat(F.lit("text "), 40).alias("content")).coalesce(1)
     feeds.write_page_texts(rows, str(tmp_path / "p"))
