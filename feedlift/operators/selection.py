@@ -86,32 +86,33 @@ def pending(state: DataFrame, target: str, max_tries: int = 3) -> DataFrame:
     return state.where(F.col(target).isNull() & (tries < max_tries))
 
 
-# Hex digits of a key that one histogram tells apart: at most 65,536 rows come to the driver.
-_DIGITS = 4
+# Hex digits of a key that one histogram tells apart, and rows that are sorted at most: both bound what one
+# task or the driver gets.
+_DIGITS, _SLIVER = 3, 10_000
 _KEY_LENGTH = 32
 
 
-def key_threshold(keys: DataFrame, size: int) -> tuple[str, int, bool] | None:
-    """Where the ``size`` smallest of the MD5 texts in column ``key`` end: the prefix that the last of them has, how
-    many are taken of those with this prefix, and whether that is all of them. None if there are no more than ``size``.
+def key_threshold(keys: DataFrame, size: int) -> tuple[str, int, int] | None:
+    """Where the ``size`` smallest of the MD5 texts in column ``key`` end: a prefix that the last of them has, how
+    many are taken of those with this prefix, and how many there are. None if there are no more than ``size``.
 
-    A histogram of the first digits tells which prefix the last one has; keys with that prefix are told apart by the
-    next digits, until a whole prefix is taken. Nothing is sorted, and only counts leave the tasks."""
+    A histogram of the first digits tells which prefix the last one has; the next digits tell apart the keys with that
+    prefix, until all of them are taken or few are left. Nothing is sorted, and only counts leave the tasks."""
     prefix, wanted = "", size
-    for at in range(0, _KEY_LENGTH, _DIGITS):
-        digits = F.conv(F.substring("key", at + 1, _DIGITS), 16, 10).cast("int").alias("digits")
-        counts = keys.where(F.col("key").startswith(prefix)).groupBy(digits).agg(F.count("*").alias("n"))
-        found = sorted(zip(*counts.toArrow().to_pydict().values(), strict=True))
-        for value, n in found:
+    while len(prefix) < _KEY_LENGTH:
+        longer = min(_KEY_LENGTH, len(prefix) + _DIGITS)
+        some = keys.where(F.col("key").startswith(prefix)) if prefix else keys
+        counts = some.groupBy(F.substring("key", 1, longer).alias("head")).agg(F.count("*").alias("n")).toArrow()
+        for head, n in sorted(zip(*counts.to_pydict().values(), strict=True)):
             if n >= wanted:
-                prefix += f"{value:0{_DIGITS}x}"
+                prefix = head
                 break
             wanted -= n
         else:
             return None
-        if n == wanted:
-            return prefix, wanted, True
-    return prefix, wanted, False
+        if n == wanted or n <= _SLIVER:
+            break
+    return prefix, wanted, n
 
 
 def random_batch(
@@ -119,24 +120,28 @@ def random_batch(
 ) -> DataFrame:
     """``size`` rows, the first in the repeatable random order of ``seed``; all rows without a size.
 
-    A filter on the key of that order, so nothing is sorted or shuffled whatever the size: see
-    :func:`key_threshold`. Only of rows with equal ids, if not all of them fit, some are numbered and cut.
-    ``df`` is read several times: store what gives other rows each time."""
+    A filter on the key of that order, so the table is neither sorted nor shuffled whatever the size: see
+    :func:`key_threshold`. Only the few rows around the last one are ranked; of many rows with one id, some are numbered
+    and cut. ``df`` is read several times: store what gives other rows each time."""
     if size is None:
         return df
     # Rows without an id come first.
     key = F.coalesce(shuffle_key(id_col, seed), F.lit("0" * _KEY_LENGTH))
-    end = key_threshold(df.select(key.alias("key")), size) if size > 0 else ("", 0, False)
+    end = key_threshold(df.select(key.alias("key")), size) if size > 0 else ("", 0, 1)
     if end is None:
         return df
-    prefix, wanted, whole = end
-    head = F.substring(key, 1, len(prefix))
-    if whole:
-        return df.where(head <= prefix)
+    prefix, wanted, found = end
     if not wanted:
         return df.limit(0)
-    ties = number_rows(df.where(key == prefix), [id_col], "_rank")
-    return df.where(key < prefix).unionByName(ties.where(F.col("_rank") < wanted).drop("_rank"))
+    head = F.substring(key, 1, len(prefix))
+    if wanted == found:
+        return df.where(head <= prefix)
+    last = df.where(head == prefix)
+    if found <= _SLIVER:
+        last = last.orderBy(key, as_column(id_col)).limit(wanted)
+    else:
+        last = number_rows(last, [id_col], "_rank").where(F.col("_rank") < wanted).drop("_rank")
+    return df.where(head < prefix).unionByName(last)
 
 
 def top_by(df: DataFrame, metric: str, size: int = 3, id_col: str = "id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -125,9 +125,9 @@ def batched_update(
 ) -> list[int]:
     """Rounds of generation until nothing is pending. Returns the number of products answered per round.
 
-    The run reads state and feed once, counts what waits in each bucket, and stores the feed in the same buckets. A
-    round takes its products, in a random order, from as few buckets as hold enough of them; it reads and replaces
-    these buckets alone, so its cost follows the round, not the state.
+    The run reads state and feed once, counts what waits in each bucket, and stores the feed in the same buckets if there
+    are rounds of bounded size. Such a round takes its products, in a random order, from as few buckets as hold enough of
+    them; it reads and replaces these buckets alone, so its cost follows the round, not the state.
 
     A product that no answer names gains no tries, and is not asked for again in this run. So each
     round leaves fewer products or tries, and every run ends. Runs over different parts may work on one table side by
@@ -138,34 +138,36 @@ def batched_update(
     answered: list[int] = []
     run = uuid.uuid4().hex
     with scratch(spark):
-        feed = BucketedRows(spark, temporary_path(spark, "feed"), table.buckets)
-        feed.create(input_rows(in_part(inputs, options.parts, options.part)))
-        waiting = _per_bucket(waiting_rows(state, feed.rows(), options, run))
+        whole = input_rows(in_part(inputs, options.parts, options.part))
+        feed_in: Callable[[list[int] | None], DataFrame] = lambda _: whole
+        if options.items_per_iteration is not None:
+            stored = BucketedRows(spark, temporary_path(spark, "feed"), table.buckets)
+            stored.create(whole)
+            feed_in = lambda buckets: stored.rows(buckets).drop("bucket")
+        waiting = _per_bucket(waiting_rows(state, feed_in(None), options, run))
         while waiting and (options.max_iterations is None or len(answered) < options.max_iterations):
             chosen = _next_buckets(waiting, options)
-            named, left = _round(table, feed, chosen, examples, completer, options, run, len(answered))
-            answered.append(named)
-            if options.ids is not None:
+            feed = feed_in(chosen)
+            answered.append(_round(table, feed, chosen, examples, completer, options, run, len(answered)))
+            if options.ids is not None or len(answered) == options.max_iterations:
                 break
+            left = _per_bucket(waiting_rows(table.rows(chosen), feed, options, run))
             waiting = {b: n for b, n in waiting.items() if b not in set(chosen)} | left
     return answered
 
 
 def _round(
-    table: StateTable, feed: BucketedRows, buckets: list[int], examples: DataFrame | None, completer: Completer,
+    table: StateTable, feed: DataFrame, buckets: list[int], examples: DataFrame | None, completer: Completer,
     options: BatchOptions, run: str, round_no: int,
-) -> tuple[int, dict[int, int]]:
-    """One round over some buckets: how many products an answer names, and how many wait now in each bucket."""
-    spark = feed.rows(buckets).sparkSession
-    with scratch(spark):
-        rows = feed.rows(buckets).drop("bucket")
-        waiting = materialise(waiting_rows(table.rows(buckets), rows, options, run), "waiting")
+) -> int:
+    """One round over some buckets; how many products an answer names."""
+    with scratch(feed.sparkSession):
+        waiting = materialise(waiting_rows(table.rows(buckets), feed, options, run), "waiting")
         ids = random_batch(waiting, options.items_per_iteration, f"{options.seed}.{round_no}")
-        generated = generate_round(ids, rows, examples, completer, options)
+        generated = generate_round(ids, feed, examples, completer, options)
         seen = Observation()
         asked = asked_products(generated).withColumn("target", F.lit(options.target))
         asked = asked.observe(seen, F.count_if("named").alias("named"))
         answers = table.save_answers(asked, run, round_no)
         table.replace(merge_round(table.rows(buckets), answers, options.target, run))
-        left = _per_bucket(waiting_rows(table.rows(buckets), rows, options, run)) if options.ids is None else {}
-    return seen.get["named"], left
+    return seen.get["named"]

@@ -67,6 +67,7 @@ class BucketedRows:
         self._spark = spark
         self._path = f"{path.rstrip('/')}/buckets-{buckets}"
         self.buckets = buckets
+        self._schema: T.StructType | None = None
 
     def bucket_of(self, id_col: Column | str = "id") -> Column:
         """The bucket of an id. A part of a feed (:func:`selection.in_part`) is whole buckets if the number of parts
@@ -75,8 +76,9 @@ class BucketedRows:
 
     def create(self, df: DataFrame) -> None:
         """All rows; the schema is kept beside them, so that empty tables can be read."""
+        self._schema = None
         df.limit(0).write.mode("overwrite").parquet(f"{self._path}/schema")
-        self._write(df, "overwrite")
+        self._write(df, "static")
 
     def replace(self, df: DataFrame) -> None:
         """Put ``df`` in place of the buckets its rows are in. It may be made from these buckets."""
@@ -85,15 +87,14 @@ class BucketedRows:
     def _write(self, df: DataFrame, how: str) -> None:
         # Rows of a bucket side by side; a large bucket is spread over tasks.
         rows = df.withColumn(BUCKET, self.bucket_of()).hint("rebalance", F.col(BUCKET))
-        mode = "dynamic" if how == "dynamic" else "static"
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", mode)
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", how)
         writer.partitionBy(BUCKET).parquet(f"{self._path}/rows")
 
     def rows(self, buckets: Iterable[int] | None = None) -> DataFrame:
         """The rows of all buckets, or of some that have rows: no other folder is listed or read. With the column
         ``bucket``."""
-        schema = self._spark.read.parquet(f"{self._path}/schema").schema
-        whole = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        self._schema = self._schema or self._spark.read.parquet(f"{self._path}/schema").schema
+        whole = T.StructType([*self._schema.fields, T.StructField(BUCKET, T.IntegerType())])
         base = f"{self._path}/rows"
         paths = [base] if buckets is None else [f"{base}/{BUCKET}={b}" for b in sorted(buckets)]
         if not paths:
@@ -111,7 +112,7 @@ class BucketedRows:
 class StateTable:
     """The state of batched generation in buckets, and beside it all answers as they came, a folder for each run and round."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8) -> None:
         self._spark = spark
         self._answers = f"{path.rstrip('/')}/answers"
         self._rows = BucketedRows(spark, path, buckets)

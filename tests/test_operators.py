@@ -88,7 +88,9 @@ def test_large_and_small_batches_agree(spark):
     assert {r.id for r in small.collect()} < large_ids
 
 
-def test_batches_with_repeated_and_missing_ids(spark):
+@pytest.mark.parametrize("sliver", [10_000, 5])
+def test_batches_with_repeated_and_missing_ids(spark, monkeypatch, sliver):
+    monkeypatch.setattr(selection, "_SLIVER", sliver)
     ids = ["a"] * 50 + ["b"] * 7 + [None] * 3 + [f"x{i}" for i in range(40)]
     df = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id string, n int").repartition(4)
     key = lambda i: "0" * 32 if i is None else hashlib.md5(f"5:{i}".encode()).hexdigest()
