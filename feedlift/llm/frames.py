@@ -42,6 +42,20 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select(f"{ROW}.*")
 
 
+def apart(df: DataFrame, *results: str) -> DataFrame:
+    """``df`` with the columns that are named like a result (in any case) renamed to ``input_`` and their name."""
+    taken = {c.lower() for c in df.columns} | {r.lower() for r in results}
+    names = []
+    for c in df.columns:
+        if c.lower() in {r.lower() for r in results}:
+            c = f"input_{c}"
+            while c.lower() in taken:
+                c = f"input_{c}"
+            taken.add(c.lower())
+        names.append(c)
+    return df.toDF(*names)
+
+
 def buckets(df: DataFrame, factor: int = 1) -> int:
     """Partitions for a frame that is dealt out by range: those of the session's shuffles."""
     return factor * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,10 +7,12 @@ presence vectors. Landmarks are texts of the training sample; the regression wei
 against the rest are found in their span (Nyström), and a text is scored by two matrix products: its
 kernel with all landmarks, and that with the weights.
 
-Training reads at most about ``PER_LANGUAGE`` rows of each language, picked by a hash of the id; their
-whole texts count, as do those that are scored. Rows whose language, id or text is null, or whose
+Every language seen is learned. Training reads about ``PER_LANGUAGE`` rows of each, or ``IN_ALL`` divided by the
+languages if that is less, picked by a hash of id and text, and one row at least; every language has a landmark. Whole
+texts count, as they do when they are scored. Rows whose language, id or text is null, or whose
 text has no letter, are not learned from. Text without a letter, or null, is ``und`` with score 0, and so is every text if there is nothing to learn from.
-Rows are scored one by one, so repeated rows get equal results; columns other than those named are not read.
+Rows are scored one by one, so repeated rows get equal results, and they are learned from once; columns other than those
+named are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlift.llm import arrays
+from feedlift.llm.frames import apart
+from feedlift.session import materialise
 
 UNKNOWN = "und"
-PER_LANGUAGE, MAX_LANGUAGES, LANDMARKS, RIDGE = 500, 400, 160, 1e-4
+_TOLD = "_prediction_of_language"
+PER_LANGUAGE, IN_ALL, LANDMARKS, RIDGE = 500, 20_000, 160, 1e-4
 #: Places for the n-grams of each n, as powers of two.
 PLACES = (8, 11, 12, 13)
 _STARTS = np.concatenate(([0], np.cumsum([1 << p for p in PLACES])))
@@ -89,6 +94,7 @@ def train(rows: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ri
     # Landmarks take turns among the languages.
     place = {n: iter(np.flatnonzero(np.array(languages) == n)) for n in names}
     chosen: list[int] = []
+    landmarks = max(landmarks, len(names))
     while place and len(chosen) < landmarks:
         for n in list(place):
             at = next(place[n], None)
@@ -112,23 +118,27 @@ def has_letter(text: Column | str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}") if isinstance(text, str) else text.rlike(r"\p{L}"), F.lit(False))
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from a bounded sample of ``docs``; None if there is nothing to learn from. Languages beyond the
-    ``MAX_LANGUAGES`` most frequent are not learned."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.filter("doc_id is not null and lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+def fit(
+    docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
+    per_language: int = PER_LANGUAGE, in_all: int = IN_ALL,
+) -> Model | None:
+    """A model from a bounded sample of ``docs``; None if there is nothing to learn from."""
+    doc_id, text = F.col(id_col).cast("string"), F.col(text_col).cast("string")
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(doc_id, text).alias("order"), doc_id.alias("doc_id"))
+    rows = rows.filter("doc_id is not null and lang is not null and text is not null").filter(has_letter("text"))
+    place = F.pmod(F.col("order"), F.lit(1 << 30))
+    # A row for each language: how many rows it has, and the first of them in the order of the hash.
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    counts = materialise(counts, "language-counts")
+    languages = counts.count()
+    if not languages:
         return None
-    # Rows of a language are taken by hash, about as many as the bound.
-    place, share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 30))).otherwise(share)
-    picked = rows.filter(place < share).filter(has_letter("text"))
-    sample = picked.select("lang", F.xxhash64("doc_id", "text").alias("order"), F.arrow_udf(_packed, "binary")("text").alias("bits"))
+    wanted = max(1, min(per_language, in_all // languages))
+    share = F.greatest(F.col("first") + 1, F.least(F.lit(1.0), wanted / F.col("n")) * (1 << 30))
+    limits = counts.select("lang", share.cast("long").alias("share"))
+    picked = rows.join(limits, "lang").filter(place < F.col("share"))
+    sample = picked.select("lang", "order", F.arrow_udf(_packed, "binary")("text").alias("bits")).dropDuplicates(["lang", "order"])
     sample = sample.toPandas().sort_values(["order", "lang"], kind="stable")
-    if not len(sample):
-        return None
     bits = np.frombuffer(b"".join(sample["bits"]), np.uint8).reshape(len(sample), -1)
     return train(np.unpackbits(bits, axis=1)[:, :WIDTH].astype(bool), sample["lang"].tolist())
 
@@ -145,11 +155,13 @@ def _predict(text: pa.Array, model: Model) -> pa.Array:
 
 
 def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
-    unknown = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    if model is None:
-        return docs.withColumn("prediction", unknown).select(*docs.columns, "prediction.*")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks: a fixed number of rows of a fixed width
-    predict = F.arrow_udf(lambda text: _predict(text, shared.value), "struct<lang_pred:string,score:double>")
-    told = F.when(has_letter(text_col), predict(text_col)).otherwise(unknown)
-    return docs.withColumn("prediction", told).select(*docs.columns, "prediction.*")
+    """``docs`` with ``lang_pred`` and ``score``. A column of ``docs`` with one of these names becomes ``input_`` and its
+    name."""
+    told = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    if model is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks: a bounded number of rows of a fixed width
+        predict = F.arrow_udf(lambda text: _predict(text, shared.value), "struct<lang_pred:string,score:double>")
+        text = F.col(text_col).cast("string")
+        told = F.when(has_letter(text), predict(text)).otherwise(told)
+    free = apart(docs.withColumn(_TOLD, told), "lang_pred", "score")
+    return free.select(*[F.col(f"`{c}`") for c in free.columns if c != _TOLD], f"{_TOLD}.*")

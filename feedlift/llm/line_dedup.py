@@ -8,7 +8,7 @@ third of all documents hold is spread over tasks. What is lost comes back as one
 bitmap per document.
 
 Null or empty text is one empty line, which is never dropped. Rows equal in id and text are one
-document; rows that share only the id are two; a null id counts as the smallest. Columns other
+document, counted once, and all of them lose the same lines; rows that share only the id are two; a null id counts as the smallest. Columns other
 than id and text are not read. No rows give no rows.
 """
 
@@ -103,7 +103,7 @@ def keep_bitmaps(
     rows = keyed(docs, id_col, text_col)
     found = materialise(rows.mapInArrow(lambda b: _occurrences(b, min_chars), _ROWS), "line-occurrences")
     order = [F.col("doc_id").desc_nulls_last(), F.col("member")]
-    stream = materialise(runs.repeated(found, ["hash"], order, min_docs, buckets(found)), "line-runs")
+    stream = materialise(runs.repeated(found, ["hash"], order, min_docs, buckets(found), once=True), "line-runs")
     lost = runs.settled(stream, ["hash"], min_docs).filter(F.col("member") != F.col("first_member"))
     bitmaps = (
         lost.groupBy(F.col("member").alias("key"))

@@ -95,9 +95,24 @@ def _stream(batches: Iterator[pa.RecordBatch], keys: list[str], least: int, sche
         yield summary(now, head, count)
 
 
-def repeated(df: DataFrame, keys: list[str], order: list, least: int, partitions: int) -> DataFrame:
+def _once(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The first of neighbouring rows that are equal in ``columns``."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+        new[0] = last != [v[0] for v in values]
+        last = [v[-1] for v in values]
+        yield batch if new.all() else batch.filter(pa.array(new))
+
+
+def repeated(df: DataFrame, keys: list[str], order: list, least: int, partitions: int, *, once: bool = False) -> DataFrame:
     """The stream of the rows of ``df`` whose ``keys`` at least ``least`` rows have: store it, and read it
-    by :func:`settled`.
+    by :func:`settled`. With ``once`` a member counts once for a key, however many rows it has there; ``order`` must put
+    these side by side.
 
     ``keys`` and ``member`` are long and never null; other columns are carried along. ``df`` is read twice
     (ranges are sampled first): give a frame that is cheap to read again.
@@ -113,7 +128,12 @@ def repeated(df: DataFrame, keys: list[str], order: list, least: int, partitions
     out = T.StructType([T.StructField(f.name, f.dataType, True) for f in out])
     arrow = to_arrow_schema(out)
     by_range = df.repartitionByRange(partitions, *keys, *order).sortWithinPartitions(*keys, *order)
-    return by_range.mapInArrow(lambda batches: _stream(batches, keys, least, arrow), out)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows equal in keys and order are in one partition, so repeated ones are neighbours here.
+        return _stream(_once(batches, [*keys, "member"]) if once else batches, keys, least, arrow)
+
+    return by_range.mapInArrow(stream, out)
 
 
 def settled(streamed: DataFrame, keys: list[str], least: int) -> DataFrame:

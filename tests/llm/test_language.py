@@ -70,9 +70,12 @@ def test_nothing_to_learn_from(spark, docs):
 
 def test_odd_texts(spark, docs):
     model = language.fit(spark.createDataFrame(_two(), "doc_id long, text string, lang string"))
-    frame = docs(ODD).withColumnsRenamed({"lang": "prediction2", "source": "lang_pred2", "n_chars": "model"})
-    got = language.predicted(frame, model).collect()
-    assert len(got) == len(ODD)
+    frame = docs(ODD).withColumnsRenamed({"lang": "prediction", "source": "lang_pred", "n_chars": "score"})
+    got = language.predicted(frame, model)
+    assert got.columns == ["doc_id", "text", "prediction", "input_lang_pred", "input_score", "lang_pred", "score"]
+    got = got.collect()
+    assert len(got) == len(ODD) and {(r.prediction, r.input_lang_pred) for r in got} == {("en", "s")}
+    assert language.predicted(frame, None).columns[3:] == ["input_lang_pred", "input_score", "lang_pred", "score"]
     for r in got:
         if not any(c.isalpha() for c in r.text or ""):
             assert r.lang_pred == "und"
@@ -84,3 +87,49 @@ def test_odd_texts(spark, docs):
 def test_one_language(spark):
     frame = spark.createDataFrame([r for r in _two() if r[2] == "x"], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language.predicted(frame.drop("lang"), language.fit(frame)).collect()} == {"x"}
+
+
+def test_every_language_is_learned(spark):
+    """More languages than landmarks: each has letters of its own."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(700):
+        own = [chr(0xAC00 + 15 * k + i) for i in range(15)]
+        rows += [(3 * k + i, "".join(rng.choice(own) for _ in range(60)), f"l{k:03d}") for i in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(frame, in_all=900)
+    assert len(model.languages) == 700 and len(model.landmarks) == 700
+    right = [r.lang == r.lang_pred for r in language.predicted(frame, model).collect()]
+    assert np.mean(right) > 0.95
+
+
+def test_the_sample_is_bounded_whatever_ids_repeat(spark, monkeypatch):
+    rows = [(1, f"tha ing wh {'ab' * (i % 500)}", "x") for i in range(3000)] + [(2, "eux oi", "y")]
+    seen = []
+    monkeypatch.setattr(language, "train", lambda bits, languages: seen.append(languages))
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert seen[0].count("x") <= 50 and seen[0].count("y") == 1
+
+
+def test_predictions_against_plain_kernels(spark):
+    """Kernel ridge regression in the span of the landmarks, written out with sets and loops."""
+    rows = _two(30)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(frame)
+    bits = [np.concatenate(list(language.presence(pa.array([t]))))[0] for _, t, _ in rows]
+    edges = np.concatenate(([0], np.cumsum([1 << p for p in language.PLACES])))
+
+    def kernel(a, b):
+        parts = [(a[s:e], b[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+        return np.mean([(x & y).sum() / np.sqrt(max(x.sum(), 1e-18) * max(y.sum(), 1e-18)) for x, y in parts])
+
+    # All rows are landmarks here, so the fit is that of the whole kernel matrix.
+    assert len(model.landmarks) == len(rows)
+    k = np.array([[kernel(a, b) for b in bits] for a in bits])
+    target = np.array([[1.0 if lang == n else -1.0 for n in model.languages] for *_, lang in rows])
+    n = len(rows)
+    weights = np.linalg.solve(k.T @ k + language.RIDGE * n * k + 1e-8 * n * np.eye(n), k.T @ target)
+    got = {r.doc_id: r for r in language.predicted(frame.drop("lang"), model).collect()}
+    for (i, *_), margins in zip(rows, k @ weights, strict=True):
+        assert got[i].lang_pred == model.languages[int(margins.argmax())]
+        assert abs(got[i].score - min(1, max(0, (margins.max() + 1) / 2))) < 1e-3

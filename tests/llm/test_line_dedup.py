@@ -39,10 +39,22 @@ def test_odd_texts(docs):
     assert line_dedup.line_digests(docs(ODD)).count() == len(ODD)  # repeated rows stay rows
 
 
-def test_repeated_rows_count_each_and_share_their_outcome(docs):
+def test_repeated_rows_are_one_document(docs):
     line = "a line that has far more than forty code points in it"
     got = line_dedup.line_digests(docs([(1, line)] * 3 + [(2, line)] * 2)).collect()
-    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 1)] * 3 + [(2, 0)] * 2
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 0)] * 3 + [(2, 0)] * 2
+    got = line_dedup.line_digests(docs([(i, line) for i in range(1, 6) for _ in range(7)], 11)).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(i, int(i < 5)) for i in range(1, 6) for _ in range(7)]
+
+
+def test_repeated_rows_against_brute_force(docs):
+    rng = random.Random(31)
+    rows = {i: "\n".join(f"line {rng.randrange(40)} of a text that is long enough to be counted" for _ in range(4)) for i in range(60)}
+    many = [(i, t) for i, t in rows.items() for _ in range(rng.choice([1, 1, 2, 9]))]
+    rng.shuffle(many)
+    got = line_dedup.line_digests(docs(many, 13)).collect()
+    want = brute.line_digests(list(rows.items()))
+    assert len(got) == len(many) and all((r.n_lines, r.n_dropped, r.kept_sha256) == want[r.doc_id] for r in got)
 
 
 def test_clashing_columns_are_not_read(docs):
