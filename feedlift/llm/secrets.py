@@ -2,19 +2,21 @@
 
 The base patterns find assignments, access keys and hex strings. Beside them every run of 20 or more
 characters of ``[A-Za-z0-9+/_-]`` that meets no base span is a candidate. Its encoding is inferred from
-its characters, and two questions are asked.
+its characters, and three tests over the alphabet of the encoding tell how random it looks: chi-squared uniformity, runs
+above and below the middle of the alphabet, serial correlation of neighbours.
 
-* Could it be random? Three tests over the alphabet of the encoding: chi-squared uniformity, runs above and
-  below the middle of the alphabet, serial correlation of neighbours. A candidate that fails one of them
-  (each at a third of ``ALPHA``) is ordinary text.
-* Could it be ordinary text? Under a model of which characters of the corpus follow each other, the surprise
-  of a text of the same length has a known mean and spread. The tail probability is the p-value, so a
-  short candidate needs to be odder than a long one.
+* A candidate that fails one of them (each at a third of ``ALPHA``) is not random: its p-value is 1.
+* Otherwise the battery statistic, minus the sum of the logarithms of the three p-values, is compared with that of
+  ordinary text of the same encoding and length: texts drawn with the character pairs of the corpus, simulated for
+  a ladder of lengths. The p-value is the share of such texts that look as random.
+* As a second feature, the surprise of the characters under that pair model has a known mean and spread for each length;
+  its tail probability is joined with the p-value of the battery by Fisher's method. So a short candidate needs to be odder
+  than a long one.
 
 Over all candidates of all documents the Benjamini-Hochberg rule keeps the share of false
 discoveries under ``FALSE_DISCOVERIES``; p-values are counted in bins, each taken at its upper end.
-The counts of character pairs and the p-values cover the whole table. Only 65,536 counts and one row
-per bin come to the driver.
+The counts of character pairs within texts and the p-values cover the whole table, and do not depend on how its rows are dealt
+out. Only 65,536 counts and one row per bin come to the driver.
 
 Places are code points, ends exclusive. Null or empty text has no spans. Rows are scanned one by one, so
 repeated rows get equal results; columns other than id and text are not read. No rows give no rows.
@@ -25,7 +27,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -109,13 +113,69 @@ def serial_correlation(codes: np.ndarray, size: int) -> float:
     return min(1.0, 2 * _upper_tail(abs(float((x[1:] * x[:-1]).sum()) / total) * math.sqrt(len(x))))
 
 
+def battery(codes: np.ndarray, size: int) -> tuple[float, float, float]:
+    """P-values of the three tests if the codes were drawn evenly and independently."""
+    return chi_squared(codes, size), runs_test(codes, size), serial_correlation(codes, size)
+
+
+def _codes(token: str, name: str) -> np.ndarray:
+    return np.array([ENCODINGS[name].index(c) for c in token])
+
+
+def passes(p_values: tuple[float, float, float]) -> bool:
+    return min(p_values) >= ALPHA / 3
+
+
 def could_be_random(token: str) -> bool:
     name = encoding(token)
-    if name is None:
-        return False
-    alphabet = ENCODINGS[name]
-    codes = np.array([alphabet.index(c) for c in token])
-    return all(test(codes, len(alphabet)) >= ALPHA / 3 for test in (chi_squared, runs_test, serial_correlation))
+    return name is not None and passes(battery(_codes(token, name), len(ENCODINGS[name])))
+
+
+def statistic(p_values: tuple[float, float, float]) -> float:
+    """Small for a sequence that looks random; the root makes its spread even."""
+    return math.sqrt(-sum(math.log(max(p, 1e-300)) for p in p_values))
+
+
+#: Lengths for which ordinary text is simulated, and how many texts for each.
+LENGTHS, SIMULATED = (20, 28, 40, 56, 80, 112, 160, 224, 320), 200
+
+
+class TextNull:
+    """The battery statistic of ordinary text, by encoding and length: mean and spread."""
+
+    def __init__(self, counts: np.ndarray):
+        rng = np.random.default_rng(20_250_301)
+        self.known = {name: self._simulated(counts, alphabet, rng) for name, alphabet in ENCODINGS.items()}
+
+    @staticmethod
+    def _simulated(counts: np.ndarray, alphabet: str, rng: np.random.Generator) -> np.ndarray:
+        """Mean and spread for each of :data:`LENGTHS`, from texts whose neighbours follow the corpus."""
+        places = [ord(c) for c in alphabet]
+        seen = counts[np.ix_(places, places)] + 0.5
+        start, then = np.cumsum(seen.sum(axis=1) / seen.sum()), np.cumsum(seen / seen.sum(axis=1, keepdims=True), axis=1)
+        last, draw = len(alphabet) - 1, rng.random((SIMULATED, LENGTHS[-1]))
+        codes = np.empty(draw.shape, np.int64)
+        codes[:, 0] = np.minimum(np.searchsorted(start, draw[:, 0]), last)
+        for i in range(1, LENGTHS[-1]):
+            codes[:, i] = np.minimum((then[codes[:, i - 1]] < draw[:, i, None]).sum(axis=1), last)
+        values = np.array([[statistic(battery(row[:n], len(alphabet))) for row in codes] for n in LENGTHS])
+        return np.stack((values.mean(axis=1), np.maximum(values.std(axis=1), 0.05)))
+
+    def p_value(self, name: str, n: int, value: float) -> float:
+        """Probability that ordinary text of this encoding and length looks as random. The statistic grows with the root
+        of the length, so beyond the ladder its last step is carried on so."""
+        mean, spread = self.known[name]
+        if n <= LENGTHS[-1]:
+            mean, spread = np.interp(n, LENGTHS, mean), np.interp(n, LENGTHS, spread)
+        else:
+            mean, spread = mean[-1] * math.sqrt(n / LENGTHS[-1]), spread[-1]
+        return max(_upper_tail((mean - value) / spread), 1e-60)
+
+
+def fisher(a: float, b: float) -> float:
+    """Two p-values joined."""
+    half = -math.log(a) - math.log(b)
+    return max(math.exp(-half) * (1 + half), 1e-60)
 
 
 class TextModel:
@@ -139,6 +199,26 @@ class TextModel:
         return max(_upper_tail((total - n * self.mean) / math.sqrt(n * self.variance)), 1e-60)
 
 
+class Model:
+    """P-values of candidates against the ordinary text of a corpus, given its character pairs."""
+
+    def __init__(self, counts: np.ndarray):
+        self.pairs, self.null = TextModel(counts), TextNull(counts)
+
+    def p_value(self, token: str) -> float:
+        name = encoding(token)
+        if name is None:
+            return 1.0
+        told = battery(_codes(token, name), len(ENCODINGS[name]))
+        if not passes(told):
+            return 1.0
+        return fisher(self.null.p_value(name, len(token), statistic(told)), self.pairs.p_value(token))
+
+
+def bin_of(p: float) -> int:
+    return min(LAST_BIN, int(-math.log10(p) / BIN))
+
+
 def discovery_bin(counts: dict[int, int], false_share: float = FALSE_DISCOVERIES) -> int:
     """The least bin of -log10(p) that the Benjamini-Hochberg rule accepts; past the last if none."""
     total, rank, least = sum(counts.values()), 0, LAST_BIN + 1
@@ -152,8 +232,12 @@ def discovery_bin(counts: dict[int, int], false_share: float = FALSE_DISCOVERIES
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for _, _, raw, _ in arrays.blocks(batch.column("text")):
-            total += np.bincount(raw[:-1].astype(np.int64) * 256 + raw[1:], minlength=1 << 16)
+        for _, _, raw, offsets in arrays.blocks(batch.column("text")):
+            pair = raw[:-1].astype(np.int64) * 256 + raw[1:]
+            within = np.ones(len(pair), bool)
+            ends = offsets[1:-1]
+            within[ends[(ends > 0) & (ends < len(raw))] - 1] = False  # the last of a text and the first of the next
+            total += np.bincount(pair[within], minlength=1 << 16)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["pair", "n"])
 
@@ -161,18 +245,18 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FOUND = "struct<base:array<struct<start:int,kind:int,end:int>>,more:array<struct<start:int,end:int,bin:int>>>"
 
 
-def _scan(text: pa.Array, model: TextModel) -> pa.Array:
+def _scan(text: pa.Array, model: Model) -> pa.Array:
     out = []
     for t in text:
         t = t.as_py() or ""
         base = base_spans(t)
+        starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
         more = []
         for m in CANDIDATE.finditer(t):
-            if any(s < m.end() and m.start() < e for s, _, e in base):
+            before = bisect_left(starts, m.end())  # base spans that begin before its end
+            if before and ends[before - 1] > m.start():
                 continue
-            # What fails the battery is counted among the candidates with the worst p-value.
-            p = model.p_value(m[0]) if could_be_random(m[0]) else 1.0
-            more.append({"start": m.start(), "end": m.end(), "bin": min(LAST_BIN, int(-math.log10(p) / BIN))})
+            more.append({"start": m.start(), "end": m.end(), "bin": bin_of(model.p_value(m[0]))})
         out.append({"base": [{"start": s, "kind": k, "end": e} for s, k, e in base], "more": more})
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     extra = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("bin", pa.int32())])
@@ -185,7 +269,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counts = rows.select("text").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     histogram = np.zeros(1 << 16)
     histogram[counts["pair"].to_numpy(np.int64)] = counts["n"].to_numpy(float)
-    model = TextModel(histogram.reshape(256, 256))
+    model = Model(histogram.reshape(256, 256))
     scan = F.arrow_udf(lambda text: _scan(text, model), _FOUND)
     found = materialise(rows.select("doc_id", scan("text").alias("f")).select("doc_id", "f.*"), "secret-spans")
     bins = found.select(F.explode("more.bin").alias("bin")).groupBy("bin").count().collect()

@@ -74,6 +74,78 @@ def test_battery_keeps_its_level():
         assert np.mean(passed) > 0.98
 
 
+def _mixed(seed, n=60):
+    """Prose with random strings of several encodings and lengths, long words and base spans."""
+    rng = random.Random(seed)
+    parts = ["the", "and", "tion", "er", "in", "on", "_", "-"]
+    rows = []
+    for i in range(n):
+        out = []
+        for _ in range(rng.randrange(0, 40)):
+            kind = rng.random()
+            if kind < 0.05:
+                alphabet = rng.choice(list(secrets.ENCODINGS.values()))
+                out.append("".join(rng.choice(alphabet) for _ in range(rng.choice([20, 24, 33, 64, 400]))))
+            elif kind < 0.1:
+                out.append("token=" + "".join(rng.choice(string.ascii_letters) for _ in range(30)))
+            elif kind < 0.2:
+                out.append("".join(rng.choice(parts) for _ in range(rng.randrange(6, 20))))
+            else:
+                out.append("".join(rng.choice(parts[:6]) for _ in range(rng.randrange(1, 4))))
+        rows.append((i, " ".join(out) if i % 7 else None))
+    return rows
+
+
+def test_added_spans_against_brute_force(docs):
+    rows = _mixed(1)
+    counts = np.zeros((256, 256))
+    for _, text in rows:
+        raw = (text or "").encode()
+        for a, b in zip(raw[:-1], raw[1:], strict=True):
+            counts[a, b] += 1
+    model = secrets.Model(counts)
+    found = []
+    for i, text in rows:
+        base = [(s, e) for s, _, e in brute.secret_spans(text)]
+        for m in secrets.CANDIDATE.finditer(text or ""):
+            if all(e <= m.start() or m.end() <= s for s, e in base):
+                found.append((min(60.0, -np.log10(model.p_value(m[0]))) // 0.05 * 0.05, i, m.span()))
+    want, worst = set(), None
+    for rank, (size, *_) in enumerate(sorted(found, reverse=True), 1):  # the largest p-value that its rank allows
+        worst = size if 10 ** -size <= 0.01 * sum(s >= size - 1e-9 for s, *_ in found) / len(found) else worst
+    want = {(i, s, e) for size, i, (s, e) in found if worst is not None and size >= worst - 1e-9}
+    for partitions in (1, 2, 7):
+        got = {(r.doc_id, *map(int, x.split(":")[1:])) for r in secrets.secret_digests(docs(rows, partitions)).collect() for x in r.spans.split(",") if x.startswith("random")}
+        assert got == want and len(want) > 10
+
+
+def test_spans_do_not_depend_on_batches(spark, docs):
+    rows = _mixed(2, 40)
+    frame = docs(rows, 3)
+    want = sorted(map(tuple, secrets.secret_digests(frame).collect()), key=str)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert sorted(map(tuple, secrets.secret_digests(docs(rows[::-1], 5)).collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_text_looks_less_random_the_longer_it_is():
+    rng = random.Random(5)
+    counts = np.zeros((256, 256))
+    prose = " ".join("".join(rng.choice(["the", "and", "tion", "er", "in", "on"]) for _ in range(9)) for _ in range(3000)).encode()
+    np.add.at(counts, (np.frombuffer(prose[:-1], np.uint8), np.frombuffer(prose[1:], np.uint8)), 1)
+    null = secrets.TextNull(counts)
+    for name in ("base36", "base62", "base64"):
+        alphabet = secrets.ENCODINGS[name]
+        p = []
+        for n in (20, 40, 80, 160, 640):
+            token = [secrets.statistic(secrets.battery(np.array([rng.randrange(len(alphabet)) for _ in range(n)]), len(alphabet))) for _ in range(30)]
+            p.append(np.median([null.p_value(name, n, t) for t in token]))
+        assert p == sorted(p, reverse=True) and p[-1] < 1e-6
+
+
 def test_discoveries_follow_the_rule():
     counts = {0: 1000, 60: 5, 100: 5}
     # 10 of 1010 have p <= 1e-3, 5 have p <= 1e-5: only the latter are under 1 % of the rank.
