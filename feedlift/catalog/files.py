@@ -22,7 +22,7 @@ from feedlift.functions.responses import request_id
 from feedlift.operators.export import supplemental_feed
 from feedlift.operators.generation import ExpressionCompleter, describe_images
 from feedlift.operators.pages import page_div_texts
-from feedlift.plans.enrich import build_requests, parse_predictions
+from feedlift.plans.enrich import build_requests, collect_batch, parse_predictions, write_batch
 from feedlift.session import new_path
 from feedlift.sources import feeds, requests
 from feedlift.sources.tables import VersionedTable
@@ -141,6 +141,26 @@ def latest_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return parse_predictions(found, "colour").join(status_of, "id")
 
 
+@query(
+    "collected_batch",
+    with_tables(
+        RAW,
+        "SELECT id, title, CASE WHEN size <> '' THEN size WHEN k % 9 < 2 THEN 'N/A' ELSE split_part(title, ' ', 1) END AS size "
+        "FROM raw",
+    ),
+)
+def collected_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Both halves of a run through a batch service: its request file, and the feed written with the predictions."""
+    base = new_path(spark, "batch")
+    feed = products(spark, folder).select("id", "title", "description", "size")
+    write_batch(feed, CONFIG, "size", "English", f"{base}/requests.jsonl")
+    request = F.get_json_object("value", "$.request")
+    answered = F.concat(F.lit('{"status":"done","request":'), request, F.lit(',"response":'), column_model(request), F.lit("}"))
+    requests.write_requests(spark.read.text(f"{base}/requests.jsonl").select(answered), f"{base}/out/run-1/predictions.jsonl")
+    path = collect_batch(feed, CONFIG, "size", f"{base}/out")
+    return feeds.read_feed_csv(spark, path, ["id", "title", "size"], multi_line=True).select("id", "title", "size")
+
+
 @query(
     "image_descriptions",
     with_tables(

@@ -256,7 +256,7 @@ titled AS (
 
 def composed_titles(spark: SparkSession, folder: str) -> DataFrame:
     parsed = steps.parse_titles(answered_titles(spark, folder))
-    return materialise(steps.compose_titles(parsed, CONFIG), "composed").where("failure IS NULL")
+    return materialise(steps.compose_titles(parsed, CONFIG), "composed")
 
 
 def scored_titles(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,28 +266,36 @@ def scored_titles(spark: SparkSession, folder: str) -> DataFrame:
 _TITLES = (RAW, TITLE_ANSWERS, TITLE_FIELDS, FACTS)
 
 
+def by_item(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """``id`` and some columns of every row; a row whose answer failed has none of them."""
+    found = [F.col(c) if isinstance(c, str) else c for c in columns]
+    done = F.col("failure").isNull()
+    names = rows.select(*found).columns
+    return rows.select(F.col("item_id").alias("id"), *[F.when(done, c).alias(n) for c, n in zip(found, names, strict=True)])
+
+
 @query(
     "title_compose",
     with_tables(
         *_TITLES,
-        "SELECT id, new_title AS title_generated, array_to_string(used_keys, ',') AS used_keys "
-        "FROM composed",
+        "SELECT raw.id, new_title AS title_generated, array_to_string(used_keys, ',') AS used_keys "
+        "FROM raw LEFT JOIN composed c ON raw.id = c.id",
     ),
 )
 def title_compose(spark: SparkSession, folder: str) -> DataFrame:
-    return composed_titles(spark, folder).select(
-        F.col("item_id").alias("id"),
-        "title_generated",
-        F.array_join("used_keys", ",").alias("used_keys"),
+    return by_item(
+        composed_titles(spark, folder), "title_generated", F.array_join("used_keys", ",").alias("used_keys")
     )
 
 
 @query(
     "gap_attributes",
-    with_tables(*_TITLES, "SELECT id, gaps AS gap_attributes FROM composed"),
+    with_tables(
+        *_TITLES, "SELECT raw.id, gaps AS gap_attributes FROM raw LEFT JOIN composed c ON raw.id = c.id"
+    ),
 )
 def gap_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    return scored_titles(spark, folder).select(F.col("item_id").alias("id"), "gap_attributes")
+    return by_item(scored_titles(spark, folder), "gap_attributes")
 
 
 def _angled(column: str) -> str:
@@ -301,34 +309,28 @@ def _angled(column: str) -> str:
     "title_words",
     with_tables(
         *_TITLES,
-        "SELECT id, array_to_string(strange, ' | ') AS new_words_added, "
+        "SELECT raw.id, array_to_string(strange, ' | ') AS new_words_added, "
         f"array_to_string(lost, ' | ') AS words_removed, {_angled('won_keys')} AS attributes_added, "
         f"{_angled('lost_keys')} AS attributes_removed, {_angled('old_keys')} AS template_original, "
-        f"{_angled('used_keys')} AS template_generated FROM titled",
+        f"{_angled('used_keys')} AS template_generated FROM raw LEFT JOIN titled t ON raw.id = t.id",
     ),
 )
 def title_words(spark: SparkSession, folder: str) -> DataFrame:
-    return scored_titles(spark, folder).select(
-        F.col("item_id").alias("id"),
-        "new_words_added",
-        "words_removed",
-        "attributes_added",
-        "attributes_removed",
-        "template_original",
-        "template_generated",
-    )
+    return by_item(
+        scored_titles(spark, folder), "new_words_added", "words_removed", "attributes_added", "attributes_removed",
+        "template_original", "template_generated",
+    )
 
 
 @query(
     "title_score",
     with_tables(
-        *_TITLES, "SELECT id, score AS title_score, score <> 0 AS title_changed FROM titled"
+        *_TITLES,
+        "SELECT raw.id, score AS title_score, score <> 0 AS title_changed FROM raw LEFT JOIN titled t ON raw.id = t.id",
     ),
 )
 def title_score(spark: SparkSession, folder: str) -> DataFrame:
-    return scored_titles(spark, folder).select(
-        F.col("item_id").alias("id"), "title_score", "title_changed"
-    )
+    return by_item(scored_titles(spark, folder), "title_score", "title_changed")
 
 
 # Descriptions: by the remainder of the id by 5 a good score, a fraction, no number, no

@@ -61,6 +61,10 @@ _VOID = frozenset(
 _NOT_TEXT = frozenset(("script", "style", "template"))
 
 
+# A class attribute with an entity in its value.
+_CODED_CLASS = r"""(?i)class\s*=\s*("[^"]*&|'[^']*&|[^\s"'>]*&)"""
+
+
 class _DivText(HTMLParser):
     """Collects the text of every div of one class; a nested one counts again."""
 
@@ -117,7 +121,7 @@ def div_text(html: Column | str, css_class: str) -> Column:
             yield pages.map(lambda h: _div_text(h, css_class))
 
     page = as_column(html)
-    # A page may write a sign of the name as an entity.
-    named = page.contains(css_class) | page.contains("&")
+    # A page may write a sign of the name as an entity, but then in the value of a class.
+    named = page.contains(css_class) | page.rlike(_CODED_CLASS)
     found = F.when(named, collect(F.when(named, page)))
     return F.translate(found.when(page.isNotNull(), F.lit("")), "\n\r", " ")

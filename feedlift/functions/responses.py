@@ -84,16 +84,6 @@ def answer_lines(response: Column | str, ids: Column | str) -> Column:
 
 # --- raw model responses -----------------------------------------------------------
 
-STREAM_RESPONSE = (
-    "array<struct<"
-    "candidates:array<struct<content:struct<parts:array<struct<text:string>>>,"
-    "finishReason:string>>,"
-    "error:map<string,string>>>"
-)
-PREDICTION_RESPONSE = (
-    "struct<predictions:array<struct<content:string,"
-    "safetyAttributes:struct<blocked:boolean>>>>"
-)
 # Finish reasons that mean the answer was withheld.
 BLOCKED_REASONS = ("SAFETY", "BLOCKLIST")
 
@@ -105,58 +95,74 @@ def _text_or_error(text: Column, error: Column) -> Column:
     return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
 
 
-def stream_response(c: Column | str) -> Column:
-    """Struct ``text, error`` of a streamed response: the texts of its pieces joined, or
-    the first thing that went wrong."""
-    raw = as_column(c)
+def _at(v: Column, path: str, kind: str = "string") -> Column:
+    """A field of a VARIANT, NULL where it is missing, of another kind, or null in the JSON."""
+    return F.try_variant_get(v, path, kind)
+
+
+def _there(v: Column, path: str) -> Column:
+    found = F.try_variant_get(v, path, "variant")
+    return found.isNotNull() & ~F.is_variant_null(found)
+
 
+def _pieces(parsed: Column) -> Column:
+    """The pieces of a streamed response; one that is not a list is its only piece."""
+    return F.coalesce(
+        F.try_variant_get(parsed, "$", "array<variant>"),
+        F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.array(parsed)),
+    )
+
+
+def _stream(parsed: Column, raw: Column) -> Column:
     def problem(p: Column) -> Column:
-        first = F.get(p["candidates"], F.lit(0))
         return (
-            F.when(p["error"].isNotNull(), F.concat(F.lit("error response: "), raw))
-            .when(first["finishReason"].isin(*BLOCKED_REASONS), F.lit(BLOCKED_ERROR))
-            .when(
-                F.get(first["content"]["parts"], F.lit(0)).isNull(),
-                F.concat(F.lit("malformed response: "), raw),
-            )
+            F.when(_there(p, "$.error"), F.concat(F.lit("error response: "), raw))
+            .when(_at(p, "$.candidates[0].finishReason").isin(*BLOCKED_REASONS), F.lit(BLOCKED_ERROR))
+            .when(~_there(p, "$.candidates[0].content.parts[0]"), F.concat(F.lit("malformed response: "), raw))
         )
 
-    def piece_text(p: Column) -> Column:
-        first = F.get(p["candidates"], F.lit(0))
-        return F.get(first["content"]["parts"], F.lit(0))["text"]
-
     def summary(pieces: Column) -> Column:
         problems = F.filter(F.transform(pieces, problem), lambda e: e.isNotNull())
-        text = F.array_join(F.transform(pieces, piece_text), "", "")
-        return F.struct(
-            text.alias("text"),
+        texts = F.transform(pieces, lambda p: _at(p, "$.candidates[0].content.parts[0].text"))
+        text = F.array_join(texts, "", "")
+        error = (
             F.when(pieces.isNull(), F.concat(F.lit("malformed response: "), blank_if_null(raw)))
             .when(F.size(problems) > 0, F.get(problems, F.lit(0)))
             .when(text == "", F.concat(F.lit(f"{EMPTY_ERROR}: "), raw))
-            .alias("error"),
         )
+        return F.struct(text.alias("text"), error.alias("error"))
 
-    return bind(
-        bind(F.from_json(raw, STREAM_RESPONSE), summary),
-        lambda s: _text_or_error(s["text"], s["error"]),
+    return bind(bind(_pieces(parsed), summary), lambda s: _text_or_error(s["text"], s["error"]))
+
+
+def _prediction(parsed: Column, raw: Column) -> Column:
+    content = _at(parsed, "$.predictions[0].content")
+    blocked = F.lower(_at(parsed, "$.predictions[0].safetyAttributes.blocked")) == "true"
+    error = (
+        F.when(~F.coalesce(_there(parsed, "$.predictions[0]"), F.lit(False)), F.concat(F.lit("error response: "), blank_if_null(raw)))
+        .when(blocked, F.lit(BLOCKED_ERROR))
+        .when(blank_if_null(content) == "", F.lit(EMPTY_ERROR))
     )
+    return _text_or_error(content, error)
+
+
+def stream_response(c: Column | str) -> Column:
+    """Struct ``text, error`` of a streamed response: the texts of its pieces joined, or
+    the first thing that went wrong. Read as VARIANT, so fields that are not known here stay in the error text."""
+    raw = as_column(c)
+    return bind(F.try_parse_json(raw), lambda v: _stream(v, raw))
 
 
 def prediction_response(c: Column | str) -> Column:
     """Struct ``text, error`` of the older response shape."""
     raw = as_column(c)
+    return bind(F.try_parse_json(raw), lambda v: _prediction(v, raw))
 
-    def result(first: Column) -> Column:
-        error = (
-            F.when(first.isNull(), F.concat(F.lit("error response: "), blank_if_null(raw)))
-            .when(first["safetyAttributes"]["blocked"], F.lit(BLOCKED_ERROR))
-            .when(blank_if_null(first["content"]) == "", F.lit(EMPTY_ERROR))
-        )
-        return _text_or_error(first["content"], error)
 
-    return bind(
-        F.get(F.from_json(raw, PREDICTION_RESPONSE)["predictions"], F.lit(0)), result
-    )
+def model_response(c: Column | str) -> Column:
+    """Struct ``text, error`` of a response of either shape, told apart by its fields."""
+    raw = as_column(c)
+    return bind(F.try_parse_json(raw), lambda v: F.when(_there(v, "$.predictions"), _prediction(v, raw)).otherwise(_stream(v, raw)))
 
 
 # --- batch predictions -------------------------------------------------------------

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from feedlift.functions.html import rule_text
+from feedlift.functions.html import _CODED_CLASS, rule_text
 from feedlift.functions.prompts import batch_prompt, column_prompt, few_shot_block, page_text_section
 from feedlift.operators import joins, numbering, selection
 from feedlift.operators.answers import first_answers
@@ -346,5 +346,8 @@ def test_div_texts(spark):
     pages = spark.createDataFrame([("1", html), ("2", None)], "id string, html string")
     found = {r.id: r.content for r in page_div_texts(pages, "a").collect()}
     assert found == {"1": "xyin ner in ner z & w", "2": None}
-    others = spark.createDataFrame([("1", "<p>none</p>"), ("2", '<div class="&#97;">coded</div>')], "id string, html string")
-    assert {r.id: r.content for r in page_div_texts(others, "a").collect()} == {"1": "", "2": "coded"}
+    coded = ["<p>none</p>", '<div class="&#97;">coded</div>', "<div CLASS = '&#97; x'>q</div>", "<div class=&#97;>bare</div>", "<p>R&D, x & y</p>"]
+    others = spark.createDataFrame([(str(i), h) for i, h in enumerate(coded)], "id string, html string")
+    assert [r.content for r in page_div_texts(others, "a").orderBy("id").collect()] == ["", "coded", "q", "bare", ""]
+    # Only pages that may name the class go to the parser.
+    assert [r.n for r in others.orderBy("id").select(F.col("html").rlike(_CODED_CLASS).alias("n")).collect()] == [False, True, True, True, False]

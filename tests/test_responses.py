@@ -153,6 +153,28 @@ def test_stream_response(value, raw, text, error):
     assert (error in found.error) if error else found.error is None
 
 
+@pytest.mark.parametrize(
+    ("raw", "text", "error"),
+    [
+        (STREAM % "a", "a", None),
+        ((STREAM % "a")[1:-1], "a", None),  # a single piece
+        ('[{"error":{"code":429,"new field":[1]}}]', None, 'error response: [{"error":{"code":429,"new field":[1]}}]'),
+        ('[{"error":null,"candidates":[{"content":{"parts":[{"text":"b","more":{"x":1}}]}}]}]', "b", None),
+        ('{"predictions":[{"content":"c","safetyAttributes":{"blocked":false,"scores":[0.1]}}],"meta":1}', "c", None),
+        ('{"predictions":[{"content":"c","safetyAttributes":{"blocked":true}}]}', None, r.BLOCKED_ERROR),
+        ('{"predictions":[{"content":""}]}', None, r.EMPTY_ERROR),
+        ('{"predictions":[]}', None, 'error response: {"predictions":[]}'),
+        ('{"quota":0}', None, 'malformed response: {"quota":0}'),
+        ("[]", None, "the response holds no text: []"),
+        ("nope", None, "malformed response: nope"),
+        (None, None, "malformed response: "),
+    ],
+)
+def test_responses_of_either_shape(value, raw, text, error):
+    found = value(r.model_response(F.lit(raw).cast("string")))
+    assert (found.text, found.error) == (text, error)
+
+
 def test_prediction_fields(spark):
     from feedlift.sources.requests import PREDICTION_SCHEMA
 
