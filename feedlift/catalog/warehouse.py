@@ -23,7 +23,7 @@ from feedlift.catalog.feed import (
     state,
     table,
 )
-from feedlift.catalog.registry import query, with_tables
+from feedlift.catalog.registry import SQL, query, with_tables
 from feedlift.functions import prompts
 from feedlift.functions.rows import row_context, row_properties
 from feedlift.functions.sets import difference, intersection, union, word_set
@@ -32,7 +32,7 @@ from feedlift.operators import joins, quality, selection
 from feedlift.operators.answers import answer_rows, first_answers
 from feedlift.operators.export import full_feed, supplemental_feed
 from feedlift.operators.generation import ExpressionCompleter, ReplayCompleter
-from feedlift.operators.numbering import number_rows, pack_chunks
+from feedlift.operators.numbering import number_rows, pack_chunks, stream_chunks
 from feedlift.operators.state import merge_answers
 from feedlift.plans.batched import BatchOptions, batched_update, build_prompts, wanted_rows
 from feedlift.session import new_path
@@ -276,6 +276,19 @@ def pack_chunks_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("stream_chunks", SQL["pack_chunks"])
+def stream_chunks_query(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from the stored order of the rows."""
+    rows = filtered(spark, folder).select(
+        "id", row_properties(FILTERED_COLUMNS).alias("properties")
+    )
+    return stream_chunks(number_rows(rows, ["id"]), 7).select(
+        "chunk_id",
+        F.array_join("ids", ",").alias("ids"),
+        F.array_join("properties", "\n").alias("properties"),
+    )
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -70,6 +70,27 @@ def test_chunks_keep_null_properties(spark):
 # --- selection ---------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("per_chunk", [1, 7, 50, 5000])
+def test_streamed_chunks_equal_shuffled_ones(spark, per_chunk):
+    rows = [(f"{i % 700:03d}", None if i % 11 == 0 else f"p{i}") for i in range(1003)]
+    df = spark.createDataFrame(rows, "id string, properties string").repartition(6)
+    numbered = numbering.number_rows(df, ["id"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        for frame in (numbered, numbered.repartition(5)):  # stored in order, and dealt out at random
+            got = numbering.stream_chunks(frame, per_chunk)
+            assert rows_of(got) == rows_of(numbering.pack_chunks(frame, per_chunk))
+        pieces = numbering.chunk_pieces(numbered, per_chunk)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert pieces.where(F.size("ids") < per_chunk).count() <= 2 * numbered.rdd.getNumPartitions()
+    assert numbering.stream_chunks(numbered.limit(0), per_chunk).count() == 0
+
+
+def rows_of(chunks):
+    return {r.chunk_id: (r.ids, r.properties) for r in chunks.collect()}
+
+
 def test_ids_as_list_long_list_and_frame(spark):
     df = spark.range(5000).select(F.col("id").cast("string"))
     few = [str(i) for i in range(10)]
