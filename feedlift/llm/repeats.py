@@ -38,7 +38,7 @@ from feedlift.llm.frames import buckets, keyed
 from feedlift.session import discard, materialise
 
 WINDOW, ANCHOR = 35, 8
-_PLACE = 26  # bits of the place of a word within a block; the rest of the 64 order the anchors
+_PLACE = 31  # bits of the place of a word within a block, as many as a text can have bytes; the rest of the 64 order the anchors
 _EDGE = "hash long, content long, member long, start int, n int"
 
 

@@ -8,7 +8,8 @@ tokenizer version are sums of signed rows, so each batch adds only its own small
 A batch is written to a folder of its own attempt, and counts from the moment its commit record, which names
 that folder, is there. A batch id that is committed already is not applied again, so a batch may be
 delivered any number of times; an attempt that was lost leaves files that nobody reads. One
-writer at a time: the record is written with ``errorifexists``, and the loser of a race fails.
+writer at a time: the record is written with ``errorifexists``, and the loser of a race fails. Should both have
+looked before either wrote, one of the two attempts counts.
 
 Within a batch one change per (document, version) has effect: counts go before deletes, and of several counts
 the largest has it (then the greatest source and language). A delete of something never counted, or deleted before, changes nothing.
@@ -60,7 +61,11 @@ class Rollup:
         if not self._exists("commits"):
             return []
         rows = self._spark.read.schema(_COMMIT).option("recursiveFileLookup", "true").parquet(f"{self._path}/commits").collect()
-        return [(r["batch_id"], r["attempt"]) for r in sorted(rows, key=lambda r: r["place"])]
+        # Two writers may both have found no record of a batch; one attempt of it counts.
+        first: dict[str, str] = {}
+        for r in sorted(rows, key=lambda r: (r["place"], r["attempt"])):
+            first.setdefault(r["batch_id"], r["attempt"])
+        return list(first.items())
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         paths = [f"{self._path}/{kind}/{attempt}" for _, attempt in self.commits()]

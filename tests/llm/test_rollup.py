@@ -53,6 +53,19 @@ def test_random_batches_against_a_dictionary(book, changes):
     assert book.counted().count() == len(state)
 
 
+def test_two_records_of_a_batch_count_once(spark, book, changes):
+    assert book.apply("one", changes([(1, "v", "s", "en", 10, False)]))
+    (_, attempt), = book.commits()
+    for kind in ("ledger", "sums"):
+        spark.read.parquet(f"{book._path}/{kind}/{attempt}").write.parquet(f"{book._path}/{kind}/one-other")
+    record = spark.createDataFrame([("one", "one-other", 0)], "batch_id string, attempt string, place long")
+    record.write.mode("append").parquet(f"{book._path}/commits/one")
+    assert len(book.commits()) == 1
+    assert _totals(book) == {("s", "en", "v"): (1, 10)}
+    assert book.apply("two", changes([(2, "v", "s", "en", 5, False)]))
+    assert _totals(book) == {("s", "en", "v"): (2, 15)}
+
+
 def test_a_batch_may_come_again(book, changes):
     batch = changes([(1, "v", "s", "en", 10, False), (2, "v", "s", "en", 5, False)])
     assert book.apply("one", batch)
