@@ -235,11 +235,19 @@ def collected_examples(examples: DataFrame) -> DataFrame:
     return examples.agg(shown.alias("examples"))
 
 
-def example_texts(examples: DataFrame, target: str) -> tuple[Column, Column]:
-    """The two example sections of a batch prompt as scalar subqueries, computed once."""
+def example_sections(examples: DataFrame, target: str) -> DataFrame:
+    """The two example sections of a batch prompt, ``inputs, outputs``, in one row."""
     inputs, outputs = example_lines(F.col("examples"), target)
-    texts = collected_examples(examples).select(inputs.alias("inputs"), outputs.alias("outputs"))
-    return texts.select("inputs").scalar(), texts.select("outputs").scalar()
+    return collected_examples(examples).select(inputs.alias("inputs"), outputs.alias("outputs"))
+
+
+def section_texts(sections: DataFrame) -> tuple[Column, Column]:
+    """Those sections as scalar subqueries, computed once for each plan they are in."""
+    return sections.select("inputs").scalar(), sections.select("outputs").scalar()
+
+
+def example_texts(examples: DataFrame, target: str) -> tuple[Column, Column]:
+    return section_texts(example_sections(examples, target))
 
 
 def context_of_ids(

@@ -58,13 +58,20 @@ def number_rows(
     )
 
 
-def pack_chunks(numbered: DataFrame, per_chunk: int, *, id_col: str = "id") -> DataFrame:
+def pack_chunks(
+    numbered: DataFrame, per_chunk: int, *, id_col: str = "id", partitions: int | None = None
+) -> DataFrame:
     """Group numbered ``id, properties`` rows into chunks of ``per_chunk`` neighbours:
-    ``chunk_id, ids, properties``, both arrays in row order and NULL elements kept."""
+    ``chunk_id, ids, properties``, both arrays in row order and NULL elements kept.
+
+    ``partitions`` is the number of tasks, for chunks with much work to come: adaptive execution would merge
+    partitions by their bytes alone."""
     row = F.struct("row_id", F.col(id_col).alias("id"), "properties")
+    chunked = numbered.withColumn("chunk_id", F.expr(f"row_id div {int(per_chunk)}"))
+    if partitions is not None:
+        chunked = chunked.repartition(partitions, "chunk_id")
     return (
-        numbered.withColumn("chunk_id", F.expr(f"row_id div {int(per_chunk)}"))
-        .groupBy("chunk_id")
+        chunked.groupBy("chunk_id")
         .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
         .select(
             "chunk_id",

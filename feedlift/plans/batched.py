@@ -15,7 +15,7 @@ from feedlift.functions.rows import row_properties
 from feedlift.functions.text import as_column
 from feedlift.operators.answers import asked_products
 from feedlift.operators.generation import Completer, generate_text
-from feedlift.operators.joins import example_texts
+from feedlift.operators.joins import example_sections, section_texts
 from feedlift.operators.numbering import number_rows, pack_chunks
 from feedlift.operators.selection import by_ids, in_part, pending, random_batch
 from feedlift.operators.state import merge_round
@@ -23,6 +23,10 @@ from feedlift.session import materialise, scratch, temporary_path
 from feedlift.sources.tables import BucketedRows, StateTable
 
 
+#: Prompts that one task builds and gets answered; more only where the shuffles of the session have no more partitions.
+PROMPTS_PER_TASK = 256
+
+
 @dataclass(frozen=True)
 class BatchOptions:
     """``target`` is ``title`` or ``description``. ``items_per_iteration`` bounds a round, so
@@ -70,29 +74,33 @@ def build_prompts(
     ids: DataFrame, inputs: DataFrame, examples: DataFrame | None, options: BatchOptions
 ) -> DataFrame:
     """``chunk_id, ids, prompt`` for the products of ``inputs`` with these ids."""
-    return _prompts(number_rows(ids.select("id"), ["id"]), input_rows(inputs), examples, options)
+    sections = None if examples is None else example_sections(examples, options.target)
+    return _prompts(number_rows(ids.select("id"), ["id"]), input_rows(inputs), sections, options)
 
 
 def _prompts(
-    numbered: DataFrame, feed: DataFrame, examples: DataFrame | None, options: BatchOptions
+    numbered: DataFrame, feed: DataFrame, sections: DataFrame | None, options: BatchOptions, tasks: int | None = None
 ) -> DataFrame:
     """Only the ids are numbered; the rows of the products (``id, properties``) come in with the join that gives
     them their chunk."""
-    lines = None if examples is None else example_texts(examples, options.target)
+    lines = None if sections is None else section_texts(sections)
     prompt = batch_prompt(
         options.target, options.language, "properties", wording=options.wording, lines=lines
     )
-    return pack_chunks(numbered.join(feed, "id"), options.items_per_prompt).select(
+    return pack_chunks(numbered.join(feed, "id"), options.items_per_prompt, partitions=tasks).select(
         "chunk_id", "ids", prompt.alias("prompt")
     )
 
 
 def generate_round(
-    ids: DataFrame, feed: DataFrame, examples: DataFrame | None, completer: Completer, options: BatchOptions
+    ids: DataFrame, feed: DataFrame, sections: DataFrame | None, completer: Completer, options: BatchOptions, products: int
 ) -> DataFrame:
-    """``chunk_id, ids, response, error`` for these products (a frame that is stored), written before anything is
-    parsed: the model must not be asked again when a later stage is repeated."""
-    prompts = _prompts(number_rows(ids.select("id"), ["id"], frozen=True), feed, examples, options)
+    """``chunk_id, ids, response, error`` for these products (a frame that is stored, of so many rows), written before
+    anything is parsed: the model must not be asked again when a later stage is repeated. ``sections`` are those of
+    :func:`example_sections`."""
+    tasks = -(-products // (options.items_per_prompt * PROMPTS_PER_TASK))
+    tasks = max(1, min(tasks, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    prompts = _prompts(number_rows(ids.select("id"), ["id"], frozen=True), feed, sections, options, tasks)
     generated = generate_text(prompts, completer).select("chunk_id", "ids", "response", "error")
     return materialise(generated, "generated")
 
@@ -125,8 +133,8 @@ def batched_update(
 ) -> list[int]:
     """Rounds of generation until nothing is pending. Returns the number of products answered per round.
 
-    The run reads state and feed once, counts what waits in each bucket, and stores the feed in the same buckets if there
-    are rounds of bounded size. Such a round takes its products, in a random order, from as few buckets as hold enough of
+    The run reads state and feed once, counts what waits in each bucket, and stores the feed for its rounds, in the same
+    buckets if they are of bounded size; examples are turned into text once. Such a round takes its products, in a random order, from as few buckets as hold enough of
     them; it reads and replaces these buckets alone, so its cost follows the round, not the state.
 
     A product that no answer names gains no tries, and is not asked for again in this run. So each
@@ -139,16 +147,20 @@ def batched_update(
     run = uuid.uuid4().hex
     with scratch(spark):
         whole = input_rows(in_part(inputs, options.parts, options.part))
+        if options.items_per_iteration is None and options.ids is None:  # listed products take one round
+            whole = materialise(whole, "feed")
         feed_in: Callable[[list[int] | None], DataFrame] = lambda _: whole
         if options.items_per_iteration is not None:
             stored = BucketedRows(spark, temporary_path(spark, "feed"), table.buckets)
             stored.create(whole)
             feed_in = lambda buckets: stored.rows(buckets).drop("bucket")
+        sections = None if examples is None else materialise(example_sections(examples, options.target), "examples")
         waiting = _per_bucket(waiting_rows(state, feed_in(None), options, run))
         while waiting and (options.max_iterations is None or len(answered) < options.max_iterations):
             chosen = _next_buckets(waiting, options)
             feed = feed_in(chosen)
-            answered.append(_round(table, feed, chosen, examples, completer, options, run, len(answered)))
+            products = sum(waiting[b] for b in chosen)
+            answered.append(_round(table, feed, chosen, products, sections, completer, options, run, len(answered)))
             if options.ids is not None or len(answered) == options.max_iterations:
                 break
             left = _per_bucket(waiting_rows(table.rows(chosen), feed, options, run))
@@ -157,14 +169,15 @@ def batched_update(
 
 
 def _round(
-    table: StateTable, feed: DataFrame, buckets: list[int], examples: DataFrame | None, completer: Completer,
+    table: StateTable, feed: DataFrame, buckets: list[int], products: int, sections: DataFrame | None, completer: Completer,
     options: BatchOptions, run: str, round_no: int,
 ) -> int:
-    """One round over some buckets; how many products an answer names."""
+    """One round over some buckets, in which so many products wait; how many products an answer names."""
     with scratch(feed.sparkSession):
         waiting = materialise(waiting_rows(table.rows(buckets), feed, options, run), "waiting")
         ids = random_batch(waiting, options.items_per_iteration, f"{options.seed}.{round_no}")
-        generated = generate_round(ids, feed, examples, completer, options)
+        asking = products if options.items_per_iteration is None else min(products, options.items_per_iteration)
+        generated = generate_round(ids, feed, sections, completer, options, asking)
         seen = Observation()
         asked = asked_products(generated).withColumn("target", F.lit(options.target))
         asked = asked.observe(seen, F.count_if("named").alias("named"))

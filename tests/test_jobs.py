@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -30,6 +31,7 @@ from feedlift.operators.generation import (
 from feedlift.operators.quality import semantic_drift
 from feedlift.operators.selection import init_state
 from feedlift.operators.table_functions import table_function
+from feedlift.plans import batched
 from feedlift.plans.batched import BatchOptions, batched_update
 from feedlift.plans.enrich import collect_batch, enrich_column, join_column, write_batch
 from feedlift.plans.review_feed import review_feed
@@ -250,6 +252,43 @@ def test_a_round_replaces_its_buckets_alone(spark, tmp_path):
     assert table.read().count() == 200 and table.answers().count() == 36
 
 
+class Watching:
+    """Notes the tasks that hold the prompts of each round, and calls back before each."""
+
+    def __init__(self, before=lambda round_no: None):
+        self.tasks, self.before = [], before
+
+    def complete(self, df, prompt, response, error):
+        self.before(len(self.tasks))
+        self.tasks.append(df.select(F.spark_partition_id()).distinct().count())
+        return prompt_reader("title").complete(df, prompt, response, error)
+
+
+@pytest.mark.parametrize("size", [None, 60])
+def test_examples_are_read_once_in_a_run(spark, tmp_path, size):
+    def gone(round_no):
+        if round_no == 1:
+            shutil.rmtree(tmp_path / "examples")
+
+    spark.createDataFrame([("1", "{}", "a", "b")], "id string, properties string, title string, description string").write.parquet(str(tmp_path / "examples"))
+    examples = spark.read.parquet(str(tmp_path / "examples"))
+    inputs = spark.range(100).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("t"), "id").alias("title"))
+    table, seen = StateTable(spark, str(tmp_path / "state")), Watching(gone)
+    table.create(init_state(inputs))
+    counts = batched_update(table, inputs, examples, seen, BatchOptions("title", items_per_iteration=size))
+    assert len(seen.tasks) == len(counts) >= 3 and sum(counts) == 80 + 30
+
+
+def test_prompts_of_a_round_are_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batched, "PROMPTS_PER_TASK", 5, raising=False)
+    seen = Watching()
+    inputs = spark.range(200).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("t"), "id").alias("title"))
+    table = StateTable(spark, str(tmp_path / "state"))
+    table.create(init_state(inputs))
+    batched_update(table, inputs, None, seen, BatchOptions("title", items_per_prompt=10, max_iterations=2))
+    assert seen.tasks[0] >= 2 and seen.tasks[1] == 1  # 20 prompts, then those of the 40 products that are left
+
+
 def test_parts_side_by_side(spark, tmp_path):
     inputs = spark.range(40).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("t"), "id").alias("title"))
     table = StateTable(spark, str(tmp_path / "state"), buckets=6)
