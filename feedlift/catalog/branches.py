@@ -27,7 +27,7 @@ from feedlift.operators.generation import ExpressionCompleter, describe_images
 from feedlift.plans.batched import BatchOptions, batched_update
 from feedlift.plans.enrich import enrich_column
 from feedlift.plans.review_feed import review_feed
-from feedlift.session import new_path
+from feedlift.session import materialise, new_path
 from feedlift.sources import feeds
 from feedlift.sources.tables import StateTable
 
@@ -123,9 +123,10 @@ def batched_update_in_parts(spark: SparkSession, folder: str) -> DataFrame:
     inputs = filtered(spark, folder)
     state = StateTable(spark, new_path(spark, "state"))
     state.create(selection.init_state(inputs))
+    examples = materialise(top_examples(spark, folder), "examples")  # four runs read them
     for part in range(4):
         options = BatchOptions("title", parts=4, part=part)
-        batched_update(state, inputs, top_examples(spark, folder), prompt_reader("title"), options)
+        batched_update(state, inputs, examples, prompt_reader("title"), options)
     return state.read()
 
 
