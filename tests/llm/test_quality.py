@@ -90,6 +90,40 @@ def test_many_documents_of_one_labelled_id(spark, docs, monkeypatch):
         assert least <= seen[-1] <= 2 * most
 
 
+def test_all_labelled_rows_are_learned_from(spark, docs):
+    """Ranges of the boxes and threshold come from all labelled rows, also if the trees draw from fewer."""
+    rows = [(i, " ".join(f"w{i}x{j}{'#' * (i % 7 if j % 3 else 0)}" for j in range(60 + i))) for i in range(150)]
+    rows += [(1000 + i, " ".join(f"#{i}$${j}" * (1 + i % 3) for j in range(60))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 1000 or i % 9 == 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    frame = docs(rows).select("doc_id", "text").repartition(5)
+    x = quality.features(quality.counts_of(pa.array([t for _, t in rows])))
+    good = np.array([i < 1000 or i % 9 == 0 for i, _ in rows])
+    for trees_draw_from in (20, 100_000):
+        forest = quality.fit(frame, labels, trees_draw_from)
+        s = forest.scores(x)
+        cost = lambda t: quality.GOOD_LOSS_WEIGHT * int((good & (s >= t)).sum()) + int((~good & (s < t)).sum())  # noqa: B023, E731
+        assert cost(forest.threshold) == min(cost(t) for t in [np.inf, s.min() - 1, *s])
+
+
+def test_ranges_and_weights_are_those_of_all_rows(spark, docs, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{i}x{j}" + "#!A"[: rng.integers(0, 4)] for j in range(50 + int(rng.integers(0, 90))))) for i in range(200)]
+    told = [(i, int(i % 3 > 0), 0) for i, _ in rows]
+    seen = []
+    grow = quality.grow
+    monkeypatch.setattr(quality, "grow", lambda *a: seen.append(a) or grow(*a))
+    quality.fit(docs(rows).select("doc_id", "text"), spark.createDataFrame(told, "doc_id long, quality int, toxic int"), 30)
+    x = quality.features(quality.counts_of(pa.array([t for _, t in rows])))
+    good = np.array([q > 0 for _, q, _ in told])
+    drawn, low, high, _, _, weights = seen[0]
+    assert len(drawn) <= 45 and {tuple(r) for r in drawn} <= {tuple(r) for r in x[good]}
+    assert (low == x.min(axis=0)).all() and (high == x.max(axis=0)).all()
+    for f, w in enumerate(weights):
+        a, b = x[good, f][:, None], x[~good, f][None, :]
+        area = ((a > b).sum() + 0.5 * (a == b).sum()) / (a.size * b.size)
+        assert abs(np.sqrt(w) - max(0.01, abs(2 * area - 1))) < 1e-9
+
+
 def test_labels_repeated_or_null(spark, docs):
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(40)]
     rows += [(100 + i, " ".join(f"#{i}$$${j}" for j in range(60))) for i in range(10)]
